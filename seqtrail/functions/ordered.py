@@ -25,10 +25,22 @@ def _columns(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
+def groups_fit(source: DataFrame, keys: Sequence[str], max_group_rows: int = MAX_GROUP_ROWS) -> bool:
+    """Does every group of ``source`` stay within the limit? One count over its keys.
+
+    Where groups of a derived table can only be smaller (windows of one user's log, say),
+    this proves on the narrow source that the derived table needs no check of its own.
+    """
+    counts = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.filter(F.col("_n") > max_group_rows).isEmpty()
+
+
 def split_oversized(
-    df: DataFrame, keys: Sequence[str], max_group_rows: int
+    df: DataFrame, keys: Sequence[str], max_group_rows: int, fits: bool
 ) -> tuple[DataFrame, DataFrame | None]:
     """Split ``df`` into rows of ordinary groups and rows of oversized ones (or None)."""
+    if fits:
+        return df, None
     keys = list(keys)
     oversized = (
         df.groupBy(*keys)
@@ -82,12 +94,16 @@ def running_total(
     out: str,
     *,
     max_group_rows: int = MAX_GROUP_ROWS,
+    fits: bool = False,
 ) -> DataFrame:
-    """Add the inclusive running sum of ``value``; ``order`` must be unique in a group."""
+    """Add the inclusive running sum of ``value``; ``order`` must be unique in a group.
+
+    ``fits`` says that the caller knows no group exceeds ``max_group_rows``.
+    """
     keys = list(keys)
     if not keys:
         return _sliced_total(df, keys, order, value, out)
-    usual, oversized = split_oversized(df, keys, max_group_rows)
+    usual, oversized = split_oversized(df, keys, max_group_rows, fits)
     window = (
         Window.partitionBy(*keys)
         .orderBy(*_columns(order))
@@ -140,11 +156,13 @@ def order_rows(
     previous: Mapping[str, str] | None = None,
     following: Mapping[str, str] | None = None,
     max_group_rows: int = MAX_GROUP_ROWS,
+    fits: bool = False,
 ) -> DataFrame:
     """Number the rows of each group from 0 and look at the rows next to each one.
 
     ``previous`` and ``following`` map new column names to the column they read from
-    the row before or after. ``order`` must be unique within a group.
+    the row before or after. ``order`` must be unique within a group. ``fits`` says that
+    the caller knows no group exceeds ``max_group_rows`` (see ``groups_fit``).
     """
     previous, following, keys = dict(previous or {}), dict(following or {}), list(keys)
 
@@ -158,7 +176,7 @@ def order_rows(
 
     if not keys:
         return sliced(df)
-    usual, oversized = split_oversized(df, keys, max_group_rows)
+    usual, oversized = split_oversized(df, keys, max_group_rows, fits)
     window = Window.partitionBy(*keys).orderBy(*_columns(order))
     added = {pos: F.row_number().over(window).cast("long") - 1}
     added |= {out: F.lag(source).over(window) for out, source in previous.items()}

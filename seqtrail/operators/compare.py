@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqtrail.functions.numbers import ratio
 from seqtrail.functions.ordered import running_total
@@ -19,7 +20,7 @@ class NotAligned(ValueError):
     """Two models do not cover the same positions."""
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _erfc(x: pd.Series) -> pd.Series:
     """Complementary error function; Spark has none. Applied to one-row results only."""
     return x.map(math.erfc, na_action="ignore")

@@ -211,36 +211,54 @@ def frequency_predictions(
     )
 
 
-def entropy_rate(model: Transitions, *, iterations: int = 40, store_every: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Stationary distribution of the chain and its entropy rate and perplexity.
+NOWHERE = "<NOWHERE>"
+
+
+def lazy_chain(model: Transitions) -> DataFrame:
+    """The chain that stays put half of the time, as ``(prev, next, prob)``.
 
-    Power iteration on the lazy chain (half the mass stays), which has the same
-    stationary vector and no periods; tokens without a successor spread their mass
-    evenly. Starts uniform, runs a fixed number of steps over the sparse table.
+    Tokens without a successor go to a state of its own, which moves on to every token
+    alike. Leaving that state out of the stationary vector gives the vector of the chain
+    in which such tokens spread their mass evenly, without a dense row for each of them.
     """
-    table = cut(model.table.select("prev", "next", "prob"))
-    tokens = cut(model.tokens.select("token"))
-    n = tokens.agg(F.count(F.lit(1))).scalar()
+    table = model.table.select("prev", "next", "prob")
+    tokens = model.tokens.select("token")
     dead_ends = tokens.join(
         table.select(F.col("prev").alias("token")).distinct(), "token", "left_anti"
     )
-    pi = tokens.withColumn("p", F.lit(1.0) / n)
+    nowhere = F.lit(NOWHERE)
+    moves = table.unionByName(
+        dead_ends.select(F.col("token").alias("prev"), nowhere.alias("next"), F.lit(1.0).alias("prob"))
+    ).unionByName(
+        tokens.select(nowhere.alias("prev"), F.col("token").alias("next"), (F.lit(1.0) / model.size).alias("prob"))
+    )
+    states = moves.select("prev").distinct()
+    stays = states.select("prev", F.col("prev").alias("next"), F.lit(0.5).alias("prob"))
+    return moves.withColumn("prob", 0.5 * F.col("prob")).unionByName(stays)
+
+
+def entropy_rate(
+    model: Transitions, *, iterations: int = 40, store_every: int = 5
+) -> tuple[DataFrame, DataFrame]:
+    """Stationary distribution of the chain and its entropy rate and perplexity.
+
+    Power iteration over the sparse lazy chain from the uniform vector: staying put half
+    of the time keeps the stationary vector and removes periods. A fixed number of steps.
+    """
+    chain = cut(lazy_chain(model))
+    pi = model.tokens.select("token", (F.lit(1.0) / model.size).alias("p"))
     for step in range(1, iterations + 1):
-        moved = (
-            pi.join(table, pi["token"] == table["prev"])
+        pi = (
+            pi.join(chain, F.col("token") == F.col("prev"))
             .groupBy(F.col("next").alias("token"))
-            .agg(F.sum(F.col("p") * F.col("prob")).alias("m"))
-        )
-        lost = F.coalesce(
-            pi.join(dead_ends, "token", "left_semi").agg(F.sum("p")).scalar(), F.lit(0.0)
-        )
-        pi = pi.join(moved, "token", "left").select(
-            "token", (0.5 * F.col("p") + 0.5 * (F.coalesce("m", F.lit(0.0)) + lost / n)).alias("p")
+            .agg(F.sum(F.col("p") * F.col("prob")).alias("p"))
         )
         if step % store_every == 0 or step == iterations:
             pi = cut(pi)
+    real = pi.filter(F.col("token") != NOWHERE)
+    pi = real.withColumn("p", F.col("p") / real.agg(F.sum("p")).scalar())
     rate = (
-        pi.join(table, pi["token"] == table["prev"])
+        pi.join(model.table, F.col("token") == F.col("prev"))
         .agg(F.sum(-F.col("p") * F.col("prob") * F.log(F.col("prob") + EPSILON)).alias("entropy_rate"))
         .withColumn("perplexity", F.exp("entropy_rate"))
     )

@@ -30,10 +30,11 @@ def order_windows(
     keys: Sequence[str] = ("idx", "kind", "control_idx"),
     order: Sequence[str] = ("us", "event_id"),
     max_group_rows: int = MAX_GROUP_ROWS,
+    fits: bool = False,
 ) -> DataFrame:
     """Number the rows of each window and add the seconds since the row before."""
     ordered = order_rows(
-        windows, keys, order, previous={"previous_us": "us"}, max_group_rows=max_group_rows
+        windows, keys, order, previous={"previous_us": "us"}, max_group_rows=max_group_rows, fits=fits
     )
     return ordered.withColumn("delta", delta_seconds(F.col("us"), F.col("previous_us"))).drop(
         "previous_us"

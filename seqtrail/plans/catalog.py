@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from seqtrail.plans import cohort_queries, sequence_queries  # noqa: F401
+from seqtrail.plans import (  # noqa: F401
+    cohort_queries,
+    markov_queries,
+    report_queries,
+    retrieval_queries,
+    sequence_queries,
+)
 from seqtrail.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqtrail.functions.ordered import order_rows, running_total
+from seqtrail.functions.ordered import groups_fit, order_rows, running_total
 from seqtrail.functions.storage import cut
 from seqtrail.functions.timing import HOUR, MINUTE, SECOND, epoch_micros
 from seqtrail.operators import cohort, markov, split, vocab
@@ -27,6 +27,8 @@ MAX_WORDS = 48
 REPLICATES = 200
 MODEL_SEED = 11
 
+SEQUENCE_KEYS = ["idx", "kind", "control_idx"]
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -72,7 +74,8 @@ def anchors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def numbered_controls(spark: SparkSession, folder: str) -> DataFrame:
-    return cohort.number_controls(anchors(spark, folder))
+    fits = groups_fit(audit_log(spark, folder), ["user_id"])
+    return cohort.number_controls(anchors(spark, folder), fits=fits)
 
 
 def all_windows(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,28 +98,44 @@ def order_splits(spark: SparkSession, folder: str) -> DataFrame:
     return split.fixed_split(orders, seed=SEED)
 
 
-def token_sequences(spark: SparkSession, folder: str, *, fine: bool = False) -> DataFrame:
-    """Action tokens of all windows of paired orders, with position, delta, ``prev``, split."""
+def coded_windows(
+    spark: SparkSession, folder: str, *, fine: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Windows of paired orders with the token of each action, and the token table.
+
+    The windows are stored once; pairing, vocabulary and tokens all start from them.
+    """
     column, top_k = ("action_fine", FINE_TOP_K) if fine else ("action", TOP_K)
     windows = cut(
-        all_windows(spark, folder).select("idx", "kind", "control_idx", "us", "event_id", F.col(column).alias("action"))
-    )
-    paired = cohort.paired_orders(
-        windows.filter(F.col("kind") == "case"), windows.filter(F.col("kind") == "control")
-    )
-    tokens = vocab.action_tokens(vocab.action_counts(windows), top_k)
-    routed = split.route(windows.join(paired, "idx", "left_semi"), order_splits(spark, folder))
-    coded = vocab.valid_actions(vocab.tokenize_actions(routed, tokens))
-    keys = ["idx", "kind", "control_idx"]
-    ordered = order_rows(
-        coded, keys, ["us", "event_id"], previous={"prev": "token", "previous_us": "us"}
-    )
-    return ordered.withColumn("delta", (F.col("us") - F.col("previous_us")) / float(SECOND)).drop(
-        "previous_us"
+        all_windows(spark, folder).select(*SEQUENCE_KEYS, "us", "event_id", F.col(column).alias("action"))
     )
+    is_case = F.col("kind") == "case"
+    paired = cohort.paired_orders(windows.filter(is_case), windows.filter(~is_case))
+    tokens = cut(vocab.action_tokens(vocab.action_counts(windows), top_k))
+    return vocab.tokenize_actions(windows.join(paired, "idx", "left_semi"), tokens), tokens
 
 
-SEQUENCE_KEYS = ["idx", "kind", "control_idx"]
+def token_sequences(
+    spark: SparkSession, folder: str, *, fine: bool = False, routes: DataFrame | None = None
+) -> DataFrame:
+    """Action tokens of all windows of paired orders, with position, delta, ``prev``, split."""
+    return token_sequences_and_vocabulary(spark, folder, fine=fine, routes=routes)[0]
+
+
+def token_sequences_and_vocabulary(
+    spark: SparkSession, folder: str, *, fine: bool = False, routes: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    coded, tokens = coded_windows(spark, folder, fine=fine)
+    routed = split.route(coded, order_splits(spark, folder) if routes is None else routes)
+    ordered = order_rows(
+        vocab.valid_actions(routed),
+        SEQUENCE_KEYS,
+        ["us", "event_id"],
+        previous={"prev": "token", "previous_us": "us"},
+        fits=groups_fit(audit_log(spark, folder), ["user_id"]),
+    )
+    delta = (F.col("us") - F.col("previous_us")) / float(SECOND)
+    return ordered.withColumn("delta", delta).drop("previous_us"), tokens
 
 
 def train_and_score(tokens: DataFrame) -> tuple[markov.Transitions, DataFrame]:
@@ -133,7 +152,7 @@ def action_positions(spark: SparkSession, folder: str) -> DataFrame:
     joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(
         parts, lines.l_partkey == parts.p_partkey
     )
-    rows = joined.select(
+    rows = cut(joined.select(
         F.col("o_custkey").alias("seq_id"),
         "o_orderdate",
         "o_orderkey",
@@ -141,7 +160,7 @@ def action_positions(spark: SparkSession, folder: str) -> DataFrame:
         "l_partkey",
         "l_suppkey",
         F.col("p_name").alias("token"),
-    )
+    ))
     order = ["o_orderdate", "o_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     return order_rows(rows, ["seq_id"], order, previous={"prev": "token"}).drop(*order)
 
@@ -194,9 +213,9 @@ def line_models(spark: SparkSession, folder: str) -> LineModels:
     columns = ["model", "seq_id", "pos", "label", "pred", "correct", "topk_correct", "ce", "entropy", "confidence"]
     return LineModels(
         splits,
-        wb.withColumn("model", F.lit("wb")).select(columns),
-        first_order.withColumn("model", F.lit("markov")).select(columns),
-        frequency.select(columns),
+        cut(wb.withColumn("model", F.lit("wb")).select(columns)),
+        cut(first_order.withColumn("model", F.lit("markov")).select(columns)),
+        cut(frequency.select(columns)),
         word_model,
         action_model,
     )

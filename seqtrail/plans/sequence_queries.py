@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from seqtrail.functions import arrays
 from seqtrail.functions.ordered import order_rows
 from seqtrail.functions.timing import delta_bucket, delta_category, epoch_seconds
-from seqtrail.functions.storage import cut
 from seqtrail.operators import cohort, encode, sequences, split, vocab
 from seqtrail.operators.metrics import exact_quantiles
 from seqtrail.plans import inputs as I
@@ -281,9 +280,9 @@ ENCODED = f"""{TRUNCATED}, {token_ids_sql()}, id_lists as materialized (
   from kept join ids using (token) group by idx, kind, control_idx),
 encoded as materialized (
   select idx, kind, control_idx, n,
-    list_concat(l, list_transform(range(n, {LENGTH}), x -> 0)) as input_ids,
-    list_transform(range(0, {LENGTH}), x -> case when x < n then 1 else 0 end) as mask,
-    list_transform(range(1, {LENGTH} + 1), x -> case when x >= n or l[x + 1] = 1 then -100 else l[x + 1] end) as labels
+    list_concat(l, [0 for x in range(n, {LENGTH})]) as input_ids,
+    [case when x < n then 1 else 0 end for x in range(0, {LENGTH})] as mask,
+    [case when x >= n or l[x + 1] = 1 then -100 else l[x + 1] end for x in range(1, {LENGTH} + 1)] as labels
   from id_lists)"""
 
 
@@ -292,10 +291,9 @@ def as_text(column: str) -> str:
 
 
 def encoded_sequences(spark, folder):
-    sequences_ = I.token_sequences(spark, folder)
-    tokens = vocab.action_tokens(vocab.action_counts(I.all_windows(spark, folder)), I.TOP_K)
+    rows, tokens = I.token_sequences_and_vocabulary(spark, folder)
     return encode.encode(
-        encode.with_delimiters(sequences_, TOKEN_KEYS),
+        encode.with_delimiters(rows, TOKEN_KEYS),
         encode.token_ids(spark, tokens),
         TOKEN_KEYS,
         length=LENGTH,
@@ -316,9 +314,9 @@ def encode_pad_labels(spark, folder):
 @query(
     "label_range_check",
     f"""with {ENCODED} select count(*) as n_sequences, count(*) filter (
-        len(list_filter(labels, x -> x <> -100 and (x < 0 or x >= (select count(*) from ids)))) > 0) as n_bad,
-      count(*) filter (len(list_filter(labels, x -> x <> -100 and (x < 0 or x >= 20))) > 0) as n_beyond_20
-    from encoded""",
+        len([x for x in labels if x <> -100 and (x < 0 or x >= n_ids)]) > 0) as n_bad,
+      count(*) filter (len([x for x in labels if x <> -100 and (x < 0 or x >= 20)]) > 0) as n_beyond_20
+    from encoded, (select count(*) as n_ids from ids)""",
 )
 def label_range_check(spark, folder):
     size = I.TOP_K + len(encode.SPECIAL_TOKENS)
@@ -367,7 +365,7 @@ def batch_pad(spark, folder):
 
 
 WORDS = """words as materialized (
-  select doc_id, list_filter(regexp_split_to_array(text, '\\s+'), x -> x <> '') as ws from documents)"""
+  select doc_id, [x for x in regexp_split_to_array(text, '\\s+') if x <> ''] as ws from documents)"""
 
 
 @query("corpus_text", "select doc_id, text from documents")
@@ -387,10 +385,10 @@ def corpus_tokens(spark, folder):
 @query(
     "pack_blocks",
     f"""with {WORDS}, flat as materialized (
-      select row_number() over (order by doc_id, i) - 1 as at, token from (
+      select row_number() over (order by doc_id, i) - 1 as off, token from (
         select doc_id, unnest(range(0, len(ws))) as i, unnest(ws) as token from words))
-    select at // {BLOCK} as block_id, string_agg(token, ' ' order by at) as tokens
-    from flat group by at // {BLOCK} having count(*) = {BLOCK}""",
+    select off // {BLOCK} as block_id, string_agg(token, ' ' order by off) as tokens
+    from flat group by off // {BLOCK} having count(*) = {BLOCK}""",
 )
 def pack_blocks(spark, folder):
     blocks = encode.pack_blocks(I.table(spark, folder, "documents"), "doc_id", block_length=BLOCK)
@@ -411,14 +409,8 @@ def oos_sequences(spark, folder):
     orders, _ = I.orders_and_log(spark, folder)
     later = {name: span for name, span in PERIODS.items() if name != "in_sample"}
     periods = split.period_orders(orders, later).select("idx", "period")
-    windows = cut(I.all_windows(spark, folder).select(*TOKEN_KEYS, "us", "event_id", "action"))
-    tokens = vocab.action_tokens(vocab.action_counts(windows), I.TOP_K)
-    paired = cohort.paired_orders(
-        windows.filter(F.col("kind") == "case"), windows.filter(F.col("kind") == "control")
-    )
-    routed = split.route(windows.join(paired, "idx", "left_semi"), periods)
-    coded = order_rows(vocab.tokenize_actions(routed, tokens), TOKEN_KEYS, ["us", "event_id"])
-    kept = encode.suffix(coded, TOKEN_KEYS, LENGTH)
+    coded = I.token_sequences(spark, folder, routes=periods.withColumnRenamed("period", "split"))
+    kept = encode.suffix(coded.withColumnRenamed("split", "period"), TOKEN_KEYS, LENGTH)
     ordered = F.array_sort(F.collect_list(F.struct("pos", "token")))
     return kept.groupBy("period", *TOKEN_KEYS).agg(
         F.count(F.lit(1)).alias("n_tokens"), F.array_join(ordered["token"], " ").alias("tokens")

@@ -229,7 +229,7 @@ LINE_MODELS = f"""{LINES},
 {markov_sql("wb", "select * from word_train", "select * from word_test")},
 fq as materialized (
   select token, n / sum(n) over () as prob,
-    row_number() over (order by n / sum(n) over () desc, token) - 1 as slot from mk_tokens),
+    row_number() over (order by n desc, token) - 1 as slot from mk_tokens),
 fb_metrics as materialized (
   select t.seq_id, t.pos, t.token, f0.token as pred, f0.prob as confidence,
     coalesce(cast(f0.token = t.token as int), 0) as correct,
