@@ -106,7 +106,7 @@ def predict(model: Transitions, previous: DataFrame, *, k: int = DEFAULT_K, seed
     confidence and entropy 0; one not seen in training gets the uniform distribution.
     """
     table, n = model.table, model.size
-    wanted = previous.select("prev").distinct()
+    wanted = cut(previous.select("prev").distinct())
     seen = model.tokens.select(F.col("token").alias("prev"), F.lit(True).alias("seen"))
     described = wanted.join(seen, "prev", "left").join(predictive_entropy(table), "prev", "left")
     known = F.col("seen").isNotNull()
@@ -181,7 +181,9 @@ def score(
     """E5: metrics of every scored position of a test set."""
     scored = scored_positions(positions, skip_n=skip_n, delta_cutoff=delta_cutoff)
     labelled = scored.withColumnRenamed("token", "label")
-    metrics = pair_metrics(model, labelled.select("prev", "label").distinct(), k=k, seed=seed)
+    # The pairs are few and feed several joins, so they are stored.
+    pairs = cut(labelled.select("prev", "label").distinct())
+    metrics = pair_metrics(model, pairs, k=k, seed=seed)
     return lookup(labelled, metrics, ["prev", "label"])
 
 

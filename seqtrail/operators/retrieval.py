@@ -36,7 +36,8 @@ def valid_texts(rows: DataFrame, column: str = "action") -> DataFrame:
 def gram_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     """how often each gram occurs in each distinct text."""
     return (
-        texts.select(F.col(text).alias("text"), F.explode(char_ngrams(F.col(text))).alias("gram"))
+        texts.select(F.col(text).alias("text"))
+        .select("text", F.explode(char_ngrams(F.col("text"))).alias("gram"))
         .groupBy("text", "gram")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -73,7 +74,9 @@ def nearest(queries: DataFrame, catalogue: Catalogue, *, k: int = 1, text: str =
     Returns (query, slot, match, similarity). Texts that share no gram with the query
     have similarity 0 and fill the places left, in alphabetical order.
     """
-    wanted = queries.select(F.col(text).alias("query")).filter(F.col("query").isNotNull()).distinct()
+    wanted = cut(
+        queries.select(F.col(text).alias("query")).filter(F.col("query").isNotNull()).distinct()
+    )
     vectors = unit_vectors(gram_counts(wanted, "query"), catalogue.idf).select(
         F.col("text").alias("query"), "gram", F.col("w").alias("query_w")
     )
@@ -83,7 +86,7 @@ def nearest(queries: DataFrame, catalogue: Catalogue, *, k: int = 1, text: str =
         .agg(F.round(F.sum(F.col("query_w") * F.col("w")), SIMILARITY_DIGITS).alias("similarity"))
     )
     window = Window.partitionBy("query").orderBy(F.desc("similarity"), "match")
-    best = (
+    best = cut(
         similar.withColumn("slot", F.row_number().over(window).cast("long") - 1)
         .filter(F.col("slot") < k)
         .select("query", "slot", "match", "similarity")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from seqtrail.functions.storage import cut
 from seqtrail.functions.timing import HOUR, MINUTE, SECOND, epoch_micros
 from seqtrail.operators import cohort, markov, split, vocab
 from seqtrail.operators.encode import suffix
+from seqtrail.operators.metrics import score_predictions
 from seqtrail.operators.sequences import ROW
 
 # Parameters of the test log, which is far sparser than a clinical one.
@@ -179,46 +180,76 @@ def word_tokens(actions: DataFrame) -> DataFrame:
     ).select("seq_id", "split", (F.col("_start") + F.col("_i")).alias("pos"), "token")
 
 
-@dataclass(frozen=True)
+METRIC_COLUMNS = [
+    "model",
+    "seq_id",
+    "pos",
+    "label",
+    "pred",
+    "correct",
+    "topk_correct",
+    "ce",
+    "entropy",
+    "confidence",
+]
+
+
 class LineModels:
-    """Scored test positions of the word-based and the action-based models."""
+    """Models over line items and their scored test positions, each made on first use.
+
+    ``wb`` scores words (delimiters included) with a first-order model, ``markov`` scores
+    whole actions with one, and ``fb`` scores actions with training frequencies.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    @cached_property
+    def unsplit(self) -> DataFrame:
+        return action_positions(self.spark, self.folder)
+
+    @cached_property
+    def splits(self) -> DataFrame:
+        return cut(customer_splits(self.unsplit))
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return cut(split.route(self.unsplit, self.splits, "seq_id"))
 
-    splits: DataFrame
-    wb: DataFrame  # word positions, delimiters included
-    markov: DataFrame  # action positions, first-order model
-    fb: DataFrame  # action positions, frequency model
-    words: markov.Transitions
-    actions: markov.Transitions
+    def part(self, name: str) -> DataFrame:
+        return self.rows.filter(F.col("split") == name)
+
+    @cached_property
+    def actions(self) -> markov.Transitions:
+        return markov.fit(self.part("train"))
+
+    @cached_property
+    def markov(self) -> DataFrame:
+        scored = markov.score(self.actions, self.part("test"), skip_n=SKIP_N, seed=MODEL_SEED)
+        return cut(scored.withColumn("model", F.lit("markov")).select(METRIC_COLUMNS))
+
+    @cached_property
+    def fb(self) -> DataFrame:
+        targets = markov.scored_positions(self.part("test"), skip_n=SKIP_N).select(
+            "seq_id", "pos", F.col("token").alias("label")
+        )
+        predictions = markov.frequency_predictions(self.actions, targets, name="fb")
+        return cut(score_predictions(predictions).select(METRIC_COLUMNS))
+
+    @cached_property
+    def words(self) -> markov.Transitions:
+        return markov.fit(markov.with_previous(word_tokens(self.part("train")), ["seq_id"]))
+
+    @cached_property
+    def wb(self) -> DataFrame:
+        tails = suffix(word_tokens(self.part("test")), ["seq_id"], MAX_WORDS)
+        positions = markov.with_previous(tails, ["seq_id"])
+        scored = markov.score(self.words, positions, skip_n=SKIP_N, seed=MODEL_SEED)
+        return cut(scored.withColumn("model", F.lit("wb")).select(METRIC_COLUMNS))
 
 
 def line_models(spark: SparkSession, folder: str) -> LineModels:
-    from seqtrail.operators.metrics import score_predictions
-
-    actions = action_positions(spark, folder)
-    splits = cut(customer_splits(actions))
-    actions = cut(split.route(actions, splits, "seq_id"))
-    test = F.col("split") == "test"
-    action_model = markov.fit(actions.filter(F.col("split") == "train"))
-    first_order = markov.score(action_model, actions.filter(test), skip_n=SKIP_N, seed=MODEL_SEED)
-    targets = markov.scored_positions(actions.filter(test), skip_n=SKIP_N).select(
-        "seq_id", "pos", F.col("token").alias("label")
-    )
-    frequency = score_predictions(markov.frequency_predictions(action_model, targets, name="fb"))
-
-    words = word_tokens(actions)
-    word_model = markov.fit(markov.with_previous(words.filter(F.col("split") == "train"), ["seq_id"]))
-    tails = suffix(words.filter(test), ["seq_id"], MAX_WORDS)
-    word_positions = markov.with_previous(tails, ["seq_id"])
-    wb = markov.score(word_model, word_positions, skip_n=SKIP_N, seed=MODEL_SEED)
-    columns = ["model", "seq_id", "pos", "label", "pred", "correct", "topk_correct", "ce", "entropy", "confidence"]
-    return LineModels(
-        splits,
-        cut(wb.withColumn("model", F.lit("wb")).select(columns)),
-        cut(first_order.withColumn("model", F.lit("markov")).select(columns)),
-        cut(frequency.select(columns)),
-        word_model,
-        action_model,
-    )
+    return LineModels(spark, folder)
 
 
 def both_models(models: LineModels) -> DataFrame:
