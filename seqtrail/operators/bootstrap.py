@@ -28,7 +28,7 @@ from seqtrail.functions.ordered import rank_by_hash
 from seqtrail.operators.metrics import calibration_bin, calibration_error, summarise
 
 DEFAULT_REPLICATES = 1000
-DEFAULT_BUCKETS = 2**20
+DEFAULT_BUCKETS = 2**16
 METRICS = ["accuracy", "topk_accuracy", "nn_accuracy", "nn_topk_accuracy", "entropy", "perplexity", "ece"]
 
 
@@ -80,9 +80,12 @@ def replicate_statistics(
         .groupBy(*by, calibration_bin(F.col("confidence")).alias("bin"), bucket.alias("bucket"))
         .agg(*[c.alias(name) for name, c in sums.items()])
     )
-    drawn = per_bucket.withColumn(
-        "_r", F.explode(replicates(metrics.sparkSession, n_replicates, seed))
-    ).withColumn("_w", poisson_weight(_uniform(F.col("bucket"))))
+    # The uniform value is a column of its own, so it is worked out once per draw.
+    drawn = (
+        per_bucket.withColumn("_r", F.explode(replicates(metrics.sparkSession, n_replicates, seed)))
+        .withColumn("_u", _uniform(F.col("bucket")))
+        .withColumn("_w", poisson_weight(F.col("_u")))
+    )
     per_bin = drawn.groupBy(*by, F.col("_r.b").alias("b"), "bin").agg(
         *[F.sum(F.col("_w") * F.col(name)).alias(name) for name in sums]
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seqtrail.functions.arrays import IGNORED, attention_mask, next_labels, pad_to
 from seqtrail.functions.numbers import int_div
 from seqtrail.functions.ordered import lookup, order_rows, running_total
+from seqtrail.functions.storage import cut
 from seqtrail.functions.timing import DELTA_LABELS, FIRST_ROW
 from seqtrail.operators.sequences import ROW
 from seqtrail.operators.vocab import RARE
@@ -118,32 +119,32 @@ def pack_blocks(
     """All texts in key order as one token stream, cut into full blocks.
 
     Only the sizes of the texts are summed up in order; each text then knows its offset
-    and places its own tokens. The short last block is dropped.
+    and hands every block it touches the slice that falls into it. A block never gathers
+    more than ``block_length`` tokens. The short last block is dropped.
     """
+    size = F.regexp_count(F.col(text), F.lit(r"\S+")) + (0 if separator is None else 1)
+    sized = cut(corpus.select(key, size.cast("long").alias("_size")).filter(F.col("_size") > 0))
+    offsets = running_total(sized, [], [key], F.col("_size"), "_end").select(
+        key, (F.col("_end") - F.col("_size")).alias("_start"), "_end"
+    )
     words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
     if separator is not None:
         words = F.concat(words, F.array(F.lit(separator)))
-    sized = corpus.select(key, F.size(words).cast("long").alias("_size"))
-    offsets = running_total(sized, [], [key], F.col("_size"), "_end").select(
-        key, (F.col("_end") - F.col("_size")).alias("_start")
-    )
+    first, last = int_div(F.col("_start"), block_length), int_div(F.col("_end") - 1, block_length)
     placed = (
         corpus.select(key, words.alias("_words"))
         .join(offsets, key)
-        .select("_start", F.posexplode("_words").alias("_i", "token"))
-        .withColumn("_at", F.col("_start") + F.col("_i"))
-        .select(
-            int_div(F.col("_at"), block_length).alias("block_id"),
-            F.pmod(F.col("_at"), F.lit(block_length)).alias("pos"),
-            "token",
-        )
+        .withColumn("block_id", F.explode(F.sequence(first, last)))
     )
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "token")))
+    low = F.greatest(F.col("block_id") * block_length - F.col("_start"), F.lit(0))
+    high = F.least((F.col("block_id") + 1) * block_length, F.col("_end")) - F.col("_start")
+    piece = F.slice("_words", (low + 1).cast("int"), (high - low).cast("int"))
+    pieces = placed.select("block_id", F.struct(F.col("_start"), piece.alias("tokens")).alias("_p"))
     return (
-        placed.groupBy("block_id")
-        .agg(ordered.alias("_t"))
-        .filter(F.size("_t") == block_length)
-        .select("block_id", F.col("_t.token").alias("tokens"))
+        pieces.groupBy("block_id")
+        .agg(F.array_sort(F.collect_list("_p")).alias("_l"))
+        .select("block_id", F.flatten("_l.tokens").alias("tokens"))
+        .filter(F.size("tokens") == block_length)
     )
 
 

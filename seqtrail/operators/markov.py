@@ -1,7 +1,6 @@
 """E5: first-order transition model over actions, fitted and scored sparsely.
 
-A fitted model is one small table of pair counts, ``(prev, next, n)`` with null ``prev``
-for sequence starts. A prediction depends on the previous action alone, so everything
+A fitted model is a small sparse table of observed transitions. A prediction depends on the previous action alone, so everything
 about it is worked out once per distinct (prev, label) pair and looked up per position.
 """
 
@@ -25,25 +24,12 @@ EPSILON = 1e-12
 
 @dataclass(frozen=True)
 class Transitions:
-    """Pair counts of a training set."""
+    """A fitted model; both tables are stored and small (one row per observed pair)."""
 
-    pairs: DataFrame
-
-    @property
-    def table(self) -> DataFrame:
-        """``(prev, next, n, prob)`` of every observed transition."""
-        total = F.sum("n").over(Window.partitionBy("prev"))
-        return self.pairs.filter(F.col("prev").isNotNull()).withColumn("prob", F.col("n") / total)
-
-    @property
-    def tokens(self) -> DataFrame:
-        """Training vocabulary with the frequency of each token."""
-        return self.pairs.groupBy(F.col("next").alias("token")).agg(F.sum("n").alias("n"))
-
-    @property
-    def size(self) -> Column:
-        """N, the number of training tokens, as a scalar."""
-        return self.tokens.agg(F.count(F.lit(1))).scalar()
+    table: DataFrame  # (prev, next, n, prob) of every observed transition
+    tokens: DataFrame  # (token, n, rank): training vocabulary in a hashed order
+    size: int  # N, the number of training tokens
+    seed: int
 
 
 def with_previous(
@@ -61,12 +47,21 @@ def with_previous(
     ).drop("_at")
 
 
-def fit(positions: DataFrame) -> Transitions:
-    """Count the pairs of training positions ``(prev, token)``; the result is stored."""
-    pairs = positions.groupBy("prev", F.col("token").alias("next")).agg(
-        F.count(F.lit(1)).alias("n")
+def fit(positions: DataFrame, *, seed: int = 0) -> Transitions:
+    """Count the pairs of training positions ``(prev, token)``.
+
+    One pass counts pairs, sequence starts included (null ``prev``); transition
+    probabilities and token frequencies both follow from these counts.
+    """
+    pairs = cut(
+        positions.groupBy("prev", F.col("token").alias("next")).agg(F.count(F.lit(1)).alias("n"))
     )
-    return Transitions(cut(pairs))
+    total = F.sum("n").over(Window.partitionBy("prev"))
+    table = cut(pairs.filter(F.col("prev").isNotNull()).withColumn("prob", F.col("n") / total))
+    frequencies = pairs.groupBy(F.col("next").alias("token")).agg(F.sum("n").alias("n"))
+    order = hash_text(seed, F.col("token"))
+    tokens = cut(rank_by_hash(frequencies, "token", order, "rank", group_digits=2))
+    return Transitions(table, tokens, tokens.count(), seed)
 
 
 def scored_positions(
@@ -98,19 +93,19 @@ def predictive_entropy(table: DataFrame) -> DataFrame:
     )
 
 
-def predict(model: Transitions, previous: DataFrame, *, k: int = DEFAULT_K, seed: int = 0) -> DataFrame:
+def predict(model: Transitions, previous: DataFrame, *, k: int = DEFAULT_K) -> DataFrame:
     """Top-k list, confidence and entropy for each distinct ``prev`` given.
 
     Lists shorter than ``k`` are filled with other training tokens in a hashed order
     (at random in the usual formulation). A token without any training successor gets
     confidence and entropy 0; one not seen in training gets the uniform distribution.
     """
-    table, n = model.table, model.size
+    table, n = model.table, F.lit(model.size).cast("long")
     wanted = cut(previous.select("prev").distinct())
     seen = model.tokens.select(F.col("token").alias("prev"), F.lit(True).alias("seen"))
     described = wanted.join(seen, "prev", "left").join(predictive_entropy(table), "prev", "left")
     known = F.col("seen").isNotNull()
-    uniform = F.lit(1.0) / n
+    uniform = F.lit(1.0) / n.cast("double")
     summary = described.select(
         "prev",
         known.alias("prev_seen"),
@@ -121,16 +116,13 @@ def predict(model: Transitions, previous: DataFrame, *, k: int = DEFAULT_K, seed
         .alias("entropy"),
     )
     best = top_successors(table, k).select("prev", "slot", F.col("next").alias("token"))
-    ranked = rank_by_hash(
-        model.tokens.select("token"), "token", hash_text(seed, F.col("token")), "rank", group_digits=2
-    )
     filled = fill_slots(
         summary.select("prev", "n_have"),
-        ranked,
+        model.tokens.select("rank", "token"),
         best,
         key="prev",
         value="token",
-        start=F.pmod(hash32(seed, F.col("prev")), n),
+        start=F.pmod(hash32(model.seed, F.col("prev")), n),
         n_values=n,
         k=k,
     )
@@ -144,11 +136,9 @@ def predict(model: Transitions, previous: DataFrame, *, k: int = DEFAULT_K, seed
     return summary.join(lists, "prev", "left").withColumnRenamed("n_have", "n_successors")
 
 
-def pair_metrics(
-    model: Transitions, pairs: DataFrame, *, k: int = DEFAULT_K, seed: int = 0
-) -> DataFrame:
+def pair_metrics(model: Transitions, pairs: DataFrame, *, k: int = DEFAULT_K) -> DataFrame:
     """The metrics of each distinct (prev, label) pair."""
-    predictions = predict(model, pairs, k=k, seed=seed)
+    predictions = predict(model, pairs, k=k)
     probabilities = model.table.select("prev", F.col("next").alias("label"), "prob")
     hit = F.coalesce(F.array_contains("top_tokens", F.col("label")), F.lit(False))
     return (
@@ -176,14 +166,13 @@ def score(
     skip_n: int = DEFAULT_SKIP,
     delta_cutoff: float | None = None,
     k: int = DEFAULT_K,
-    seed: int = 0,
 ) -> DataFrame:
     """E5: metrics of every scored position of a test set."""
     scored = scored_positions(positions, skip_n=skip_n, delta_cutoff=delta_cutoff)
     labelled = scored.withColumnRenamed("token", "label")
     # The pairs are few and feed several joins, so they are stored.
     pairs = cut(labelled.select("prev", "label").distinct())
-    metrics = pair_metrics(model, pairs, k=k, seed=seed)
+    metrics = pair_metrics(model, pairs, k=k)
     return lookup(labelled, metrics, ["prev", "label"])
 
 
@@ -194,7 +183,7 @@ def frequency_predictions(
 
     The comparator for paired tests, as a table of predictions.
     """
-    tokens = model.tokens
+    tokens = model.tokens.select("token", "n")
     total = tokens.agg(F.sum("n")).scalar()
     shares = tokens.withColumn("prob", F.col("n") / total)
     top = shares.orderBy(F.desc("prob"), "token").limit(k)
@@ -232,7 +221,7 @@ def lazy_chain(model: Transitions) -> DataFrame:
     moves = table.unionByName(
         dead_ends.select(F.col("token").alias("prev"), nowhere.alias("next"), F.lit(1.0).alias("prob"))
     ).unionByName(
-        tokens.select(nowhere.alias("prev"), F.col("token").alias("next"), (F.lit(1.0) / model.size).alias("prob"))
+        tokens.select(nowhere.alias("prev"), F.col("token").alias("next"), F.lit(1.0 / model.size).alias("prob"))
     )
     states = moves.select("prev").distinct()
     stays = states.select("prev", F.col("prev").alias("next"), F.lit(0.5).alias("prob"))
@@ -248,7 +237,7 @@ def entropy_rate(
     of the time keeps the stationary vector and removes periods. A fixed number of steps.
     """
     chain = cut(lazy_chain(model))
-    pi = model.tokens.select("token", (F.lit(1.0) / model.size).alias("p"))
+    pi = model.tokens.select("token", F.lit(1.0 / model.size).alias("p"))
     for step in range(1, iterations + 1):
         pi = (
             pi.join(chain, F.col("token") == F.col("prev"))

@@ -140,9 +140,9 @@ def token_sequences_and_vocabulary(
 
 
 def train_and_score(tokens: DataFrame) -> tuple[markov.Transitions, DataFrame]:
-    model = markov.fit(tokens.filter(F.col("split") == "train"))
+    model = markov.fit(tokens.filter(F.col("split") == "train"), seed=MODEL_SEED)
     test = tokens.filter(F.col("split") == "test")
-    return model, markov.score(model, test, skip_n=SKIP_N, seed=MODEL_SEED)
+    return model, markov.score(model, test, skip_n=SKIP_N)
 
 
 def action_positions(spark: SparkSession, folder: str) -> DataFrame:
@@ -221,11 +221,11 @@ class LineModels:
 
     @cached_property
     def actions(self) -> markov.Transitions:
-        return markov.fit(self.part("train"))
+        return markov.fit(self.part("train"), seed=MODEL_SEED)
 
     @cached_property
     def markov(self) -> DataFrame:
-        scored = markov.score(self.actions, self.part("test"), skip_n=SKIP_N, seed=MODEL_SEED)
+        scored = markov.score(self.actions, self.part("test"), skip_n=SKIP_N)
         return cut(scored.withColumn("model", F.lit("markov")).select(METRIC_COLUMNS))
 
     @cached_property
@@ -238,13 +238,15 @@ class LineModels:
 
     @cached_property
     def words(self) -> markov.Transitions:
-        return markov.fit(markov.with_previous(word_tokens(self.part("train")), ["seq_id"]))
+        return markov.fit(
+            markov.with_previous(word_tokens(self.part("train")), ["seq_id"]), seed=MODEL_SEED
+        )
 
     @cached_property
     def wb(self) -> DataFrame:
         tails = suffix(word_tokens(self.part("test")), ["seq_id"], MAX_WORDS)
         positions = markov.with_previous(tails, ["seq_id"])
-        scored = markov.score(self.words, positions, skip_n=SKIP_N, seed=MODEL_SEED)
+        scored = markov.score(self.words, positions, skip_n=SKIP_N)
         return cut(scored.withColumn("model", F.lit("wb")).select(METRIC_COLUMNS))
 
 

@@ -25,7 +25,7 @@ def rounded(df, *columns):
 
 def train_model(spark, folder, *, fine=False):
     tokens = I.token_sequences(spark, folder, fine=fine)
-    return markov.fit(tokens.filter(F.col("split") == "train"))
+    return markov.fit(tokens.filter(F.col("split") == "train"), seed=I.MODEL_SEED)
 
 
 @query(
@@ -46,9 +46,9 @@ def transition_probs_fine(spark, folder):
 
 def _predictions(spark, folder, fine):
     tokens = I.token_sequences(spark, folder, fine=fine)
-    model = markov.fit(tokens.filter(F.col("split") == "train"))
+    model = markov.fit(tokens.filter(F.col("split") == "train"), seed=I.MODEL_SEED)
     wanted = markov.scored_positions(tokens.filter(F.col("split") == "test"), skip_n=I.SKIP_N)
-    return markov.predict(model, wanted, seed=I.MODEL_SEED)
+    return markov.predict(model, wanted)
 
 
 def _top5_sql(fine):
@@ -126,13 +126,12 @@ def scored_positions(spark, folder):
 )
 def markov_user_made(spark, folder):
     tokens = I.token_sequences(spark, folder)
-    model = markov.fit(tokens.filter(F.col("split") == "train"))
+    model = markov.fit(tokens.filter(F.col("split") == "train"), seed=I.MODEL_SEED)
     scored = markov.score(
         model,
         tokens.filter(F.col("split") == "test"),
         skip_n=I.SKIP_N,
         delta_cutoff=3600,
-        seed=I.MODEL_SEED,
     )
     return scored.select(*KEYS, "pos", "correct", "topk_correct")
 
@@ -147,7 +146,7 @@ def markov_user_made(spark, folder):
 )
 def transition_lookup(spark, folder):
     tokens = I.token_sequences(spark, folder, fine=True)
-    model = markov.fit(tokens.filter(F.col("split") == "train"))
+    model = markov.fit(tokens.filter(F.col("split") == "train"), seed=I.MODEL_SEED)
     test = markov.scored_positions(tokens.filter(F.col("split") == "test"), skip_n=I.SKIP_N)
     pairs = test.select("prev", F.col("token").alias("label")).distinct()
     probabilities = model.table.select("prev", F.col("next").alias("label"), "prob")
