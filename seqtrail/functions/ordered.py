@@ -188,7 +188,7 @@ def order_rows(
 
 
 def rank_by_hash(
-    df: DataFrame, key: str, hash_column: Column, out: str, *, group_digits: int = 3
+    df: DataFrame, key: str, hash_column: Column, out: str, *, group_digits: int = 4
 ) -> DataFrame:
     """Number rows 0..n-1 in the order of an md5 text and then ``key``.
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqtrail.functions.ordered import MAX_GROUP_ROWS, running_total
+from seqtrail.functions.ordered import MAX_GROUP_ROWS, lookup, running_total
 from seqtrail.functions.text import normalise
 from seqtrail.operators.metrics import calibration_error
 from seqtrail.operators.sequences import ROW
@@ -32,6 +32,17 @@ def number_chunks(
     return counted.withColumn("chunk_id", F.col("_seen") - F.col("is_row")).drop("_seen")
 
 
+def closed_part(numbered: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Drop what follows the last delimiter of each sequence, however long it is."""
+    last = (
+        numbered.filter(F.col("is_row") == 1)
+        .groupBy(*keys)
+        .agg(F.max("chunk_id").alias("_last"))
+    )
+    kept = lookup(numbered, last, keys, "inner").filter(F.col("chunk_id") <= F.col("_last"))
+    return kept.drop("_last")
+
+
 def closed_chunks(numbered: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Chunks that are closed by a delimiter and not empty."""
     return (
@@ -54,7 +65,9 @@ def chunk_metrics(
     A chunk is right if all its tokens are. Of the top-k flags both the share
     (``topk_frac``) and 'all of them' (``topk_correct``) are given.
     """
-    numbered = number_chunks(metrics, keys, row_token=row_token, max_group_rows=max_group_rows)
+    numbered = closed_part(
+        number_chunks(metrics, keys, row_token=row_token, max_group_rows=max_group_rows), keys
+    )
     token = F.col("is_row") == 0
 
     def words(column: str):
@@ -64,7 +77,6 @@ def chunk_metrics(
     return (
         numbered.groupBy(*keys, "chunk_id")
         .agg(
-            F.max("is_row").alias("closed"),
             F.sum(token.cast("long")).alias("n_tokens"),
             F.min(F.when(token, F.col("correct"))).alias("correct"),
             F.min(F.when(token, F.col("topk_correct"))).alias("topk_correct"),
@@ -75,8 +87,7 @@ def chunk_metrics(
             words("label").alias("label_text"),
             words("pred").alias("pred_text"),
         )
-        .filter((F.col("closed") == 1) & (F.col("n_tokens") > 0))
-        .drop("closed")
+        .filter(F.col("n_tokens") > 0)
     )
 
 

@@ -36,23 +36,35 @@ def keep_provider_type(orders: DataFrame, provider_type: str | None) -> DataFram
 
 
 def window_rows(
-    windows: DataFrame, log: DataFrame, *, look_back: int = DEFAULT_LOOK_BACK, bins_per_window: int = 4
+    windows: DataFrame,
+    log: DataFrame,
+    *,
+    look_back: int = DEFAULT_LOOK_BACK,
+    bins_per_window: int = 4,
+    salts: int = 4,
 ) -> DataFrame:
     """Log rows of each window's user in ``[end_us - look_back, end_us)``.
 
     A user's log may be huge, so user alone is no join key. Time is cut into bins of a
     fraction of the look-back; a window names the bins it touches and meets the log on
-    (user, bin). Each log row lies in one bin, so no pair is found twice.
+    (user, bin). Each log row lies in one bin, so no pair is found twice. A burst within
+    one bin is spread further over ``salts`` keys, to each of which windows are repeated.
     """
     width = max(look_back // bins_per_window, 1)
     start, end = F.col("end_us") - look_back, F.col("end_us")
     touched = F.sequence(int_div(start, width), int_div(end - 1, width))
-    binned_windows = windows.withColumn("_bin", F.explode(touched))
-    binned_log = log.withColumn("_bin", int_div(F.col("us"), width))
+    every_salt = F.array(*[F.lit(i) for i in range(salts)])
+    binned_windows = windows.withColumn("_bin", F.explode(touched)).withColumn(
+        "_salt", F.explode(every_salt)
+    )
+    salt = F.pmod(F.xxhash64("user_id", "us", *(["event_id"] if "event_id" in log.columns else [])), F.lit(salts))
+    binned_log = log.withColumn("_bin", int_div(F.col("us"), width)).withColumn(
+        "_salt", salt.cast("int")
+    )
     return (
-        binned_windows.join(binned_log, ["user_id", "_bin"])
+        binned_windows.join(binned_log, ["user_id", "_bin", "_salt"])
         .filter((F.col("us") >= start) & (F.col("us") < end))
-        .drop("_bin")
+        .drop("_bin", "_salt")
     )
 
 

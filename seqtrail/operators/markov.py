@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqtrail.functions.hashing import hash32, hash_text
@@ -78,9 +78,9 @@ def top_successors(table: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """The ``k`` most probable next tokens of each token, as (prev, slot, next)."""
     window = Window.partitionBy("prev").orderBy(F.desc("prob"), "next")
     return (
-        table.withColumn("slot", F.row_number().over(window).cast("long") - 1)
-        .filter(F.col("slot") < k)
-        .select("prev", "slot", "next", "prob")
+        table.withColumn("_rank", F.row_number().over(window))
+        .filter(F.col("_rank") <= k)
+        .select("prev", (F.col("_rank").cast("long") - 1).alias("slot"), "next", "prob")
     )
 
 

@@ -87,9 +87,9 @@ def nearest(queries: DataFrame, catalogue: Catalogue, *, k: int = 1, text: str =
     )
     window = Window.partitionBy("query").orderBy(F.desc("similarity"), "match")
     best = cut(
-        similar.withColumn("slot", F.row_number().over(window).cast("long") - 1)
-        .filter(F.col("slot") < k)
-        .select("query", "slot", "match", "similarity")
+        similar.withColumn("_rank", F.row_number().over(window))
+        .filter(F.col("_rank") <= k)
+        .select("query", (F.col("_rank").cast("long") - 1).alias("slot"), "match", "similarity")
     )
     have = best.groupBy("query").agg(F.count(F.lit(1)).alias("n_have"))
     short = wanted.join(have, "query", "left").select(

@@ -9,7 +9,7 @@ from seqtrail.operators import cohort, split
 from seqtrail.operators.metrics import exact_quantiles
 from seqtrail.plans import inputs as I
 from seqtrail.plans.registry import query
-from seqtrail.plans.sql import LOG, LOOK_BACK, SEED, SPLITS, WINDOWS, h32, r6
+from seqtrail.plans.sql import LOG, SEED, SPLITS, WINDOWS, r6
 from seqtrail.sources.readers import first_rows, log_presence
 
 JAN_1 = 1_704_067_200_000_000  # 2024-01-01 in epoch microseconds

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqtrail.functions.ordered import groups_fit, order_rows, running_total
+from seqtrail.functions.ordered import groups_fit, lookup, order_rows, running_total
 from seqtrail.functions.storage import cut
 from seqtrail.functions.timing import HOUR, MINUTE, SECOND, epoch_micros
 from seqtrail.operators import cohort, markov, split, vocab
@@ -113,7 +113,7 @@ def coded_windows(
     is_case = F.col("kind") == "case"
     paired = cohort.paired_orders(windows.filter(is_case), windows.filter(~is_case))
     tokens = cut(vocab.action_tokens(vocab.action_counts(windows), top_k))
-    return vocab.tokenize_actions(windows.join(paired, "idx", "left_semi"), tokens), tokens
+    return vocab.tokenize_actions(lookup(windows, paired, ["idx"], "left_semi"), tokens), tokens
 
 
 def token_sequences(

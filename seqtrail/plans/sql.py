@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqtrail.functions.hashing import PRIME, TWO32, poisson_cdf
+from seqtrail.functions.hashing import PRIME, poisson_cdf
 from seqtrail.operators.encode import SPECIAL_TOKENS
 from seqtrail.operators.metrics import CALIBRATION_EDGES
 from seqtrail.plans.inputs import (

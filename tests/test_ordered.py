@@ -102,3 +102,10 @@ def test_partition_count_does_not_matter(spark, skewed):
             assert rows(got, "k", "id", "pos", "p", "n") == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_top_k_is_limited_before_the_shuffle(spark, skewed):
+    from seqtrail.operators.encode import suffix
+
+    text = plan(suffix(skewed.withColumnRenamed("id", "pos"), ["k"], 5))
+    assert text.count("WindowGroupLimit") == 2
