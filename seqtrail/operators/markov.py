@@ -38,12 +38,13 @@ def with_previous(
     order: Sequence[str] = ("pos",),
     *,
     max_group_rows: int = MAX_GROUP_ROWS,
+    fits: bool = False,
 ) -> DataFrame:
     """Number the tokens of each sequence from 0 and add the token before each."""
     unnumbered = tokens.withColumnRenamed("pos", "_at") if "pos" in tokens.columns else tokens
     order = ["_at" if c == "pos" else c for c in order]
     return order_rows(
-        unnumbered, keys, order, previous={"prev": "token"}, max_group_rows=max_group_rows
+        unnumbered, keys, order, previous={"prev": "token"}, max_group_rows=max_group_rows, fits=fits
     ).drop("_at")
 
 

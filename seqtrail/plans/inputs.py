@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqtrail.functions.ordered import groups_fit, lookup, order_rows, running_total
+from seqtrail.functions.ordered import groups_fit, lookup, neighbour, order_rows, running_total
 from seqtrail.functions.storage import cut
 from seqtrail.functions.timing import HOUR, MINUTE, SECOND, epoch_micros
 from seqtrail.operators import cohort, markov, split, vocab
@@ -170,11 +170,14 @@ def customer_splits(actions: DataFrame) -> DataFrame:
     return split.fixed_split(actions.select("seq_id"), seed=SEED, key="seq_id")
 
 
-def word_tokens(actions: DataFrame) -> DataFrame:
-    """The words of every action, each action closed by ``<ROW>``, numbered per sequence."""
+def word_tokens(actions: DataFrame, *, fits: bool = False) -> DataFrame:
+    """The words of every action, each action closed by ``<ROW>``, numbered per sequence.
+
+    ``fits`` says that no sequence of actions is oversized.
+    """
     words = F.concat(F.split("token", " "), F.array(F.lit(ROW)))
     sized = actions.select("seq_id", "split", "pos", words.alias("words"))
-    ended = running_total(sized, ["seq_id"], ["pos"], F.size("words"), "_end")
+    ended = running_total(sized, ["seq_id"], ["pos"], F.size("words"), "_end", fits=fits)
     return ended.select(
         "seq_id", "split", (F.col("_end") - F.size("words")).alias("_start"), F.posexplode("words").alias("_i", "token")
     ).select("seq_id", "split", (F.col("_start") + F.col("_i")).alias("pos"), "token")
@@ -216,6 +219,10 @@ class LineModels:
     def rows(self) -> DataFrame:
         return cut(split.route(self.unsplit, self.splits, "seq_id"))
 
+    @cached_property
+    def fits(self) -> bool:
+        return groups_fit(self.rows, ["seq_id"])
+
     def part(self, name: str) -> DataFrame:
         return self.rows.filter(F.col("split") == name)
 
@@ -238,14 +245,16 @@ class LineModels:
 
     @cached_property
     def words(self) -> markov.Transitions:
-        return markov.fit(
-            markov.with_previous(word_tokens(self.part("train")), ["seq_id"]), seed=MODEL_SEED
-        )
+        words = word_tokens(self.part("train"), fits=self.fits)
+        # The words are numbered already, so looking one back needs no new order.
+        positions = neighbour(words, ["seq_id"], "pos", {"prev": "token"}, step=-1)
+        return markov.fit(positions, seed=MODEL_SEED)
 
     @cached_property
     def wb(self) -> DataFrame:
-        tails = suffix(word_tokens(self.part("test")), ["seq_id"], MAX_WORDS)
-        positions = markov.with_previous(tails, ["seq_id"])
+        tails = suffix(word_tokens(self.part("test"), fits=self.fits), ["seq_id"], MAX_WORDS)
+        # A tail has at most MAX_WORDS rows.
+        positions = markov.with_previous(tails, ["seq_id"], fits=True)
         scored = markov.score(self.words, positions, skip_n=SKIP_N)
         return cut(scored.withColumn("model", F.lit("wb")).select(METRIC_COLUMNS))
 
