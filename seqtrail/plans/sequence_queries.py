@@ -209,14 +209,14 @@ def token_index(spark, folder):
 
 @query(
     "token_difference",
-    f"""with {tokens_sql(fine=True)} select distinct token from tok where split = 'test'
-    except select distinct token from tok where split = 'train'""",
+    f"""with {tokens_sql(fine=True)} select distinct token from tok where split = 'train'
+    except select distinct token from tok where split = 'val'""",
 )
 def token_difference(spark, folder):
     tokens = I.token_sequences(spark, folder, fine=True).select("split", "token").distinct()
-    test = tokens.filter(F.col("split") == "test").select("token")
     train = tokens.filter(F.col("split") == "train").select("token")
-    return test.join(train, "token", "left_anti")
+    val = tokens.filter(F.col("split") == "val").select("token")
+    return train.join(val, "token", "left_anti")
 
 
 @query(
