@@ -123,6 +123,11 @@ def token_sequences(
     return token_sequences_and_vocabulary(spark, folder, fine=fine, routes=routes)[0]
 
 
+def stored_token_sequences(spark: SparkSession, folder: str, *, fine: bool = False) -> DataFrame:
+    """Token sequences as a stored table, for plans that read them several times."""
+    return cut(token_sequences(spark, folder, fine=fine).select(*SEQUENCE_KEYS, "split", "pos", "delta", "prev", "token"))
+
+
 def token_sequences_and_vocabulary(
     spark: SparkSession, folder: str, *, fine: bool = False, routes: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:

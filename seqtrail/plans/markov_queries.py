@@ -24,7 +24,7 @@ def rounded(df, *columns):
 
 
 def train_model(spark, folder, *, fine=False):
-    tokens = I.token_sequences(spark, folder, fine=fine)
+    tokens = I.stored_token_sequences(spark, folder, fine=fine)
     return markov.fit(tokens.filter(F.col("split") == "train"), seed=I.MODEL_SEED)
 
 
@@ -45,7 +45,7 @@ def transition_probs_fine(spark, folder):
 
 
 def _predictions(spark, folder, fine):
-    tokens = I.token_sequences(spark, folder, fine=fine)
+    tokens = I.stored_token_sequences(spark, folder, fine=fine)
     model = markov.fit(tokens.filter(F.col("split") == "train"), seed=I.MODEL_SEED)
     wanted = markov.scored_positions(tokens.filter(F.col("split") == "test"), skip_n=I.SKIP_N)
     return markov.predict(model, wanted)
@@ -88,7 +88,7 @@ def _positions_sql(fine):
 
 
 def _positions(spark, folder, fine):
-    _, scored = I.train_and_score(I.token_sequences(spark, folder, fine=fine))
+    _, scored = I.train_and_score(I.stored_token_sequences(spark, folder, fine=fine))
     return rounded(scored, "ce", "entropy", "confidence").select(
         *KEYS, "pos", "prev", "label", "pred", "correct", "topk_correct", "ce", "entropy", "confidence"
     )
@@ -125,7 +125,7 @@ def scored_positions(spark, folder):
     from mk_metrics where delta > 3600""",
 )
 def markov_user_made(spark, folder):
-    tokens = I.token_sequences(spark, folder)
+    tokens = I.stored_token_sequences(spark, folder)
     model = markov.fit(tokens.filter(F.col("split") == "train"), seed=I.MODEL_SEED)
     scored = markov.score(
         model,
@@ -145,7 +145,7 @@ def markov_user_made(spark, folder):
     where not exists (select 1 from mk_trans r where r.prev = t.prev and r.next = t.label)""",
 )
 def transition_lookup(spark, folder):
-    tokens = I.token_sequences(spark, folder, fine=True)
+    tokens = I.stored_token_sequences(spark, folder, fine=True)
     model = markov.fit(tokens.filter(F.col("split") == "train"), seed=I.MODEL_SEED)
     test = markov.scored_positions(tokens.filter(F.col("split") == "test"), skip_n=I.SKIP_N)
     pairs = test.select("prev", F.col("token").alias("label")).distinct()
@@ -160,7 +160,7 @@ def transition_lookup(spark, folder):
       cast(sum(topk_correct) as bigint) as n_topk from mk_metrics group by token""",
 )
 def topk_hit(spark, folder):
-    _, scored = I.train_and_score(I.token_sequences(spark, folder))
+    _, scored = I.train_and_score(I.stored_token_sequences(spark, folder))
     return scored.groupBy("label").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("correct").alias("n_top1"),
@@ -179,7 +179,7 @@ MEASURES = ["top1", "top1_sd", "topk", "topk_sd", "ce", "ce_sd", "entropy", "ent
 
 
 def _summary(spark, folder, fine):
-    _, scored = I.train_and_score(I.token_sequences(spark, folder, fine=fine))
+    _, scored = I.train_and_score(I.stored_token_sequences(spark, folder, fine=fine))
     return metrics.summarise(scored.withColumn("model", F.lit("markov")))
 
 
