@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from seqtrail.llm.common import cut, slices
 
 #: The characters that Unicode calls white space, as members of a regex class.
-WHITE = r"\x09-\x0D\x20\x85\xA0  -     　"
+WHITE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: The commonest words travel to the tasks: at most so many, of at most so many bytes each.
 FREQUENT = 1 << 20
 FREQUENT_BYTES = 48
@@ -38,7 +38,7 @@ def java_pattern(pattern: str) -> str:
 
 
 @lru_cache(maxsize=2)
-def _encoding(pattern: str, ranks: frozenset) -> tiktoken.Encoding:
+def encoding(pattern: str, ranks: frozenset) -> tiktoken.Encoding:
     return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=dict(ranks), special_tokens={})
 
 
@@ -81,10 +81,9 @@ def pre_tokens(texts: DataFrame, pattern: str) -> DataFrame:
     common = texts.filter(~odd).select(
         "digest", F.regexp_extract_all("text", F.lit(java_pattern(pattern)), F.lit(0)).alias("words")
     )
-    white = WHITE.encode().decode("unicode_escape")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(java_pattern(pattern).replace(WHITE, white)).findall
+        find = regex.compile(java_pattern(pattern)).findall
         for batch in slices(batches, 64):
             found = [find(x) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(found, pa.list_(pa.string()))], ["digest", "words"])
@@ -96,7 +95,7 @@ def word_ids(words: DataFrame, pattern: str, ranks: Broadcast) -> DataFrame:
     """word, n, ids: each distinct word of ``words`` (word, n) encoded once, ids as 32-bit numbers."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = _encoding(pattern, ranks.value).encode_ordinary
+        one = encoding(pattern, ranks.value).encode_ordinary
         for batch in slices(batches, 4096):
             ids = [np.array(one(w), "<u4").tobytes() for w in batch.column("word").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(ids, pa.binary())], ["word", "n", "ids"])
@@ -189,22 +188,21 @@ def encode_texts(
                 numbers = unpack_numbers(packed)
                 first, size = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
                 hit = numbers > 0
-                first[hit], size[hit] = starts[numbers[hit] - 1], np.diff(starts)[numbers[hit] - 1] if False else starts[numbers[hit]] - starts[numbers[hit] - 1]
-                source = pool
+                first[hit], size[hit] = starts[numbers[hit] - 1], starts[numbers[hit]] - starts[numbers[hit] - 1]
+                own = np.zeros(0, "<u4")
                 if filling:
                     more = [np.frombuffer(x["ids"], "<u4") for x in filling]
                     at = np.array([x["place"] for x in filling])
                     size[at] = [len(m) for m in more]
                     own = np.concatenate(more)
+                    # Negative places: the ids of gaps are read from a short pool of the text's own.
                     first[at] = np.cumsum(size[at]) - size[at] - len(own)
-                    # Gaps' ids are read from the text's own short pool, by negative places.
                 total = np.cumsum(size)
                 index = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(first - (total - size), size)
                 made = np.empty(len(index), "<u4")
                 inside = index >= 0
-                made[inside] = source[index[inside]]
-                if filling:
-                    made[~inside] = own[index[~inside]]
+                made[inside] = pool[index[inside]]
+                made[~inside] = own[index[~inside]]
                 out.append(made.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(out, pa.binary())], ["digest", "ids"])
 

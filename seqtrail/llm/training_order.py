@@ -141,7 +141,7 @@ def read_shards(
     Reading can stop anywhere and go on from the next slot: earlier shards are not opened.
     A shard whose size is no whole number of records, or that lacks records, is an error.
     """
-    size, width = stride(length, dtype), np.dtype(dtype).itemsize
+    size = stride(length, dtype)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -163,7 +163,6 @@ def read_shards(
                     ["slot", "shard", "byte_start", "n_tokens", "ids"],
                 )
 
-    del width
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder)
     of_path = F.regexp_extract("path", r"/shard=(\d+)/", 1).cast("long")
     return (
@@ -190,9 +189,9 @@ def materialise(
 
     The index has doc_id, piece, n_tokens, slot and shard. Each sequence has one slot of
     0..n-1, by a keyed permutation of the stored rows' numbers. ``filler`` must be an id
-    that ``encode`` never gives. Null, empty and id-less texts have no sequence. Repeated
-    rows get slots of their own; null doc_ids stay null; other columns are
-    ignored. Without any sequence no shard is written.
+    that ``encode`` never gives. Null and empty texts have no sequence. Repeated rows
+    get slots of their own; null doc_ids stay null; other columns are ignored. Without
+    any sequence no shard is written.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "shards")
