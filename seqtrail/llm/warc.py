@@ -132,14 +132,16 @@ def write_archives(pages: DataFrame, folder: str | None = None, *, date: str = "
 
 def _headers(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     end = data.find(b"\r\n\r\n", at, at + 65536)
-    if end < 0 or not VERSION_LINE.match(data, at):
+    # A version line inside the header is the next record's: this header was cut off.
+    if end < 0 or not VERSION_LINE.match(data, at) or VERSION_LINE.search(data, at + 1, end):
         return None
-    found = {}
+    found: dict[str, str] = {}
     for line in data[at:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
-        if not colon:
+        key = name.strip().lower().decode("latin-1")
+        if not colon or key in found and key in ("warc-type", "warc-record-id", "content-length"):
             return None
-        found[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        found[key] = value.strip().decode("utf-8", "replace")
     return found, end + 4
 
 
