@@ -52,12 +52,25 @@ def replicate_coefficients(seed: int, replicate: Column) -> list[Column]:
     ]
 
 
-def polynomial_uniform(coefficients: list[Column], point: Column) -> Column:
-    """Uniform in [0, 1) for an integer point below 2**31, by Horner's rule."""
+def hash_points(*parts) -> list[Column]:
+    """Two points below the prime for a key, 62 bits together."""
+    digest = hash_text(*parts)
+    return [
+        F.pmod(F.conv(F.substring(digest, start, 8), 16, 10).cast("long"), F.lit(PRIME)) for start in (1, 9)
+    ]
+
+
+def polynomial_uniform(coefficients: list[Column], point: Column, second: Column) -> Column:
+    """Uniform in [0, 1) for a pair of points below the prime, by Horner's rule.
+
+    Draws at keys that share the first point are told apart by the second, which is added
+    a2 times: they are still independent two by two.
+    """
     a0, a1, a2, a3 = coefficients
     value = F.pmod(a3 * point + a2, F.lit(PRIME))
     value = F.pmod(value * point + a1, F.lit(PRIME))
     value = F.pmod(value * point + a0, F.lit(PRIME))
+    value = F.pmod(value + F.pmod(a2 * second, F.lit(PRIME)), F.lit(PRIME))
     return value.cast("double") / F.lit(float(PRIME))
 
 

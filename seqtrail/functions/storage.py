@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import atexit
 import shutil
-import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,22 +13,23 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder of the session, setting it up on first use.
+    """Return the session's folder for intermediate tables, below the shared folder.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``. Only a local
-    session without that setting gets a temporary folder; on a cluster a
-    machine-local folder would be lost with its machine, so that is an error.
+    The cluster names its shared folder in ``spark.checkpoint.dir``. A session without that
+    setting uses a folder of its warehouse, which executors and driver share as well; a
+    local session removes that one when it ends.
     """
     sc = spark.sparkContext
-    named = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF)
     current = sc.getCheckpointDir()
     if current:
         return current
+    named = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF)
     if not named:
-        if not sc.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_CONF} to a shared folder")
-        named = tempfile.mkdtemp(prefix="seqtrail-checkpoint-")
-        atexit.register(shutil.rmtree, named, ignore_errors=True)
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+        sc.setCheckpointDir(named)
+        if sc.master.startswith("local["):
+            atexit.register(shutil.rmtree, urlparse(sc.getCheckpointDir()).path, ignore_errors=True)
+        return sc.getCheckpointDir()
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
@@ -42,3 +43,14 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_intermediate(spark: SparkSession) -> None:
+    """Delete the session's folder of intermediate tables; results must have been stored elsewhere.
+
+    The folder has a name of its own for each application, so other sessions keep theirs.
+    """
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        path = spark._jvm.org.apache.hadoop.fs.Path(current)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

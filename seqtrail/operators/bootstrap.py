@@ -1,12 +1,11 @@
-"""Bootstrap intervals whose cost does not grow with replicates times rows.
-
-Token level: positions are thrown into ``buckets`` hashed buckets and summed there
-before any replicate is drawn; each bucket then gets a Poisson(1) weight per replicate.
-Buckets are independent of the values, so the resampled ratio keeps its mean and
-variance; with fewer positions than buckets this is a Poisson bootstrap of positions.
-The two models of a paired test share bucket and weight, so differences stay paired.
-
-Cluster level: whole sequences are drawn with replacement, exactly.
+"""Bootstrap intervals whose shuffle does not grow with replicates times rows.
+
+Every position, or at cluster level every whole sequence, gets a Poisson(1) weight per
+replicate, worked out from hashes of its key and of the replicate next to the row. The
+weighted sums are combined on the map side, so what is shuffled is one row per task,
+model, replicate and confidence bin. The two models of a paired test share the weights of
+a position, so differences stay paired. The number of units drawn varies around
+their count, which ratios of sums do not mind.
 """
 
 from __future__ import annotations
@@ -17,18 +16,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqtrail.functions.hashing import (
-    hash32,
-    hash_text,
+    hash_points,
     poisson_weight,
     polynomial_uniform,
     replicate_coefficients,
 )
 from seqtrail.functions.numbers import ratio
-from seqtrail.functions.ordered import rank_by_hash
 from seqtrail.operators.metrics import calibration_bin, calibration_error, summarise
 
 DEFAULT_REPLICATES = 1000
-DEFAULT_BUCKETS = 2**16
 METRICS = ["accuracy", "topk_accuracy", "nn_accuracy", "nn_topk_accuracy", "entropy", "perplexity", "ece"]
 
 
@@ -40,8 +36,20 @@ def replicates(spark: SparkSession, n: int, seed: int) -> Column:
     return table.select("b", *named).agg(listed).scalar()
 
 
-def _uniform(point: Column) -> Column:
-    return polynomial_uniform([F.col(f"_r.a{j}") for j in range(4)], point)
+def weighted(rows: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFrame:
+    """``rows`` once per replicate: ``_r`` with the replicate's number b, ``_w`` with the row's weight.
+
+    Only for an aggregate right after it, which keeps the copies within their task.
+    """
+    p1, p2 = hash_points(seed, *[F.col(k).cast("string") for k in key])
+    coefficients = [F.col(f"_r.a{j}") for j in range(4)]
+    # The points and the uniform value are columns of their own, so each is worked out once.
+    return (
+        rows.withColumns({"_p1": p1, "_p2": p2})
+        .withColumn("_r", F.explode(replicates(rows.sparkSession, n, seed)))
+        .withColumn("_u", polynomial_uniform(coefficients, F.col("_p1"), F.col("_p2")))
+        .withColumn("_w", poisson_weight(F.col("_u")))
+    )
 
 
 def _with_flags(metrics: DataFrame) -> DataFrame:
@@ -59,35 +67,27 @@ def replicate_statistics(
     by: Sequence[str] = ("model",),
     n_replicates: int = DEFAULT_REPLICATES,
     seed: int = 0,
-    buckets: int = DEFAULT_BUCKETS,
 ) -> DataFrame:
     """B1, B2: every metric of every replicate, as (by, b, accuracy, ..., ece)."""
     by = list(by)
-    bucket = F.pmod(hash32(seed, *[F.col(k).cast("string") for k in key]), F.lit(buckets))
     sums = {
-        "n": F.count(F.lit(1)),
-        "hits": F.sum("correct"),
-        "topk": F.sum("topk_correct"),
-        "nn": F.sum("nn_correct"),
-        "nn_topk": F.sum("nn_topk_correct"),
-        "ce": F.sum("ce"),
-        "n_ce": F.count("ce"),
-        "entropy": F.sum("entropy"),
-        "conf": F.sum("confidence"),
+        "n": F.lit(1),
+        "hits": F.col("correct"),
+        "topk": F.col("topk_correct"),
+        "nn": F.col("nn_correct"),
+        "nn_topk": F.col("nn_topk_correct"),
+        "ce": F.col("ce"),
+        "n_ce": F.col("ce").isNotNull().cast("int"),
+        "entropy": F.col("entropy"),
+        "conf": F.col("confidence"),
     }
-    per_bucket = (
-        _with_flags(metrics)
-        .groupBy(*by, calibration_bin(F.col("confidence")).alias("bin"), bucket.alias("bucket"))
-        .agg(*[c.alias(name) for name, c in sums.items()])
-    )
-    # The uniform value is a column of its own, so it is worked out once per draw.
-    drawn = (
-        per_bucket.withColumn("_r", F.explode(replicates(metrics.sparkSession, n_replicates, seed)))
-        .withColumn("_u", _uniform(F.col("bucket")))
-        .withColumn("_w", poisson_weight(F.col("_u")))
-    )
-    per_bin = drawn.groupBy(*by, F.col("_r.b").alias("b"), "bin").agg(
-        *[F.sum(F.col("_w") * F.col(name)).alias(name) for name in sums]
+    rows = _with_flags(metrics).select(*by, *key, calibration_bin(F.col("confidence")).alias("bin"), *[
+        c.alias(name) for name, c in sums.items()
+    ])
+    per_bin = (
+        weighted(rows, key, n_replicates, seed)
+        .groupBy(*by, F.col("_r.b").alias("b"), "bin")
+        .agg(*[F.sum(F.col("_w") * F.col(name)).alias(name) for name in sums])
     )
     gap = F.when(F.col("bin").isNotNull(), F.abs(F.col("conf") - F.col("hits"))).otherwise(0.0)
     n = F.sum("n")
@@ -128,14 +128,13 @@ def bootstrap_report(
     by: Sequence[str] = ("model",),
     n_replicates: int = DEFAULT_REPLICATES,
     seed: int = 0,
-    buckets: int = DEFAULT_BUCKETS,
 ) -> DataFrame:
     """Raw value, bootstrap mean and 95% percentile interval of each metric.
 
     A metric the model does not have comes as a row of nulls.
     """
     drawn = replicate_statistics(
-        metrics, key, by=by, n_replicates=n_replicates, seed=seed, buckets=buckets
+        metrics, key, by=by, n_replicates=n_replicates, seed=seed
     )
     intervals = (
         _long(drawn, [*by, "b"], "value")
@@ -157,11 +156,10 @@ def paired_difference(
     *,
     n_replicates: int = DEFAULT_REPLICATES,
     seed: int = 0,
-    buckets: int = DEFAULT_BUCKETS,
 ) -> DataFrame:
     """ECE and perplexity differences of two models over the same draws."""
     both = metrics.filter(F.col("model").isin(first, second))
-    drawn = replicate_statistics(both, key, n_replicates=n_replicates, seed=seed, buckets=buckets)
+    drawn = replicate_statistics(both, key, n_replicates=n_replicates, seed=seed)
     wide = drawn.groupBy("b").agg(
         *[
             F.sum(F.when(F.col("model") == first, F.col(m)).otherwise(-F.col(m))).alias(m)
@@ -192,23 +190,13 @@ def cluster_bootstrap(
 ) -> DataFrame:
     """Bootstrap of pooled means over whole clusters, as (metric, mean, interval).
 
-    ``clusters`` has one row per sequence with the sum of each series and one count.
-    Each replicate draws as many clusters as there are, with replacement.
+    ``clusters`` has one row per sequence with the sum of each series and one count. A
+    sequence counts with all its positions as often as its weight says.
     """
-    numbered = rank_by_hash(
-        clusters.select(key, *sums, count), key, hash_text(seed, F.col(key).cast("string")), "_rank"
-    )
-    n = clusters.agg(F.count(F.lit(1))).scalar()
-    draws = (
-        numbered.select("_rank")
-        .withColumn("_r", F.explode(replicates(clusters.sparkSession, n_replicates, seed)))
-        .select(
-            F.col("_r.b").alias("b"),
-            F.floor(_uniform(F.col("_rank")) * n).cast("long").alias("_rank"),
-        )
-    )
-    drawn = draws.join(numbered, "_rank").groupBy("b").agg(
-        *[ratio(F.sum(s), F.sum(count)).alias(s) for s in sums]
+    drawn = (
+        weighted(clusters.select(key, *sums, count), [key], n_replicates, seed)
+        .groupBy(F.col("_r.b").alias("b"))
+        .agg(*[ratio(F.sum(F.col("_w") * F.col(s)), F.sum(F.col("_w") * F.col(count))).alias(s) for s in sums])
     )
     return (
         drawn.unpivot(["b"], list(sums), "metric", "value")

@@ -5,12 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from seqtrail.functions.numbers import ratio
+from seqtrail.functions.numbers import erfc, ratio
 from seqtrail.functions.ordered import running_total
 
 Z95 = 1.96  # fixed value: normal quantile of the reported 95% intervals
@@ -20,12 +18,6 @@ class NotAligned(ValueError):
     """Two models do not cover the same positions."""
 
 
-@F.pandas_udf(T.DoubleType())
-def _erfc(x: pd.Series) -> pd.Series:
-    """Complementary error function; Spark has none. Applied to one-row results only."""
-    return x.map(math.erfc, na_action="ignore")
-
-
 def align(metrics: DataFrame, first: str, second: str, key: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Values of two models side by side, as ``<value>_1`` and ``<value>_2``."""
     sides = [
@@ -80,7 +72,7 @@ def contingency(aligned: DataFrame, flag: str) -> DataFrame:
     )
 
 
-def mcnemar(aligned: DataFrame, flag: str = "correct", *, p_value: bool = True) -> DataFrame:
+def mcnemar(aligned: DataFrame, flag: str = "correct") -> DataFrame:
     """McNemar test with continuity correction and the discordant odds ratio."""
     b, c = F.col("only_1").cast("double"), F.col("only_2").cast("double")
     spread = F.lit(Z95) * F.sqrt(ratio(F.lit(1.0), b) + ratio(F.lit(1.0), c))
@@ -96,9 +88,7 @@ def mcnemar(aligned: DataFrame, flag: str = "correct", *, p_value: bool = True)
         F.exp(F.log(odds) - spread).alias("or_low"),
         F.exp(F.log(odds) + spread).alias("or_high"),
     )
-    if p_value:
-        result = result.withColumn("p_value", _erfc(F.sqrt(F.col("chi2") / 2)))
-    return result
+    return result.withColumn("_x", F.sqrt(F.col("chi2") / 2)).withColumn("p_value", erfc(F.col("_x"))).drop("_x")
 
 
 def ranked_differences(aligned: DataFrame, value: str, *, digits: int = 12) -> DataFrame:
@@ -129,7 +119,7 @@ def ranked_differences(aligned: DataFrame, value: str, *, digits: int = 12) -> D
     )
 
 
-def wilcoxon(aligned: DataFrame, value: str = "entropy", *, p_value: bool = True) -> DataFrame:
+def wilcoxon(aligned: DataFrame, value: str = "entropy") -> DataFrame:
     """Signed-rank test and rank-biserial effect size.
 
     The test drops zero differences and uses the normal approximation with tie
@@ -161,6 +151,4 @@ def wilcoxon(aligned: DataFrame, value: str = "entropy", *, p_value: bool = True
             ratio(plus - minus, plus + minus).alias("effect_size"),
         )
     )
-    if p_value:
-        result = result.withColumn("p_value", _erfc(F.abs("z") / math.sqrt(2.0)))
-    return result
+    return result.withColumn("_x", F.abs("z") / math.sqrt(2.0)).withColumn("p_value", erfc(F.col("_x"))).drop("_x")

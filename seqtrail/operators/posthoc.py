@@ -53,9 +53,12 @@ def tail_sums(scored: DataFrame, keep: DataFrame, flags: Sequence[str], key: str
     """Flag sums over the last ``keep`` scored rows of each sequence.
 
     The scored rows carry ``from_end`` (0 for the last one), so only a comparison is left.
+    ``n_kept`` tells how many rows there were to keep.
     """
     kept = lookup(scored, keep, [key], "inner").filter(F.col("from_end") < F.col("keep"))
-    return kept.groupBy(key).agg(*[F.sum(f).cast("long").alias(f) for f in flags])
+    return kept.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_kept"), *[F.sum(f).cast("long").alias(f) for f in flags]
+    )
 
 
 def match_counts(wb: DataFrame, fb: DataFrame, *, policy: str, key: str = "seq_id") -> DataFrame:
@@ -100,15 +103,22 @@ def matched_sums(
     """H3: one row per sequence with the matched sums of every model's flags.
 
     ``models`` maps a model name to its scored rows (with ``from_end``) and flags; the
-    sum of flag f of model m is the column ``m__f``.
+    sum of flag f of model m is the column ``m__f``. Reading the result fails if a model
+    has fewer rows than are to be kept of a sequence.
     """
     keep = counts.select(key, "keep")
     result = keep
     for name, (scored, flags) in models.items():
         sums = tail_sums(scored, keep, flags, key).select(
-            key, *[F.col(f).alias(f"{name}__{f}") for f in flags]
+            key, "n_kept", *[F.col(f).alias(f"{name}__{f}") for f in flags]
+        )
+        short = F.coalesce("n_kept", F.lit(0)) < F.col("keep")
+        complete = F.when(short, F.raise_error(F.lit(f"{name} has fewer rows than are to be kept")).cast("long"))
+        result = (
+            result.join(sums, key, "left")
+            .withColumn("keep", complete.otherwise(F.col("keep")))
+            .drop("n_kept")
         )
-        result = result.join(sums, key, "left")
     series = [c for c in result.columns if c not in (key, "keep")]
     return result.select(key, "keep", *[F.coalesce(c, F.lit(0)).alias(c) for c in series])
 
@@ -147,14 +157,18 @@ def compared_models(report: DataFrame, comparison: str) -> DataFrame:
     return report.filter(~F.col("series").startswith("fb__"))
 
 
+#: Names of the three rescue metrics.
+RESCUE = ("exact_match_accuracy_pre_mapping", "semantic_nn_mapped_accuracy", "nn_mapping_rescued_accuracy")
+
+
 def mapping_rescue(chunks: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     """Exact accuracy, accuracy after mapping, and the share mapping rescued."""
     rescued = ((F.col("correct") == 0) & (F.col("nn_correct") == 1)).cast("int")
     wide = chunks.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_actions"),
-        F.avg("correct").alias("exact_match_accuracy_pre_mapping"),
-        F.avg("nn_correct").alias("semantic_nn_mapped_accuracy"),
-        F.avg(rescued).alias("nn_mapping_rescued_accuracy"),
+        F.avg("correct").alias(RESCUE[0]),
+        F.avg("nn_correct").alias(RESCUE[1]),
+        F.avg(rescued).alias(RESCUE[2]),
     )
     metrics = [c for c in wide.columns if c not in (*by, "n_actions")]
     return wide.unpivot([*by, "n_actions"], metrics, "metric", "value")

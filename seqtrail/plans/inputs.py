@@ -11,7 +11,6 @@ from seqtrail.functions.ordered import groups_fit, lookup, neighbour, order_rows
 from seqtrail.functions.storage import cut
 from seqtrail.functions.timing import HOUR, MINUTE, SECOND, epoch_micros
 from seqtrail.operators import cohort, markov, split, vocab
-from seqtrail.operators.encode import suffix
 from seqtrail.operators.metrics import score_predictions
 from seqtrail.operators.sequences import ROW
 
@@ -24,8 +23,7 @@ SKIP_N = 4
 SEED = 7
 TOP_K = 40
 FINE_TOP_K = 500
-MAX_WORDS = 48
-REPLICATES = 200
+REPLICATES = 1000
 MODEL_SEED = 11
 
 SEQUENCE_KEYS = ["idx", "kind", "control_idx"]
@@ -257,9 +255,8 @@ class LineModels:
 
     @cached_property
     def wb(self) -> DataFrame:
-        tails = suffix(word_tokens(self.part("test"), fits=self.fits), ["seq_id"], MAX_WORDS)
-        # A tail has at most MAX_WORDS rows.
-        positions = markov.with_previous(tails, ["seq_id"], fits=True)
+        words = word_tokens(self.part("test"), fits=self.fits)
+        positions = neighbour(words, ["seq_id"], "pos", {"prev": "token"}, step=-1)
         scored = markov.score(self.words, positions, skip_n=SKIP_N)
         return cut(scored.withColumn("model", F.lit("wb")).select(METRIC_COLUMNS))
 

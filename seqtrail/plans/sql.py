@@ -10,7 +10,6 @@ from seqtrail.plans.inputs import (
     BUFFER,
     FINE_TOP_K,
     LOOK_BACK,
-    MAX_WORDS,
     MODEL_SEED,
     SEED,
     SKIP_N,
@@ -36,13 +35,17 @@ def poisson_sql(u: str) -> str:
     return f"(case {steps} else {len(poisson_cdf())} end)"
 
 
-def polynomial_sql(point: str) -> str:
-    """Uniform value of a replicate row with coefficients a0..a3 at a point."""
+def points_sql(text: str) -> str:
+    """The two points of a key's text."""
+    low = f"cast('0x' || substr(md5({text}), 9, 8) as bigint)"
+    return f"{h32(text)} % {PRIME} as p1, {low} % {PRIME} as p2"
+
+
+def polynomial_sql(point: str, second: str) -> str:
+    """Uniform value of a replicate row with coefficients a0..a3 at a pair of points."""
     p = PRIME
-    return (
-        f"(cast((((((a3 * {point} + a2) % {p}) * {point} + a1) % {p}) * {point} + a0) % {p} as double)"
-        f" / {float(p)})"
-    )
+    value = f"((((a3 * {point} + a2) % {p}) * {point} + a1) % {p} * {point} + a0) % {p}"
+    return f"(cast(({value} + a2 * {second} % {p}) % {p} as double) / {float(p)})"
 
 
 def replicates_sql(n: int, seed: int) -> str:
@@ -215,12 +218,8 @@ word_rows as materialized (
   select seq_id, split, row_number() over (partition by seq_id order by pos, i) - 1 as pos, token
   from (select seq_id, split, pos, unnest(range(0, len(words))) as i, unnest(words) as token
     from (select *, list_append(string_split(token, ' '), '<ROW>') as words from act_rows))),
-word_tail as materialized (
-  select seq_id, split, token, row_number() over (partition by seq_id order by pos) - 1 as pos
-  from (select * from word_rows where split = 'test'
-    qualify row_number() over (partition by seq_id order by pos desc) <= {MAX_WORDS})),
 word_test as materialized (
-  select *, lag(token) over (partition by seq_id order by pos) as prev from word_tail),
+  select *, lag(token) over (partition by seq_id order by pos) as prev from word_rows where split = 'test'),
 word_train as materialized (
   select *, lag(token) over (partition by seq_id order by pos) as prev from word_rows where split = 'train')"""
 
