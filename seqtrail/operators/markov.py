@@ -6,6 +6,7 @@ about it is worked out once per distinct (prev, label) pair and looked up per po
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -229,29 +230,47 @@ def lazy_chain(model: Transitions) -> DataFrame:
     return moves.withColumn("prob", 0.5 * F.col("prob")).unionByName(stays)
 
 
+class NotConverged(RuntimeError):
+    """The power iteration did not settle within the steps allowed."""
+
+
 def entropy_rate(
-    model: Transitions, *, iterations: int = 40, store_every: int = 5
+    model: Transitions, *, tolerance: float = 1e-10, max_steps: int = 10_000, store_every: int = 12
 ) -> tuple[DataFrame, DataFrame]:
     """Stationary distribution of the chain and its entropy rate and perplexity.
 
     Power iteration over the sparse lazy chain from the uniform vector: staying put half
-    of the time keeps the stationary vector and removes periods. A fixed number of steps.
+    of the time keeps the stationary vector and removes periods. It goes on until the sum of
+    absolute changes of a step is at most ``tolerance``; the rate tells that residual and
+    the number of steps. Raises ``NotConverged`` after ``max_steps``.
     """
     chain = cut(lazy_chain(model))
     pi = model.tokens.select("token", F.lit(1.0 / model.size).alias("p"))
-    for step in range(1, iterations + 1):
-        pi = (
-            pi.join(chain, F.col("token") == F.col("prev"))
+
+    def step(vector: DataFrame) -> DataFrame:
+        return (
+            vector.join(chain, F.col("token") == F.col("prev"))
             .groupBy(F.col("next").alias("token"))
             .agg(F.sum(F.col("p") * F.col("prob")).alias("p"))
         )
-        if step % store_every == 0 or step == iterations:
-            pi = cut(pi)
+
+    steps, residual = 0, math.inf
+    while residual > tolerance:
+        if steps >= max_steps:
+            raise NotConverged(f"residual {residual} after {steps} steps")
+        for _ in range(store_every - 1):
+            pi = step(pi)
+        before = cut(pi)
+        pi = cut(step(before))
+        steps += store_every
+        moved = before.select("token", F.col("p").alias("q")).join(pi, "token", "full_outer")
+        residual = moved.agg(F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0))))).first()[0] or 0.0
     real = pi.filter(F.col("token") != NOWHERE)
     pi = real.withColumn("p", F.col("p") / real.agg(F.sum("p")).scalar())
     rate = (
         pi.join(model.table, F.col("token") == F.col("prev"))
         .agg(F.sum(-F.col("p") * F.col("prob") * F.log(F.col("prob") + EPSILON)).alias("entropy_rate"))
         .withColumn("perplexity", F.exp("entropy_rate"))
+        .withColumns({"residual": F.lit(residual), "steps": F.lit(steps)})
     )
     return pi, rate
