@@ -237,15 +237,15 @@ def recent_controls(controls: DataFrame, n: int | None) -> DataFrame:
 def control_windows(
     controls: DataFrame, log: DataFrame, *, look_back: int = DEFAULT_LOOK_BACK, bins_per_window: int = 4
 ) -> DataFrame:
-    """The log rows before each numbered control anchor."""
-    ends = controls.select(
-        "idx",
-        "user_id",
-        F.lit("control").alias("kind"),
-        "control_idx",
-        F.col("anchor_us").alias("end_us"),
-    )
-    return window_rows(ends, log, look_back=look_back, bins_per_window=bins_per_window)
+    """The log rows before each numbered control anchor.
+
+    A window's rows depend on the anchor alone, so each distinct anchor meets the log
+    once; the orders that it is a control of are joined to its rows by equality.
+    """
+    ends = controls.select("anchor_id", "user_id", F.col("anchor_us").alias("end_us")).distinct()
+    rows = window_rows(ends, log, look_back=look_back, bins_per_window=bins_per_window)
+    owners = controls.select("anchor_id", "idx", F.lit("control").alias("kind"), "control_idx")
+    return owners.join(rows, "anchor_id").drop("anchor_id")
 
 
 def paired_orders(cases: DataFrame, controls: DataFrame) -> DataFrame:

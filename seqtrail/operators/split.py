@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,13 +71,12 @@ def period_orders(
     orders: DataFrame, periods: Mapping[str, tuple[int, int]], *, column: str = "order_us"
 ) -> DataFrame:
     """P5, H8: orders of each named half-open period, with the period as a column."""
-    parts = [
-        orders.filter((F.col(column) >= start) & (F.col(column) < end)).withColumn(
-            "period", F.lit(name)
-        )
+    inside = [
+        F.when((F.col(column) >= start) & (F.col(column) < end), F.lit(name))
         for name, (start, end) in periods.items()
     ]
-    return reduce(DataFrame.unionByName, parts)
+    names = F.filter(F.array(*inside), lambda name: name.isNotNull())
+    return orders.withColumn("period", F.explode(names))
 
 
 def assign_batches(
