@@ -6,6 +6,7 @@ from seqtrail.plans import (  # noqa: F401
     report_queries,
     retrieval_queries,
     sequence_queries,
+    storage_queries,
 )
 from seqtrail.plans.registry import ORACLES, QUERIES
 

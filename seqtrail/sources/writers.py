@@ -17,8 +17,8 @@ def write_windows(windows: DataFrame, path: str) -> None:
 
 
 def write_token_map(token_map: DataFrame, path: str) -> None:
-    """The action map as JSON lines of ``action`` and ``token``."""
-    token_map.select("action", "token").coalesce(1).write.mode("overwrite").json(path)
+    """The action map (top-k rows) as one file of JSON lines of ``action`` and ``token``."""
+    token_map.select("action", "token").repartition(1).write.mode("overwrite").json(path)
 
 
 def read_token_map(spark: SparkSession, path: str) -> DataFrame:
@@ -27,7 +27,7 @@ def read_token_map(spark: SparkSession, path: str) -> DataFrame:
 
 def write_report(report: DataFrame, path: str) -> None:
     """A small result table as one CSV file with a header."""
-    report.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    report.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def combined_report(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -40,7 +40,7 @@ def combined_report(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def write_combined_json(tables: Mapping[str, DataFrame], path: str, *, period: str) -> None:
-    combined_report(tables).withColumn("period", F.lit(period)).coalesce(1).write.mode(
+    combined_report(tables).withColumn("period", F.lit(period)).repartition(1).write.mode(
         "overwrite"
     ).partitionBy("period").json(path)
 
