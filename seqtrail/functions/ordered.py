@@ -1,11 +1,10 @@
 """Order-dependent columns that survive a group holding most of the table.
 
-A Spark window sorts each of its groups in one task. That is fine while groups are
-small, and a dead end when one group has a third of all rows. ``order_rows`` and
-``running_total`` therefore count rows per group first (a combined aggregate) and
-send only oversized groups down a sliced path: range-partition them by their order,
-aggregate each slice, and add what the earlier slices of the group contributed.
-Without keys the whole table is one group, so the sliced path is always taken.
+A Spark window sorts each of its groups in one task, a dead end when one group has a third
+of all rows. ``order_rows`` and ``running_total`` therefore range-partition the table by
+group and order, whatever the groups' sizes, work within the slices, and add what the
+earlier slices of the same group contribute. Only a group that begins in one slice and goes
+on in another needs that, so there are no more such pieces than slices.
 """
 
 from __future__ import annotations
@@ -18,104 +17,70 @@ from pyspark.sql import functions as F
 from seqtrail.functions.numbers import int_div
 from seqtrail.functions.storage import cut
 
-MAX_GROUP_ROWS = 2_000_000
+BLOCK_ROWS = 2_000_000
 
 
 def _columns(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def groups_fit(source: DataFrame, keys: Sequence[str], max_group_rows: int = MAX_GROUP_ROWS) -> bool:
-    """Does every group of ``source`` stay within the limit? One count over its keys.
+def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """``df`` in slices of its order by group, stored: range bounds are sampled, so it is sliced once."""
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(
+        df.repartitionByRange(slices, *[F.col(k) for k in keys], *_columns(order)).withColumn(
+            "_slice", F.spark_partition_id()
+        )
+    )
+
+
+def _attach(rows: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join ``carried`` on group and slice, null keys being equal too.
 
-    Where groups of a derived table can only be smaller (windows of one user's log, say),
-    this proves on the narrow source that the derived table needs no check of its own.
+    It has at most twice as many rows as there are slices, which bounds the broadcast.
     """
-    counts = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.filter(F.col("_n") > max_group_rows).isEmpty()
+    names = {c: f"_on_{i}" for i, c in enumerate([*keys, "_slice"])}
+    condition = F.lit(True)
+    for name, other in names.items():
+        condition &= F.col(name).eqNullSafe(F.col(other))
+    return rows.join(F.broadcast(carried.withColumnsRenamed(names)), condition, "left").drop(*names.values())
 
 
-def split_oversized(
-    df: DataFrame, keys: Sequence[str], max_group_rows: int, fits: bool
-) -> tuple[DataFrame, DataFrame | None]:
-    """Split ``df`` into rows of ordinary groups and rows of oversized ones (or None)."""
-    if fits:
-        return df, None
+def _pieces(sliced: DataFrame, keys: Sequence[str], total: Column, edges: Sequence[Column]) -> DataFrame:
+    """Pieces of the groups that span several slices: their ``edges`` and what is ``_carried`` into them.
+
+    Such groups have two pieces or more, each in a slice of its own or at a slice's end, so
+    there are at most twice as many pieces as slices.
+    """
     keys = list(keys)
-    oversized = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > max_group_rows)
-        .select(*keys)
+    over = Window.partitionBy(*keys)
+    earlier = over.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = sliced.groupBy(*keys, "_slice").agg(total.alias("_total"), *edges)
+    return (
+        pieces.withColumn("_pieces", F.count(F.lit(1)).over(over))
+        .filter("_pieces > 1")
+        .withColumn("_carried", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
     )
-    if oversized.isEmpty():
-        return df, None
-    oversized = cut(oversized)
-    return df.join(oversized, keys, "left_anti"), df.join(oversized, keys, "left_semi")
 
 
-def _sliced_total(
+def running_total(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: Column, out: str
 ) -> DataFrame:
-    keys, order_cols = list(keys), _columns(order)
-    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Range bounds are sampled, so the sliced rows are written once and only then read twice.
-    sliced = cut(
-        df.withColumn("_value", value.cast("long"))
-        .repartitionByRange(slices, *[F.col(k) for k in keys], *order_cols)
-        .withColumn("_slice", F.spark_partition_id())
-    )
-    per_slice = sliced.groupBy(*keys, "_slice").agg(F.sum("_value").alias("_total"))
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    # At most one group per slice continues from an earlier slice, so there are no
-    # more carried rows than slices: that bound makes the broadcast safe.
-    carried = (
-        per_slice.withColumn("_carried", F.sum("_total").over(earlier))
-        .filter(F.col("_carried").isNotNull())
-        .select(*keys, "_slice", "_carried")
-    )
+    """Add the inclusive running sum of ``value``; ``order`` must be unique in a group."""
+    sliced = _sliced(df.withColumn("_value", value.cast("long")), keys, order)
+    carried = _pieces(sliced, keys, F.sum("_value"), []).select(*keys, "_slice", "_carried")
     local = (
         Window.partitionBy(*keys, "_slice")
-        .orderBy(*order_cols)
+        .orderBy(*_columns(order))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        sliced.join(F.broadcast(carried), [*keys, "_slice"], "left")
+        _attach(sliced, carried, keys)
         .withColumn(out, F.sum("_value").over(local) + F.coalesce("_carried", F.lit(0)))
         .drop("_value", "_slice", "_carried")
     )
 
 
-def running_total(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str | Column],
-    value: Column,
-    out: str,
-    *,
-    max_group_rows: int = MAX_GROUP_ROWS,
-    fits: bool = False,
-) -> DataFrame:
-    """Add the inclusive running sum of ``value``; ``order`` must be unique in a group.
-
-    ``fits`` says that the caller knows no group exceeds ``max_group_rows``.
-    """
-    keys = list(keys)
-    if not keys:
-        return _sliced_total(df, keys, order, value, out)
-    usual, oversized = split_oversized(df, keys, max_group_rows, fits)
-    window = (
-        Window.partitionBy(*keys)
-        .orderBy(*_columns(order))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    result = usual.withColumn(out, F.sum(value.cast("long")).over(window))
-    if oversized is not None:
-        sliced = _sliced_total(oversized, keys, order, value, out)
-        result = result.unionByName(sliced)
-    return result
-
-
 def neighbour(
     df: DataFrame,
     keys: Sequence[str],
@@ -123,7 +88,7 @@ def neighbour(
     columns: Mapping[str, str],
     *,
     step: int,
-    block_rows: int = MAX_GROUP_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add columns of the previous (``step=-1``) or next (``step=1``) row of the group.
 
@@ -155,36 +120,42 @@ def order_rows(
     pos: str = "pos",
     previous: Mapping[str, str] | None = None,
     following: Mapping[str, str] | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
-    fits: bool = False,
 ) -> DataFrame:
     """Number the rows of each group from 0 and look at the rows next to each one.
 
     ``previous`` and ``following`` map new column names to the column they read from
-    the row before or after. ``order`` must be unique within a group. ``fits`` says that
-    the caller knows no group exceeds ``max_group_rows`` (see ``groups_fit``).
+    the row before or after; with them ``order`` consists of column names. ``order`` must
+    be unique within a group.
     """
     previous, following, keys = dict(previous or {}), dict(following or {}), list(keys)
-
-    def sliced(rows: DataFrame) -> DataFrame:
-        rows = _sliced_total(rows, keys, order, F.lit(1), pos).withColumn(pos, F.col(pos) - 1)
-        if previous:
-            rows = neighbour(rows, keys, pos, previous, step=-1, block_rows=max_group_rows)
-        if following:
-            rows = neighbour(rows, keys, pos, following, step=1, block_rows=max_group_rows)
-        return rows
-
-    if not keys:
-        return sliced(df)
-    usual, oversized = split_oversized(df, keys, max_group_rows, fits)
-    window = Window.partitionBy(*keys).orderBy(*_columns(order))
-    added = {pos: F.row_number().over(window).cast("long") - 1}
-    added |= {out: F.lag(source).over(window) for out, source in previous.items()}
-    added |= {out: F.lead(source).over(window) for out, source in following.items()}
-    result = usual.select("*", *[c.alias(name) for name, c in added.items()])
-    if oversized is not None:
-        result = result.unionByName(sliced(oversized))
-    return result
+    sliced = _sliced(df, keys, order)
+    at = F.struct(*order) if previous or following else None
+    edges = [F.max_by(source, at).alias(f"_last_{out}") for out, source in previous.items()]
+    edges += [F.min_by(source, at).alias(f"_first_{out}") for out, source in following.items()]
+    pieces = _pieces(sliced, keys, F.count(F.lit(1)), edges)
+    over = Window.partitionBy(*keys).orderBy("_slice")
+    carried = pieces.select(
+        *keys,
+        "_slice",
+        "_carried",
+        *[F.lag(f"_last_{out}").over(over).alias(f"_edge_{out}") for out in previous],
+        *[F.lead(f"_first_{out}").over(over).alias(f"_edge_{out}") for out in following],
+    )
+    local = Window.partitionBy(*keys, "_slice").orderBy(*_columns(order))
+    counted = {"_local": F.row_number().over(local).cast("long")}
+    counted |= {f"_near_{out}": F.lag(source).over(local) for out, source in previous.items()}
+    counted |= {f"_near_{out}": F.lead(source).over(local) for out, source in following.items()}
+    if following:
+        counted["_rest"] = F.lead(F.lit(1)).over(local)
+    numbered = sliced.select("*", *[c.alias(name) for name, c in counted.items()])
+    met = _attach(numbered, carried, keys)
+    first, last = F.col("_local") == 1, F.col("_rest").isNull() if following else F.lit(False)
+    return met.select(
+        *df.columns,
+        (F.col("_local") - 1 + F.coalesce("_carried", F.lit(0))).alias(pos),
+        *[F.when(first, F.col(f"_edge_{out}")).otherwise(F.col(f"_near_{out}")).alias(out) for out in previous],
+        *[F.when(last, F.col(f"_edge_{out}")).otherwise(F.col(f"_near_{out}")).alias(out) for out in following],
+    )
 
 
 def rank_by_hash(
@@ -210,19 +181,10 @@ def rank_by_hash(
     )
 
 
-def lookup(
-    big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left", *, salts: int = 8
-) -> DataFrame:
-    """Join a small keyed table to a big one whose keys may be badly skewed.
+def lookup(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join a keyed table to a big one whose keys may be badly skewed.
 
-    Rows of the big side get one of ``salts`` numbers from a hash of the whole row and
-    the small side is repeated once per number, so a hot key is spread over that many
-    tasks whatever the join strategy turns out to be.
+    A plain join: Spark broadcasts a side below the session's limit, and otherwise splits
+    the partitions of hot keys of the big side at run time, into as many as their size asks for.
     """
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*_hashable(big)), F.lit(salts)).cast("int"))
-    repeated = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
-
-
-def _hashable(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    return big.join(small, list(keys), how)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqtrail.functions.ordered import MAX_GROUP_ROWS, lookup, running_total
+from seqtrail.functions.ordered import lookup, running_total
 from seqtrail.functions.text import normalise
 from seqtrail.operators.metrics import calibration_error
 from seqtrail.operators.sequences import ROW
@@ -19,7 +19,6 @@ def number_chunks(
     *,
     label: str = "label",
     row_token: str = ROW,
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Add ``is_row`` and ``chunk_id``, the delimiters seen before each position.
 
@@ -27,7 +26,7 @@ def number_chunks(
     """
     marked = positions.withColumn("is_row", (F.col(label) == row_token).cast("long"))
     counted = running_total(
-        marked, keys, ["pos"], F.col("is_row"), "_seen", max_group_rows=max_group_rows
+        marked, keys, ["pos"], F.col("is_row"), "_seen"
     )
     return counted.withColumn("chunk_id", F.col("_seen") - F.col("is_row")).drop("_seen")
 
@@ -58,7 +57,6 @@ def chunk_metrics(
     keys: Sequence[str],
     *,
     row_token: str = ROW,
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Metrics of each closed, non-empty chunk of the scored positions.
 
@@ -66,7 +64,7 @@ def chunk_metrics(
     (``topk_frac``) and 'all of them' (``topk_correct``) are given.
     """
     numbered = closed_part(
-        number_chunks(metrics, keys, row_token=row_token, max_group_rows=max_group_rows), keys
+        number_chunks(metrics, keys, row_token=row_token), keys
     )
     token = F.col("is_row") == 0
 

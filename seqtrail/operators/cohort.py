@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from seqtrail.functions.hashing import hash_text
 from seqtrail.functions.numbers import int_div
-from seqtrail.functions.ordered import groups_fit, order_rows
+from seqtrail.functions.ordered import order_rows
 from seqtrail.functions.timing import DAY, MINUTE
 
 DEFAULT_LOOK_BACK = 30 * MINUTE
@@ -210,14 +210,11 @@ def sample_anchors(controls: DataFrame, n: int | None, *, seed: int) -> DataFram
     )
 
 
-def number_controls(controls: DataFrame, *, fits: bool = False) -> DataFrame:
-    """Number the anchors with a non-empty window 1..M per order, in time order.
-
-    ``fits`` says that no user's log, hence no order's list of anchors, is oversized.
-    """
+def number_controls(controls: DataFrame) -> DataFrame:
+    """Number the anchors with a non-empty window 1..M per order, in time order."""
     filled = controls.filter("has_rows").drop("has_rows")
     numbered = order_rows(
-        filled, ["idx"], ["anchor_us", "anchor_id"], pos="control_idx", fits=fits
+        filled, ["idx"], ["anchor_us", "anchor_id"], pos="control_idx"
     )
     return numbered.withColumn("control_idx", F.col("control_idx") + 1)
 
@@ -274,7 +271,7 @@ def extract_cohort(
         buffer=buffer,
         tolerance=tolerance,
     )
-    controls = number_controls(sample_anchors(anchors, sample_n, seed=seed), fits=groups_fit(log, ["user_id"]))
+    controls = number_controls(sample_anchors(anchors, sample_n, seed=seed))
     windows = cases.unionByName(control_windows(controls, log, look_back=look_back))
     return windows, controls
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqtrail.functions.hashing import hash32, hash_text
-from seqtrail.functions.ordered import MAX_GROUP_ROWS, lookup, order_rows, rank_by_hash
+from seqtrail.functions.ordered import lookup, order_rows, rank_by_hash
 from seqtrail.functions.storage import cut
 from seqtrail.operators.slots import fill_slots
 
@@ -37,16 +37,11 @@ def with_previous(
     tokens: DataFrame,
     keys: Sequence[str],
     order: Sequence[str] = ("pos",),
-    *,
-    max_group_rows: int = MAX_GROUP_ROWS,
-    fits: bool = False,
 ) -> DataFrame:
     """Number the tokens of each sequence from 0 and add the token before each."""
     unnumbered = tokens.withColumnRenamed("pos", "_at") if "pos" in tokens.columns else tokens
     order = ["_at" if c == "pos" else c for c in order]
-    return order_rows(
-        unnumbered, keys, order, previous={"prev": "token"}, max_group_rows=max_group_rows, fits=fits
-    ).drop("_at")
+    return order_rows(unnumbered, keys, order, previous={"prev": "token"}).drop("_at")
 
 
 def fit(positions: DataFrame, *, seed: int = 0) -> Transitions:

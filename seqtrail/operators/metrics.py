@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqtrail.functions.numbers import ratio
+from seqtrail.functions.storage import cut
 from seqtrail.functions.ordered import lookup, running_total
 from seqtrail.functions.text import mean_sd_cell
 from seqtrail.operators.sequences import ROW
@@ -118,15 +119,16 @@ def exact_quantiles(
     is ever gathered in one place however many distinct values it has.
     """
     by = list(by)
-    counts = rows.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n")
+    counts = cut(
+        rows.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     )
     placed = running_total(counts, by, ["_v"], F.col("_n"), "_end")
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
     asked = totals.withColumn(
         "probability", F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
     ).withColumn("_at", (F.col("_total") - 1) * F.col("probability"))
-    candidates = lookup(placed, asked, by, "inner")
+    # Without groups there is one row per probability asked for.
+    candidates = lookup(placed, asked, by, "inner") if by else placed.join(F.broadcast(asked))
 
     def holds(index: Column) -> Column:
         return (F.col("_end") > index) & (F.col("_end") - F.col("_n") <= index)

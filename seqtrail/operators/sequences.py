@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqtrail.functions.numbers import int_div
-from seqtrail.functions.ordered import MAX_GROUP_ROWS, order_rows, running_total
+from seqtrail.functions.ordered import order_rows, running_total
 from seqtrail.functions.timing import delta_category, delta_seconds, is_first_or_slow
 
 ROW = "<ROW>"  # fixed value: row delimiter of a session string
@@ -29,13 +29,9 @@ def order_windows(
     *,
     keys: Sequence[str] = ("idx", "kind", "control_idx"),
     order: Sequence[str] = ("us", "event_id"),
-    max_group_rows: int = MAX_GROUP_ROWS,
-    fits: bool = False,
 ) -> DataFrame:
     """Number the rows of each window and add the seconds since the row before."""
-    ordered = order_rows(
-        windows, keys, order, previous={"previous_us": "us"}, max_group_rows=max_group_rows, fits=fits
-    )
+    ordered = order_rows(windows, keys, order, previous={"previous_us": "us"})
     return ordered.withColumn("delta", delta_seconds(F.col("us"), F.col("previous_us"))).drop(
         "previous_us"
     )
@@ -87,13 +83,13 @@ def session_strings(
 
 
 def run_sessions(
-    ordered: DataFrame, keys: Sequence[str], value: str, *, max_group_rows: int = MAX_GROUP_ROWS
+    ordered: DataFrame, keys: Sequence[str], value: str
 ) -> DataFrame:
     """Number the runs of equal ``value`` along the positions of each group from 0."""
     with_previous = order_rows(
-        ordered.drop("pos"), keys, ["us", "event_id"], previous={"_before": value}, max_group_rows=max_group_rows
+        ordered.drop("pos"), keys, ["us", "event_id"], previous={"_before": value}
     )
     starts = (~F.col("_before").eqNullSafe(F.col(value))) & (F.col("pos") > 0)
     return running_total(
-        with_previous, keys, ["pos"], starts.cast("long"), "session", max_group_rows=max_group_rows
+        with_previous, keys, ["pos"], starts.cast("long"), "session"
     ).drop("_before")

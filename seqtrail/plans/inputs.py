@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqtrail.functions.ordered import groups_fit, lookup, neighbour, order_rows, running_total
+from seqtrail.functions.ordered import lookup, neighbour, order_rows, running_total
 from seqtrail.functions.storage import cut
 from seqtrail.functions.timing import HOUR, MINUTE, SECOND, epoch_micros
 from seqtrail.operators import cohort, markov, split, vocab
@@ -73,8 +73,7 @@ def anchors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def numbered_controls(spark: SparkSession, folder: str) -> DataFrame:
-    fits = groups_fit(audit_log(spark, folder), ["user_id"])
-    return cohort.number_controls(anchors(spark, folder), fits=fits)
+    return cohort.number_controls(anchors(spark, folder))
 
 
 def all_windows(spark: SparkSession, folder: str) -> DataFrame:
@@ -136,7 +135,6 @@ def token_sequences_and_vocabulary(
         SEQUENCE_KEYS,
         ["us", "event_id"],
         previous={"prev": "token", "previous_us": "us"},
-        fits=groups_fit(audit_log(spark, folder), ["user_id"]),
     )
     delta = (F.col("us") - F.col("previous_us")) / float(SECOND)
     return ordered.withColumn("delta", delta).drop("previous_us"), tokens
@@ -173,14 +171,11 @@ def customer_splits(actions: DataFrame) -> DataFrame:
     return split.fixed_split(actions.select("seq_id"), seed=SEED, key="seq_id")
 
 
-def word_tokens(actions: DataFrame, *, fits: bool = False) -> DataFrame:
-    """The words of every action, each action closed by ``<ROW>``, numbered per sequence.
-
-    ``fits`` says that no sequence of actions is oversized.
-    """
+def word_tokens(actions: DataFrame) -> DataFrame:
+    """The words of every action, each action closed by ``<ROW>``, numbered per sequence."""
     words = F.concat(F.split("token", " "), F.array(F.lit(ROW)))
     sized = actions.select("seq_id", "split", "pos", words.alias("words"))
-    ended = running_total(sized, ["seq_id"], ["pos"], F.size("words"), "_end", fits=fits)
+    ended = running_total(sized, ["seq_id"], ["pos"], F.size("words"), "_end")
     return ended.select(
         "seq_id", "split", (F.col("_end") - F.size("words")).alias("_start"), F.posexplode("words").alias("_i", "token")
     ).select("seq_id", "split", (F.col("_start") + F.col("_i")).alias("pos"), "token")
@@ -222,10 +217,6 @@ class LineModels:
     def rows(self) -> DataFrame:
         return cut(split.route(self.unsplit, self.splits, "seq_id"))
 
-    @cached_property
-    def fits(self) -> bool:
-        return groups_fit(self.rows, ["seq_id"])
-
     def part(self, name: str) -> DataFrame:
         return self.rows.filter(F.col("split") == name)
 
@@ -248,14 +239,14 @@ class LineModels:
 
     @cached_property
     def words(self) -> markov.Transitions:
-        words = word_tokens(self.part("train"), fits=self.fits)
+        words = word_tokens(self.part("train"))
         # The words are numbered already, so looking one back needs no new order.
         positions = neighbour(words, ["seq_id"], "pos", {"prev": "token"}, step=-1)
         return markov.fit(positions, seed=MODEL_SEED)
 
     @cached_property
     def wb(self) -> DataFrame:
-        words = word_tokens(self.part("test"), fits=self.fits)
+        words = word_tokens(self.part("test"))
         positions = neighbour(words, ["seq_id"], "pos", {"prev": "token"}, step=-1)
         scored = markov.score(self.words, positions, skip_n=SKIP_N)
         return cut(scored.withColumn("model", F.lit("wb")).select(METRIC_COLUMNS))

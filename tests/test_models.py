@@ -106,8 +106,7 @@ def test_valid_vocabulary(spark):
     assert rows(metrics.restrict_to_valid(probs, valid, ["k"], prob="p"), "token", "p") == [("a", 0.5), ("b", 0.5)]
 
 
-@pytest.mark.parametrize("limit", [2, 1000])
-def test_chunks(spark, limit):
+def test_chunks(spark):
     sequences = {1: ["R", "a", "b", "R", "R", "c", "R", "d"], 2: ["a", "b"], 3: ["a", "R"]}
     data = [
         (s, p, "<ROW>" if t == "R" else t, "a", int(t == "a"), 1, 0.5, 1.0, 0.25)
@@ -117,7 +116,7 @@ def test_chunks(spark, limit):
     df = spark.createDataFrame(
         data, "seq_id long, pos long, label string, pred string, correct int, topk_correct int, ce double, entropy double, confidence double"
     )
-    got = chunks.chunk_metrics(df, ["seq_id"], max_group_rows=limit)
+    got = chunks.chunk_metrics(df, ["seq_id"])
     assert rows(got, "seq_id", "chunk_id", "label_text", "pred_text", "correct") == [
         (1, 1, "a b", "a a", 0), (1, 3, "c", "a", 0), (3, 0, "a", "a", 1)
     ]

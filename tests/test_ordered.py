@@ -30,19 +30,27 @@ def expected(skewed):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("limit", [3, 7, 60, 10**6])
-def test_order_rows_does_not_depend_on_the_limit(skewed, limit):
-    got = ordered.order_rows(
-        skewed, ["k"], ["us", "id"], previous={"p": "us"}, following={"n": "us"}, max_group_rows=limit
-    )
+@pytest.fixture(params=["1", "2", "5", "40"])
+def slices(spark, request):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_order_rows_does_not_depend_on_the_slices(skewed, slices):
+    got = ordered.order_rows(skewed, ["k"], ["us", "id"], previous={"p": "us"}, following={"n": "us"})
     assert rows(got, "k", "id", "pos", "p", "n") == expected(skewed)
 
 
-@pytest.mark.parametrize("limit", [5, 10**6])
-def test_running_total(skewed, limit):
-    got = ordered.running_total(
-        skewed, ["k"], ["us", "id"], F.col("id"), "total", max_group_rows=limit
-    )
+def test_null_keys_are_a_group(spark, slices):
+    df = spark.createDataFrame([(None, i) for i in range(50)] + [("a", i) for i in range(30)], "k string, id long")
+    got = ordered.order_rows(df, ["k"], ["id"], previous={"p": "id"})
+    assert all(r["pos"] == r["id"] and r["p"] == (r["id"] - 1 if r["id"] else None) for r in got.collect())
+
+
+def test_running_total(skewed, slices):
+    got = ordered.running_total(skewed, ["k"], ["us", "id"], F.col("id"), "total")
     totals = {}
     for k, _, i, total in sorted(rows(got, "k", "us", "id", "total"), key=lambda r: (r[0], r[1], r[2])):
         totals[k] = totals.get(k, 0) + i
@@ -68,7 +76,7 @@ def test_rank_by_hash(skewed):
 
 def test_lookup_equals_join(spark, skewed):
     small = spark.createDataFrame([("hot", 1), ("k1", 2)], "k string, v int")
-    got = ordered.lookup(skewed, small, ["k"], salts=3)
+    got = ordered.lookup(skewed, small, ["k"])
     want = skewed.join(small, "k", "left")
     assert rows(got, "k", "id", "v") == rows(want, "k", "id", "v")
 
@@ -96,9 +104,7 @@ def test_partition_count_does_not_matter(spark, skewed):
     try:
         for n in ("1", "13"):
             spark.conf.set("spark.sql.shuffle.partitions", n)
-            got = ordered.order_rows(
-                skewed, ["k"], ["us", "id"], previous={"p": "us"}, following={"n": "us"}, max_group_rows=20
-            )
+            got = ordered.order_rows(skewed, ["k"], ["us", "id"], previous={"p": "us"}, following={"n": "us"})
             assert rows(got, "k", "id", "pos", "p", "n") == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
