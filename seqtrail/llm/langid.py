@@ -16,8 +16,8 @@ from seqtrail.llm.common import slices
 #: Hash buckets of the n-grams of one to three bytes.
 DIMENSIONS = 4096
 #: Bounds of the fitting sample: documents per language and in all.
-PER_LANGUAGE = 600
-SAMPLE = 6000
+PER_LANGUAGE = 400
+SAMPLE = 3000
 CENTROIDS = 4
 #: Windows of fitting texts, in characters, that show how similar short texts are.
 WINDOWS = (16, 40, 100, 250, 600)
@@ -118,36 +118,43 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
         .mapInArrow(count, "lang string, whole boolean, grams binary, counts binary")
         .toArrow()
     )
-    n = found.num_rows
-    counts = np.zeros((n, DIMENSIONS), np.float32)
-    for row, (g, c) in enumerate(zip(found.column("grams").to_pylist(), found.column("counts").to_pylist(), strict=True)):
-        counts[row, np.frombuffer(g, np.uint16)] = np.frombuffer(c, np.uint32)
-    names, whole = np.array(found.column("lang").to_pylist(), object), found.column("whole").to_numpy().astype(bool)
-    return fit_counts(counts, names, whole)
-
-
-def fit_counts(counts: np.ndarray, names: np.ndarray, whole: np.ndarray) -> Model:
-    """Centroids from whole texts; the similarity floor also from windows of them."""
-    order = np.lexsort((counts.sum(1), whole, names.astype(str))) if len(names) else np.zeros(0, np.int64)
-    counts, names, whole = counts[order], names[order], whole[order]
-    languages = sorted(set(names.tolist()))
-    seen = (counts[whole] > 0).sum(0)
-    idf = (np.log((1 + whole.sum()) / (1 + seen)) + 1).astype(np.float32)
+    rows = zip(*(found.column(c).to_pylist() for c in ("lang", "whole", "grams", "counts")), strict=True)
+    # In an order of their own, whatever order the tasks ended in.
+    return fit_counts(sorted(rows))
+
+
+def _dense(rows: list[tuple]) -> np.ndarray:
+    counts = np.zeros((len(rows), DIMENSIONS), np.float32)
+    for at, (_, _, grams, n) in enumerate(rows):
+        counts[at, np.frombuffer(grams, np.uint16)] = np.frombuffer(n, np.uint32)
+    return counts
+
+
+def fit_counts(rows: list[tuple]) -> Model:
+    """The model of (language, whole text?, grams, counts) rows, grams and counts as packed arrays.
+
+    Centroids come from whole texts, the similarity floor also from windows of them.
+    """
+    whole = [r for r in rows if r[1]]
+    languages = sorted({r[0] for r in whole})
+    counts = _dense(whole)
+    idf = (np.log((1 + len(whole)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
     model = Model(languages, np.zeros(0, np.int64), np.zeros((0, DIMENSIONS), np.float32), idf, np.zeros(41, np.float32))
     if not languages:
         return model
     vectors = model.vectors(counts)
+    names = np.array([r[0] for r in whole], object)
     centroids, owner = [], []
     for at, language in enumerate(languages):
-        own = vectors[(names == language) & whole]
+        own = vectors[names == language]
         found = _clusters(own, max(1, min(CENTROIDS, len(own) // 20)))
         centroids.append(found)
         owner += [at] * len(found)
     model.centroids, model.owner = np.concatenate(centroids), np.array(owner)
-    similarity = (vectors @ model.centroids.T).max(1)
-    size = _size(counts)
     least = np.full(41, np.inf, np.float32)
-    np.minimum.at(least, size, similarity)
+    for at in range(0, len(rows), 512):
+        counts = _dense(rows[at : at + 512])
+        np.minimum.at(least, _size(counts), (model.vectors(counts) @ model.centroids.T).max(1))
     # Lengths that the sample lacks take the floor of the next shorter one, or none.
     floor, last = np.zeros(41, np.float32), np.float32(0)
     for i in range(41):
