@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from seqtrail.llm.quality_rules import ERROR, MIN_WORDS, RISK, RULES
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op1_warc"] = r"""
@@ -29,3 +31,64 @@ m AS (
 SELECT h.page_id, h.host, h.path, m.rule, coalesce(m.action, 'allow') AS verdict
 FROM h LEFT JOIN m ON m.page_id = h.page_id AND m.place = 1
 """
+
+
+def _quality_sql() -> str:
+    scores = ", ".join(f"coalesce(({score}) * 1e0, 0) AS s_{name}" for name, (score, _) in RULES.items())
+    tests = sum(len(cutoffs) for _, cutoffs in RULES.values())
+    risk = f"({RISK!r} / {len(RULES)}.0e0)"
+    rejected = " UNION ALL ".join(
+        f"SELECT stratum, '{name}' AS rule, {c!r} * 1e0 AS cutoff, count(*) FILTER (s_{name} > {c!r} * 1e0) AS rejected"
+        " FROM holdout GROUP BY stratum"
+        for name, (_, cutoffs) in RULES.items()
+        for c in cutoffs
+    )
+    over = " OR ".join(
+        f"coalesce(s_{name} > (SELECT cutoff FROM best b WHERE b.stratum = c.stratum AND b.rule = '{name}'), false)"
+        for name in RULES
+    )
+    return rf"""
+WITH w AS MATERIALIZED (
+  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+windows AS MATERIALIZED (
+  SELECT doc_id, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) > 2)),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM windows
+  JOIN (SELECT doc_id, a, b, c FROM windows GROUP BY ALL HAVING count(*) > 1) USING (doc_id, a, b, c)
+  CROSS JOIN (VALUES (0), (1), (2)) t(k) GROUP BY doc_id),
+base AS MATERIALIZED (
+  SELECT doc_id, stratum, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(length(text) - length(replace(text, '!', '')) AS BIGINT) AS n_shouts,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN covered USING (doc_id)),
+counts AS MATERIALIZED (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, {scores} FROM base),
+holdout AS MATERIALIZED (
+  SELECT * FROM counts WHERE NOT base_failed
+    AND doc_id IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1)),
+sizes AS MATERIALIZED (SELECT stratum, count(*) AS n, count(*) OVER () AS strata FROM holdout GROUP BY stratum),
+terms AS (
+  SELECT stratum, n, strata, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({risk})
+    + (n - k) * ln(1 - {risk})) AS p
+  FROM (SELECT *, unnest(range(0, CAST(floor(n * {risk}) AS BIGINT) + 1)) AS k FROM sizes)),
+allowed AS MATERIALIZED (
+  SELECT stratum, max(k) AS allowed FROM (
+    SELECT *, sum(p) OVER (PARTITION BY stratum ORDER BY k) AS below FROM terms)
+  WHERE below <= {ERROR!r} / {tests}.0e0 / strata GROUP BY stratum),
+best AS MATERIALIZED (
+  SELECT stratum, rule, min(cutoff) AS cutoff FROM ({rejected}) JOIN allowed USING (stratum)
+  WHERE rejected <= allowed GROUP BY stratum, rule)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT ({over}) AS kept
+FROM counts c
+"""
+
+
+ORACLES["op3_quality_rules"] = _quality_sql()

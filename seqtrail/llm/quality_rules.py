@@ -17,12 +17,12 @@ MIN_WORDS = 50
 
 #: Rules: a score that is higher for worse texts, from the base counts, and its cutoffs.
 RULES: dict[str, tuple[str, Sequence[float]]] = {
-    "symbols": ("n_symbols / n_words", (0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.3, 0.5, 0.8)),
-    "repeats": ("n_repeat_words / n_words", (0.05, 0.08, 0.12, 0.16, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45)),
+    "symbols": ("n_symbols / nullif(n_words, 0)", (0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.3, 0.5, 0.8)),
+    "repeats": ("n_repeat_words / nullif(n_words, 0)", (0.05, 0.08, 0.12, 0.16, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45)),
     "lines": ("n_dup_lines / (n_dup_lines + 5)", (0.16, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)),
-    "long_words": ("word_chars / n_words", (5.0, 5.5, 6.0, 6.5, 7.0, 8.0, 9.0, 11.0, 15.0)),
-    "short_words": ("-word_chars / n_words", (-5.0, -4.5, -4.0, -3.5, -3.0, -2.5, -2.0)),
-    "shouts": ("n_shouts / n_words", (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.8)),
+    "long_words": ("word_chars / nullif(n_words, 0)", (5.0, 5.5, 6.0, 6.5, 7.0, 8.0, 9.0, 11.0, 15.0)),
+    "short_words": ("-word_chars / nullif(n_words, 0)", (-5.0, -4.5, -4.0, -3.5, -3.0, -2.5, -2.0)),
+    "shouts": ("n_shouts / nullif(n_words, 0)", (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.8)),
 }
 
 
@@ -181,8 +181,11 @@ def apply_cutoffs(
     counts: DataFrame, cutoffs: DataFrame, rules: Mapping[str, tuple[str, Sequence[float]]] = RULES
 ) -> DataFrame:
     """``counts`` with ``kept``: passes the base checks and exceeds no cutoff of its stratum."""
-    wide = cutoffs.groupBy("stratum").agg(
-        *[F.max(F.when(F.col("rule") == name, F.col("cutoff"))).alias(f"cut_{name}") for name in rules]
+    # Stored, so that Spark knows its size: it is broadcast if small, or else a large stratum is split.
+    wide = cut(
+        cutoffs.groupBy("stratum").agg(
+            *[F.max(F.when(F.col("rule") == name, F.col("cutoff"))).alias(f"cut_{name}") for name in rules]
+        )
     )
     met = scored(counts, rules).join(wide, "stratum", "left")
     over = F.lit(False)
