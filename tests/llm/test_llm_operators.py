@@ -177,7 +177,7 @@ def test_tree_join_finds_what_all_pairs_find():
     points = np.array([shingle_join.point(s) for s in sets])
     sizes, owner = np.array([len(s) for s in sets]), np.arange(300) // 2
     tree = shingle_join.RTree(points, sizes, owner)
-    got = {tuple(sorted(map(int, p))) for x, y in shingle_join.tree_join(tree, None) for p in zip(x, y, strict=True)}
+    got = {tuple(sorted(map(int, p))) for x, y, _ in shingle_join.tree_join(tree, None) for p in zip(x, y, strict=True)}
     inside = np.minimum(points[:, None], points[None]).sum(2)
     good = (180 * inside >= 80 * (sizes[:, None] + sizes)) & (100 * np.minimum.outer(sizes, sizes) >= 80 * np.maximum.outer(sizes, sizes))
     assert got == {(i, j) for i in range(300) for j in range(i + 1, 300) if good[i, j] and owner[i] != owner[j]}
@@ -227,6 +227,15 @@ def test_cutoffs_reject_no_more_than_proven(spark):
     assert empty.count() == 0
 
 
+def test_quality_edge_rows(spark, texts):
+    rows = [(i, t, ["en", None][i % 2]) for i, t in texts.items()] + [(None, "null id", "en"), (0, texts[0], "en")]
+    docs = spark.createDataFrame(rows, TEXTS + ", lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    got = quality_rules.filter_quality(docs, labels).collect()
+    assert len(got) == len(rows)
+    assert all(r.base_failed and not r.kept for r in got if r.n_words == 0)
+
+
 # 4 ---------------------------------------------------------------------------------------
 
 
@@ -359,8 +368,8 @@ def test_best_fit_wastes_little_and_takes_the_tightest_bin():
 # 7 ---------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("frequent", [0, 50, 1 << 20])
-def test_ids_equal_tiktoken(spark, docs, texts, frequent):
+@pytest.mark.parametrize("rows", ["3", "10000"])
+def test_ids_equal_tiktoken(spark, docs, texts, rows):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     ranks = bpe.read_ranks(path)
     reference = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -370,9 +379,15 @@ def test_ids_equal_tiktoken(spark, docs, texts, frequent):
     more |= {3000: "don't we'll 's'S  x   y\n\n z", 3001: "a" * 3000, 3002: " " * 500 + "b", 3003: more[2005]}
     all_texts = texts | more
     both = docs.select("doc_id", "text", F.lit("x").alias("ids")).union(spark.createDataFrame([(i, t, "y") for i, t in more.items()], TEXTS + ", ids string"))
-    rows = bpe.text_rows(both)
-    made = bpe.decode_texts(bpe.encode_texts(rows.select("digest", "text"), ranks, pattern, frequent=frequent), ranks)
-    got = {r.doc_id: r for r in rows.select("doc_id", "digest").join(made, "digest").collect()}
+    both = common.cut(both)
+    texts_of = bpe.text_rows(both)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        made = bpe.decode_texts(bpe.encode_texts(texts_of.select("digest", "text"), ranks, pattern), ranks).dropDuplicates(["digest"])
+        got = {r.doc_id: r for r in texts_of.select("doc_id", "digest").join(made, "digest").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert len(got) == len(all_texts)
     for i, r in got.items():
         text = all_texts[i] or ""
@@ -391,7 +406,7 @@ def test_encoding_edge_rows(spark):
 
 
 def test_packed_numbers_come_back():
-    values = np.array([0, 1, 127, 128, 129, 16383, 16384, 2**21 - 1, 5])
+    values = np.array([0, 1, 127, 128, 129, 16383, 16384, 2**21 - 1, 2**21, 2**28 - 1, 5])
     assert bpe.unpack_numbers(bpe.pack_numbers(values)).tolist() == values.tolist()
     assert bpe.unpack_numbers(b"").tolist() == []
 
@@ -415,15 +430,23 @@ def test_shards_hold_every_sequence_at_its_slot(spark, docs, texts, tmp_path):
 
     folder = str(tmp_path / "shards")
     index, _ = training_order.materialise(docs, encoder, key="k", filler=65_535, length=64, per_shard=100, folder=folder)
-    index = {r.slot: r for r in index.collect()}
-    assert sorted(index) == list(range(sum(-(-len(t or "") // 64) for t in texts.values())))
+    members = {}
+    for r in index.collect():
+        members.setdefault(r.slot, []).append(r)
     read = training_order.read_shards(spark, folder, 100, 64, 65_535, "<u2").collect()
-    assert sorted(r.slot for r in read) == sorted(index)
+    assert sorted(r.slot for r in read) == sorted(members) == list(range(len(read)))
+    seen = {}
     for r in read:
-        row = index[r.slot]
-        text = texts[row.doc_id][row.piece * 64 : (row.piece + 1) * 64]
-        assert np.frombuffer(r.ids, "<u2").tolist() == [ord(c) % 60_000 for c in text]
-        assert (r.shard, r.byte_start, row.shard) == (r.slot // 100, r.slot % 100 * 65 * 2, r.slot // 100)
+        ids = np.frombuffer(r.ids, "<u2").tolist()
+        assert (r.shard, r.byte_start) == (r.slot // 100, r.slot % 100 * 65 * 2)
+        assert len(ids) == r.n_tokens == max(m.at + m.n_tokens for m in members[r.slot])
+        for m in members[r.slot]:
+            assert m.shard == r.shard
+            body = texts[m.doc_id][m.start : m.start + m.n_tokens]
+            assert ids[m.at : m.at + m.n_tokens] == [ord(c) % 60_000 for c in body]
+            seen[m.doc_id] = seen.get(m.doc_id, 0) + m.n_tokens
+    assert seen == {i: len(t) for i, t in texts.items() if t}
+    index = members
     for shard in range(len(index) // 100 + 1):
         files = [f for f in os.listdir(f"{folder}/shard={shard}") if f.startswith("part-")]
         assert len(files) == 1
@@ -476,7 +499,7 @@ def test_quality_of_held_out_texts(spark):
     assert np.mean([g > b for g in good for b in bad]) > 0.98
 
 
-def test_quality_edge_rows(spark, docs):
+def test_line_quality_edge_rows(spark, docs):
     labels = spark.createDataFrame([(i, i % 2) for i in range(0, 300)] + [(1, 0), (None, 1), (5, None)], "doc_id long, quality int")
     model = line_crf.fit(docs, labels)
     rows = [(1, None), (2, ""), (3, " \n \n"), (None, "a line"), (4, "word\n" * 20_000), (4, "x" * 300_000)]
