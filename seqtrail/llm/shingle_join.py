@@ -5,8 +5,12 @@ that two nodes that link share one (``node_keys``); nodes of one key form a buck
 node has a point, the counts of its shingles in 64 hash groups. In a bucket the points are
 bulk-loaded into an R-tree, which is joined with itself: the sum of coordinate minima
 bounds the overlap, of two boxes as of two points. Pairs that survive the bound are
-verified on their whole sets. Nodes of a bucket that are already connected by verified
-links are not compared again, so a group of many near copies costs no pair of each two.
+verified on their whole sets.
+
+Pairs are looked at in three steps, and each time nodes that verified links connect already
+are not compared again, so that a group of many near copies costs no pair of each two:
+every node with one node of each of its buckets, every node with the nearest point of its
+bucket, and at last every node with all points of its buckets within the bound.
 """
 
 from __future__ import annotations
@@ -33,14 +37,18 @@ FANOUT = 24
 #: Buckets beyond this many nodes are cut into blocks that are joined two by two.
 BLOCK = 2048
 KEY_BITS = 48
+#: The key that marks loose nodes; other keys are not negative.
+LOOSE = -1
 
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
 _STEPS = [U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0xD6E8FEB86659FD93), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)]
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BLANK = np.zeros(256, bool)
-_BLANK[[32, *range(9, 14)]] = True
+#: A-Z become lower case, blanks become zero and the zero byte takes the free place of the space.
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_FOLD[[32, *range(9, 14)]] = 0
+_FOLD[0] = 32
+_TABLE = _FOLD.tobytes()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -69,24 +77,28 @@ def hash_words(data: np.ndarray, chunk: int = 1 << 20) -> tuple[np.ndarray, np.n
     starts, hashes, at = [], [], 0
     while at < len(data):
         end = min(len(data), at + chunk)
+        b = np.frombuffer(data[at:end].tobytes().translate(_TABLE), np.uint8)
         if end < len(data):
-            blank = np.flatnonzero(_BLANK[data[at:end]])
+            blank = np.flatnonzero(b == 0)
             if len(blank):
-                end = at + int(blank[-1]) + 1
+                b = b[: int(blank[-1]) + 1]
             else:
-                later = np.flatnonzero(_BLANK[data[end:]])
-                end = end + int(later[0]) + 1 if len(later) else len(data)
-        b = _LOWER[data[at:end]]
-        word = np.concatenate(([False], ~_BLANK[b], [False]))
+                rest = np.frombuffer(data[at:].tobytes().translate(_TABLE), np.uint8)
+                later = np.flatnonzero(rest == 0)
+                b = rest[: int(later[0]) + 1] if len(later) else rest
+        n = len(b)
+        word = np.zeros(n + 2, bool)
+        np.not_equal(b, 0, out=word[1:-1])
         edge = np.flatnonzero(word[1:] != word[:-1])
         first, last = edge[::2], edge[1::2]
-        size = max(chunk, 1 << int(np.ceil(np.log2(len(b) + 1))))
-        power, inverse = _powers(size)
-        total = np.concatenate((np.zeros(1, U), np.cumsum((b.astype(U) + U(1)) * power[: len(b)], dtype=U)))
+        power, inverse = _powers(max(chunk, 1 << n.bit_length()))
+        total = np.zeros(n + 1, U)
+        np.multiply(b, power[:n], out=total[1:])
+        np.cumsum(total, out=total)
         h = (total[last] - total[first]) * inverse[first]
         hashes.append(mix(h + (last - first).astype(U) * _STEPS[2]))
         starts.append(first + at)
-        at = end
+        at += n
     if not starts:
         return np.zeros(0, np.int64), np.zeros(0, U)
     return np.concatenate(starts), np.concatenate(hashes)
@@ -105,7 +117,9 @@ def shingle_set(words: np.ndarray) -> np.ndarray:
     total = np.zeros(n - WIDTH + 1, U)
     for i in range(WIDTH):
         total += words[i : n - WIDTH + 1 + i] * _STEPS[i]
-    return np.unique(mix(total))
+    total = mix(total)
+    total.sort()
+    return total[np.concatenate(([True], total[1:] != total[:-1]))]
 
 
 def set_of(text: str | None) -> np.ndarray:
@@ -232,8 +246,8 @@ def _far(a, i: int, b, j: int) -> bool:
     return not overlap_reaches(inside, small_a[i], small_b[j])
 
 
-def tree_join(a: RTree, b: RTree | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (in the order given at loading) of pairs of different owners that may link."""
+def tree_join(a: RTree, b: RTree | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of different owners that may link: positions (as given at loading) and bound of the overlap."""
     other, itself = (a, True) if b is None else (b, False)
     stack = [(len(a.levels) - 1, 0, len(other.levels) - 1, 0)]
     while stack:
@@ -259,7 +273,7 @@ def tree_join(a: RTree, b: RTree | None) -> Iterator[tuple[np.ndarray, np.ndarra
             good &= np.tri(*good.shape, -1, dtype=bool).T
         p, q = np.nonzero(good)
         if len(p):
-            yield a.order[p + i * FANOUT], other.order[q + j * FANOUT]
+            yield a.order[p + i * FANOUT], other.order[q + j * FANOUT], inside[p, q]
 
 
 def _batch(names: list[str], *columns) -> pa.RecordBatch:
@@ -267,85 +281,92 @@ def _batch(names: list[str], *columns) -> pa.RecordBatch:
 
 
 def _members(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the text, node, size and looseness of each document."""
+    """doc_id, digest of the text, node and size of each document."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
-            nodes, sizes, loose = [], [], []
+            nodes, sizes = [], []
             for items in sets_of(batch.column("text")):
                 nodes.append(identity(items))
                 sizes.append(len(items))
-                loose.append(node_keys(items)[1])
             yield _batch(
-                ["doc_id", "digest", "node", "size", "loose"],
-                batch.column("doc_id"), batch.column("digest"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), loose,
+                ["doc_id", "digest", "node", "size"],
+                batch.column("doc_id"), batch.column("digest"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
             )
 
-    return docs.mapInArrow(find, "doc_id long, digest long, node long, size long, loose boolean")
+    return docs.mapInArrow(find, "doc_id long, digest long, node long, size long")
+
 
+def _keyed(docs: DataFrame, *, prefixes: bool = False) -> DataFrame:
+    """Rows (key, node); each task hands out a set's keys once, however many copies it sees.
 
-def _keyed(docs: DataFrame, *, prefixes: bool) -> DataFrame:
-    """Rows (key, node, loose); each task hands out a set's keys once, however many copies it sees."""
+    A loose node is marked by the key LOOSE, twice, so that it makes a bucket. With
+    ``prefixes`` every node hands out its prefix.
+    """
 
     def hand_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches, 256):
-            keys, nodes, flags = [], [], []
+            keys, nodes = [], []
             for items in sets_of(batch.column("text")):
                 node = identity(items)
                 if node is None or node in seen:
                     continue
                 seen.add(node)
-                found, loose = node_keys(items)
                 if prefixes:
                     found = (prefix_keys(items) >> U(64 - KEY_BITS)).astype(np.int64)
+                else:
+                    found, loose = node_keys(items)
+                    if loose:
+                        keys.append(np.array([LOOSE, LOOSE]))
+                        nodes.append(np.array([node, 0]))
                 keys.append(found)
                 nodes.append(np.full(len(found), node, np.int64))
-                flags.append(np.full(len(found), loose))
             if keys:
-                columns = [np.concatenate(keys), np.concatenate(nodes)]
-                if prefixes:
-                    columns.append(np.concatenate(flags))
-                yield _batch(["key", "node", "loose"][: len(columns)], *columns)
+                yield _batch(["key", "node"], np.concatenate(keys), np.concatenate(nodes))
 
-    return docs.mapInArrow(hand_out, "key long, node long" + ", loose boolean" * prefixes)
+    return docs.mapInArrow(hand_out, "key long, node long")
 
 
 def _buckets(keyed: DataFrame) -> DataFrame:
-    """Rows (key, node, first) of keys with two nodes or more; ``first`` is the key's least node.
+    """Rows (key, node, first) of keys with two nodes or more; ``first`` is one node of the key.
 
     Keys are dealt and sorted by Spark and read as a stream, so a key that a third of all
-    nodes have needs no more memory than another.
+    nodes have needs no more memory than another. Nodes that several tasks saw are told once
+    a batch.
     """
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Of the run that the last batch ended in: key, first node, last node, is the first told?
-        key, first, last, told = None, None, None, True
+        # Of the run that the last batch ended in: key, first node, is the first told?
+        key, first, told = None, None, True
         for batch in batches:
             keys, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            order = np.lexsort((nodes, keys))
+            keys, nodes = keys[order], nodes[order]
             fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])))
-            if len(keys) and key is not None and keys[0] == key and nodes[0] == last:
-                fresh[0] = False
+            if key is not None and keys[0] == key:
+                # The run goes on; its first node is known already.
+                fresh[: np.searchsorted(keys, key, "right")] &= nodes[: np.searchsorted(keys, key, "right")] != first
             keys, nodes = keys[fresh], nodes[fresh]
             if not len(keys):
                 continue
             at, count = runs(keys)
-            firsts = nodes[at]
-            tell = np.repeat(count > 1, count)
-            head = []
-            if key is not None and keys[0] == key:
-                firsts[0] = first
-                tell[: count[0]] = True
-                if not told:
-                    head = [(key, first)]
-            centre = np.repeat(firsts, count)
-            out = [np.concatenate((np.array([x[i] for x in head], np.int64), c[tell])) for i, c in enumerate((keys, nodes))]
-            centres = np.concatenate((np.array([x[1] for x in head], np.int64), centre[tell]))
-            key, first, last, told = keys[-1], firsts[-1], nodes[-1], bool(tell[-1])
-            if len(centres):
-                yield _batch(["key", "node", "first"], *out, centres)
-
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "node")
+            firsts, tell, head = nodes[at], count > 1, []
+            if keys[0] == key:
+                firsts[0], tell[0] = first, True
+                head = [] if told else [first]
+            rows = np.flatnonzero(np.repeat(tell, count))
+            if len(rows):
+                before = np.array(head, np.int64)
+                yield _batch(
+                    ["key", "node", "first"],
+                    np.concatenate((np.full(len(head), keys[0]), keys[rows])),
+                    np.concatenate((before, nodes[rows])),
+                    np.concatenate((before, np.repeat(firsts[tell], count[tell]))),
+                )
+            key, first, told = keys[-1], firsts[-1], bool(tell[-1])
+
+    dealt = keyed.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(stream, "key long, node long, first long")
 
 
@@ -418,13 +439,72 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 link.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
             yield _batch(["a", "b", "common", "link"], batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), link)
 
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    # Stored, so that Spark knows the sizes: few nodes are broadcast, and only their texts travel.
+    pairs = cut(pairs)
+    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    used = texts.select("node", "text").join(needed, "node", "left_semi")
+    one = used.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    two = used.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(one, "a").join(two, "b").mapInArrow(verify, "a long, b long, common long, link boolean")
 
 
-def _searched(buckets: DataFrame, roots: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of one bucket, not yet connected, whose points allow a link."""
+def _points(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(-1, GROUPS)
+
+
+def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    return _batch(["a", "b"], np.minimum(x, y), np.maximum(x, y))
+
+
+class Nearest:
+    """The partner with the greatest bound for each of some points."""
+
+    def __init__(self, count: int):
+        self.inside, self.partner = np.full(count, -1), np.zeros(count, np.int64)
+
+    def offer(self, at: np.ndarray, partner: np.ndarray, inside: np.ndarray) -> None:
+        order = np.argsort(inside, kind="stable")
+        order = order[inside[order] > self.inside[at[order]]]
+        # Of repeated places the last assignment stays, which is the greatest.
+        self.inside[at[order]], self.partner[at[order]] = inside[order], partner[order]
+
+    def pairs(self, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = self.inside >= 0
+        if found.any():
+            yield _pairs(nodes[found], self.partner[found])
+
+
+def _leaves(rows: pa.RecordBatch, nearest: bool) -> Iterator[pa.RecordBatch]:
+    """The joins of many buckets at once whose tree is a single leaf."""
+    node, root, size = (rows.column(c).to_numpy() for c in ("node", "root", "size"))
+    vectors, best = None, Nearest(len(node))
+    at, count = runs(rows.column("key").to_numpy())
+    for n in np.unique(count):
+        i, j = np.triu_indices(n, 1)
+        first = at[count == n][:, None]
+        x, y = (first + i).ravel(), (first + j).ravel()
+        fits = (root[x] != root[y]) & (100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y]))
+        x, y = x[fits], y[fits]
+        if len(x) and vectors is None:
+            vectors = _points(rows.column("point"))
+        for part in range(0, len(x), 1 << 16):
+            a, b = x[part : part + (1 << 16)], y[part : part + (1 << 16)]
+            inside = np.minimum(vectors[a], vectors[b]).sum(1)
+            good = overlap_reaches(inside, size[a], size[b])
+            a, b, inside = a[good], b[good], inside[good]
+            if nearest:
+                best.offer(a, node[b], inside)
+                best.offer(b, node[a], inside)
+            elif len(a):
+                yield _pairs(node[a], node[b])
+    yield from best.pairs(node)
+
+
+def _searched(buckets: DataFrame, roots: DataFrame, points: DataFrame, *, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of nodes of one bucket, not yet connected, whose points allow a link.
+
+    With ``nearest`` only the nearest such point of each node in each block of a bucket.
+    """
     rooted = buckets.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     open_keys = (
         rooted.groupBy("key")
@@ -448,35 +528,47 @@ def _searched(buckets: DataFrame, roots: DataFrame, points: DataFrame) -> DataFr
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not held or sum(x.num_rows for x in held) < 2:
-                held.clear()
-                return
-            table = pa.Table.from_batches(held).combine_chunks()
-            held.clear()
-            vectors = np.frombuffer(b"".join(table.column("point").to_pylist()), np.int32).reshape(-1, GROUPS)
-            node, root, size, block = (table.column(c).to_numpy() for c in ("node", "root", "size", "mine"))
-            left = block == table.column("p")[0].as_py()
-            trees = [(RTree(vectors[s], size[s], root[s]), node[s]) for s in (left, ~left) if s.any()]
-            if len(trees) == 1 and table.column("p")[0].as_py() != table.column("q")[0].as_py():
+        def joined(rows: pa.RecordBatch | pa.Table) -> Iterator[pa.RecordBatch]:
+            node, root, size, block, p, q = (rows.column(c).to_numpy() for c in ("node", "root", "size", "mine", "p", "q"))
+            vectors = _points(rows.column("point"))
+            trees = [(RTree(vectors[s], size[s], root[s]), node[s]) for s in (block == p, block != p) if s.any()]
+            if len(trees) == 1 and p[0] != q[0]:
                 return
             (a, ids_a), (b, ids_b) = trees[0], trees[-1]
-            for x, y in tree_join(a, b if b is not a else None):
-                x, y = ids_a[x], ids_b[y]
-                yield _batch(["a", "b"], np.minimum(x, y), np.maximum(x, y))
+            best_a, best_b = Nearest(len(ids_a)), Nearest(len(ids_b))
+            for x, y, inside in tree_join(a, b if b is not a else None):
+                if nearest:
+                    best_a.offer(x, ids_b[y], inside)
+                    best_b.offer(y, ids_a[x], inside)
+                else:
+                    yield _pairs(ids_a[x], ids_b[y])
+            yield from best_a.pairs(ids_a)
+            yield from best_b.pairs(ids_b)
 
         current = None
         for batch in batches:
             k, p, q = (batch.column(c).to_numpy() for c in ("key", "p", "q"))
             changed = np.concatenate(([True], (k[1:] != k[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])))
             at = np.flatnonzero(changed)
-            for first, n in zip(at.tolist(), np.diff(np.append(at, len(k))).tolist(), strict=True):
+            count = np.diff(np.append(at, len(k)))
+            small = np.zeros(len(k), bool)
+            for i, (first, n) in enumerate(zip(at.tolist(), count.tolist(), strict=True)):
                 name = (k[first], p[first], q[first])
-                if name != current:
-                    yield from flush()
-                    current = name
-                held.append(batch.slice(first, n))
-        yield from flush()
+                if name != current and held:
+                    yield from joined(pa.Table.from_batches(held).combine_chunks())
+                    held.clear()
+                current = name
+                whole = i < len(at) - 1 and not held
+                if whole and n <= FANOUT and p[first] == q[first]:
+                    small[first : first + n] = True
+                elif whole:
+                    yield from joined(batch.slice(first, n))
+                else:
+                    held.append(batch.slice(first, n))
+            if small.any():
+                yield from _leaves(batch.filter(pa.array(small)), nearest)
+        if held:
+            yield from joined(pa.Table.from_batches(held).combine_chunks())
 
     sorted_rows = placed.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "node")
     return sorted_rows.mapInArrow(search, "a long, b long").distinct()
@@ -489,21 +581,23 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     not every pair is looked at.
     """
     members = cut(_members(docs))
-    buckets = _buckets(_keyed(docs, prefixes=False))
-    if not members.filter("loose").isEmpty():
+    buckets = cut(_buckets(_keyed(docs)))
+    loose = buckets.filter((F.col("key") == LOOSE) & (F.col("node") != 0)).select("node").distinct()
+    if not loose.isEmpty():
         # Exact way for loose sets: whatever shares a prefix shingle with one of them.
         keyed = cut(_keyed(docs, prefixes=True))
-        wanted = keyed.filter("loose").select("key").distinct()
-        buckets = buckets.unionByName(_buckets(keyed.drop("loose").join(wanted, "key", "left_semi")))
-    buckets = cut(buckets)
+        wanted = keyed.join(loose, "node", "left_semi").select("key").distinct()
+        more = _buckets(keyed.join(wanted, "key", "left_semi"))
+        buckets = cut(buckets.filter(F.col("key") != LOOSE).unionByName(more))
     texts = cut(_texts(docs, members, buckets.select("node").distinct()))
     stars = buckets.filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
     checked = cut(_verified(_bounded(stars, texts), texts))
-    roots = connected(checked.filter("link"))
-    tried = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = _searched(buckets, roots, texts).join(tried, ["a", "b"], "left_anti")
-    more = cut(_verified(rest, texts))
-    return members, checked.filter("link").unionByName(more.filter("link")).select("a", "b", "common")
+    for nearest in (True, False):
+        roots = cut(connected(checked.filter("link")))
+        tried = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = _searched(buckets, roots, texts, nearest=nearest).join(tried, ["a", "b"], "left_anti")
+        checked = cut(checked.unionByName(_verified(found, texts)))
+    return members, checked.filter("link").select("a", "b", "common")
 
 
 def components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
