@@ -51,40 +51,70 @@ def permute(index: np.ndarray, n: int, key: str, *, back: bool = False) -> np.nd
     return x.astype(np.int64)
 
 
+#: Where the parts of texts lie in a sequence.
+PARTS = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int32()), ("at", pa.int32())]))
+
+
 def sequences(
     docs: DataFrame, encode: Callable[[], Callable[[list[str]], list[list[int]]]], length: int, filler: int, dtype: str, *, doc_id: str, text: str
 ) -> DataFrame:
-    """doc_id, piece, n_tokens, ids, part, row: texts encoded and cut into sequences of ``length`` ids.
+    """ids, parts, part, row: the encoded texts of each task, one after the other, in sequences of ``length``.
 
-    ``encode`` makes the encoder inside a task. The last sequence of a text is filled up.
-    (part, row) numbers the rows of each task; the table is stored, which fixes them.
+    ``encode`` makes the encoder inside a task. A filler id stands between two texts; the
+    last sequence of a task is filled up. ``parts`` tells which tokens of which document
+    lie where. (part, row) numbers the sequences; the table is stored, which fixes them.
     """
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, row = encode(), TaskContext.get().partitionId(), 0
+        current, fill = np.full(length, filler, dtype), 0
+        members: list[dict] = []
+        done: list[tuple[bytes, list[dict]]] = []
+
+        def close() -> None:
+            nonlocal current, fill, members
+            done.append((current.tobytes(), members))
+            current, fill, members = np.full(length, filler, dtype), 0, []
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            nonlocal row
+            n = len(done)
+            if n:
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([x for x, _ in done], pa.binary()), pa.array([m for _, m in done], PARTS),
+                        pa.array([part] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()),
+                    ],
+                    ["ids", "parts", "part", "row"],
+                )
+            row += n
+            done.clear()
+
         for batch in slices(batches, 64):
-            ids, pieces, sizes, bodies = [], [], [], []
             encoded = encoder([x or "" for x in batch.column(1).to_pylist()])
             for name, tokens in zip(batch.column(0).to_pylist(), encoded, strict=True):
-                padded = np.full(-(-len(tokens) // length) * length, filler, dtype)
-                padded[: len(tokens)] = tokens
-                for piece in range(len(padded) // length):
-                    ids.append(name)
-                    pieces.append(piece)
-                    sizes.append(min(length, len(tokens) - piece * length))
-                    bodies.append(padded[piece * length : (piece + 1) * length].tobytes())
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()), pa.array(pieces, pa.int32()), pa.array(sizes, pa.int32()), pa.array(bodies, pa.binary()),
-                    pa.array([part] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()),
-                ],
-                ["doc_id", "piece", "n_tokens", "ids", "part", "row"],
-            )
-            row += n
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text))
-    return cut(rows.mapInArrow(cut_up, "doc_id long, piece int, n_tokens int, ids binary, part int, row long"))
+                at, ids = 0, np.array(tokens, dtype)
+                while at < len(ids):
+                    n = min(length - fill, len(ids) - at)
+                    current[fill : fill + n] = ids[at : at + n]
+                    members.append({"doc_id": name, "start": at, "n_tokens": n, "at": fill})
+                    at, fill = at + n, fill + n
+                    if fill == length:
+                        close()
+                if fill:
+                    fill += 1
+                    if fill == length:
+                        close()
+            yield from rows()
+        if fill:
+            close()
+        yield from rows()
+
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text))
+    schema = "ids binary, parts array<struct<doc_id: long, start: long, n_tokens: int, at: int>>, part int, row long"
+    path = new_folder(docs.sparkSession, "sequences")
+    source.mapInArrow(cut_up, schema).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(schema).parquet(path)
 
 
 def with_slots(rows: DataFrame, key: str, per_shard: int) -> DataFrame:
@@ -112,31 +142,39 @@ def stride(length: int, dtype: str) -> int:
     return (length + 1) * np.dtype(dtype).itemsize
 
 
-def write_shards(rows: DataFrame, folder: str, filler: int, dtype: str) -> None:
+def write_shards(rows: DataFrame, folder: str, shards: int, filler: int, dtype: str, *, rounds: int = 4) -> None:
     """Write ``rows`` (ids, slot, shard) as one raw file per shard, in the order of the slots.
 
     Slots are dense, so record k of shard s is slot s * per_shard + k and starts at byte
-    k * stride. Spark's writer commits whole tasks, so a shard is never half there.
+    k * stride. Spark's writer commits whole tasks, so a shard is never half there. The
+    shards are made in ``rounds`` ranges, one after the other, so that only a part of the
+    sequences is in the shuffle at a time.
     """
     closing = np.array([filler], dtype).tobytes().decode("latin-1")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # The writer takes strings but writes their bytes as they are.
-    (
-        rows.select(F.col("ids").cast("string").alias("value"), "shard", "slot")
-        .repartitionByRange(parts, "shard")
-        .sortWithinPartitions("shard", "slot")
-        .drop("slot")
-        .write.partitionBy("shard")
-        .option("lineSep", closing)
-        .option("encoding", "ISO-8859-1")
-        .text(folder)
-    )
+    for r in range(rounds):
+        first, last = shards * r // rounds, shards * (r + 1) // rounds
+        if first == last:
+            continue
+        # The writer takes strings but writes their bytes as they are.
+        (
+            rows.filter((F.col("shard") >= first) & (F.col("shard") < last))
+            .select(F.col("ids").cast("string").alias("value"), "shard", "slot")
+            .repartitionByRange(parts, "shard")
+            .sortWithinPartitions("shard", "slot")
+            .drop("slot")
+            .write.mode("append")
+            .partitionBy("shard")
+            .option("lineSep", closing)
+            .option("encoding", "ISO-8859-1")
+            .text(folder)
+        )
 
 
 def read_shards(
     spark: SparkSession, folder: str, per_shard: int, length: int, filler: int, dtype: str, *, first_slot: int = 0
 ) -> DataFrame:
-    """slot, shard, byte_start, n_tokens, ids from ``first_slot`` on, shards in order.
+    """slot, shard, byte_start, n_tokens, ids from ``first_slot`` on; fillers at the end are left out.
 
     Reading can stop anywhere and go on from the next slot: earlier shards are not opened.
     A shard whose size is no whole number of records, or that lacks records, is an error.
@@ -153,7 +191,7 @@ def read_shards(
             for at in range(skip, len(table), 1024):
                 ids = table[at : at + 1024, :length]
                 n = len(ids)
-                counts = (ids != filler).sum(1)
+                counts = length - np.argmax(ids[:, ::-1] != filler, axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(at, at + n) + shard * per_shard, pa.int64()), pa.array([shard] * n, pa.int64()),
@@ -187,15 +225,16 @@ def materialise(
 ) -> tuple[DataFrame, str]:
     """Write all sequences of ``docs`` in training order; the index of slots, and the folder.
 
-    The index has doc_id, piece, n_tokens, slot and shard. Each sequence has one slot of
-    0..n-1, by a keyed permutation of the stored rows' numbers. ``filler`` must be an id
-    that ``encode`` never gives. Null and empty texts have no sequence. Repeated rows
-    get slots of their own; null doc_ids stay null; other columns are ignored. Without
-    any sequence no shard is written.
+    The index has slot, shard and, for each part of a text in a sequence, doc_id, start
+    (its first token in the text), n_tokens and at (its place in the sequence). Each
+    sequence has one slot of 0..n-1, by a keyed permutation of the stored sequences' numbers.
+    ``filler`` must be an id that ``encode`` never gives. Null and empty texts are in
+    no sequence. Repeated rows are kept one by one; null doc_ids stay null; other columns
+    are ignored. Without any sequence no shard is written.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "shards")
     rows = sequences(docs, encode, length, filler, dtype, doc_id=doc_id, text=text)
     placed = with_slots(rows, key, per_shard)
-    write_shards(placed, folder, filler, dtype)
-    return placed.drop("ids"), folder
+    write_shards(placed, folder, -(-rows.count() // per_shard), filler, dtype)
+    return placed.select("slot", "shard", F.inline("parts")), folder
