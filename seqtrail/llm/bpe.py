@@ -12,17 +12,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import tiktoken
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqtrail.llm.common import cut, slices
+from seqtrail.llm.common import slices
 
 #: The characters that Unicode calls white space, as members of a regex class.
 WHITE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-#: The commonest words travel to the tasks: at most so many, of at most so many bytes each.
-FREQUENT = 1 << 20
-FREQUENT_BYTES = 48
+
+#: A place: the task's partition, the block's number in it and the word's number in the block.
+BATCH_BITS, NUMBER_BITS = 14, 26
+#: A block is closed when it has so many pre-tokens: larger ones repeat fewer words.
+BLOCK_TOKENS = 6_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,14 +53,13 @@ def _token_bytes(ranks: frozenset) -> list[bytes | None]:
 
 
 def pack_numbers(values: np.ndarray) -> bytes:
-    """Numbers below 2**21 in one to three bytes, small ones short."""
-    two, three = values >= 1 << 7, values >= 1 << 14
-    size = 1 + two.astype(np.int64) + three
+    """Numbers below 2**28 in one to four bytes, small ones short; a set top bit says that more follow."""
+    size = 1 + sum((values >= 1 << 7 * k).astype(np.int64) for k in (1, 2, 3))
     at = np.cumsum(size) - size
     out = np.zeros(int(size.sum()), np.uint8)
-    out[at] = (values & 127) | (two << 7)
-    out[at[two] + 1] = ((values[two] >> 7) & 127) | (three[two] << 7)
-    out[at[three] + 2] = values[three] >> 14
+    for k in range(4):
+        has = size > k
+        out[at[has] + k] = ((values[has] >> 7 * k) & 127) | ((size[has] > k + 1) << 7)
     return out.tobytes()
 
 
@@ -67,8 +68,9 @@ def unpack_numbers(data: bytes) -> np.ndarray:
     at = np.flatnonzero(np.concatenate(([True], b[:-1] < 128))) if len(b) else np.zeros(0, np.int64)
     size = np.diff(np.append(at, len(b)))
     values = b[at] & 127
-    values[size > 1] |= (b[at[size > 1] + 1] & 127) << 7
-    values[size > 2] |= b[at[size > 2] + 2] << 14
+    for k in (1, 2, 3):
+        has = size > k
+        values[has] |= (b[at[has] + k] & 127) << 7 * k
     return values
 
 
@@ -91,135 +93,190 @@ def pre_tokens(texts: DataFrame, pattern: str) -> DataFrame:
     return common.union(texts.filter(odd).mapInArrow(split, "digest binary, words array<string>"))
 
 
-def word_ids(words: DataFrame, pattern: str, ranks: Broadcast) -> DataFrame:
-    """word, n, ids: each distinct word of ``words`` (word, n) encoded once, ids as 32-bit numbers."""
+def _blocks(
+    batches: Iterator[pa.RecordBatch],
+) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray, pa.Array]]:
+    """Blocks of a task's texts, each text once: number, digests, text ends, word numbers, words.
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = encoding(pattern, ranks.value).encode_ordinary
-        for batch in slices(batches, 4096):
-            ids = [np.array(one(w), "<u4").tobytes() for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(ids, pa.binary())], ["word", "n", "ids"])
+    A block gathers Arrow batches until it has BLOCK_TOKENS pre-tokens; only their places in
+    the block's word list are held. The distinct words are numbered by falling count, so
+    that common ones get small numbers.
+    """
+    part, seen, at = TaskContext.get().partitionId(), set(), 0
+    digests: list[bytes] = []
+    sizes: list[np.ndarray] = []
+    coded: list[pa.DictionaryArray] = []
+
+    def block() -> tuple[int, list[bytes], np.ndarray, np.ndarray, pa.Array]:
+        chunks = pa.chunked_array(coded).unify_dictionaries().chunks
+        words = chunks[0].dictionary
+        index = np.concatenate([x.indices.to_numpy() for x in chunks])
+        order = np.argsort(-np.bincount(index, minlength=len(words)), kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        if at >> BATCH_BITS or part >> 63 - BATCH_BITS - NUMBER_BITS or len(words) >> NUMBER_BITS:
+            raise ValueError("too many blocks in a partition, or words in a block: use smaller partitions")
+        found = (part << BATCH_BITS) | at, list(digests), np.cumsum(np.concatenate(sizes)), rank[index], words.take(pa.array(order))
+        for held in (digests, sizes, coded):
+            held.clear()
+        return found
+
+    for batch in batches:
+        names, new = batch.column("digest").to_pylist(), []
+        for i, digest in enumerate(names):
+            if digest not in seen:
+                seen.add(digest)
+                new.append(i)
+        if not new:
+            continue
+        if len(new) < len(names):
+            batch = batch.take(pa.array(new, pa.int64()))
+        lists = batch.column("words")
+        digests += [names[i] for i in new]
+        sizes.append(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        coded.append(lists.flatten().dictionary_encode())
+        # The pre-tokens themselves are not needed any more.
+        del batch, lists
+        if sum(map(len, coded)) >= BLOCK_TOKENS:
+            pa.default_memory_pool().release_unused()
+            yield block()
+            at += 1
+    if digests:
+        yield block()
+
+
+def distinct_words(tokens: DataFrame) -> DataFrame:
+    """Rows (word, place): the words of each block, exploded from its texts.
+
+    A place is the block's number in the upper bits and the word's number in the block below.
+    """
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _, _, _, words in _blocks(batches):
+            for at in range(0, len(words), 50_000):
+                some = words.slice(at, 50_000)
+                places = np.arange(at, at + len(some)) | (block << NUMBER_BITS)
+                yield pa.RecordBatch.from_arrays([some, pa.array(places, pa.int64())], ["word", "place"])
+
+    return tokens.mapInArrow(tell, "word string, place long")
+
+
+def numbered_texts(tokens: DataFrame) -> DataFrame:
+    """Rows (block, n_words, digest, numbers): each text as the numbers of its words, in order."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, digests, ends, numbers, words in _blocks(batches):
+            packed = [pack_numbers(numbers[a:b]) for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+            n = len(digests)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(n, block, np.int64)), pa.array(np.full(n, len(words), np.int64)),
+                    pa.array(digests, pa.binary()), pa.array(packed, pa.binary()),
+                ],
+                ["block", "n_words", "digest", "numbers"],
+            )
 
-    return words.mapInArrow(encode, "word string, n long, ids binary")
+    return tokens.mapInArrow(tell, "block long, n_words long, digest binary, numbers binary")
 
 
-def encode_texts(
-    texts: DataFrame, ranks: dict[bytes, int], pattern: str, *, frequent: int = FREQUENT
-) -> DataFrame:
-    """digest and ids (little-endian unsigned 32-bit) of each distinct text of ``texts`` (digest, text).
+def with_ids(words: DataFrame, pattern: str, ranks: Broadcast, *, gathered: int = 100_000) -> DataFrame:
+    """block, numbers, sizes, ids: each distinct word encoded once, for all blocks that hold it.
 
-    Pre-tokens are exploded and counted; each distinct word is encoded once. The ids then
-    come back in two ways. The ``frequent`` commonest words (at most that many, of at most
-    ``FREQUENT_BYTES`` bytes each, so of bounded size) go to every task, where a text becomes a row of
-    word numbers with gaps. The words in the gaps travel as (text, position, word), meet
-    their ids by a join on the word, and are put into place by position. A word
-    that a third of all texts hold is always a frequent one, so no join key is hot; copies
-    of a text are worked on once per task. Empty texts have no ids; null digests or texts give no row.
+    Blocks give a word once, so no word has more rows than there are blocks; equal words
+    lie side by side after the shuffle. What goes back to a block is gathered: the words'
+    numbers and numbers of ids, packed, and the ids one after the other.
     """
-    if frequent >= 1 << 21:
-        raise ValueError("frequent must be below 2**21")
-    spark = texts.sparkSession
-    texts = texts.filter("digest is not null and text is not null")
-    shared_ranks = spark.sparkContext.broadcast(frozenset(ranks.items()))
-    tokens = pre_tokens(texts, pattern)
-    counted = tokens.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    known = cut(word_ids(counted, pattern, shared_ranks))
-    short = known.filter(F.octet_length("word") <= FREQUENT_BYTES)
-    # Bounded by `frequent` rows of FREQUENT_BYTES and their ids.
-    top = short.orderBy(F.desc("n"), "word").limit(frequent).select("word", "ids").toArrow().combine_chunks()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, top.schema) as out:
-        out.write_table(top)
-    common = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
-
-    def number(batch: pa.RecordBatch, seen: set[bytes]) -> Iterator[tuple[bytes, pa.Array, np.ndarray]]:
-        """digest, words and word numbers (from 1; 0 for a gap) of the texts not seen before."""
-        names = batch.column("digest").to_pylist()
-        lists = batch.column("words")
-        flat = lists.flatten()
-        found = pc.fill_null(pc.index_in(flat, value_set=_frequent(common).column("word").combine_chunks()), -1)
-        numbers = found.to_numpy().astype(np.int64) + 1
-        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).tolist()
-        for name, start, end in zip(names, [0, *ends], ends, strict=False):
-            if name not in seen:
-                seen.add(name)
-                yield name, flat.slice(start, end - start), numbers[start:end]
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            found = [(name, pack_numbers(numbers)) for name, _, numbers in number(batch, seen)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (zip(*found, strict=True) if found else ([], []))], ["digest", "numbers"])
 
-    def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            digests, places, words = [], [], []
-            for name, flat, numbers in number(batch, seen):
-                at = np.flatnonzero(numbers == 0)
-                digests += [name] * len(at)
-                places.append(at)
-                words.append(flat.take(pa.array(at)))
-            if digests:
-                words = pa.chunked_array(words).combine_chunks()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(digests, pa.binary()), pa.array(np.concatenate(places), pa.int64()), words], ["digest", "place", "word"]
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = encoding(pattern, ranks.value).encode_ordinary
+        places: list[np.ndarray] = []
+        found: list[pa.Array] = []
+
+        def gather() -> Iterator[pa.RecordBatch]:
+            if not places:
+                return
+            place = np.concatenate(places)
+            order = np.argsort(place)
+            place, ids = place[order], pa.concat_arrays(found).take(pa.array(order))
+            starts = np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1] // 4
+            pool = np.frombuffer(ids.buffers()[2], "<u4")
+            block = place >> NUMBER_BITS
+            first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+            rows = [
+                (
+                    int(block[a]),
+                    pack_numbers(place[a:b] & ((1 << NUMBER_BITS) - 1)),
+                    pack_numbers(np.diff(starts[a : b + 1]).astype(np.int64)),
+                    pool[starts[a] : starts[b]].tobytes(),
                 )
+                for a, b in zip(first.tolist(), [*first[1:].tolist(), len(block)], strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
+                ["block", "numbers", "sizes", "ids"],
+            )
+            places.clear()
+            found.clear()
 
-    numbered = tokens.mapInArrow(rows, "digest binary, numbers binary").dropDuplicates(["digest"])
-    # Several tasks may have seen copies of one text: places are made distinct, then gathered.
-    filled = (
-        tokens.mapInArrow(gaps, "digest binary, place long, word string")
-        .join(known.select("word", "ids"), "word")
-        .repartition("digest")
-        .groupBy("digest", "place")
-        .agg(F.min("ids").alias("ids"))
-        .groupBy("digest")
-        .agg(F.collect_list(F.struct("place", "ids")).alias("gaps"))
+        for batch in batches:
+            coded = batch.column("word").dictionary_encode()
+            ids = pa.array([np.array(one(w), "<u4").tobytes() for w in coded.dictionary.to_pylist()], pa.binary())
+            places.append(batch.column("place").to_numpy())
+            found.append(ids.take(coded.indices))
+            if sum(map(len, places)) >= gathered or sum(x.nbytes for x in found) > 1 << 24:
+                yield from gather()
+        yield from gather()
+
+    dealt = words.repartition("word").sortWithinPartitions("word")
+    return dealt.mapInArrow(encode, "block long, numbers binary, sizes binary, ids binary")
+
+
+def _put_together(texts: pa.Table, words: pa.Table) -> pa.Table:
+    """The ids of a block's texts by the positions of their words."""
+    parts = {c: words.column(c).to_pylist() for c in ("numbers", "sizes", "ids")}
+    number = np.concatenate([np.zeros(0, np.int64), *map(unpack_numbers, parts["numbers"])])
+    size = np.concatenate([np.zeros(0, np.int64), *map(unpack_numbers, parts["sizes"])])
+    pool = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x, "<u4") for x in parts["ids"])])
+    known = {*texts.column("n_words").to_pylist()} | {len(number)}
+    if len(known) > 1 or len(np.unique(number)) != len(number):
+        raise RuntimeError("the two passes found different blocks: the texts must not change between them")
+    start_of, size_of = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+    start_of[number], size_of[number] = np.cumsum(size) - size, size
+    packed = texts.column("numbers").to_pylist()
+    lengths = np.array([size_of[unpack_numbers(x)].sum() for x in packed], np.int64)
+    ends = np.cumsum(lengths)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, "<u4")
+    for x, start, end in zip(packed, (ends - lengths).tolist(), ends.tolist(), strict=True):
+        numbers = unpack_numbers(x)
+        first, sizes = start_of[numbers], size_of[numbers]
+        out[start:end] = pool[np.arange(end - start) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)]
+    offsets = np.concatenate(([0], ends)) * 4
+    # The texts of a block have far fewer than 2**31 bytes of ids.
+    ids = pa.Array.from_buffers(pa.binary(), len(packed), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
+    return pa.table({"digest": texts.column("digest"), "ids": ids})
+
+
+def encode_texts(texts: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """digest and ids (little-endian unsigned 32-bit) of the texts of ``texts`` (digest, text).
+
+    Texts are split into pre-tokens block by block. The distinct words of all blocks meet in
+    one shuffle by word, where each is encoded once; the ids go back to their blocks,
+    where they are put at the positions of their words. Word counts within a block take
+    the place of repeated rows, so no word is hot. A task works a text once, however many
+    copies it sees; copies seen by several tasks give equal rows. ``texts`` is read
+    twice and must be stored, so that both readings find the same. Empty texts have no
+    ids; null digests or texts give no row.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(frozenset(ranks.items()))
+    tokens = pre_tokens(texts.filter("digest is not null and text is not null"), pattern)
+    words = with_ids(distinct_words(tokens), pattern, shared)
+    return (
+        numbered_texts(tokens)
+        .groupBy("block")
+        .cogroup(words.groupBy("block"))
+        .applyInArrow(_put_together, "digest binary, ids binary")
     )
 
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _frequent(common).column("ids").combine_chunks()
-        starts = np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1].astype(np.int64) // 4 if len(ids) else np.zeros(1, np.int64)
-        pool = np.frombuffer(ids.buffers()[2], "<u4") if len(ids) and ids.buffers()[2] is not None else np.zeros(0, "<u4")
-        for batch in slices(batches, 256):
-            out = []
-            for packed, filling in zip(batch.column("numbers").to_pylist(), batch.column("gaps").to_pylist(), strict=True):
-                numbers = unpack_numbers(packed)
-                first, size = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
-                hit = numbers > 0
-                first[hit], size[hit] = starts[numbers[hit] - 1], starts[numbers[hit]] - starts[numbers[hit] - 1]
-                own = np.zeros(0, "<u4")
-                if filling:
-                    more = [np.frombuffer(x["ids"], "<u4") for x in filling]
-                    at = np.array([x["place"] for x in filling])
-                    size[at] = [len(m) for m in more]
-                    own = np.concatenate(more)
-                    # Negative places: the ids of gaps are read from a short pool of the text's own.
-                    first[at] = np.cumsum(size[at]) - size[at] - len(own)
-                total = np.cumsum(size)
-                index = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(first - (total - size), size)
-                made = np.empty(len(index), "<u4")
-                inside = index >= 0
-                made[inside] = pool[index[inside]]
-                made[~inside] = own[index[~inside]]
-                out.append(made.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(out, pa.binary())], ["digest", "ids"])
-
-    return numbered.join(filled, "digest", "left").mapInArrow(assemble, "digest binary, ids binary")
-
-
-_TABLES: dict[int, pa.Table] = {}
-
-
-def _frequent(common: Broadcast) -> pa.Table:
-    """The broadcast word table, opened once per worker."""
-    key = id(common.value)
-    if key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[key] = pa.ipc.open_stream(common.value).read_all().combine_chunks()
-    return _TABLES[key]
-
 
 def decode_texts(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """The rows of ``encoded`` (digest, ids) with ``decoded``, the tokens' bytes one after the other.
@@ -253,5 +310,5 @@ def text_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids of every row. Repeated rows and null ids stay; other columns are ignored."""
     rows = text_rows(docs, doc_id, text)
-    made = encode_texts(rows.select("digest", "text"), ranks, pattern)
+    made = encode_texts(rows.select("digest", "text"), ranks, pattern).dropDuplicates(["digest"])
     return rows.select("doc_id", "digest").join(made, "digest", "left").select("doc_id", "ids")

@@ -53,6 +53,8 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
+    # Smaller batches on the way to Python bound what a task holds outside Spark's memory.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     ranks = bpe.read_ranks(public_tokenizers.path(TOKENIZER))
     rows = bpe.text_rows(_table(spark, folder, "documents"))
     made = bpe.decode_texts(bpe.encode_texts(rows.select("digest", "text"), ranks, public_tokenizers.PATTERN), ranks)
@@ -61,7 +63,7 @@ def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    ).dropDuplicates(["digest"])
     return rows.select("doc_id", "digest").join(digests, "digest").drop("digest")
 
 
@@ -81,8 +83,8 @@ def op8_training_order(spark: SparkSession, folder: str) -> DataFrame:
         _table(spark, folder, "documents"), encoder, key="training-order", filler=FILLER, length=length, per_shard=per_shard
     )
     read = training_order.read_shards(spark, shards, per_shard, length, FILLER, "<u2")
-    found = read.select("slot", "shard", "byte_start", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
-    return index.select("doc_id", "piece", "slot").join(found, "slot")
+    found = read.select("slot", "shard", "byte_start", F.sha2("ids", 256).alias("ids_sha256"))
+    return index.select("doc_id", "start", "n_tokens", "at", "slot").join(found, "slot")
 
 
 def op9_langid(spark: SparkSession, folder: str) -> DataFrame:
