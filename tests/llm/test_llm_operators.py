@@ -368,8 +368,9 @@ def test_best_fit_wastes_little_and_takes_the_tightest_bin():
 # 7 ---------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("rows", ["3", "10000"])
-def test_ids_equal_tiktoken(spark, docs, texts, rows):
+@pytest.mark.parametrize("rows", ["40", "10000"])
+def test_ids_equal_tiktoken(spark, docs, texts, rows, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_TOKENS", 5000)
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     ranks = bpe.read_ranks(path)
     reference = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
