@@ -33,7 +33,10 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document's pieces go in sequences of several lengths."""
+    """Where each document's pieces go in sequences of several lengths.
+
+    Lengths are words between blanks, not BPE tokens as in ``op6_packing``.
+    """
     return packing.pack(docs, F.size(words(F.col("text"))))
 
 

@@ -301,6 +301,24 @@ def decode_texts(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return encoded.select("digest", "ids").mapInArrow(decode, "digest binary, ids binary, decoded binary")
 
 
+def token_counts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and n_tokens of every row: how many ids its whole text is encoded to.
+
+    For uses that need no ids: nothing is shuffled, and only the counts are kept. Null
+    and empty texts have 0 tokens. Repeated rows and null ids stay; other columns are ignored.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(ranks.items()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = encoding(pattern, shared.value)
+        for batch in slices(batches, 64):
+            counts = [len(one.encode_to_numpy(x)) if x else 0 for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
+
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text))
+    return source.mapInArrow(count, "doc_id long, n_tokens long")
+
+
 def text_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text (null counts as empty) and the MD5 digest that names the text."""
     body = F.coalesce(F.col(text), F.lit(""))

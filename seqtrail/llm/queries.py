@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqtrail.llm import bpe, langid, line_crf, merkle, packing, quality_rules, shingle_join, training_order, url_filter, warc
-from seqtrail.llm.common import words
+from seqtrail.llm.common import cut
 from seqtrail.llm.oracles import ORACLES
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -47,7 +47,12 @@ def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(_table(spark, folder, "documents"), F.size(words(F.col("text"))))
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path(TOKENIZER))
+    # Stored, because packing reads the lengths twice.
+    counts = cut(bpe.token_counts(_table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN))
+    return packing.pack(counts, F.col("n_tokens"))
 
 
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:

@@ -345,6 +345,21 @@ def test_packing_places_every_token_once(spark):
     assert packing.pack(docs.limit(0), F.col("n")).count() == 0
 
 
+def test_texts_without_blanks_are_packed_by_their_tokens(spark):
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    one = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [(1, "漢字仮名" * 2000), (2, "x1y2" * 5000), (None, "a b"), (3, ""), (4, None), (3, "two words")]
+    docs = spark.createDataFrame(rows, TEXTS).withColumn("n_tokens", F.lit("clash"))
+    counts = bpe.token_counts(docs, ranks, public_tokenizers.PATTERN)
+    expected = [(i, len(one.encode_ordinary(t or ""))) for i, t in rows]
+    assert sorted(map(tuple, counts.collect()), key=repr) == sorted(expected, key=repr)
+    got = packing.pack(counts, F.col("n_tokens")).collect()
+    for i in (1, 2):
+        cut_up = sorted((r.start, r.n_tokens) for r in got if r.doc_id == i)
+        assert len(cut_up) > 1 and sum(n for _, n in cut_up) == dict(expected)[i]
+    assert bpe.token_counts(no_rows(spark), ranks, public_tokenizers.PATTERN).count() == 0
+
+
 def test_best_fit_wastes_little_and_takes_the_tightest_bin():
     rng = np.random.default_rng(1)
     lengths = np.sort(rng.integers(1, 4097, 3000))[::-1]

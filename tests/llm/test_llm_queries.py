@@ -78,6 +78,20 @@ def test_bpe(result, texts):
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
 
 
+def test_packing_counts_bpe_tokens(result, texts):
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    one = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    tokens, bins = {}, {}
+    for r in result("op6_packing"):
+        tokens[r.doc_id] = tokens.get(r.doc_id, 0) + r.n_tokens
+        if r.sequence_id is not None:
+            bins.setdefault((r.sequence_id, r.capacity), []).append(r.n_tokens)
+    assert tokens == {i: len(one.encode_ordinary(t or "")) for i, t in texts.items()}
+    assert all(sum(lengths) <= capacity for (_, capacity), lengths in bins.items())
+
+
 def test_training_order(result):
     rows = result("op8_training_order")
     slots = {r.slot for r in rows}
