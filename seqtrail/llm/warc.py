@@ -131,9 +131,13 @@ def write_archives(pages: DataFrame, folder: str | None = None, *, date: str = "
 
 
 def _headers(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
-    end = data.find(b"\r\n\r\n", at, at + 65536)
-    # A version line inside the header is the next record's: this header was cut off.
-    if end < 0 or not VERSION_LINE.match(data, at) or VERSION_LINE.search(data, at + 1, end):
+    if not VERSION_LINE.match(data, at):
+        return None
+    # A header may have any length, but a version line before its end is the next record's:
+    # this header was cut off.
+    following = VERSION_LINE.search(data, at + 1)
+    end = data.find(b"\r\n\r\n", at, following.start() if following else len(data))
+    if end < 0:
         return None
     found: dict[str, str] = {}
     for line in data[at:end].split(b"\r\n")[1:]:
@@ -275,7 +279,7 @@ def read_archives(spark: SparkSession, folder: str, *, payloads: bool = True) ->
                 if not payloads:
                     entry.pop("payload", None)
                 found.append(entry | {"archive": name})
-                held += len(entry.get("payload") or b"") + 500
+                held += len(entry.get("payload") or b"") + len(entry.get("target_uri") or "") + 500
                 if held > 4_000_000:
                     yield pa.RecordBatch.from_pylist(found, ENTRY)
                     found, held = [], 0

@@ -131,6 +131,25 @@ def test_pages_round_trip(spark):
     assert warc.page_digests(warc.read_archives(spark, warc.write_archives(empty))).count() == 0
 
 
+def test_pages_with_very_long_urls(spark):
+    urls = {1: "http://x/" + "a" * 100_000, 2: "http://x/" + " \n" * 50_000, 3: "http://x/"}
+    pages = spark.createDataFrame([(i, u, f"page {i}") for i, u in urls.items()], "page_id long, url string, html string")
+    entries = warc.read_archives(spark, warc.write_archives(pages)).collect()
+    assert {r.kind for r in entries} == {"record"}
+    expected = {f"<urn:page:{i}>": u.replace(" ", "%20").replace("\n", "%0A") for i, u in urls.items()}
+    assert {r.record_id: r.target_uri for r in entries} == expected
+
+
+@pytest.mark.parametrize("zipped", [True, False])
+def test_long_header_is_read_and_a_cut_one_is_not(zipped):
+    records = [warc.record(i, "u" * n, b"x", hashlib.sha256(b"x").hexdigest(), None, "2024-01-01T00:00:00Z") for i, n in enumerate((5, 200_000, 7))]
+    found = list(warc.salvage(archive_of(records, zipped)))
+    assert [(x["kind"], len(x["target_uri"])) for x in found] == [("record", 5), ("record", 200_000), ("record", 7)]
+    parts = [records[0], records[1][:100_000], records[2]]
+    found = list(warc.salvage(archive_of(parts, zipped)))
+    assert [x["kind"] for x in found] == ["record", "gap", "record"]
+
+
 # 2 ---------------------------------------------------------------------------------------
 
 
