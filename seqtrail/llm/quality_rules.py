@@ -142,6 +142,7 @@ def choose_cutoffs(
     risk: float = RISK,
     error: float = ERROR,
     label: str = "quality",
+    sequence: bool = False,
 ) -> DataFrame:
     """stratum, rule, cutoff, n_good, rejected, allowed: the strictest proven cutoff of each rule.
 
@@ -149,14 +150,21 @@ def choose_cutoffs(
     checks. The risk is shared evenly among the rules and the error probability among all
     tests, that is strata x rules x cutoffs (Bonferroni), so with probability 1 - error no
     stratum loses more than ``risk`` of its good texts to all rules together. Rules without
-    a proven cutoff do not apply in that stratum. ``labels`` has doc_id and the label; an id
+    a proven cutoff do not apply in that stratum. With n good texts no cutoff can be proven if
+    (1 - risk / rules) ** n is above the error of a test: by default below 2,490 texts in
+    each of four strata.
+
+    With ``sequence`` the cutoffs of a rule are tested from the laxest to the strictest, up to
+    the first that is not proven. They are nested, so this needs no correction over cutoffs:
+    the error is shared among strata x rules, and 1,850 texts can do. ``labels`` has doc_id and the label; an id
     labelled twice counts once, as good if one label says so.
     """
     good = labels.groupBy("doc_id").agg(F.max(label).alias("good")).filter("good = 1").select("doc_id")
     holdout = scored(counts.filter(~F.col("base_failed")).join(good, "doc_id", "left_semi"), rules)
     sizes = holdout.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
     pairs = [(name, float(c)) for name, (_, cutoffs) in rules.items() for c in cutoffs]
-    tests = sum(len(c) for _, c in rules.values())
+    # A laxer cutoff rejects no more, so the strictest proven one ends the sequence.
+    tests = len(rules) if sequence else sum(len(c) for _, c in rules.values())
     # One pass: a column of rejections for each rule and cutoff.
     found = holdout.groupBy("stratum").agg(
         *[F.count_if(F.col(f"score_{name}") > c).alias(f"r{i}") for i, (name, c) in enumerate(pairs)]

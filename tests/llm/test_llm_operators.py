@@ -6,6 +6,7 @@ import os
 import random
 
 import brute
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -13,6 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from seqtrail.llm import bpe, common, langid, line_crf, merkle, packing, quality_rules, shingle_join, training_order, url_filter, warc
+from seqtrail.llm.oracles import ORACLES
 
 TEXTS = "doc_id long, text string"
 #: A column of each name that the operators use inside.
@@ -246,6 +248,36 @@ def test_cutoffs_reject_no_more_than_proven(spark):
     assert empty.count() == 0
 
 
+def many_good_texts(spark, n):
+    """n good texts and 20 unlabelled texts of a kind that no good text is like."""
+    good = [(i, " ".join(f"w{i}a{k:02d}"[-5:] for k in range(60)), "en") for i in range(n)]
+    bad = [(n + i, " ".join(f"#{k:02d}#" for k in range(60)), "en") for i in range(20)]
+    docs = spark.createDataFrame(good + bad, TEXTS + ", lang string")
+    return docs, spark.createDataFrame([(i, 1) for i in range(n)], "doc_id long, quality int")
+
+
+def test_selected_cutoffs_equal_sql(spark):
+    docs, labels = many_good_texts(spark, 2600)
+    rows = quality_rules.filter_quality(docs, labels).collect()
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    con.register("labels", labels.toArrow())
+    expected = con.sql(ORACLES["op3_quality_rules"])
+    assert sorted(tuple(r[c] for c in expected.columns) for r in rows) == sorted(expected.fetchall())
+    assert {r.doc_id for r in rows if not r.kept} == set(range(2600, 2620)) and not any(r.base_failed for r in rows)
+
+
+def test_cutoffs_in_sequence_need_a_smaller_holdout(spark):
+    docs, labels = many_good_texts(spark, 1600)
+    assert all(r.kept for r in quality_rules.filter_quality(docs, labels).collect())
+    rows = quality_rules.filter_quality(docs, labels, sequence=True).collect()
+    assert {r.doc_id for r in rows if not r.kept} == set(range(1600, 1620))
+    counts = quality_rules.base(docs, stratum=F.col("lang"))
+    best = {r.rule: r for r in quality_rules.choose_cutoffs(counts, labels, sequence=True).collect()}
+    assert best["symbols"].cutoff == 0.02
+    assert {r.allowed for r in best.values()} == {brute.binomial_allowed(1600, 0.02 / 6, 0.05 / 6)}
+
+
 def test_quality_edge_rows(spark, texts):
     rows = [(i, t, ["en", None][i % 2]) for i, t in texts.items()] + [(None, "null id", "en"), (0, texts[0], "en")]
     docs = spark.createDataFrame(rows, TEXTS + ", lang string")
