@@ -84,10 +84,10 @@ def op8_training_order(spark: SparkSession, folder: str) -> DataFrame:
         return lambda texts: one.encode_ordinary_batch(texts, num_threads=1)
 
     length, per_shard = 512, 4096
-    index, shards = training_order.materialise(
+    index, shards, total = training_order.materialise_counted(
         _table(spark, folder, "documents"), encoder, key="training-order", filler=FILLER, length=length, per_shard=per_shard
     )
-    read = training_order.read_shards(spark, shards, per_shard, length, FILLER, "<u2")
+    read = training_order.read_shards(spark, shards, per_shard, length, FILLER, "<u2", total=total)
     found = read.select("slot", "shard", "byte_start", F.sha2("ids", 256).alias("ids_sha256"))
     return index.select("doc_id", "start", "n_tokens", "at", "slot").join(found, "slot")
 

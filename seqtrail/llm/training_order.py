@@ -172,14 +172,19 @@ def write_shards(rows: DataFrame, folder: str, shards: int, filler: int, dtype:
 
 
 def read_shards(
-    spark: SparkSession, folder: str, per_shard: int, length: int, filler: int, dtype: str, *, first_slot: int = 0
+    spark: SparkSession, folder: str, per_shard: int, length: int, filler: int, dtype: str, *, first_slot: int = 0, total: int | None = None
 ) -> DataFrame:
     """slot, shard, byte_start, n_tokens, ids from ``first_slot`` on; fillers at the end are left out.
 
     Reading can stop anywhere and go on from the next slot: earlier shards are not opened.
-    A shard whose size is no whole number of records, or that lacks records, is an error.
+    A shard whose size is no whole number of records is an error. With ``total``, the number
+    of sequences that were written, so is a shard that lacks records or has too many, and a
+    shard that is missing, twice there or none of theirs; without it these cannot be told.
     """
     size = stride(length, dtype)
+    schema = "slot long, shard long, byte_start long, n_tokens int, ids binary"
+    if total == 0:
+        return spark.createDataFrame([], schema)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -187,6 +192,8 @@ def read_shards(
             if len(data) % size:
                 raise ValueError(f"shard {shard} has {len(data)} bytes, no multiple of {size}")
             table = np.frombuffer(data, dtype).reshape(-1, length + 1)
+            if total is not None and len(table) != min(per_shard, total - shard * per_shard):
+                raise ValueError(f"shard {shard} has {len(table)} records, not {min(per_shard, total - shard * per_shard)}")
             skip = max(0, first_slot - shard * per_shard)
             for at in range(skip, len(table), 1024):
                 ids = table[at : at + 1024, :length]
@@ -203,14 +210,18 @@ def read_shards(
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder)
     of_path = F.regexp_extract("path", r"/shard=(\d+)/", 1).cast("long")
-    return (
-        files.select(of_path.alias("shard"), "content")
-        .filter(F.col("shard") >= first_slot // per_shard)
-        .mapInArrow(records, "slot long, shard long, byte_start long, n_tokens int, ids binary")
-    )
-
-
-def materialise(
+    wanted = files.select(of_path.alias("shard"), "content").filter(F.col("shard") >= first_slot // per_shard)
+    if total is not None:
+        # Only paths are read here, not contents.
+        there = wanted.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+        due = spark.range(first_slot // per_shard, max(first_slot // per_shard, -(-total // per_shard))).select(F.col("id").alias("shard"), F.lit(1).alias("due"))
+        wrong = there.join(due, "shard", "full").filter("n is null or due is null or n > 1").select("shard").limit(5).collect()
+        if wrong:
+            raise ValueError(f"shards missing, repeated or not of these {total} sequences: {sorted(r.shard for r in wrong)}")
+    return wanted.mapInArrow(records, schema)
+
+
+def materialise_counted(
     docs: DataFrame,
     encode: Callable[[], Callable[[list[str]], list[list[int]]]],
     *,
@@ -222,8 +233,8 @@ def materialise(
     doc_id: str = "doc_id",
     text: str = "text",
     folder: str | None = None,
-) -> tuple[DataFrame, str]:
-    """Write all sequences of ``docs`` in training order; the index of slots, and the folder.
+) -> tuple[DataFrame, str, int]:
+    """Write all sequences of ``docs`` in training order; the index of slots, the folder and how many there are.
 
     The index has slot, shard and, for each part of a text in a sequence, doc_id, start
     (its first token in the text), n_tokens and at (its place in the sequence). Each
@@ -236,5 +247,13 @@ def materialise(
     folder = folder or new_folder(spark, "shards")
     rows = sequences(docs, encode, length, filler, dtype, doc_id=doc_id, text=text)
     placed = with_slots(rows, key, per_shard)
-    write_shards(placed, folder, -(-rows.count() // per_shard), filler, dtype)
-    return placed.select("slot", "shard", F.inline("parts")), folder
+    total = rows.count()
+    write_shards(placed, folder, -(-total // per_shard), filler, dtype)
+    return placed.select("slot", "shard", F.inline("parts")), folder, total
+
+
+def materialise(
+    docs: DataFrame, encode: Callable[[], Callable[[list[str]], list[list[int]]]], **options
+) -> tuple[DataFrame, str]:
+    """The index and the folder of ``materialise_counted``."""
+    return materialise_counted(docs, encode, **options)[:2]

@@ -523,6 +523,35 @@ def test_shards_hold_every_sequence_at_its_slot(spark, docs, texts, tmp_path):
     assert none.count() == 0
 
 
+def test_lacking_records_and_shards_are_errors(spark, docs, tmp_path):
+    def encoder():
+        return lambda many: [[ord(c) % 60_000 for c in t] for t in many]
+
+    def damaged(name, change):
+        folder = str(tmp_path / name)
+        _, _, total = training_order.materialise_counted(docs, encoder, key="k", filler=65_535, length=64, per_shard=100, folder=folder)
+        if change:
+            place = f"{folder}/shard=1"
+            (part,) = [f"{place}/{f}" for f in os.listdir(place) if f.startswith("part-")]
+            # Read without checksums, as from a store that has none.
+            for f in os.listdir(place):
+                if f.endswith(".crc"):
+                    os.remove(f"{place}/{f}")
+            change(part)
+        return total, lambda: training_order.read_shards(spark, folder, 100, 64, 65_535, "<u2", total=total).count()
+
+    total, read = damaged("whole", None)
+    assert read() == total > 200
+    _, read = damaged("cut", lambda part: os.truncate(part, 99 * training_order.stride(64, "<u2")))
+    with pytest.raises(Exception, match="shard 1 has 99 records, not 100"):
+        read()
+    _, read = damaged("gone", os.remove)
+    with pytest.raises(ValueError, match=r"\[1\]"):
+        read()
+    none, folder, total = training_order.materialise_counted(no_rows(spark), encoder, key="k", filler=65_535)
+    assert training_order.read_shards(spark, folder, 4096, 512, 65_535, "<u2", total=total).count() == none.count() == 0
+
+
 # 9 and 10 --------------------------------------------------------------------------------
 
 
