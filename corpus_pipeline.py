@@ -25,11 +25,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document that names it; rows without an id stay."""
-    found = shingle_join.components(docs)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    one_each = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one_each.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    """Of each component of near-duplicates one row: that of the smallest id, or else one without an id.
+
+    Rows are told apart by a 64-bit hash of id and text, so an id on different texts stands
+    for several rows, and equal rows count once. Blank texts are like nothing: those without an id all stay.
+    """
+    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    blank = F.col("doc_id").isNull() & (F.size(words(F.col("text"))) == 0)
+    told = keyed.filter(~blank)
+    found = shingle_join.components(told.select("__row", "text"), doc_id="__row")
+    named = found.select(F.col("doc_id").alias("__row"), "component_id").join(told.select("__row", "doc_id").distinct(), "__row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
+    kept = named.groupBy("component_id").agg(first.alias("first")).select("first.__row")
+    one_each = told.join(kept, "__row", "left_semi").dropDuplicates(["__row"])
+    return one_each.unionByName(keyed.filter(blank)).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -122,3 +122,17 @@ def test_stages_take_empty_documents(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, FOLDER).count() == 0
+
+
+def test_one_row_of_each_component_stays(spark):
+    first, second, third = (" ".join(f"{c}{i}" for i in range(90)) for c in "abc")
+    rows = [
+        (1, first), (1, second), (2, first + " x"), (1, first), (None, second), (9, second + " x"),
+        (None, third), (None, third + " x"), (None, third), (None, ""), (None, ""), (None, None), (4, ""), (5, ""), (6, "alone"), (7, "alone"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.deduplicated(spark, docs, FOLDER).collect()]
+    thirds = [r for r in got if r[1] and r[1].startswith("c0")]
+    assert len(thirds) == 1 and thirds[0][0] is None
+    rest = [(1, first), (1, second), (None, ""), (None, ""), (None, None), (4, ""), (5, ""), (6, "alone")]
+    assert sorted([r for r in got if r not in thirds], key=repr) == sorted(rest, key=repr)
