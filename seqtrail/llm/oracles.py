@@ -1,5 +1,6 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from seqtrail.llm import chat
 from seqtrail.llm.quality_rules import ERROR, MIN_WORDS, RISK, RULES
 
 ORACLES: dict[str, str] = {}
@@ -92,3 +93,34 @@ FROM counts c
 
 
 ORACLES["op3_quality_rules"] = _quality_sql()
+
+
+def _chat_sql() -> str:
+    template = chat.Template()
+    escaped = r"replace(text, '\', '\\')"
+    for control in template.controls:
+        escaped = rf"replace({escaped}, '{control}', '{control[0]}\{control[1:]}')"
+    role = escaped.replace("(text,", "(role,")
+    opening = " ".join(f"WHEN '{name}' THEN {len(mark)}" for name, mark in template.openings)
+    marks = len(template.role_open) + len(template.role_close)
+    trained = ", ".join(f"'{name}'" for name in template.trained)
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    return rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, length({escaped}) AS chars, role IN ({trained}) AS trained,
+    CASE role {opening} ELSE {marks} + length({role}) END AS opening,
+    lag(role) OVER (PARTITION BY conv_id {order}) IS DISTINCT FROM role AS first
+  FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (trained), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' {order}) FILTER (trained), '')) AS loss_sha256,
+  CAST({len(template.begin)} + sum(chars + CASE WHEN first THEN opening + {len(template.end)} ELSE {len(template.joint)} END) AS BIGINT)
+    AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+ORACLES["op11_chat"] = _chat_sql()

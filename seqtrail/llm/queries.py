@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqtrail.llm import bpe, langid, line_crf, merkle, packing, quality_rules, shingle_join, training_order, url_filter, warc
+from seqtrail.llm import bpe, chat, langid, line_crf, merkle, packing, quality_rules, shingle_join, training_order, url_filter, warc
 from seqtrail.llm.common import cut
 from seqtrail.llm.oracles import ORACLES
 
@@ -106,6 +106,12 @@ def op10_line_crf(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(langid.held_out(F.col("doc_id"), 5, 0), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op11_chat(spark: SparkSession, folder: str) -> DataFrame:
+    rows = chat.with_control_texts(spark, _table(spark, folder, "conversations"))
+    # Stored as a user would store it; the digests are read from the stored texts.
+    return chat.digests(cut(chat.format_conversations(rows)))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_shingle_join": op2_shingle_join,
@@ -117,6 +123,7 @@ QUERIES = {
     "op8_training_order": op8_training_order,
     "op9_langid": op9_langid,
     "op10_line_crf": op10_line_crf,
+    "op11_chat": op11_chat,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

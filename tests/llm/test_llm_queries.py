@@ -35,7 +35,7 @@ def result(spark):
 @pytest.mark.parametrize("name", sorted(n for n in __spark_entry__.oracle_sql() if n.startswith("op")))
 def test_query_equals_sql(result, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "labels"):
+    for table in ("documents", "pages", "labels", "conversations", "benchmark"):
         con.execute(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
     expected = con.sql(__spark_entry__.oracle_sql()[name])
     rows = result(name)
@@ -45,7 +45,7 @@ def test_query_equals_sql(result, name):
 
 def test_every_operator_is_registered():
     names = list(__spark_entry__.queries())
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13 and "pipeline" in names
 
 
 def test_shingle_join(result, texts):
