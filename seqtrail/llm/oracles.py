@@ -124,3 +124,40 @@ FROM e GROUP BY conv_id
 
 
 ORACLES["op11_chat"] = _chat_sql()
+
+
+# CRC-32 of a decimal number, bit by bit: SQL has no function for it.
+CRC = """xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+    lambda crc, byte: list_reduce(range(8), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END,
+      xor(crc, byte)), 4294967295), 4294967295)"""
+
+ORACLES["op12_prefix_trie"] = rf"""
+WITH o AS MATERIALIZED (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place,
+    coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS MATERIALIZED (SELECT conv_id AS c, conv_id - conv_id % 5 AS base, {CRC} % 9 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+rebuilt AS MATERIALIZED (
+  SELECT c, strlen(text) AS size, sha256(role || chr(31) || text) AS turn, row_number() OVER (PARTITION BY c ORDER BY part, place) AS depth
+  FROM (
+    SELECT c, 0 AS part, place, role, text FROM ids JOIN o ON o.conv_id = base AND place <= h
+    UNION ALL SELECT c, 1, place, role, text FROM ids JOIN o ON o.conv_id = c AND place > h)),
+paths AS MATERIALIZED (
+  SELECT c, depth, size, sha256(string_agg(turn, '') OVER w) AS node,
+    count(*) OVER (PARTITION BY c) = depth AS last
+  FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY depth)
+  UNION ALL SELECT c, 0, 0, 'root', c NOT IN (SELECT c FROM rebuilt) FROM ids),
+nodes AS MATERIALIZED (
+  SELECT node, min(c) AS conv_id, any_value(depth) AS depth, count(*) AS n, any_value(size) AS size,
+    count(*) = count(*) FILTER (last) AS leaf, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '')) AS ends
+  FROM paths GROUP BY node),
+steps AS MATERIALIZED (SELECT DISTINCT b.node, a.node AS parent FROM paths a JOIN paths b ON a.c = b.c AND b.depth = a.depth + 1),
+below AS (
+  SELECT top, count(*) FILTER (leaf) AS n_leaves, sum((n - 1) * size) AS saved
+  FROM (SELECT DISTINCT a.node AS top, b.node FROM paths a JOIN paths b ON a.c = b.c AND b.depth >= a.depth) JOIN nodes USING (node)
+  GROUP BY top)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n AS n_convs,
+  (SELECT count(*) FROM steps s WHERE s.parent = v.node) AS n_children,
+  n_leaves, CAST(saved AS BIGINT) AS saved_tokens, v.ends AS ends_sha256
+FROM nodes v JOIN below ON top = v.node LEFT JOIN steps USING (node) LEFT JOIN nodes p ON p.node = steps.parent
+"""

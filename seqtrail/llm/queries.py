@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqtrail.llm import bpe, chat, langid, line_crf, merkle, packing, quality_rules, shingle_join, training_order, url_filter, warc
+from seqtrail.llm import bpe, chat, langid, line_crf, merkle, packing, prefix_trie, quality_rules, shingle_join, training_order, url_filter, warc
 from seqtrail.llm.common import cut
 from seqtrail.llm.oracles import ORACLES
 
@@ -112,6 +112,14 @@ def op11_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(cut(chat.format_conversations(rows)))
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "conversations")
+    conv = F.col("conv_id")
+    turns = cut(prefix_trie.numbered_turns(rows))
+    rebuilt = prefix_trie.spliced(turns, F.crc32(conv.cast("string")) % 9, conv - conv % 5, most=8)
+    return prefix_trie.prefix_trie(rebuilt, rows.select("conv_id"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_shingle_join": op2_shingle_join,
@@ -124,6 +132,7 @@ QUERIES = {
     "op9_langid": op9_langid,
     "op10_line_crf": op10_line_crf,
     "op11_chat": op11_chat,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
