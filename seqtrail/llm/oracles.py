@@ -161,3 +161,29 @@ SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n AS n_convs,
   n_leaves, CAST(saved AS BIGINT) AS saved_tokens, v.ends AS ends_sha256
 FROM nodes v JOIN below ON top = v.node LEFT JOIN steps USING (node) LEFT JOIN nodes p ON p.node = steps.parent
 """
+
+
+def _terms_sql(text: str) -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"regexp_extract_all(translate({text}, '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+ORACLES["op13_lexical_search"] = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS doc, doc_id, {_terms_sql("text")} AS terms FROM documents WHERE text IS NOT NULL),
+held AS MATERIALIZED (SELECT doc, doc_id, len(terms) AS n FROM d WHERE len(terms) > 0),
+sizes AS (SELECT count(*) AS docs, sum(n) AS words FROM held),
+p AS MATERIALIZED (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(terms) AS term FROM d) GROUP BY doc, term),
+q AS MATERIALIZED (
+  SELECT item, item_id, term, count(*) AS repeats
+  FROM (SELECT row_number() OVER () AS item, item_id, unnest({_terms_sql("text")}) AS term FROM benchmark) GROUP BY ALL),
+w AS MATERIALIZED (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM p GROUP BY term), sizes),
+m AS (SELECT doc, doc_id, 75 + (25 * n * docs) // CAST(words AS BIGINT) AS m FROM held, sizes),
+scores AS (
+  SELECT item, item_id, doc_id, doc, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (doc) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id, doc) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 20
+"""

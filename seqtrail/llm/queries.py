@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqtrail.llm import bpe, chat, langid, line_crf, merkle, packing, prefix_trie, quality_rules, shingle_join, training_order, url_filter, warc
+from seqtrail.llm import bpe, chat, langid, lexical_search, line_crf, merkle, packing, prefix_trie, quality_rules, shingle_join, training_order, url_filter, warc
 from seqtrail.llm.common import cut
 from seqtrail.llm.oracles import ORACLES
 
@@ -120,6 +120,10 @@ def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.prefix_trie(rebuilt, rows.select("conv_id"))
 
 
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_shingle_join": op2_shingle_join,
@@ -133,6 +137,7 @@ QUERIES = {
     "op10_line_crf": op10_line_crf,
     "op11_chat": op11_chat,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
