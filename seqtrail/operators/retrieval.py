@@ -1,27 +1,42 @@
-"""Nearest known action of a free text, by character n-gram TF-IDF cosine."""
+"""Nearest known action of a free text, by character n-gram TF-IDF cosine.
+
+The search is exact and does not add up whole vectors for most pairs. Grams are put into
+levels by falling rarity. Per query, the rarest grams are added up over their posting lists
+until only ``REST`` of the query's squared length is left: the most frequent grams, whose
+lists are the longest, are not joined at all. The k-th partial sum is a floor that k texts
+reach already; what the grams left out can add to a text is bounded level by level, by the
+largest weight that any text has in them and by the lengths of both vectors there. Only pairs
+whose bound reaches the floor are added up to the end. A query for which even an unmet text
+might reach the floor is added up over all lists.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqtrail.functions.ordered import lookup, order_rows
+from seqtrail.functions.ordered import lookup
 from seqtrail.functions.storage import cut
 from seqtrail.functions.text import char_ngrams, normalise
-from seqtrail.operators.slots import fill_slots
 
 SIMILARITY_DIGITS = 6  # similarities this close count as ties, which the text decides
+#: A text this far below the floor cannot tie with it once similarities are rounded.
+SLACK = 2.0 * 10**-SIMILARITY_DIGITS
+#: Levels of rarity, of about equal shares of the catalogue's squared weights.
+LEVELS = 32
+#: Share of a query's squared length that is left to the bounds.
+REST = 0.05
 
 
 @dataclass(frozen=True)
 class Catalogue:
     """Known texts with their gram weights; all tables are stored."""
 
-    texts: DataFrame  # (text, rank): sorted, numbered from 0
-    idf: DataFrame  # (gram, df, idf)
-    vectors: DataFrame  # (text, gram, w), each text of length 1
+    texts: DataFrame  # (id, text, norms): length of the vector's part in each level
+    idf: DataFrame  # (gram, df, idf, level, top): top is the largest weight of any text
+    vectors: DataFrame  # (id, gram, w), each text of length 1
 
 
 def valid_texts(rows: DataFrame, column: str = "action") -> DataFrame:
@@ -33,79 +48,171 @@ def valid_texts(rows: DataFrame, column: str = "action") -> DataFrame:
     )
 
 
-def gram_counts(texts: DataFrame, text: str = "text") -> DataFrame:
-    """how often each gram occurs in each distinct text."""
+def with_ids(texts: DataFrame, text: str) -> DataFrame:
+    """The distinct texts with a number ``id`` each, stored: joins and sums go by numbers, not by long texts."""
+    return cut(texts.select(text).distinct().withColumn("id", F.monotonically_increasing_id()))
+
+
+def gram_counts(texts: DataFrame, text: str = "text", key: str = "text") -> DataFrame:
+    """how often each gram occurs in each distinct text, told by ``key``."""
     return (
-        texts.select(F.col(text).alias("text"))
-        .select("text", F.explode(char_ngrams(F.col("text"))).alias("gram"))
-        .groupBy("text", "gram")
+        texts.select(key, F.explode(char_ngrams(F.col(text))).alias("gram"))
+        .groupBy(key, "gram")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
+def smoothed_idf(texts: DataFrame) -> Column:
+    n = texts.agg(F.count(F.lit(1))).scalar()
+    return F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0
+
+
 def inverse_frequencies(counts: DataFrame, texts: DataFrame) -> DataFrame:
     """document frequency and smoothed idf of each gram."""
-    n = texts.agg(F.count(F.lit(1))).scalar()
-    return (
-        counts.groupBy("gram")
-        .agg(F.count(F.lit(1)).alias("df"))
-        .withColumn("idf", F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0)
-    )
+    return counts.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", smoothed_idf(texts))
 
 
-def unit_vectors(counts: DataFrame, idf: DataFrame) -> DataFrame:
+def unit_vectors(counts: DataFrame, idf: DataFrame, key: str = "text") -> DataFrame:
     """TF-IDF weights scaled to length 1 per text; unknown grams drop out."""
     weighted = lookup(counts, idf, ["gram"], "inner").withColumn("_w", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("text")))
-    return weighted.select("text", "gram", (F.col("_w") / length).alias("w"))
+    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
+    return weighted.select(key, "gram", (F.col("_w") / length).alias("w"))
 
 
-def fit_catalogue(texts: DataFrame) -> Catalogue:
-    """Store the sorted texts, the idf table and the unit vectors of a catalogue."""
-    numbered = cut(order_rows(texts.select("text").distinct(), [], ["text"], pos="rank"))
-    counts = gram_counts(numbered)
-    idf = cut(inverse_frequencies(counts, numbered))
-    return Catalogue(numbered, idf, cut(unit_vectors(counts, idf)))
+def _per_level(rows: DataFrame, key: str, **values: Column) -> DataFrame:
+    """For each ``key`` arrays of the sums of ``values`` in each level."""
+    sums = rows.groupBy(key, "level").agg(*[F.sum(v).alias(name) for name, v in values.items()])
+    listed = F.map_from_entries(F.collect_list(F.struct("level", F.struct(*values.keys()))))
 
+    def array_of(name: str) -> Column:
+        levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+        return F.transform(levels, lambda i: F.coalesce(F.col("_sums")[i][name], F.lit(0.0))).alias(name)
 
-def nearest(queries: DataFrame, catalogue: Catalogue, *, k: int = 1, text: str = "query") -> DataFrame:
-    """The ``k`` catalogue texts most similar to each distinct query text.
+    return sums.groupBy(key).agg(listed.alias("_sums")).select(key, *[array_of(name) for name in values])
 
-    Returns (query, slot, match, similarity). Texts that share no gram with the query
-    have similarity 0 and fill the places left, in alphabetical order.
+
+def gram_levels(vectors: DataFrame, texts: DataFrame) -> DataFrame:
+    """gram, df, idf, and each gram's largest weight ``top`` and its ``level``, 0 for the rarest.
+
+    Levels follow document frequency, of which there are few values, and share the squared
+    weights of all vectors about evenly.
     """
-    wanted = cut(
-        queries.select(F.col(text).alias("query")).filter(F.col("query").isNotNull()).distinct()
+    tops = vectors.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("top"), F.sum(F.col("w") * F.col("w")).alias("weight"))
+    earlier = Window.orderBy("df").rowsBetween(Window.unboundedPreceding, -1)
+    by_df = tops.groupBy("df").agg(F.sum("weight").alias("weight"))
+    share = F.coalesce(F.sum("weight").over(earlier), F.lit(0.0)) / F.sum("weight").over(Window.partitionBy())
+    levels = by_df.select("df", F.least(F.floor(share * LEVELS), F.lit(LEVELS - 1)).cast("int").alias("level"))
+    return tops.join(levels, "df").select("gram", "df", smoothed_idf(texts).alias("idf"), "level", "top")
+
+
+def fit_catalogue(texts: DataFrame) -> Catalogue:
+    """Store the texts, the idf table and the unit vectors of a catalogue."""
+    known = with_ids(texts, "text")
+    counts = gram_counts(known, key="id")
+    vectors = cut(unit_vectors(counts, inverse_frequencies(counts, known), "id"))
+    idf = cut(gram_levels(vectors, known))
+    norms = _per_level(vectors.join(idf, "gram"), "id", squares=F.col("w") * F.col("w"))
+    described = known.join(norms, "id", "left").select("id", "text", F.transform("squares", F.sqrt).alias("norms"))
+    return Catalogue(cut(described), idf, vectors)
+
+
+def _sum(array: Column) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda a, x: a + x)
+
+
+@dataclass(frozen=True)
+class Search:
+    """A search after its first step; all tables are stored. Queries and matches are told by their ids."""
+
+    vectors: DataFrame  # (query, gram, w, level): vectors of the queries
+    partial: DataFrame  # (query, match, similarity): sums over each query's rarer grams
+    plans: DataFrame  # (query, cutoff, reach, lengths, floor, safe): what is left out of them, and the floor
+    catalogue: Catalogue
+
+    def survivors(self) -> DataFrame:
+        """Pairs, among those of safe queries, that may still be among the k best, with ``similarity`` so far."""
+        bound = F.zip_with(
+            F.zip_with("lengths", "norms", lambda a, b: a * b), "reach", lambda both, most: F.least(both, most)
+        )
+        left_out = _sum(F.slice(bound, F.col("cutoff") + 1, F.lit(LEVELS)))
+        return (
+            self.partial.join(self.plans.filter("safe"), "query")
+            .join(self.catalogue.texts.select(F.col("id").alias("match"), "norms"), "match")
+            .filter(F.col("similarity") + left_out >= F.col("floor") - SLACK)
+            .select("query", "match", "similarity")
+        )
+
+    def similarities(self) -> DataFrame:
+        """(query, match, similarity) of all pairs that may be among the k best, added up to the end."""
+        known = self.catalogue.vectors.select(F.col("id").alias("match"), "gram", F.col("w").alias("other"))
+        rest = self.vectors.join(self.plans.select("query", "cutoff", "safe"), "query").filter("level >= cutoff")
+        kept = self.survivors()
+        added = kept.select("query", "match").join(rest.select("query", "gram", "w"), "query").join(known, ["match", "gram"])
+        whole = lookup(rest.filter("not safe"), known, ["gram"], "inner")
+        open_queries = self.partial.join(self.plans.filter("not safe"), "query", "left_semi")
+        gained = added.unionByName(whole.select(*added.columns)).select("query", "match", (F.col("w") * F.col("other")).alias("similarity"))
+        summed = kept.unionByName(open_queries).unionByName(gained).groupBy("query", "match").agg(F.sum("similarity").alias("similarity"))
+        return summed.withColumn("similarity", F.round("similarity", SIMILARITY_DIGITS)).filter("similarity > 0")
+
+
+def search(wanted: DataFrame, catalogue: Catalogue, k: int) -> Search:
+    """The first step of a search: rarer grams added up, the floor of each query of ``wanted(id, query)``."""
+    told = catalogue.idf.select("gram", "level", "top")
+    vectors = cut(
+        unit_vectors(gram_counts(wanted, "query", "id"), catalogue.idf, "id")
+        .join(told, "gram")
+        .select(F.col("id").alias("query"), "gram", "w", "level", "top")
     )
-    vectors = unit_vectors(gram_counts(wanted, "query"), catalogue.idf).select(
-        F.col("text").alias("query"), "gram", F.col("w").alias("query_w")
+    # The first level from which on at most REST of the squared length is left.
+    after = lambda squares, i: _sum(F.slice(squares, i + 1, F.lit(LEVELS)))
+    places = F.sequence(F.lit(0), F.lit(LEVELS))
+    sums = _per_level(vectors, "query", squares=F.col("w") * F.col("w"), reach=F.col("w") * F.col("top"))
+    cutoff = F.array_min(F.filter(places, lambda i: after(F.col("squares"), i) <= REST))
+    profiles = sums.select("query", "reach", F.transform("squares", F.sqrt).alias("lengths"), cutoff.alias("cutoff"))
+    known = catalogue.vectors.select(F.col("id").alias("match"), "gram", F.col("w").alias("other"))
+    rare = vectors.join(profiles.select("query", "cutoff"), "query").filter("level < cutoff")
+    partial = cut(
+        lookup(rare, known, ["gram"], "inner")
+        .groupBy("query", "match")
+        .agg(F.sum(F.col("w") * F.col("other")).alias("similarity"))
     )
-    similar = (
-        lookup(vectors, catalogue.vectors, ["gram"], "inner")
-        .groupBy("query", F.col("text").alias("match"))
-        .agg(F.round(F.sum(F.col("query_w") * F.col("w")), SIMILARITY_DIGITS).alias("similarity"))
+    best = Window.partitionBy("query").orderBy(F.desc("similarity"))
+    kth = partial.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k).groupBy("query").agg(
+        F.when(F.count(F.lit(1)) == k, F.min("similarity")).otherwise(0.0).alias("floor")
     )
-    window = Window.partitionBy("query").orderBy(F.desc("similarity"), "match")
-    best = cut(
-        similar.withColumn("_rank", F.row_number().over(window))
-        .filter(F.col("_rank") <= k)
-        .select("query", (F.col("_rank").cast("long") - 1).alias("slot"), "match", "similarity")
+    floor = F.coalesce("floor", F.lit(0.0))
+    unmet = _sum(F.slice("reach", F.col("cutoff") + 1, F.lit(LEVELS)))
+    plans = profiles.join(kth, "query", "left").select(
+        "query", "cutoff", "reach", "lengths", floor.alias("floor"), (unmet < floor - SLACK).alias("safe")
     )
-    have = best.groupBy("query").agg(F.count(F.lit(1)).alias("n_have"))
-    short = wanted.join(have, "query", "left").select(
-        "query", F.coalesce("n_have", F.lit(0)).alias("n_have")
+    return Search(vectors.drop("top"), partial, cut(plans), catalogue)
+
+
+def nearest(queries: DataFrame, catalogue: Catalogue, *, k: int = 1, text: str = "query") -> DataFrame:
+    """The ``k`` catalogue texts most similar to each distinct query text.
+
+    Returns (query, slot, match, similarity). Texts that share no gram with the query
+    have similarity 0 and fill the places left, in alphabetical order: at most k - 1 of the
+    first 2k - 1 texts are taken already, so these are always enough.
+    """
+    wanted = with_ids(queries.select(F.col(text).alias("query")).filter(F.col("query").isNotNull()), "query")
+    window = Window.partitionBy("id").orderBy(F.desc("similarity"), "match")
+    texts = catalogue.texts.select("id", F.col("text").alias("match"))
+    similar = search(wanted, catalogue, k).similarities().withColumnsRenamed({"query": "_query", "match": "id"}).join(texts, "id")
+    similar = similar.drop("id").withColumnRenamed("_query", "id")
+    best = similar.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= k)
+    listed = best.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_rank", "match", "similarity"))).alias("_taken"))
+    first = catalogue.texts.select("text").orderBy("text").limit(2 * k - 1)
+    head = first.agg(F.array_sort(F.collect_list("text"))).scalar()
+    taken = F.coalesce("_taken", F.array().cast("array<struct<_rank:int,match:string,similarity:double>>"))
+    free = F.slice(F.array_except("_head", "_taken.match"), F.lit(1), k - F.size("_taken"))
+    filler = F.transform(free, lambda t: F.struct(F.lit(0).alias("_rank"), t.alias("match"), F.lit(0.0).alias("similarity")))
+    return (
+        wanted.join(listed, "id", "left")
+        .select("query", taken.alias("_taken"), head.alias("_head"))
+        .select("query", F.posexplode(F.concat("_taken", filler)).alias("slot", "_m"))
+        .select("query", F.col("slot").cast("long").alias("slot"), "_m.match", "_m.similarity")
     )
-    filled = fill_slots(
-        short,
-        catalogue.texts.select("rank", F.col("text").alias("match")),
-        best,
-        key="query",
-        value="match",
-        start=F.lit(0).cast("long"),
-        n_values=catalogue.texts.agg(F.count(F.lit(1))).scalar(),
-        k=k,
-    ).withColumn("similarity", F.lit(0.0))
-    return best.unionByName(filled)
 
 
 def nearest_flags(chunks: DataFrame, catalogue: Catalogue, *, k: int = 5) -> DataFrame:

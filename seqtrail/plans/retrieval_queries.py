@@ -53,7 +53,9 @@ def char_ngram_idf(spark, folder):
 )
 def catalogue_vectors(spark, folder):
     texts = retrieval.valid_texts(mixed_names(spark, folder), "name")
-    return rounded(retrieval.fit_catalogue(texts).vectors, "w")
+    catalogue = retrieval.fit_catalogue(texts)
+    named = catalogue.vectors.join(catalogue.texts.select("id", "text"), "id")
+    return rounded(named.select("text", "gram", "w"), "w")
 
 
 PART_NAMES = f"select {normal_sql('p_name')} as text from part"
