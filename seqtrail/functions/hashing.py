@@ -1,19 +1,14 @@
 """Deterministic randomness: values depend on keys only, never on partitions.
 
-Two families are used. Keyed hashes (``hash32``) come from md5 and give sampling
-orders and splits. Bootstrap weights need millions of draws per key, so they come
-from a degree-3 polynomial hash over a Mersenne prime (Carter-Wegman: any four
-draws are independent), which is three multiply-adds per draw inside codegen.
+Keyed hashes (``hash32``) come from md5 and give sampling orders and splits; the draws of
+bootstraps are made by ``functions/draws.py``.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PRIME = 2**31 - 1
 TWO32 = 4294967296.0
 
 
@@ -34,49 +29,3 @@ def hash32(*parts) -> Column:
 def uniform(*parts) -> Column:
     """Hash of the parts as a double in [0, 1)."""
     return hash32(*parts) / F.lit(TWO32)
-
-
-def poisson_cdf(terms: int = 12) -> list[float]:
-    """Cumulative probabilities of a Poisson variable of mean 1."""
-    total, out = 0.0, []
-    for k in range(terms):
-        total += math.exp(-1.0) / math.factorial(k)
-        out.append(total)
-    return out
-
-
-def replicate_coefficients(seed: int, replicate: Column) -> list[Column]:
-    """The four polynomial coefficients of one bootstrap replicate."""
-    return [
-        F.pmod(hash32(seed, replicate.cast("string"), j), F.lit(PRIME)) for j in range(4)
-    ]
-
-
-def hash_points(*parts) -> list[Column]:
-    """Two points below the prime for a key, 62 bits together."""
-    digest = hash_text(*parts)
-    return [
-        F.pmod(F.conv(F.substring(digest, start, 8), 16, 10).cast("long"), F.lit(PRIME)) for start in (1, 9)
-    ]
-
-
-def polynomial_uniform(coefficients: list[Column], point: Column, second: Column) -> Column:
-    """Uniform in [0, 1) for a pair of points below the prime, by Horner's rule.
-
-    Draws at keys that share the first point are told apart by the second, which is added
-    a2 times: they are still independent two by two.
-    """
-    a0, a1, a2, a3 = coefficients
-    value = F.pmod(a3 * point + a2, F.lit(PRIME))
-    value = F.pmod(value * point + a1, F.lit(PRIME))
-    value = F.pmod(value * point + a0, F.lit(PRIME))
-    value = F.pmod(value + F.pmod(a2 * second, F.lit(PRIME)), F.lit(PRIME))
-    return value.cast("double") / F.lit(float(PRIME))
-
-
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) weight for a uniform value, by the inverse distribution function."""
-    weight = F.lit(len(poisson_cdf()))
-    for k, edge in reversed(list(enumerate(poisson_cdf()))):
-        weight = F.when(u < F.lit(edge), F.lit(k)).otherwise(weight)
-    return weight.cast("long")

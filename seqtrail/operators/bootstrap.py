@@ -1,63 +1,118 @@
-"""Bootstrap intervals whose shuffle does not grow with replicates times rows.
-
-Every position, or at cluster level every whole sequence, gets a Poisson(1) weight per
-replicate, worked out from hashes of its key and of the replicate next to the row. The
-weighted sums are combined on the map side, so what is shuffled is one row per task,
-model, replicate and confidence bin. The two models of a paired test share the weights of
-a position, so differences stay paired. The number of units drawn varies around
-their count, which ratios of sums do not mind.
+"""Bootstrap intervals whose work does not grow with replicates times rows.
+
+Positions that have the same values weigh alike in every statistic, so they are counted
+first: n of them together get a Poisson(n) weight per replicate, which is what n weights of
+Poisson(1) add up to. Where two models are compared, positions are counted by the values of
+both, so a position weighs the same in both. Weights are drawn in the task that holds the
+counts and are added up there; what is shuffled is one row per task, model, replicate and
+confidence bin. The number of positions drawn varies around their count, which ratios of
+sums do not mind.
+
+Whole sequences are drawn with replacement, exactly as many as there are. The draws of a
+replicate are split down a tree over the sequences' hashed order, by a binomial draw at each
+node that follows from seed, node and replicate; each task walks down to its own block of
+sequences and on to the single ones, so no draws are shuffled, only sums per replicate.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqtrail.functions.hashing import (
-    hash_points,
-    poisson_weight,
-    polynomial_uniform,
-    replicate_coefficients,
-)
-from seqtrail.functions.numbers import ratio
+from seqtrail.functions import draws
+from seqtrail.functions.hashing import hash_text, key_text
+from seqtrail.functions.numbers import int_div, ratio
+from seqtrail.functions.ordered import rank_by_hash
 from seqtrail.operators.metrics import calibration_bin, calibration_error, summarise
 
 DEFAULT_REPLICATES = 1000
 METRICS = ["accuracy", "topk_accuracy", "nn_accuracy", "nn_topk_accuracy", "entropy", "perplexity", "ece"]
+#: Values are taken to nine decimals, so that equal ones are equal however they were added up.
+SCALE = 10**9
+FLAGS = ["correct", "topk_correct", "nn_correct", "nn_topk_correct"]
+AMOUNTS = ["ce", "entropy", "confidence"]
+#: Sums per replicate, in the order in which tasks work them out.
+SUMS = ["n", "hits", "topk", "nn", "nn_topk", "ce", "entropy", "conf", "n_ce"]
+#: Sequences to a block, the unit of work of the exact resampling.
+BLOCK = 1024
+
 
+def _with_flags(metrics: DataFrame) -> DataFrame:
+    """Models without nearest-neighbour flags get null ones."""
+    for flag in ("nn_correct", "nn_topk_correct"):
+        if flag not in metrics.columns:
+            metrics = metrics.withColumn(flag, F.lit(None).cast("int"))
+    return metrics
 
-def replicates(spark: SparkSession, n: int, seed: int) -> Column:
-    """Array of ``(b, a0..a3)``, one entry per replicate, as a scalar to explode."""
-    table = spark.range(n).withColumnRenamed("id", "b")
-    named = [c.alias(f"a{j}") for j, c in enumerate(replicate_coefficients(seed, F.col("b")))]
-    listed = F.array_sort(F.collect_list(F.struct("b", "a0", "a1", "a2", "a3")))
-    return table.select("b", *named).agg(listed).scalar()
 
+def _part(by: Sequence[str]) -> Column:
+    """The values of a position that its statistics depend on; amounts in units of 1 / SCALE."""
+    amounts = [F.round(F.col(c) * SCALE).cast("long").alias(c) for c in AMOUNTS]
+    return F.struct(*by, calibration_bin(F.col("confidence")).alias("bin"), *[F.col(c).cast("long").alias(c) for c in FLAGS], *amounts)
 
-def weighted(rows: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFrame:
-    """``rows`` once per replicate: ``_r`` with the replicate's number b, ``_w`` with the row's weight.
 
-    Only for an aggregate right after it, which keeps the copies within their task.
+def value_counts(metrics: DataFrame, by: Sequence[str], key: Sequence[str] | None = None) -> DataFrame:
+    """Distinct values of positions with their number: (id, n, parts).
+
+    With ``key`` the positions of all groups that share a key are taken together: ``parts``
+    has one item per group, and positions are equal if they are in every group.
     """
-    p1, p2 = hash_points(seed, *[F.col(k).cast("string") for k in key])
-    coefficients = [F.col(f"_r.a{j}") for j in range(4)]
-    # The points and the uniform value are columns of their own, so each is worked out once.
-    return (
-        rows.withColumns({"_p1": p1, "_p2": p2})
-        .withColumn("_r", F.explode(replicates(rows.sparkSession, n, seed)))
-        .withColumn("_u", polynomial_uniform(coefficients, F.col("_p1"), F.col("_p2")))
-        .withColumn("_w", poisson_weight(F.col("_u")))
+    by = list(by)
+    flagged = _with_flags(metrics)
+    if key is None:
+        joint = flagged.select(F.array(_part(by)).alias("parts"))
+    else:
+        rows = flagged.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], _part(by).alias("_part"))
+        joint = rows.groupBy(*[f"_k{i}" for i in range(len(key))]).agg(F.array_sort(F.collect_list("_part")).alias("parts"))
+    fields = [*by, "bin", *FLAGS, *AMOUNTS]
+    told = F.transform("parts", lambda p: F.concat_ws("|", *[F.coalesce(p[f].cast("string"), F.lit("n")) for f in fields]))
+    return joint.withColumn("id", F.array_join(told, ";")).groupBy("id").agg(
+        F.count(F.lit(1)).alias("n"), F.first("parts").alias("parts")
     )
 
 
-def _with_flags(metrics: DataFrame) -> DataFrame:
-    """Models without nearest-neighbour flags get null ones."""
-    for flag in ("nn_correct", "nn_topk_correct"):
-        if flag not in metrics.columns:
-            metrics = metrics.withColumn(flag, F.lit(None).cast("int"))
-    return metrics
+def replicate_sums(counts: DataFrame, by: Sequence[str], n_replicates: int, seed: int) -> DataFrame:
+    """Weighted sums of every replicate, partly added up: (by, bin, b, n, hits, ...)."""
+    by = list(by)
+    coefficients = draws.replicate_coefficients(seed, n_replicates)
+    fields = counts.schema["parts"].dataType.elementType
+    types = ", ".join(f"{c} {fields[c].dataType.simpleString()}" for c in [*by, "bin"])
+    schema = f"{types}, b long, " + ", ".join(f"{c} double" for c in SUMS)
+
+    def add(totals: dict, batch: pa.RecordBatch) -> None:
+        weights = np.array(
+            [draws.poisson(n, draws.uniforms(coefficients, f"{seed}|{key}")) for n, key in zip(batch["n"].to_pylist(), batch["id"].to_pylist(), strict=True)],
+            float,
+        )
+        lists = batch["parts"]
+        parts, owner = lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths())
+        column = lambda c: np.asarray(parts.field(c).cast(pa.float64()).fill_null(np.nan), float)
+        values = [np.ones(len(parts)), *[column(c) for c in FLAGS], *[column(c) / SCALE for c in AMOUNTS]]
+        values = np.column_stack([*values, ~np.isnan(values[5])])
+        groups: dict[tuple, list[int]] = {}
+        for i, group in enumerate(zip(*[parts.field(c).to_pylist() for c in [*by, "bin"]], strict=True)):
+            groups.setdefault(group, []).append(i)
+        for group, at in groups.items():
+            sums, given = totals.setdefault(group, (np.zeros((n_replicates, len(SUMS))), np.zeros(len(SUMS), bool)))
+            sums += weights[owner[at]].T @ np.nan_to_num(values[at])
+            given |= ~np.isnan(values[at]).all(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                add(totals, batch.slice(at, 1024))
+        kinds = [pa.string() if fields[c].dataType.simpleString() == "string" else None for c in [*by, "bin"]]
+        for group, (sums, given) in totals.items():
+            labels = [pa.array([g] * n_replicates, k or (pa.int32() if name == "bin" else None)) for g, k, name in zip(group, kinds, [*by, "bin"], strict=True)]
+            columns = [pa.array(sums[:, i]) if given[i] else pa.nulls(n_replicates, pa.float64()) for i in range(len(SUMS))]
+            yield pa.RecordBatch.from_arrays([*labels, pa.array(np.arange(n_replicates)), *columns], names=[*by, "bin", "b", *SUMS])
+
+    return counts.mapInArrow(run, schema)
 
 
 def replicate_statistics(
@@ -67,28 +122,15 @@ def replicate_statistics(
     by: Sequence[str] = ("model",),
     n_replicates: int = DEFAULT_REPLICATES,
     seed: int = 0,
+    paired: bool = False,
 ) -> DataFrame:
-    """B1, B2: every metric of every replicate, as (by, b, accuracy, ..., ece)."""
+    """B1, B2: every metric of every replicate, as (by, b, accuracy, ..., ece).
+
+    With ``paired`` a position (``key``) has the same weight in all groups.
+    """
     by = list(by)
-    sums = {
-        "n": F.lit(1),
-        "hits": F.col("correct"),
-        "topk": F.col("topk_correct"),
-        "nn": F.col("nn_correct"),
-        "nn_topk": F.col("nn_topk_correct"),
-        "ce": F.col("ce"),
-        "n_ce": F.col("ce").isNotNull().cast("int"),
-        "entropy": F.col("entropy"),
-        "conf": F.col("confidence"),
-    }
-    rows = _with_flags(metrics).select(*by, *key, calibration_bin(F.col("confidence")).alias("bin"), *[
-        c.alias(name) for name, c in sums.items()
-    ])
-    per_bin = (
-        weighted(rows, key, n_replicates, seed)
-        .groupBy(*by, F.col("_r.b").alias("b"), "bin")
-        .agg(*[F.sum(F.col("_w") * F.col(name)).alias(name) for name in sums])
-    )
+    sums = replicate_sums(value_counts(metrics, by, key if paired else None), by, n_replicates, seed)
+    per_bin = sums.groupBy(*by, "b", "bin").agg(*[F.sum(c).alias(c) for c in SUMS])
     gap = F.when(F.col("bin").isNotNull(), F.abs(F.col("conf") - F.col("hits"))).otherwise(0.0)
     n = F.sum("n")
     return per_bin.groupBy(*by, "b").agg(
@@ -159,7 +201,7 @@ def paired_difference(
 ) -> DataFrame:
     """ECE and perplexity differences of two models over the same draws."""
     both = metrics.filter(F.col("model").isin(first, second))
-    drawn = replicate_statistics(both, key, n_replicates=n_replicates, seed=seed)
+    drawn = replicate_statistics(both, key, n_replicates=n_replicates, seed=seed, paired=True)
     wide = drawn.groupBy("b").agg(
         *[
             F.sum(F.when(F.col("model") == first, F.col(m)).otherwise(-F.col(m))).alias(m)
@@ -179,6 +221,31 @@ def paired_difference(
     )
 
 
+def middle(low: int, high: int) -> int:
+    """Where the tree splits the places low..high-1: between whole blocks, and in halves inside a block."""
+    blocks = -(-(high - low) // BLOCK)
+    return low + (BLOCK * -(-blocks // 2) if blocks > 1 else -(-(high - low) // 2))
+
+
+def multinomial(n: int, low: int, high: int, coefficients: np.ndarray, seed: int) -> np.ndarray:
+    """How often each of the places low..high-1 of ``n`` is drawn, per replicate, in ``n`` draws in all.
+
+    ``low`` and ``high`` bound a block; only the nodes above and inside it are drawn.
+    """
+    replicates = len(coefficients)
+    out = np.zeros((replicates, high - low), np.int64)
+    nodes = [(0, n, np.full(replicates, n, np.int64))]
+    while nodes:
+        first, last, drawn = nodes.pop()
+        if last - first == 1:
+            out[:, first - low] = drawn
+            continue
+        half = middle(first, last)
+        left = draws.binomial(drawn, half - first, last - first, draws.uniforms(coefficients, f"{seed}|{first}|{last}"))
+        nodes += [(a, b, d) for a, b, d in ((first, half, left), (half, last, drawn - left)) if a < high and b > low]
+    return out
+
+
 def cluster_bootstrap(
     clusters: DataFrame,
     key: str,
@@ -190,16 +257,30 @@ def cluster_bootstrap(
 ) -> DataFrame:
     """Bootstrap of pooled means over whole clusters, as (metric, mean, interval).
 
-    ``clusters`` has one row per sequence with the sum of each series and one count. A
-    sequence counts with all its positions as often as its weight says.
+    ``clusters`` has one row per sequence with the sum of each series and one count. Every
+    replicate draws as many sequences as there are, with replacement; a sequence counts with
+    all its positions as often as it is drawn.
     """
-    drawn = (
-        weighted(clusters.select(key, *sums, count), [key], n_replicates, seed)
-        .groupBy(F.col("_r.b").alias("b"))
-        .agg(*[ratio(F.sum(F.col("_w") * F.col(s)), F.sum(F.col("_w") * F.col(count))).alias(s) for s in sums])
+    columns = [*sums, count]
+    coefficients = draws.replicate_coefficients(seed, n_replicates)
+    total = clusters.agg(F.count(F.lit(1))).scalar()
+    rows = clusters.select(F.col(key).cast("string").alias("_key"), *[F.col(c).cast("double").alias(c) for c in dict.fromkeys(columns)])
+    ranked = rank_by_hash(rows, "_key", hash_text(seed, F.col("_key")), "_rank").withColumn("_total", total)
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_rank")
+        low, n = group["_rank"][0].as_py(), group["_total"][0].as_py()
+        drawn = multinomial(n, low, low + len(group), coefficients, seed)
+        added = drawn @ np.column_stack([np.asarray(group[c].fill_null(0.0)) for c in columns])
+        return pa.table([pa.array(np.arange(n_replicates)), *added.T], names=["b", *[f"_s{i}" for i in range(len(columns))]])
+
+    per_block = ranked.groupBy(int_div(F.col("_rank"), BLOCK).alias("_block")).applyInArrow(
+        run, "b long, " + ", ".join(f"_s{i} double" for i in range(len(columns)))
     )
+    whole = F.sum(f"_s{len(sums)}")
+    means = per_block.groupBy("b").agg(*[ratio(F.sum(f"_s{i}"), whole).alias(s) for i, s in enumerate(sums)])
     return (
-        drawn.unpivot(["b"], list(sums), "metric", "value")
+        means.unpivot(["b"], list(sums), "metric", "value")
         .groupBy("metric")
         .agg(
             F.avg("value").alias("bootstrap_mean"),

@@ -17,7 +17,6 @@ from seqtrail.plans.sql import (
     LINE_MODELS,
     bin_sql,
     points_sql,
-    poisson_sql,
     polynomial_sql,
     r6,
     replicates_sql,
@@ -27,21 +26,51 @@ BOOT_SEED = 3
 N = I.REPLICATES
 POSITION = ["seq_id", "pos"]
 
-DRAWS = f"""{LINE_MODELS}, {replicates_sql(N, BOOT_SEED)},
-units as materialized (
-  select model, {bin_sql("confidence")} as bin, correct, topk_correct, ce, entropy, confidence,
-    {points_sql(f"'{BOOT_SEED}|' || seq_id || '|' || pos")} from both_models),
+def nine(column):
+    return f"cast(round({column} * {bootstrap.SCALE}) as bigint)"
+
+
+PARTS = f"""{LINE_MODELS}, {replicates_sql(N, BOOT_SEED)},
+parts as materialized (
+  select *, model || '|' || coalesce(cast(bin as varchar), 'n') || '|' || correct || '|' || topk_correct || '|n|n|'
+    || coalesce(cast(ce as varchar), 'n') || '|' || entropy || '|' || confidence as id
+  from (select model, seq_id, pos, {bin_sql("confidence")} as bin, correct, topk_correct,
+    {nine("ce")} as ce, {nine("entropy")} as entropy, {nine("confidence")} as confidence from both_models))"""
+
+# Poisson draws by inversion: the first k at which the distribution function is above u.
+STATS = f"""
+means as (select distinct n from counts),
+poisson as materialized (
+  select n, k, sum(exp(k * ln(n) - n - lgamma(k + 1))) over (partition by n order by k) as below
+  from (select n, unnest(range(greatest(0, cast(floor(n - 9 * sqrt(n) - 30) as bigint)), cast(ceil(n + 9 * sqrt(n) + 30) as bigint))) as k
+    from means)),
+pointed as materialized (select id, n, {points_sql(f"'{BOOT_SEED}|' || id")} from counts),
+drawn as materialized (
+  select d.id, d.b, coalesce(p.k + 1, (select min(k) from poisson q where q.n = d.n)) as w
+  from (select id, n, b, {polynomial_sql("p1", "p2")} as u from pointed cross join reps) d
+  asof left join poisson p on p.n = d.n and d.u >= p.below),
 weighted as materialized (
-  select model, b, bin, sum(w) as n, sum(w * correct) as hits, sum(w * topk_correct) as topk, sum(w * ce) as ce,
-    sum(w * cast(ce is not null as int)) as n_ce, sum(w * entropy) as entropy, sum(w * confidence) as conf
-  from (select *, {poisson_sql("u")} as w from (
-    select k.*, r.b, {polynomial_sql("p1", "p2")} as u from units k cross join reps r)) group by all),
+  select model, b, bin, sum(w) as n, sum(w * correct) as hits, sum(w * topk_correct) as topk, sum(w * ce / 1e9) as ce,
+    sum(w * cast(ce is not null as int)) as n_ce, sum(w * entropy / 1e9) as entropy, sum(w * confidence / 1e9) as conf
+  from vals join drawn using (id) group by all),
 stats as materialized (
   select model, b, sum(hits) / sum(n) as accuracy, sum(topk) / sum(n) as topk_accuracy,
     sum(entropy) / sum(n) as entropy, exp(sum(ce) / sum(n_ce)) as perplexity,
     sum(case when bin is null then 0 else abs(conf - hits) end) / sum(n) as ece
   from weighted group by model, b)"""
 
+DRAWS = f"""{PARTS},
+counts as materialized (select id, count(*) as n from parts group by id),
+vals as materialized (select distinct id, model, bin, correct, topk_correct, ce, entropy, confidence from parts),
+{STATS}"""
+
+PAIRED_DRAWS = f"""{PARTS},
+joint as materialized (select seq_id, pos, string_agg(id, ';' order by model) as all_ids from parts group by seq_id, pos),
+counts as materialized (select all_ids as id, count(*) as n from joint group by all_ids),
+vals as materialized (
+  select distinct all_ids as id, model, bin, correct, topk_correct, ce, entropy, confidence from parts join joint using (seq_id, pos)),
+{STATS}"""
+
 LONG_STATS = " union all ".join(
     f"select model, b, '{m}' as metric, {m} as value from stats"
     for m in ("accuracy", "topk_accuracy", "entropy", "perplexity", "ece")
@@ -73,7 +102,7 @@ def bootstrap_ci(spark, folder):
 
 @query(
     "paired_bootstrap_diff",
-    f"""with {DRAWS}, diffs as (
+    f"""with {PAIRED_DRAWS}, diffs as (
       select m.b, m.ece - f.ece as ece, m.perplexity - f.perplexity as perplexity
       from stats m join stats f on f.b = m.b and f.model = 'fb' where m.model = 'markov'),
     long as (select 'ece' as metric, ece as diff from diffs union all select 'perplexity', perplexity from diffs)
@@ -89,16 +118,48 @@ def paired_bootstrap_diff(spark, folder):
     return rounded(report, "mean_diff", "sd_diff", "median_diff", "ci_low", "ci_high")
 
 
+#: Levels of the resampling tree that the check SQL unrolls; enough for 4,096 sequences.
+TREE_LEVELS = 13
+
+
+def multinomial_sql(clusters):
+    """How often each row of ``clusters(seq_id, ...)`` is drawn per replicate, as drawn(b, place, w)."""
+    size, block = "(hi - lo)", bootstrap.BLOCK
+    half = f"lo + case when {size} > {block} then {block} * ((({size} + {block - 1}) // {block} + 1) // 2) else ({size} + 1) // 2 end"
+    levels = []
+    for i in range(TREE_LEVELS):
+        levels.append(f"""
+split_{i} as materialized (
+  select *, {polynomial_sql("p1", "p2")} as u from (
+    select b, a0, a1, a2, a3, lo, hi, m, {half} as half, {points_sql(f"'{BOOT_SEED}|' || lo || '|' || hi")} from node_{i} where hi - lo > 1)),
+binomial_{i} as materialized (
+  select m, part, whole, k, sum(exp(lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) + k * ln(part / whole)
+    + (m - k) * ln(1 - part / whole))) over (partition by m, part, whole order by k) as below
+  from (select m, part, whole, unnest(range(0, m + 1)) as k from (
+    select distinct m, cast(half - lo as double) as part, cast(hi - lo as double) as whole from split_{i}))),
+halved_{i} as materialized (
+  select s.*, least(coalesce(t.k + 1, 0), s.m) as l
+  from split_{i} s asof left join binomial_{i} t on t.m = s.m and t.part = s.half - s.lo and t.whole = s.hi - s.lo and s.u >= t.below),
+node_{i + 1} as materialized (
+  select b, a0, a1, a2, a3, lo, half as hi, l as m from halved_{i}
+  union all select b, a0, a1, a2, a3, half, hi, m - l from halved_{i}
+  union all select * from node_{i} where hi - lo = 1)""")
+    return f"""
+placed as materialized (
+  select *, row_number() over (order by md5('{BOOT_SEED}|' || seq_id), cast(seq_id as varchar)) - 1 as place from {clusters}),
+node_0 as materialized (select b, a0, a1, a2, a3, 0 as lo, (select count(*) from placed) as hi, (select count(*) from placed) as m from reps),
+{",".join(levels)},
+drawn as (select b, lo as place, m as w from node_{TREE_LEVELS})"""
+
+
 def cluster_sql(clusters, sums, count):
     """Interval of each series of ``clusters(seq_id, <sums>, <count>)``, as cluster_ci."""
     means = ", ".join(f"sum(w * {s}) / sum(w * {count}) as {s}" for s in sums)
-    rows = " union all ".join(f"select '{s}' as metric, {s} as value from drawn" for s in sums)
+    rows = " union all ".join(f"select '{s}' as metric, {s} as value from means" for s in sums)
     return f"""
 {replicates_sql(N, BOOT_SEED)},
-pointed as materialized (select *, {points_sql(f"'{BOOT_SEED}|' || seq_id")} from {clusters}),
-drawn as materialized (
-  select b, {means} from (select *, {poisson_sql("u")} as w from (
-    select k.*, r.b, {polynomial_sql("p1", "p2")} as u from pointed k cross join reps r)) group by b),
+{multinomial_sql(clusters)},
+means as materialized (select b, {means} from drawn join placed using (place) group by b),
 cluster_ci as materialized (
   select metric, avg(value) as bootstrap_mean, quantile_cont(value, 0.025) as ci_low,
     quantile_cont(value, 0.975) as ci_high from ({rows}) group by metric)"""

@@ -327,5 +327,5 @@ def test_bootstrap_copies_stay_within_their_task(spark):
     df = spark.createDataFrame([(i, i % 3, 3) for i in range(50)], "seq_id long, hits long, n long")
     drawn = bootstrap.cluster_bootstrap(df, "seq_id", ["hits"], "n", n_replicates=20)
     text = plan(drawn)
-    copies = text.index("Generate explode")
+    copies = text.index("FlatMapGroupsInArrow")
     assert "partial_sum" in text[:copies].rsplit("Exchange", 1)[1]
