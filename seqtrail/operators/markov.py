@@ -6,11 +6,11 @@ about it is worked out once per distinct (prev, label) pair and looked up per po
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from seqtrail.functions.hashing import hash32, hash_text
@@ -202,8 +202,8 @@ def frequency_predictions(
 NOWHERE = "<NOWHERE>"
 
 
-def lazy_chain(model: Transitions) -> DataFrame:
-    """The chain that stays put half of the time, as ``(prev, next, prob)``.
+def chain_moves(model: Transitions) -> DataFrame:
+    """The moves of the chain, as ``(prev, next, prob)``.
 
     Tokens without a successor go to a state of its own, which moves on to every token
     alike. Leaving that state out of the stationary vector gives the vector of the chain
@@ -215,57 +215,84 @@ def lazy_chain(model: Transitions) -> DataFrame:
         table.select(F.col("prev").alias("token")).distinct(), "token", "left_anti"
     )
     nowhere = F.lit(NOWHERE)
-    moves = table.unionByName(
+    return table.unionByName(
         dead_ends.select(F.col("token").alias("prev"), nowhere.alias("next"), F.lit(1.0).alias("prob"))
     ).unionByName(
         tokens.select(nowhere.alias("prev"), F.col("token").alias("next"), F.lit(1.0 / model.size).alias("prob"))
     )
-    states = moves.select("prev").distinct()
-    stays = states.select("prev", F.col("prev").alias("next"), F.lit(0.5).alias("prob"))
-    return moves.withColumn("prob", 0.5 * F.col("prob")).unionByName(stays)
 
 
 class NotConverged(RuntimeError):
-    """The power iteration did not settle within the steps allowed."""
+    """The iteration did not settle within the steps allowed."""
+
+
+def mixing_weights(products: np.ndarray) -> np.ndarray:
+    """Weights, of sum 1, that make the weighted sum of residuals the shortest.
+
+    ``products`` holds the inner products of the residuals, the newest last. The others enter
+    by their difference to the newest, scaled to one length, so that old and large ones do
+    not drown it.
+    """
+    k = len(products) - 1
+    if not k:
+        return np.ones(1)
+    own, across = products[:k, :k], products[:k, k]
+    apart = own - across[:, None] - across[None, :] + products[k, k]
+    scale = np.sqrt(np.maximum(np.diag(apart), np.finfo(float).tiny))
+    gain = np.linalg.lstsq(apart / np.outer(scale, scale), (products[k, k] - across) / scale, rcond=1e-13)[0] / scale
+    return np.append(gain, 1.0 - gain.sum())
 
 
 def entropy_rate(
-    model: Transitions, *, tolerance: float = 1e-10, max_steps: int = 10_000, store_every: int = 12
+    model: Transitions, *, tolerance: float = 1e-10, max_steps: int = 10_000, memory: int = 6
 ) -> tuple[DataFrame, DataFrame]:
     """Stationary distribution of the chain and its entropy rate and perplexity.
 
-    Power iteration over the sparse lazy chain from the uniform vector: staying put half
-    of the time keeps the stationary vector and removes periods. It goes on until the sum of
-    absolute changes of a step is at most ``tolerance``; the rate tells that residual and
-    the number of steps. Raises ``NotConverged`` after ``max_steps``.
+    Anderson's accelerated iteration from the uniform vector: a step sends the vector once
+    through the sparse chain, and the next vector is that mixture of the last ``memory``
+    images whose residual (image less vector) is the shortest. Every vector is a polynomial
+    of the chain applied to the uniform one, with weights of sum 1, so the limit is that of
+    plain averaging, also for chains that are periodic or fall into parts. A step is one
+    stored table of a row per token; inner products and the residual are observed while it is
+    written. Ends when the absolute residuals add up to at most ``tolerance``; the rate tells
+    that sum and the number of steps. Raises ``NotConverged`` after ``max_steps``.
     """
-    chain = cut(lazy_chain(model))
-    pi = model.tokens.select("token", F.lit(1.0 / model.size).alias("p"))
-
-    def step(vector: DataFrame) -> DataFrame:
-        return (
-            vector.join(chain, F.col("token") == F.col("prev"))
-            .groupBy(F.col("next").alias("token"))
-            .agg(F.sum(F.col("p") * F.col("prob")).alias("p"))
+    chain = cut(chain_moves(model))
+    state = model.tokens.select("token", F.lit(1.0 / model.size).alias("x0"))
+    state = state.unionByName(model.tokens.agg(F.lit(NOWHERE).alias("token"), F.lit(0.0).alias("x0")))
+    kept: list[int] = []  # Numbers of the vectors whose images are stored beside them.
+    for step in range(max_steps):
+        new = f"x{step}"
+        flows = state.join(chain, F.col("token") == F.col("prev")).select(
+            F.col("next").alias("token"), (F.col(new) * F.col("prob")).alias(f"y{step}")
         )
-
-    steps, residual = 0, math.inf
-    while residual > tolerance:
-        if steps >= max_steps:
-            raise NotConverged(f"residual {residual} after {steps} steps")
-        for _ in range(store_every - 1):
-            pi = step(pi)
-        before = cut(pi)
-        pi = cut(step(before))
-        steps += store_every
-        moved = before.select("token", F.col("p").alias("q")).join(pi, "token", "full_outer")
-        residual = moved.agg(F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0))))).first()[0] or 0.0
-    real = pi.filter(F.col("token") != NOWHERE)
+        columns = [f"{c}{i}" for i in kept for c in "xy"] + [new, f"y{step}"]
+        image = (
+            state.unionByName(flows, allowMissingColumns=True)
+            .groupBy("token")
+            .agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in columns])
+        )
+        kept.append(step)
+        residual = {i: F.col(f"y{i}") - F.col(f"x{i}") for i in kept}
+        seen = Observation()
+        products = [F.sum(residual[i] * residual[j]).alias(f"p{i}_{j}") for i in kept for j in kept if i <= j]
+        state = cut(image.observe(seen, F.sum(F.abs(residual[step])).alias("left"), *products))
+        told = seen.get
+        left = told["left"] or 0.0
+        if left <= tolerance:
+            break
+        matrix = np.array([[told[f"p{min(i, j)}_{max(i, j)}"] for j in kept] for i in kept])
+        mixture = sum(F.lit(float(w)) * F.col(f"y{i}") for w, i in zip(mixing_weights(matrix), kept, strict=True))
+        kept = kept[-memory:]
+        state = state.select("token", *[f"{c}{i}" for i in kept for c in "xy"], mixture.alias(f"x{step + 1}"))
+    else:
+        raise NotConverged(f"residual {left} after {max_steps} steps")
+    real = state.filter(F.col("token") != NOWHERE).select("token", F.col(f"y{step}").alias("p"))
     pi = real.withColumn("p", F.col("p") / real.agg(F.sum("p")).scalar())
     rate = (
         pi.join(model.table, F.col("token") == F.col("prev"))
         .agg(F.sum(-F.col("p") * F.col("prob") * F.log(F.col("prob") + EPSILON)).alias("entropy_rate"))
         .withColumn("perplexity", F.exp("entropy_rate"))
-        .withColumns({"residual": F.lit(residual), "steps": F.lit(steps)})
+        .withColumns({"residual": F.lit(left), "steps": F.lit(step + 1)})
     )
     return pi, rate

@@ -299,11 +299,9 @@ def stationary_distribution(spark, folder):
 @query(
     "entropy_rate",
     f"""with {token_markov_sql()}, {_entropy_rate_sql(STEPS)}
-    select {r6('h')} as entropy_rate, {r6('exp(h)')} as perplexity, true as converged from (
+    select {r6('h')} as entropy_rate, {r6('exp(h)')} as perplexity from (
       select sum(-p * prob * ln(prob + 1e-12)) as h from pi join mk_trans on prev = token)""",
 )
 def entropy_rate(spark, folder):
     _, rate = markov.entropy_rate(train_model(spark, folder), tolerance=TOLERANCE)
-    return rounded(rate, "entropy_rate", "perplexity").select(
-        "entropy_rate", "perplexity", (F.col("residual") <= TOLERANCE).alias("converged")
-    )
+    return rounded(rate, "entropy_rate", "perplexity").select("entropy_rate", "perplexity")

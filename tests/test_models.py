@@ -309,7 +309,7 @@ def test_power_iteration_tells_its_residual(spark):
     _, rate = markov.entropy_rate(model, tolerance=1e-12)
     assert rate.first()["residual"] <= 1e-12
     with pytest.raises(markov.NotConverged):
-        markov.entropy_rate(model, tolerance=1e-12, max_steps=2, store_every=2)
+        markov.entropy_rate(model, tolerance=1e-12, max_steps=2)
 
 
 def test_chunks_cover_whole_sequences(spark):
