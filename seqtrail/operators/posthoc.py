@@ -49,6 +49,23 @@ def sequence_sums(scored: DataFrame, flags: Sequence[str], key: str = "seq_id")
     )
 
 
+def checked_sums(scored: DataFrame, counts: DataFrame, flags: Sequence[str], key: str = "seq_id") -> DataFrame:
+    """Flag sums of every sequence of ``counts(key, n)``, whose rows must be as many as it says.
+
+    Sequences without rows have sums of 0. Reading the result fails at a sequence with more
+    or fewer scored rows than counted, and at scored rows of a sequence that is not counted.
+    """
+    found = sequence_sums(scored, flags, key).withColumnRenamed("n", "_found")
+    joined = counts.select(key, "n").join(found, key, "full_outer")
+    off = ~F.col("n").eqNullSafe(F.coalesce("_found", F.lit(0)))
+    message = F.concat(
+        F.lit("sequence "), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(": counted "),
+        F.coalesce(F.col("n").cast("string"), F.lit("none")), F.lit(", found "), F.coalesce("_found", F.lit(0)).cast("string"),
+    )
+    checked = F.when(off, F.raise_error(message).cast("long")).otherwise(F.col("n"))
+    return joined.select(key, checked.alias("n"), *[F.coalesce(f, F.lit(0)).alias(f) for f in flags])
+
+
 def tail_sums(scored: DataFrame, keep: DataFrame, flags: Sequence[str], key: str = "seq_id") -> DataFrame:
     """Flag sums over the last ``keep`` scored rows of each sequence.
 
@@ -88,6 +105,11 @@ def validation_record(counts: DataFrame) -> DataFrame:
     )
 
 
+def strict_failures(counts: DataFrame) -> DataFrame:
+    """H3, H4: sequences that rule out the strict policy: more word-based rows than action rows."""
+    return counts.filter("k_wb > k_fb").withColumn("excess", F.col("k_wb") - F.col("k_fb"))
+
+
 def require_strict(counts: DataFrame) -> None:
     """H3, H4: the strict policy needs every word-based count to fit."""
     record = validation_record(counts).first()

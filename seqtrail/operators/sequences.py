@@ -82,6 +82,11 @@ def session_strings(
     )
 
 
+def non_blank(rows: DataFrame, column: str = "sequence") -> DataFrame:
+    """Rows whose text is there and holds more than white space."""
+    return rows.filter(F.col(column).rlike(r"\S"))
+
+
 def run_sessions(
     ordered: DataFrame, keys: Sequence[str], value: str
 ) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from seqtrail.plans import (  # noqa: F401
     cohort_queries,
+    filter_queries,
     markov_queries,
     report_queries,
     retrieval_queries,

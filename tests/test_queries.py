@@ -30,6 +30,9 @@ SAMPLE = [
     "bootstrap_ci",
     "wilcoxon",
     "posthoc_ci",
+    "nonblank_sequences",
+    "ragged_chunks",
+    "strict_tail",
 ]
 ORACLES = entry_points.oracle_sql()
 NAMES = sorted(ORACLES) if os.environ.get("ALL_QUERIES") else SAMPLE
