@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from seqtrail.functions.hashing import hash_text
 from seqtrail.functions.numbers import int_div
-from seqtrail.functions.ordered import order_rows
+from seqtrail.functions.ordered import order_rows, running_total
 from seqtrail.functions.timing import DAY, MINUTE
 
 DEFAULT_LOOK_BACK = 30 * MINUTE
@@ -35,51 +35,104 @@ def keep_provider_type(orders: DataFrame, provider_type: str | None) -> DataFram
     return orders.filter(F.col("prov_type") == provider_type)
 
 
+#: Log rows to a block, the unit in which windows meet the log.
+BLOCK_ROWS = 256
+
+
+def sweep(windows: DataFrame, log: DataFrame, look_back: int) -> tuple[DataFrame, DataFrame]:
+    """Place each user's log rows, and the windows ``[end_us - look_back, end_us)``, on one axis.
+
+    The edges of the windows are sorted into the log, each before the rows of its instant, and
+    the rows are counted along the way, in slices of (user, time) that may end anywhere. Returns
+    the log rows with their place ``_at`` (0, 1, ... per user) and the non-empty windows with
+    the places they hold, ``_low`` up to but not ``_high``. Windows must be distinct.
+    """
+    others = [c for c in windows.columns if c != "user_id"]
+    edges = windows.select(
+        "user_id", F.struct(*others).alias("_w"), F.explode(F.array(F.col("end_us") - look_back, F.col("end_us"))).alias("_us"),
+        F.lit(0).alias("_n"),
+    )
+    rows = log.select("user_id", F.struct(*[c for c in log.columns if c != "user_id"]).alias("_row"), F.col("us").alias("_us"), F.lit(1).alias("_n"))
+    placed = running_total(
+        rows.unionByName(edges, allowMissingColumns=True), ["user_id"], ["_us", "_n"], F.col("_n"), "_seen"
+    )
+    held = placed.filter("_n = 0").groupBy("user_id", "_w").agg(F.min("_seen").alias("_low"), F.max("_seen").alias("_high"))
+    return (
+        placed.filter("_n = 1").select("user_id", "_row.*", (F.col("_seen") - 1).alias("_at")),
+        held.filter("_low < _high").select("user_id", "_w.*", "_low", "_high"),
+    )
+
+
 def window_rows(
-    windows: DataFrame,
-    log: DataFrame,
-    *,
-    look_back: int = DEFAULT_LOOK_BACK,
-    bins_per_window: int = 4,
-    salts: int = 4,
+    windows: DataFrame, log: DataFrame, *, look_back: int = DEFAULT_LOOK_BACK, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Log rows of each window's user in ``[end_us - look_back, end_us)``.
 
-    A user's log may be huge, so user alone is no join key. Time is cut into bins of a
-    fraction of the look-back; a window names the bins it touches and meets the log on
-    (user, bin). Each log row lies in one bin, so no pair is found twice. A burst within
-    one bin is spread further over ``salts`` keys, to each of which windows are repeated.
+    A user's log may be huge, so user alone is no join key. After a sweep over both, a window
+    is a run of places in its user's log, and meets it on (user, block of ``block_rows``
+    places): every block holds as many rows, however busy an instant is, every row lies in one
+    block, and a window is repeated no more than once for each block that it holds rows of.
     """
-    width = max(look_back // bins_per_window, 1)
-    start, end = F.col("end_us") - look_back, F.col("end_us")
-    touched = F.sequence(int_div(start, width), int_div(end - 1, width))
-    every_salt = F.array(*[F.lit(i) for i in range(salts)])
-    binned_windows = windows.withColumn("_bin", F.explode(touched)).withColumn(
-        "_salt", F.explode(every_salt)
-    )
-    salt = F.pmod(F.xxhash64("user_id", "us", *(["event_id"] if "event_id" in log.columns else [])), F.lit(salts))
-    binned_log = log.withColumn("_bin", int_div(F.col("us"), width)).withColumn(
-        "_salt", salt.cast("int")
-    )
+    rows, held = sweep(windows, log, look_back)
+    blocks = F.sequence(int_div(F.col("_low"), block_rows), int_div(F.col("_high") - 1, block_rows))
     return (
-        binned_windows.join(binned_log, ["user_id", "_bin", "_salt"])
-        .filter((F.col("us") >= start) & (F.col("us") < end))
-        .drop("_bin", "_salt")
+        held.withColumn("_block", F.explode(blocks))
+        .join(rows.withColumn("_block", int_div(F.col("_at"), block_rows)), ["user_id", "_block"])
+        .filter("_at >= _low and _at < _high")
+        .drop("_block", "_low", "_high", "_at")
     )
 
 
 def case_windows(
-    orders: DataFrame, log: DataFrame, *, look_back: int = DEFAULT_LOOK_BACK, bins_per_window: int = 4
+    orders: DataFrame, log: DataFrame, *, look_back: int = DEFAULT_LOOK_BACK, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """The log rows before each index order."""
-    ends = orders.select(
+    return window_rows(_case_ends(orders), log, look_back=look_back, block_rows=block_rows)
+
+
+def _case_ends(orders: DataFrame) -> DataFrame:
+    return orders.select(
         "idx",
         "user_id",
         F.lit("case").alias("kind"),
         F.lit(0).cast("long").alias("control_idx"),
         F.col("order_us").alias("end_us"),
     )
-    return window_rows(ends, log, look_back=look_back, bins_per_window=bins_per_window)
+
+
+def first_and_last(log: DataFrame, look_back: int) -> DataFrame:
+    """Per user and time bin of ``look_back``: earliest row of the bin, latest row of the bin before.
+
+    A window reaches from its own bin into the one before, so these two tell whether it holds
+    a row at all.
+    """
+    bins = log.groupBy("user_id", int_div(F.col("us"), look_back).alias("_bin")).agg(
+        F.min("us").alias("low"), F.max("us").alias("high")
+    )
+    none = F.lit(None).cast("long")
+    told = F.array(
+        F.struct(F.col("_bin").alias("bin"), F.col("low").alias("low"), none.alias("high")),
+        F.struct((F.col("_bin") + 1).alias("bin"), none.alias("low"), F.col("high").alias("high")),
+    )
+    return (
+        bins.select("user_id", F.explode(told).alias("r"))
+        .groupBy("user_id", F.col("r.bin").alias("_bin"))
+        .agg(F.min("r.low").alias("low"), F.max("r.high").alias("high"))
+    )
+
+
+def with_rows_flag(ends: DataFrame, end: str, log: DataFrame, look_back: int) -> DataFrame:
+    """Add ``has_rows``: does the look-back window before the time ``end`` hold any log row?"""
+    filled = F.coalesce(F.col("low") < F.col(end), F.lit(False)) | F.coalesce(
+        F.col("high") >= F.col(end) - look_back, F.lit(False)
+    )
+    met = ends.withColumn("_bin", int_div(F.col(end), look_back)).join(first_and_last(log, look_back), ["user_id", "_bin"], "left")
+    return met.select(*ends.columns, filled.alias("has_rows"))
+
+
+def orders_with_rows(orders: DataFrame, log: DataFrame, *, look_back: int = DEFAULT_LOOK_BACK) -> DataFrame:
+    """The ``idx`` of the orders whose case window holds a row, found without joining rows."""
+    return with_rows_flag(orders.select("idx", "user_id", "order_us"), "order_us", log, look_back).filter("has_rows").select("idx")
 
 
 def describe_anchors(
@@ -120,32 +173,8 @@ def describe_anchors(
         .agg(F.min("near_idx").alias("near_first"), F.max("near_idx").alias("near_last"))
     )
 
-    bins = log.groupBy("user_id", int_div(F.col("us"), look_back).alias("_bin")).agg(
-        F.min("us").alias("low"), F.max("us").alias("high")
-    )
-    # A window reaches from its own bin into the one before, so each bin tells its
-    # earliest row to itself and its latest row to the bin after it.
-    reach = (
-        bins.select(
-            "user_id",
-            F.explode(
-                F.array(
-                    F.struct(F.col("_bin").alias("bin"), F.col("low").alias("low"), F.lit(None).cast("long").alias("high")),
-                    F.struct((F.col("_bin") + 1).alias("bin"), F.lit(None).cast("long").alias("low"), F.col("high").alias("high")),
-                )
-            ).alias("r"),
-        )
-        .groupBy("user_id", F.col("r.bin").alias("_bin"))
-        .agg(F.min("r.low").alias("low"), F.max("r.high").alias("high"))
-    )
-    filled = F.coalesce(F.col("low") < F.col("anchor_us"), F.lit(False)) | F.coalesce(
-        F.col("high") >= F.col("anchor_us") - look_back, F.lit(False)
-    )
-    return (
-        anchors.join(near, "anchor_id", "left")
-        .withColumn("_bin", int_div(F.col("anchor_us"), look_back))
-        .join(reach, ["user_id", "_bin"], "left")
-        .select("user_id", "anchor_id", "anchor_us", "near_first", "near_last", filled.alias("has_rows"))
+    return with_rows_flag(anchors.join(near, "anchor_id", "left"), "anchor_us", log, look_back).select(
+        "user_id", "anchor_id", "anchor_us", "near_first", "near_last", "has_rows"
     )
 
 
@@ -231,16 +260,19 @@ def recent_controls(controls: DataFrame, n: int | None) -> DataFrame:
     )
 
 
+def _anchor_ends(controls: DataFrame) -> DataFrame:
+    return controls.select("anchor_id", "user_id", F.col("anchor_us").alias("end_us")).distinct()
+
+
 def control_windows(
-    controls: DataFrame, log: DataFrame, *, look_back: int = DEFAULT_LOOK_BACK, bins_per_window: int = 4
+    controls: DataFrame, log: DataFrame, *, look_back: int = DEFAULT_LOOK_BACK, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """The log rows before each numbered control anchor.
 
     A window's rows depend on the anchor alone, so each distinct anchor meets the log
     once; the orders that it is a control of are joined to its rows by equality.
     """
-    ends = controls.select("anchor_id", "user_id", F.col("anchor_us").alias("end_us")).distinct()
-    rows = window_rows(ends, log, look_back=look_back, bins_per_window=bins_per_window)
+    rows = window_rows(_anchor_ends(controls), log, look_back=look_back, block_rows=block_rows)
     owners = controls.select("anchor_id", "idx", F.lit("control").alias("kind"), "control_idx")
     return owners.join(rows, "anchor_id").drop("anchor_id")
 
@@ -262,7 +294,6 @@ def extract_cohort(
     seed: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """All windows (U1: cases and controls in one table) and the numbered controls."""
-    cases = case_windows(orders, log, look_back=look_back)
     anchors = control_anchors(
         orders,
         log,
@@ -272,8 +303,17 @@ def extract_cohort(
         tolerance=tolerance,
     )
     controls = number_controls(sample_anchors(anchors, sample_n, seed=seed))
-    windows = cases.unionByName(control_windows(controls, log, look_back=look_back))
-    return windows, controls
+    # Both kinds of windows meet the log in one sweep; who owns a window is joined after.
+    case, control = F.lit("case"), F.lit("control")
+    cases = _case_ends(orders)
+    ends = cases.select("user_id", "end_us", case.alias("_of"), F.col("idx").alias("_id")).unionByName(
+        _anchor_ends(controls).select("user_id", "end_us", control.alias("_of"), F.col("anchor_id").alias("_id"))
+    )
+    owners = cases.select(case.alias("_of"), F.col("idx").alias("_id"), "idx", "kind", "control_idx").unionByName(
+        controls.select(control.alias("_of"), F.col("anchor_id").alias("_id"), "idx", control.alias("kind"), "control_idx")
+    )
+    rows = window_rows(ends, log, look_back=look_back)
+    return owners.join(rows, ["_of", "_id"]).drop("_of", "_id"), controls
 
 
 def cohort_report(orders: DataFrame, log: DataFrame, cases: DataFrame, controls: DataFrame) -> DataFrame:

@@ -102,7 +102,7 @@ def sampled_controls(spark, folder):
 )
 def cohort_report(spark, folder):
     orders, log = I.orders_and_log(spark, folder)
-    cases = cohort.case_windows(orders, log.select("user_id", "us"), look_back=I.LOOK_BACK)
+    cases = cohort.orders_with_rows(orders, log, look_back=I.LOOK_BACK)
     return cohort.cohort_report(orders, log, cases, I.numbered_controls(spark, folder))
 
 
@@ -143,9 +143,8 @@ def provider_filter(spark, folder):
 @query("paired_orders", f"with {WINDOWS} select idx from cases intersect select idx from control_rows")
 def paired_orders(spark, folder):
     orders, log = I.orders_and_log(spark, folder)
-    rows = log.select("user_id", "us")
     controls = I.anchors(spark, folder).filter("has_rows")
-    return cohort.paired_orders(cohort.case_windows(orders, rows, look_back=I.LOOK_BACK), controls)
+    return cohort.paired_orders(cohort.orders_with_rows(orders, log, look_back=I.LOOK_BACK), controls)
 
 
 @query("mini_sample", f"with {LOG} select idx, order_us from ord order by order_us, idx limit 15")

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 from helpers import plan, rows
 
 from seqtrail.functions.timing import HOUR, MINUTE, SECOND
@@ -20,8 +23,8 @@ def test_window_is_half_open(spark):
     orders = orders_of(spark, [(1, 7, T0, "APP")])
     edges = [T0 - W - 1, T0 - W, T0 - W + 1, T0 - 1, T0, T0 + 1]
     log = log_of(spark, [(i, 7, us, "m", "a") for i, us in enumerate(edges)] + [(99, 8, T0 - 1, "m", "a")])
-    for bins in (1, 3, 4, 50):
-        found = cohort.case_windows(orders, log, look_back=W, bins_per_window=bins)
+    for block in (1, 3, 4, 50):
+        found = cohort.case_windows(orders, log, look_back=W, block_rows=block)
         assert rows(found, "event_id") == [(1,), (2,), (3,)]
 
 
@@ -122,3 +125,30 @@ def test_window_join_has_no_cross_product(spark):
     log = log_of(spark, [(1, 7, T0 - 1, "m", "a")])
     text = plan(cohort.case_windows(orders, log, look_back=W))
     assert "CartesianProduct" not in text and "NestedLoop" not in text and "SinglePartition" not in text
+
+
+def test_busy_instants_are_split_and_nothing_is_salted(spark):
+    rng = random.Random(6)
+    times = [T0 - 10 * MINUTE] * 700 + [T0 - rng.randint(0, 3 * W) for _ in range(400)]
+    log = log_of(spark, [(i, 7 if i % 10 else 8, us, "m", "a") for i, us in enumerate(times)]).repartition(5)
+    orders = [(i, rng.choice([7, 8, 9]), T0 - rng.randint(-W, 2 * W), "APP") for i in range(40)]
+    orders += [(100, 7, T0 - 10 * MINUTE, "APP"), (101, 7, T0 - 10 * MINUTE + 1, "APP"), (102, 7, T0 - 10 * MINUTE, "APP")]
+    found = cohort.case_windows(orders_of(spark, orders), log, look_back=W, block_rows=16)
+    want = [
+        (idx, e) for idx, user, end, _ in orders for e, us in enumerate(times) if user == (7 if e % 10 else 8) and end - W <= us < end
+    ]
+    assert rows(found, "idx", "event_id") == sorted(want, key=repr)
+    ends = orders_of(spark, orders).select("user_id", "idx", F.col("order_us").alias("end_us"))
+    placed, held = cohort.sweep(ends, log, W)
+    per_block = placed.groupBy("user_id", F.floor(F.col("_at") / 16)).count().agg(F.max("count"), F.sum("count")).first()
+    assert tuple(per_block) == (16, len(times))
+    assert rows(held.select("idx", (F.col("_high") - F.col("_low")).alias("n")), "idx", "n") == sorted(Counter(i for i, _ in want).items(), key=repr)
+
+
+def test_existence_of_rows_needs_no_rows(spark):
+    rng = random.Random(7)
+    log = [(i, rng.choice([7, 8]), T0 - rng.randint(0, 40 * W), "m", "a") for i in range(60)]
+    orders = [(i, rng.choice([7, 8, 9]), T0 - rng.randint(-2 * W, 42 * W), "APP") for i in range(80)]
+    want = [(idx,) for idx, user, end, _ in orders if any(u == user and end - W <= us < end for _, u, us, *_ in log)]
+    found = cohort.orders_with_rows(orders_of(spark, orders), log_of(spark, log), look_back=W)
+    assert rows(found, "idx") == sorted(want, key=repr) and 0 < len(want) < 80
