@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from seqtrail.functions.hashing import hash_text
 from seqtrail.functions.numbers import int_div
 from seqtrail.functions.ordered import order_rows, running_total
+from seqtrail.functions.storage import cut
 from seqtrail.functions.timing import DAY, MINUTE
 
 DEFAULT_LOOK_BACK = 30 * MINUTE
@@ -302,7 +303,8 @@ def extract_cohort(
         buffer=buffer,
         tolerance=tolerance,
     )
-    controls = number_controls(sample_anchors(anchors, sample_n, seed=seed))
+    # Stored, as they are read for the windows' ends, their owners and the caller.
+    controls = cut(number_controls(sample_anchors(anchors, sample_n, seed=seed)))
     # Both kinds of windows meet the log in one sweep; who owns a window is joined after.
     case, control = F.lit("case"), F.lit("control")
     cases = _case_ends(orders)
