@@ -58,15 +58,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = int(_BASE) | 1
-    out = []
-    for b in (base, pow(base, -1, 2**64)):
-        p = np.full(n, U(b))
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+def _hash_ranges(b: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each word ``b[first:last]``.
+
+    The sum of its pieces of eight bytes, each scrambled with the key of its place in the word:
+    unlike a polynomial modulo 2^64, no arrangement of two letters makes it vanish.
+    """
+    if not len(first):
+        return np.zeros(0, U)
+    size = last - first
+    pieces = (size + 7) // 8
+    ends = np.cumsum(pieces)
+    place = np.arange(ends[-1]) - np.repeat(ends - pieces, pieces)
+    at = np.repeat(first, pieces) + 8 * place
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate((b, np.zeros(8, np.uint8))), 8)[at]
+    left = np.minimum(np.repeat(last, pieces) - at, 8).astype(U)
+    lane = np.ascontiguousarray(eight).view("<u8")[:, 0] & (~U(0) >> (U(64) - U(8) * left))
+    scrambled = mix(lane ^ mix((place.astype(U) + U(1)) * _STEPS[3]))
+    return mix(np.add.reduceat(scrambled, ends - pieces) + size.astype(U) * _STEPS[2])
 
 
 def hash_words(data: np.ndarray, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
@@ -91,12 +100,7 @@ def hash_words(data: np.ndarray, chunk: int = 1 << 20) -> tuple[np.ndarray, np.n
         np.not_equal(b, 0, out=word[1:-1])
         edge = np.flatnonzero(word[1:] != word[:-1])
         first, last = edge[::2], edge[1::2]
-        power, inverse = _powers(max(chunk, 1 << n.bit_length()))
-        total = np.zeros(n + 1, U)
-        np.multiply(b, power[:n], out=total[1:])
-        np.cumsum(total, out=total)
-        h = (total[last] - total[first]) * inverse[first]
-        hashes.append(mix(h + (last - first).astype(U) * _STEPS[2]))
+        hashes.append(_hash_ranges(b, first, last))
         starts.append(first + at)
         at += n
     if not starts:
