@@ -81,7 +81,8 @@ def op8_training_order(spark: SparkSession, folder: str) -> DataFrame:
 
     def encoder():
         one = bpe.encoding(pattern, shared.value)
-        return lambda texts: one.encode_ordinary_batch(texts, num_threads=1)
+        # Arrays of ids, never lists of Python numbers; without special tokens the two agree.
+        return lambda texts: [one.encode_to_numpy(x) for x in texts]
 
     length, per_shard = 512, 4096
     index, shards, total = training_order.materialise_counted(
