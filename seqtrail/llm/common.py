@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from seqtrail.functions.storage import cut, ensure_checkpoint_dir
 
 BLANKS = r"[\x20\x09-\x0D]+"
 
-__all__ = ["BLANKS", "cut", "connected", "fold_case", "new_folder", "runs", "slices", "words"]
+__all__ = ["BLANKS", "cut", "connected", "fit_in_task", "fold_case", "new_folder", "runs", "slices", "words"]
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
@@ -40,6 +42,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(at, rows)
 
 
+def fit_in_task(sample: DataFrame, fit: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Any:
+    """The model that ``fit`` pickles, fitted in one task over a sample of bounded size.
+
+    The driver gets the model alone, so its memory does not hold the sample. A sample without
+    rows is fitted too.
+    """
+    # Spark may run no task at all over no rows.
+    found = sample.repartition(1).mapInArrow(fit, "model binary").first()
+    return pickle.loads(found["model"] if found else next(fit(iter([]))).column(0)[0].as_py())
+
+
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First index and length of each run of equal values."""
     if not len(keys):

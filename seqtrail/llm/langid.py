@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqtrail.llm.common import slices
+from seqtrail.llm.common import fit_in_task, slices
 
 #: Hash buckets of the n-grams of one to three bytes.
 DIMENSIONS = 4096
@@ -88,7 +89,7 @@ def _clusters(points: np.ndarray, k: int) -> np.ndarray:
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Fit on a bounded sample of ``docs``: the first PER_LANGUAGE of each language by hash, SAMPLE at most.
 
-    Only the sample's sparse counts come to the driver. Rows with null text, language or id
+    The sample's sparse counts are fitted in one task; only the model comes to the driver. Rows with null text, language or id
     are left out, as are texts without a letter. Without any, the model knows no language.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
@@ -113,14 +114,16 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
             names = ["lang", "whole", "grams", "counts"]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.string(), pa.bool_(), pa.binary(), pa.binary()))], names)
 
-    found = (
-        usable.join(F.broadcast(sample), ["doc_id", "lang"], "left_semi")
-        .mapInArrow(count, "lang string, whole boolean, grams binary, counts binary")
-        .toArrow()
+    def fit_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("lang", "whole", "grams", "counts")), strict=True)]
+        # In an order of their own, whatever order the tasks ended in.
+        made = fit_counts(sorted(rows))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], ["model"])
+
+    counted = usable.join(F.broadcast(sample), ["doc_id", "lang"], "left_semi").mapInArrow(
+        count, "lang string, whole boolean, grams binary, counts binary"
     )
-    rows = zip(*(found.column(c).to_pylist() for c in ("lang", "whole", "grams", "counts")), strict=True)
-    # In an order of their own, whatever order the tasks ended in.
-    return fit_counts(sorted(rows))
+    return fit_in_task(counted, fit_sample)
 
 
 def _dense(rows: list[tuple]) -> np.ndarray:

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from seqtrail.llm.common import connected, cut, runs, slices
 
@@ -298,7 +299,7 @@ def _members(docs: DataFrame) -> DataFrame:
                 batch.column("doc_id"), batch.column("digest"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
             )
 
-    return docs.mapInArrow(find, "doc_id long, digest long, node long, size long")
+    return docs.mapInArrow(find, f"doc_id {dict(docs.dtypes)['doc_id']}, digest long, node long, size long")
 
 
 def _keyed(docs: DataFrame, *, prefixes: bool = False) -> DataFrame:
@@ -612,9 +613,10 @@ def components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
     the row's own included. Null, empty and blank texts have an empty set and are linked
     with nothing. Rows of equal id count one by one; a row of null id links others but is
     never a component's name, and stands for itself alone with a null component_id. No
-    rows give no rows; other columns are ignored. Sets and shingles are told apart by 64-bit hashes.
+    rows give no rows; other columns are ignored. Ids are numbers or strings. Sets and shingles are told apart by 64-bit hashes.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("digest", F.xxhash64("text"))
+    name = F.col(doc_id) if isinstance(docs.select(doc_id).schema[0].dataType, StringType) else F.col(doc_id).cast("long")
+    rows = docs.select(name.alias("doc_id"), F.col(text).alias("text")).withColumn("digest", F.xxhash64("text"))
     members, found = links(rows)
     roots = connected(found)
     rooted = members.join(roots, "node", "left").select("doc_id", "size", F.coalesce("root", "node").alias("root"))

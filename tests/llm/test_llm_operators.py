@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import os
 import random
+import tracemalloc
 
 import brute
 import duckdb
@@ -628,6 +629,55 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(moved, expected)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 50, 1_000])
+def test_long_chains_equal_whole_ones(n):
+    rng = np.random.default_rng(n)
+    unary, moves = 3 * rng.normal(size=n), rng.normal(size=(2, 2))
+    whole, _ = line_crf.marginals(unary[None], np.ones((1, n), bool), moves)
+    assert np.allclose(line_crf.long_marginals(unary, moves), whole[0])
+
+
+def test_score_is_the_calibrated_mean_of_enumerated_marginals(monkeypatch):
+    rng = np.random.default_rng(11)
+    width = 3 * line_crf.FEATURES
+    model = line_crf.Model(rng.normal(size=width), rng.normal(size=(2, 2)), rng.normal(size=width), rng.uniform(0.5, 2, width), 0.8, 0.3)
+    texts = ["", "One line.", "First line of words\n\nsecond, another line!\nfirst line of words\n", "a b c\n" * 7, "x\n y z\n# | #"]
+
+    def expected(text):
+        features, weights = line_crf.line_features(text)
+        unary = ((line_crf.with_neighbours(features) - model.centre) / model.scale) @ model.weights
+        n, total, good = len(unary), 0.0, np.zeros(len(unary))
+        for code in range(2**n):
+            y = [(code >> t) & 1 for t in range(n)]
+            p = np.exp(sum(unary[t] * y[t] for t in range(n)) + sum(model.moves[y[t - 1], y[t]] for t in range(1, n)))
+            total, good = total + p, good + p * np.array(y)
+        mean = (good / total * weights).sum() / weights.sum()
+        mean = np.clip(mean, 1e-6, 1 - 1e-6)
+        return 1 / (1 + np.exp(-(model.slope * np.log(mean / (1 - mean)) + model.offset)))
+
+    want = [expected(t) for t in texts]
+    assert np.allclose(model.quality(line_crf.line_pieces(t) for t in texts), want, atol=1e-6)
+    monkeypatch.setattr(line_crf, "PIECE", 2)
+    monkeypatch.setattr(line_crf, "CELLS", 8)
+    assert np.allclose(model.quality(line_crf.line_pieces(t) for t in texts), want, atol=1e-6)
+
+
+def test_sampled_lines_are_bounded_and_in_order():
+    text = "\n".join(f"line {'w ' * (i % 50)}{i}" for i in range(5_000))
+    features, weights = line_crf.sampled_lines(3, text)
+    assert len(features) == len(weights) == line_crf.CHAIN * line_crf.CHAINS
+    short = "\n".join(text.split("\n")[:100])
+    assert np.array_equal(line_crf.sampled_lines(3, short)[0], line_crf.line_features(short)[0])
+
+
+def test_scoring_many_lines_holds_little():
+    model = line_crf.Model(np.ones(3 * line_crf.FEATURES), np.zeros((2, 2)), np.zeros(3 * line_crf.FEATURES), np.ones(3 * line_crf.FEATURES))
+    tracemalloc.start()
+    model.quality(line_crf.line_pieces("a b\n" * 20_000) for _ in range(32))
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+
+
 # Shared ----------------------------------------------------------------------------------
 
 
