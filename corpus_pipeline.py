@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqtrail.llm import langid, line_crf, packing, shingle_join
+from seqtrail.llm import bpe, langid, line_crf, packing, shingle_join
 from seqtrail.llm.common import cut, words
+from seqtrail.llm.queries import TOKENIZER
 
 #: Greedy packing and fitted models are not expressible in SQL; tests compare with brute force.
 ORACLE_SQL = None
@@ -27,26 +28,40 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates one row: that of the smallest id, or else one without an id.
 
-    Rows are told apart by a 64-bit hash of id and text, so an id on different texts stands
-    for several rows, and equal rows count once. Blank texts are like nothing: those without an id all stay.
+    Rows are named by 128 bits of a SHA-256 of id and text, so an id on different texts stands
+    for several rows, and equal rows count once. Blank texts are like nothing: those without an
+    id all stay. Columns may have any names.
     """
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    (row,) = _free_names(docs, "row")
+    told_apart = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit(":"), "text"), F.lit("")))
+    keyed = docs.withColumn(row, F.substring(F.sha2(told_apart, 256), 1, 32))
     blank = F.col("doc_id").isNull() & (F.size(words(F.col("text"))) == 0)
     told = keyed.filter(~blank)
-    found = shingle_join.components(told.select("__row", "text"), doc_id="__row")
-    named = found.select(F.col("doc_id").alias("__row"), "component_id").join(told.select("__row", "doc_id").distinct(), "__row")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
-    kept = named.groupBy("component_id").agg(first.alias("first")).select("first.__row")
-    one_each = told.join(kept, "__row", "left_semi").dropDuplicates(["__row"])
+    found = shingle_join.components(told.select(row, "text"), doc_id=row)
+    named = found.select(F.col("doc_id").alias(row), "component_id").join(told.select(row, "doc_id").distinct(), row)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))
+    kept = named.groupBy("component_id").agg(first.alias("first")).select(f"first.{row}")
+    one_each = told.join(kept, row, "left_semi").dropDuplicates([row])
     return one_each.unionByName(keyed.filter(blank)).select(*docs.columns)
 
 
+def _free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as make them differ from all columns."""
+    taken = {c.lower() for c in docs.columns}
+    mark = "_"
+    while any(mark + name in taken for name in names):
+        mark += "_"
+    return [mark + name for name in names]
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document's pieces go in sequences of several lengths.
+    """Where each document's pieces go in sequences of several lengths, in tokens of byte-level BPE."""
+    import public_tokenizers
 
-    Lengths are words between blanks, not BPE tokens as in ``op6_packing``.
-    """
-    return packing.pack(docs, F.size(words(F.col("text"))))
+    ranks = bpe.read_ranks(public_tokenizers.path(TOKENIZER))
+    # Stored, because packing reads the lengths twice.
+    counts = cut(bpe.token_counts(docs, ranks, public_tokenizers.PATTERN))
+    return packing.pack(counts, F.col("n_tokens"))
 
 
 STAGES = [
