@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,24 +18,18 @@ from seqtrail.llm.common import slices
 
 #: Characters of the base-64 name of a piece (48 bits).
 NAME = 8
-#: Longest piece in bytes; pieces end at blanks that a hash of the bytes before picks.
+#: Pieces end at blanks that a hash of the bytes before picks; above so many bytes, at any byte so picked.
 LONGEST = 512
+#: Pieces in which a hash picks no byte either end after so many.
+UNPICKED = 4096
 
 
 def _sha(data: bytes) -> bytes:
     return hashlib.sha256(data).digest()
 
 
-def _cuts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and paragraph of the pieces of a text.
-
-    Pieces end at line ends and after one blank in eight, picked by the four bytes before
-    it. A cut so depends on the bytes next to it alone, and an edit moves no cut elsewhere.
-    Where none is picked for ``LONGEST`` bytes there is one. Empty pieces are left out.
-    """
-    b = np.frombuffer(data, np.uint8)
-    lines = np.flatnonzero(b == 10)
-    at = np.flatnonzero(b[4:] == 32) + 4
+def _picks(b: np.ndarray, at: np.ndarray, share: int) -> np.ndarray:
+    """The places of ``at`` that a hash of the four bytes before picks, one in ``share``; not over a line end."""
     mix = np.full(len(at), 17, np.uint32)
     sound = np.ones(len(at), bool)
     for back in range(1, 5):
@@ -43,12 +38,30 @@ def _cuts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         mix = (mix ^ near) * np.uint32(16777619)
     mix ^= mix >> 15
     mix *= np.uint32(2246822519)
-    picked = at[sound & ((mix >> 13) & 7 == 0)] + 1
+    return at[sound & ((mix >> 13) & (share - 1) == 0)]
+
+
+def _cuts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and paragraph of the pieces of a text.
+
+    Pieces end at line ends and after one blank in eight, picked by the four bytes before
+    it. Where that gives more than ``LONGEST`` bytes, as in texts without blanks, one byte in 128
+    is picked in the same way. A cut so depends on the bytes next to it, and an edit moves cuts
+    only in the piece it touches; but where nothing is picked for ``UNPICKED`` bytes, as in one
+    character repeated, there is a cut after so many. Empty pieces are left out.
+    """
+    b = np.frombuffer(data, np.uint8)
+    lines = np.flatnonzero(b == 10)
+    picked = _picks(b, np.flatnonzero(b[4:] == 32) + 4, 8) + 1
     starts = np.sort(np.concatenate(([0], picked, lines + 1)))
     ends = np.sort(np.concatenate((picked, lines, [len(b)])))
     wide = ends - starts > LONGEST
     if wide.any():
-        more = np.concatenate([np.arange(x + LONGEST, y, LONGEST) for x, y in zip(starts[wide], ends[wide], strict=True)])
+        more = np.concatenate([_picks(b, np.arange(x + 4, y), 128) for x, y in zip(starts[wide], ends[wide], strict=True)])
+        starts, ends = np.sort(np.append(starts, more)), np.sort(np.append(ends, more))
+    wide = ends - starts > UNPICKED
+    if wide.any():
+        more = np.concatenate([np.arange(x + UNPICKED, y, UNPICKED) for x, y in zip(starts[wide], ends[wide], strict=True)])
         starts, ends = np.sort(np.append(starts, more)), np.sort(np.append(ends, more))
     some = ends > starts
     starts, ends = starts[some], ends[some]
@@ -94,39 +107,121 @@ def branches(tree: str) -> tuple[str, list[list[list[str]]]]:
     return root, [[names(p) for p in s.split(",")] for s in body.split("/")]
 
 
-def likeness(a: str, b: str) -> float:
-    """Twice the pieces in common over all pieces of both, 1 for equal roots."""
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest part of ``pairs``, which rise in the first number, that rises in the second too."""
+    tops: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(pairs)
+    for at, (_, j) in enumerate(pairs):
+        k = bisect_left(tops, j)
+        before[at] = last[k - 1] if k else -1
+        tops[k:k + 1], last[k:k + 1] = [j], [at]
+    out, at = [], last[-1] if last else -1
+    while at >= 0:
+        out.append(pairs[at])
+        at = before[at]
+    return out[::-1]
+
+
+def _aligned(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of equal items in the same order in both lists.
+
+    Common ends are taken first, then items that stand once in either list, as many as keep
+    their order, and the same again in the gaps between them. Where all are repeated, the
+    n-th of one list goes with the n-th of the other.
+    """
+    found, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        a, b, c, d = todo.pop()
+        while a < b and c < d and x[a] == y[c]:
+            found.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and x[b - 1] == y[d - 1]:
+            b, d = b - 1, d - 1
+            found.append((b, d))
+        if a == b or c == d:
+            continue
+        mine, theirs = Counter(x[a:b]), Counter(y[c:d])
+        once = {y[j]: j for j in range(c, d) if theirs[y[j]] == 1}
+        anchors = _rising([(i, once[x[i]]) for i in range(a, b) if mine[x[i]] == 1 and x[i] in once])
+        if anchors:
+            for (i, j), (k, m) in zip([(a - 1, c - 1), *anchors], [*anchors, (b, d)], strict=True):
+                todo.append((i + 1, k, j + 1, m))
+        else:
+            where = defaultdict(deque)
+            for j in range(c, d):
+                where[y[j]].append(j)
+            anchors = _rising([(i, where[x[i]].popleft()) for i in range(a, b) if where.get(x[i])])
+        found += anchors
+    return sorted(found)
+
+
+Place = tuple[int, ...]
+
+
+def _gaps(x: list[tuple[Place, str]], y: list[tuple[Place, str]]) -> Iterator[tuple[list, list]]:
+    """What is left of both lists between the items that are equal and in the same order."""
+    i = j = 0
+    for k, m in [*_aligned([key for _, key in x], [key for _, key in y]), (len(x), len(y))]:
+        if k > i or m > j:
+            yield x[i:k], y[j:m]
+        i, j = k + 1, m + 1
+
+
+def _paragraphs(sections: list[tuple[Place, str]]) -> list[tuple[Place, str]]:
+    return [((*at, j), p) for at, body in sections for j, p in enumerate(body.split(","))]
+
+
+def _pieces(paragraphs: list[tuple[Place, str]]) -> list[tuple[Place, str]]:
+    """The pieces of paragraphs, with the end of each as a piece without a name."""
+    return [((*at, k), p[i : i + NAME]) for at, p in paragraphs for k, i in enumerate(range(0, len(p) + 1, NAME))]
+
+
+def differences(a: str, b: str) -> tuple[list[Place], list[Place]]:
+    """Places (section, paragraph, piece) of each tree that have no equal in order in the other.
+
+    The trees are descended in step. Equal roots end the search at once; sections that are equal
+    and in the same order are passed over, and of those between them only the paragraphs, and
+    between equal ones of these the pieces, are compared. A moved, repeated or left-out part so
+    differs, as does a line end: the place after a paragraph's last piece.
+    """
+    mine, theirs = _different(a, b)
+    return [at for at, _ in mine], [at for at, _ in theirs]
+
+
+def _different(a: str, b: str) -> tuple[list[tuple[Place, str]], list[tuple[Place, str]]]:
+    mine: list[tuple[Place, str]] = []
+    theirs: list[tuple[Place, str]] = []
+    if a[:32] == b[:32]:
+        return mine, theirs
+    tops = ([((i,), s) for i, s in enumerate(tree[33:].split("/"))] for tree in (a, b))
+    for sections in _gaps(*tops):
+        for paragraphs in _gaps(*map(_paragraphs, sections)):
+            for one, two in _gaps(*map(_pieces, paragraphs)):
+                mine += one
+                theirs += two
+    return mine, theirs
+
+
+def _likeness(a: str, b: str, differing: tuple[list, list]) -> float:
     if a[:32] == b[:32]:
         return 1.0
-    one, two = (
-        Counter(body[i : i + NAME] for p in x[33:].split("/") for body in p.split(",") for i in range(0, len(body), NAME))
-        for x in (a, b)
-    )
-    total = one.total() + two.total()
-    return 2 * (one & two).total() / total if total else 0.0
+    total = sum((len(s) - s.count("/") - s.count(",")) // NAME for s in (a[33:], b[33:]))
+    other = sum(name != "" for side in differing for _, name in side)
+    return min((total - other) / total, total / (total + 1)) if total else 0.0
 
 
-def locate(a: str, b: str) -> list[tuple[int, int, int]]:
-    """Places (section, paragraph, piece) of ``a`` that ``b`` does not have.
+def likeness(a: str, b: str) -> float:
+    """Share of the pieces of both trees that are equal and in order, found by descending in step.
 
-    Only branches whose hash the other tree lacks are entered: equal roots end the search
-    at once, a section or paragraph found whole in ``b`` is passed over.
+    1 only for equal roots: with n pieces in both trees, others are n / (n + 1) alike at most.
     """
-    (root, mine), (other, theirs) = branches(a), branches(b)
-    if root == other:
-        return []
-    whole = {tuple(map(tuple, s)) for s in theirs}
-    lines = {tuple(p) for s in theirs for p in s}
-    names = {n for p in lines for n in p}
-    return [
-        (i, j, k)
-        for i, section in enumerate(mine)
-        if tuple(map(tuple, section)) not in whole
-        for j, paragraph in enumerate(section)
-        if tuple(paragraph) not in lines
-        for k, name in enumerate(paragraph)
-        if name not in names
-    ]
+    return _likeness(a, b, _different(a, b))
+
+
+def locate(a: str, b: str) -> list[Place]:
+    """Places (section, paragraph, piece) of ``a`` that ``b`` does not have there; see ``differences``."""
+    return differences(a, b)[0]
 
 
 def edited(text: str, following: str) -> str:
@@ -150,7 +245,8 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
 
 COMPARED = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
-    "edited_fingerprint string, near_edited double, near_next double"
+    "edited_fingerprint string, near_edited double, near_next double, "
+    "edits array<string>"
 )
 
 
@@ -162,7 +258,8 @@ def compare_with_next(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     all to the last range), so that every row meets its next one. Ranges come from
     approximate quantiles of the ids; as many as there are shuffle partitions.
 
-    Null text counts as empty. Rows of equal id go by text; of a null id, first. A single
+    ``edits`` lists the places (section/paragraph/piece) of a text that its edited form does not
+    have. Null text counts as empty. Rows of equal id go by text; of a null id, first. A single
     row is its own next. No rows give no rows; other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -219,10 +316,12 @@ def compare_with_next(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
                     here, mine, its_tree, _ = last
                     new = edited(mine, body)
                     its_edit = fingerprint(new)
+                    differing = _different(its_tree, its_edit)
                     out.append(
                         (
                             here, len(mine), hashlib.sha256(new.encode()).hexdigest(), its_tree, its_edit,
-                            likeness(its_tree, its_edit), likeness(its_tree, tree),
+                            _likeness(its_tree, its_edit, differing), likeness(its_tree, tree),
+                            ["/".join(map(str, at)) for at, _ in differing[0]],
                         )
                     )
                 if is_ahead:
@@ -241,5 +340,6 @@ SCHEMA = pa.schema(
     [
         ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
         ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
+        ("edits", pa.list_(pa.string())),
     ]
 )

@@ -314,6 +314,52 @@ def test_trees_edge_rows(spark):
     assert merkle.compare_with_next(no_rows(spark)).count() == 0
 
 
+def test_moves_repeats_and_line_ends_are_located():
+    lines = [f"paragraph {i} tells something of its own, number {i * i}" for i in range(40)]
+    tree = merkle.fingerprint("\n".join(lines))
+    swapped, repeated = lines[:], lines[:20] + [lines[5]] + lines[20:]
+    swapped[3], swapped[30] = lines[30], lines[3]
+    for other in ("\n".join(swapped), "\n".join(repeated), "\n".join(lines) + "\n", "\n".join(lines).replace("\n", "", 1)):
+        changed = merkle.fingerprint(other)
+        mine, theirs = merkle.differences(tree, changed)
+        assert mine or theirs
+        assert 0.8 < merkle.likeness(tree, changed) < 1
+    sections = merkle.branches(tree)[1]
+    flat = [(i, j) for i, s in enumerate(sections) for j in range(len(s))]
+    moved = {at[:2] for at in merkle.locate(tree, merkle.fingerprint("\n".join(swapped)))}
+    assert moved == {flat[3], flat[30]}
+    mine, theirs = merkle.differences(tree, merkle.fingerprint("\n".join(repeated)))
+    assert not mine and len({at[:2] for at in theirs}) == 1
+
+
+def test_edits_of_texts_without_blanks_stay_local():
+    rng = random.Random(3)
+    text = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(20_000))
+    tree = merkle.fingerprint(text)
+    assert merkle.likeness(tree, merkle.fingerprint("x" + text)) > 0.98
+    assert merkle.likeness(tree, merkle.fingerprint(text[:9_000] + text[9_001:])) > 0.98
+    assert len(merkle.branches(merkle.fingerprint("a" * 50_000))[1][0][0]) > 1
+
+
+def test_likeness_against_longest_common_sequences():
+    rng = random.Random(8)
+    for _ in range(60):
+        x = [rng.choice("abcdefgh") for _ in range(rng.randint(0, 14))]
+        y = x[:]
+        for _ in range(rng.randint(0, 4)):
+            y.insert(rng.randint(0, len(y)), rng.choice("abcdefgh"))
+        pairs = merkle._aligned(x, y)
+        assert all(x[i] == y[j] for i, j in pairs)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:], strict=False))
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, p in enumerate(x):
+            for j, q in enumerate(y):
+                best[i + 1][j + 1] = best[i][j] + 1 if p == q else max(best[i][j + 1], best[i + 1][j])
+        assert len(pairs) <= best[-1][-1]
+        if len(set(x)) == len(x) and len(set(y)) == len(y):
+            assert len(pairs) == best[-1][-1]
+
+
 def test_edits_are_located_by_branch():
     rng = random.Random(2)
     lines = [" ".join(vocabulary(rng, 40)) for _ in range(30)]
