@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -12,11 +12,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import tiktoken
+import xxhash
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqtrail.llm.common import slices
+from seqtrail.llm.common import runs, slices
 
 #: The characters that Unicode calls white space, as members of a regex class.
 WHITE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -25,6 +26,8 @@ WHITE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000
 BATCH_BITS, NUMBER_BITS = 14, 26
 #: A block is closed when it has so many pre-tokens: larger ones repeat fewer words.
 BLOCK_TOKENS = 6_000_000
+#: Words or ids of a text that are looked up at a time.
+PIECE = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,14 +47,6 @@ def encoding(pattern: str, ranks: frozenset) -> tiktoken.Encoding:
     return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=dict(ranks), special_tokens={})
 
 
-@lru_cache(maxsize=2)
-def _token_bytes(ranks: frozenset) -> list[bytes | None]:
-    table: list[bytes | None] = [None] * (max((i for _, i in ranks), default=-1) + 1)
-    for token, i in ranks:
-        table[i] = token
-    return table
-
-
 def pack_numbers(values: np.ndarray) -> bytes:
     """Numbers below 2**28 in one to four bytes, small ones short; a set top bit says that more follow."""
     size = 1 + sum((values >= 1 << 7 * k).astype(np.int64) for k in (1, 2, 3))
@@ -75,26 +70,42 @@ def unpack_numbers(data: bytes) -> np.ndarray:
 
 
 def pre_tokens(texts: DataFrame, pattern: str) -> DataFrame:
-    """digest and ``words``, the pre-tokens of each text in order.
+    """digest and ``words``, the pre-tokens of each text in order, in one reading of the texts.
 
-    Java splits them; texts with characters newer than Java's tables are split in Python.
+    Java splits them. Of texts with characters newer than Java's tables ``words`` is null and
+    ``text`` is given instead, for Python to split.
     """
-    odd = F.col("text").rlike(r"\p{Cn}")
-    common = texts.filter(~odd).select(
-        "digest", F.regexp_extract_all("text", F.lit(java_pattern(pattern)), F.lit(0)).alias("words")
+    told = texts.select("digest", "text", F.col("text").rlike(r"\p{Cn}").alias("odd"))
+    return told.select(
+        "digest",
+        F.when(~F.col("odd"), F.regexp_extract_all("text", F.lit(java_pattern(pattern)), F.lit(0))).alias("words"),
+        F.when(F.col("odd"), F.col("text")).alias("text"),
     )
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(java_pattern(pattern)).findall
-        for batch in slices(batches, 64):
-            found = [find(x) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(found, pa.list_(pa.string()))], ["digest", "words"])
 
-    return common.union(texts.filter(odd).mapInArrow(split, "digest binary, words array<string>"))
+def _word_lists(batch: pa.RecordBatch, find: Callable[[str], list[str]]) -> pa.ListArray:
+    """The pre-tokens of the batch's texts, those that Java left being split here."""
+    lists = batch.column("words")
+    if not lists.null_count:
+        return lists
+    left = lists.is_null().to_numpy(zero_copy_only=False)
+    found = pa.array([find(x) for x in batch.column("text").filter(pa.array(left)).to_pylist()], lists.type)
+    rows = np.arange(len(lists))
+    rows[left] = len(lists) + np.arange(len(found))
+    return pa.concat_arrays([lists, found]).take(pa.array(rows))
+
+
+def _marks(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+
+
+def _numbering(marks: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Per word a summand of the fingerprint that tells which word has which number in a block."""
+    return marks * (2 * numbers.astype(np.uint64) + 1)
 
 
 def _blocks(
-    batches: Iterator[pa.RecordBatch],
+    batches: Iterator[pa.RecordBatch], pattern: str
 ) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray, pa.Array]]:
     """Blocks of a task's texts, each text once: number, digests, text ends, word numbers, words.
 
@@ -103,6 +114,7 @@ def _blocks(
     that common ones get small numbers.
     """
     part, seen, at = TaskContext.get().partitionId(), set(), 0
+    find = regex.compile(java_pattern(pattern)).findall
     digests: list[bytes] = []
     sizes: list[np.ndarray] = []
     coded: list[pa.DictionaryArray] = []
@@ -131,7 +143,7 @@ def _blocks(
             continue
         if len(new) < len(names):
             batch = batch.take(pa.array(new, pa.int64()))
-        lists = batch.column("words")
+        lists = _word_lists(batch, find)
         digests += [names[i] for i in new]
         sizes.append(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         coded.append(lists.flatten().dictionary_encode())
@@ -145,14 +157,14 @@ def _blocks(
         yield block()
 
 
-def distinct_words(tokens: DataFrame) -> DataFrame:
+def distinct_words(tokens: DataFrame, pattern: str) -> DataFrame:
     """Rows (word, place): the words of each block, exploded from its texts.
 
     A place is the block's number in the upper bits and the word's number in the block below.
     """
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, _, _, words in _blocks(batches):
+        for block, _, _, _, words in _blocks(batches, pattern):
             for at in range(0, len(words), 50_000):
                 some = words.slice(at, 50_000)
                 places = np.arange(at, at + len(some)) | (block << NUMBER_BITS)
@@ -161,35 +173,45 @@ def distinct_words(tokens: DataFrame) -> DataFrame:
     return tokens.mapInArrow(tell, "word string, place long")
 
 
-def numbered_texts(tokens: DataFrame) -> DataFrame:
-    """Rows (block, n_words, digest, numbers): each text as the numbers of its words, in order."""
+def numbered_texts(tokens: DataFrame, pattern: str) -> DataFrame:
+    """Rows (block, mark, n_words, digest, numbers): each text as the numbers of its words, in order.
+
+    ``mark`` is the fingerprint of the block's numbering.
+    """
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, digests, ends, numbers, words in _blocks(batches):
-            packed = [pack_numbers(numbers[a:b]) for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
-            n = len(digests)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(n, block, np.int64)), pa.array(np.full(n, len(words), np.int64)),
-                    pa.array(digests, pa.binary()), pa.array(packed, pa.binary()),
-                ],
-                ["block", "n_words", "digest", "numbers"],
+        for block, digests, ends, numbers, words in _blocks(batches, pattern):
+            mark = sum(
+                int(_numbering(_marks(words.slice(at, 50_000).to_pylist()), np.arange(at, min(at + 50_000, len(words)))).sum(dtype=np.uint64))
+                for at in range(0, len(words), 50_000)
             )
+            mark = (mark & (1 << 64) - 1) - (1 << 63)
+            starts = [0, *ends.tolist()]
+            for at in range(0, len(digests), 256):
+                some = digests[at : at + 256]
+                packed = [pack_numbers(numbers[starts[i] : starts[i + 1]]) for i in range(at, at + len(some))]
+                same = [pa.array(np.full(len(some), v, np.int64)) for v in (block, mark, len(words))]
+                yield pa.RecordBatch.from_arrays(
+                    [*same, pa.array(some, pa.binary()), pa.array(packed, pa.binary())],
+                    ["block", "mark", "n_words", "digest", "numbers"],
+                )
 
-    return tokens.mapInArrow(tell, "block long, n_words long, digest binary, numbers binary")
+    return tokens.mapInArrow(tell, "block long, mark long, n_words long, digest binary, numbers binary")
 
 
 def with_ids(words: DataFrame, pattern: str, ranks: Broadcast, *, gathered: int = 100_000) -> DataFrame:
-    """block, numbers, sizes, ids: each distinct word encoded once, for all blocks that hold it.
+    """block, mark, numbers, sizes, ids: each distinct word encoded once, for all blocks that hold it.
 
     Blocks give a word once, so no word has more rows than there are blocks; equal words
     lie side by side after the shuffle. What goes back to a block is gathered: the words'
-    numbers and numbers of ids, packed, and the ids one after the other.
+    numbers and numbers of ids, packed, the ids one after the other, and the words' part of
+    the fingerprint of the block's numbering.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoding(pattern, ranks.value).encode_ordinary
         places: list[np.ndarray] = []
+        marks: list[np.ndarray] = []
         found: list[pa.Array] = []
 
         def gather() -> Iterator[pa.RecordBatch]:
@@ -200,82 +222,134 @@ def with_ids(words: DataFrame, pattern: str, ranks: Broadcast, *, gathered: int
             place, ids = place[order], pa.concat_arrays(found).take(pa.array(order))
             starts = np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1] // 4
             pool = np.frombuffer(ids.buffers()[2], "<u4")
-            block = place >> NUMBER_BITS
+            block, number = place >> NUMBER_BITS, place & ((1 << NUMBER_BITS) - 1)
+            told = _numbering(np.concatenate(marks)[order], number)
             first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
             rows = [
                 (
                     int(block[a]),
-                    pack_numbers(place[a:b] & ((1 << NUMBER_BITS) - 1)),
+                    int(told[a:b].sum(dtype=np.uint64)) - (1 << 63),
+                    pack_numbers(number[a:b]),
                     pack_numbers(np.diff(starts[a : b + 1]).astype(np.int64)),
                     pool[starts[a] : starts[b]].tobytes(),
                 )
                 for a, b in zip(first.tolist(), [*first[1:].tolist(), len(block)], strict=True)
             ]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
-                ["block", "numbers", "sizes", "ids"],
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
+                ["block", "mark", "numbers", "sizes", "ids"],
             )
-            places.clear()
-            found.clear()
+            for held in (places, marks, found):
+                held.clear()
 
         for batch in batches:
             coded = batch.column("word").dictionary_encode()
-            ids = pa.array([np.array(one(w), "<u4").tobytes() for w in coded.dictionary.to_pylist()], pa.binary())
+            distinct = coded.dictionary.to_pylist()
+            ids = pa.array([np.array(one(w), "<u4").tobytes() for w in distinct], pa.binary())
             places.append(batch.column("place").to_numpy())
+            marks.append(_marks(distinct)[coded.indices.to_numpy()])
             found.append(ids.take(coded.indices))
             if sum(map(len, places)) >= gathered or sum(x.nbytes for x in found) > 1 << 24:
                 yield from gather()
         yield from gather()
 
     dealt = words.repartition("word").sortWithinPartitions("word")
-    return dealt.mapInArrow(encode, "block long, numbers binary, sizes binary, ids binary")
-
-
-def _put_together(texts: pa.Table, words: pa.Table) -> pa.Table:
-    """The ids of a block's texts by the positions of their words."""
-    parts = {c: words.column(c).to_pylist() for c in ("numbers", "sizes", "ids")}
-    number = np.concatenate([np.zeros(0, np.int64), *map(unpack_numbers, parts["numbers"])])
-    size = np.concatenate([np.zeros(0, np.int64), *map(unpack_numbers, parts["sizes"])])
-    pool = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x, "<u4") for x in parts["ids"])])
-    known = {*texts.column("n_words").to_pylist()} | {len(number)}
-    if len(known) > 1 or len(np.unique(number)) != len(number):
-        raise RuntimeError("the two passes found different blocks: the texts must not change between them")
-    start_of, size_of = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
-    start_of[number], size_of[number] = np.cumsum(size) - size, size
-    packed = texts.column("numbers").to_pylist()
-    lengths = np.array([size_of[unpack_numbers(x)].sum() for x in packed], np.int64)
-    ends = np.cumsum(lengths)
-    out = np.empty(int(ends[-1]) if len(ends) else 0, "<u4")
-    for x, start, end in zip(packed, (ends - lengths).tolist(), ends.tolist(), strict=True):
-        numbers = unpack_numbers(x)
-        first, sizes = start_of[numbers], size_of[numbers]
-        out[start:end] = pool[np.arange(end - start) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)]
-    offsets = np.concatenate(([0], ends)) * 4
-    # The texts of a block have far fewer than 2**31 bytes of ids.
-    ids = pa.Array.from_buffers(pa.binary(), len(packed), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
-    return pa.table({"digest": texts.column("digest"), "ids": ids})
-
-
-def encode_texts(texts: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    return dealt.mapInArrow(encode, "block long, mark long, numbers binary, sizes binary, ids binary")
+
+
+class _Spelling:
+    """The ids of a block's words, by their numbers: all that is held of a block while its texts pass by."""
+
+    def __init__(self, parts: list[pa.RecordBatch], n_words: int, mark: int) -> None:
+        told = {c: [x for part in parts for x in part.column(c).to_pylist()] for c in ("mark", "numbers", "sizes", "ids")}
+        number = np.concatenate([np.zeros(0, np.int64), *map(unpack_numbers, told["numbers"])])
+        size = np.concatenate([np.zeros(0, np.int64), *map(unpack_numbers, told["sizes"])])
+        self.pool = np.frombuffer(b"".join(told["ids"]), "<u4")
+        found = (sum(x + (1 << 63) for x in told["mark"]) & (1 << 64) - 1) - (1 << 63)
+        if len(number) != n_words or found != mark or len(np.unique(number)) != n_words:
+            raise RuntimeError("the two passes found different blocks: the texts must not change between them")
+        self.start, self.size = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
+        self.start[number], self.size[number] = np.cumsum(size) - size, size
+
+    def ids(self, packed: bytes) -> np.ndarray:
+        numbers = unpack_numbers(packed)
+        pieces = [_gathered(self.pool, self.start[x], self.size[x]) for x in (numbers[at : at + PIECE] for at in range(0, len(numbers), PIECE))]
+        return np.concatenate([np.zeros(0, "<u4"), *pieces])
+
+
+def _gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``pool`` that begin at ``start`` and are ``size`` long, one after the other."""
+    return pool[np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)]
+
+
+class _TokenBytes:
+    """The token-byte table as one string of bytes, each id's place in it and its length (-1: no such id)."""
+
+    def __init__(self, ranks: frozenset) -> None:
+        known = sorted((i, token) for token, i in ranks)
+        self.size = np.full(max((i for i, _ in known), default=-1) + 1, -1, np.int64)
+        self.start = np.zeros(len(self.size), np.int64)
+        ids, sizes = np.array([i for i, _ in known], np.int64), np.array([len(token) for _, token in known], np.int64)
+        self.size[ids], self.start[ids] = sizes, np.cumsum(sizes) - sizes
+        self.pool = np.frombuffer(b"".join(token for _, token in known), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes | None:
+        if len(ids) and (int(ids.max()) >= len(self.size) or (self.size[ids] < 0).any()):
+            return None
+        pieces = (ids[at : at + PIECE] for at in range(0, len(ids), PIECE))
+        return b"".join(_gathered(self.pool, self.start[x], self.size[x]).tobytes() for x in pieces)
+
+
+@lru_cache(maxsize=1)
+def _token_bytes(ranks: frozenset) -> _TokenBytes:
+    return _TokenBytes(ranks)
+
+
+def encode_texts(texts: DataFrame, ranks: dict[bytes, int], pattern: str, *, decoded: bool = False) -> DataFrame:
     """digest and ids (little-endian unsigned 32-bit) of the texts of ``texts`` (digest, text).
 
     Texts are split into pre-tokens block by block. The distinct words of all blocks meet in
     one shuffle by word, where each is encoded once; the ids go back to their blocks,
-    where they are put at the positions of their words. Word counts within a block take
-    the place of repeated rows, so no word is hot. A task works a text once, however many
-    copies it sees; copies seen by several tasks give equal rows. ``texts`` is read
-    twice and must be stored, so that both readings find the same. Empty texts have no
-    ids; null digests or texts give no row.
+    where they are put at the positions of their words: the rows of a block are sorted, its
+    words first, so that only these are held while its texts pass by. Word counts within a
+    block take the place of repeated rows, so no word is hot. A task works a text once, however
+    many copies it sees; copies seen by several tasks give equal rows. ``texts`` is read
+    twice and must be stored, so that both readings find the same; a fingerprint of every
+    block's numbering tells if they did not, which is an error. Empty texts have no
+    ids; null digests or texts give no row. With ``decoded`` the ids are decoded again while
+    they are at hand, as ``decode_texts`` does it.
     """
     shared = texts.sparkSession.sparkContext.broadcast(frozenset(ranks.items()))
     tokens = pre_tokens(texts.filter("digest is not null and text is not null"), pattern)
-    words = with_ids(distinct_words(tokens), pattern, shared)
-    return (
-        numbered_texts(tokens)
-        .groupBy("block")
-        .cogroup(words.groupBy("block"))
-        .applyInArrow(_put_together, "digest binary, ids binary")
-    )
+    words = with_ids(distinct_words(tokens, pattern), pattern, shared)
+    rows = numbered_texts(tokens, pattern).unionByName(words, allowMissingColumns=True)
+    # The words of a block have no digest and come first.
+    sorted_blocks = rows.repartition("block").sortWithinPartitions("block", F.col("digest").isNotNull())
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _token_bytes(shared.value) if decoded else None
+        block, parts, spelling = None, [], None
+        for batch in slices(batches, 64):
+            first, length = runs(batch.column("block").to_numpy())
+            for a, n in zip(first.tolist(), length.tolist(), strict=True):
+                part = batch.slice(a, n)
+                if part.column("block")[0].as_py() != block:
+                    block, parts, spelling = part.column("block")[0].as_py(), [], None
+                is_text = part.column("digest").is_valid()
+                parts.append(part.filter(pc.invert(is_text)))
+                held = part.filter(is_text)
+                if not held.num_rows:
+                    continue
+                if spelling is None:
+                    spelling = _Spelling(parts, held.column("n_words")[0].as_py(), held.column("mark")[0].as_py())
+                parts = []
+                ids = [spelling.ids(x) for x in held.column("numbers").to_pylist()]
+                made = [held.column("digest"), pa.array([x.tobytes() for x in ids], pa.binary())]
+                if table:
+                    made.append(pa.array([table.decode(x) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(made, ["digest", "ids", "decoded"][: len(made)])
+
+    return sorted_blocks.mapInArrow(put_together, "digest binary, ids binary" + (", decoded binary" if decoded else ""))
 
 
 def decode_texts(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -289,11 +363,7 @@ def decode_texts(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _token_bytes(shared.value)
         for batch in slices(batches, 256):
-            out = []
-            for data in batch.column("ids").to_pylist():
-                ids = np.frombuffer(data or b"", "<u4").tolist()
-                parts = [table[i] if i < len(table) else None for i in ids]
-                out.append(None if None in parts else b"".join(parts))
+            out = [table.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("digest"), batch.column("ids"), pa.array(out, pa.binary())], ["digest", "ids", "decoded"]
             )

@@ -62,7 +62,7 @@ def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     ranks = bpe.read_ranks(public_tokenizers.path(TOKENIZER))
     rows = bpe.text_rows(_table(spark, folder, "documents"))
-    made = bpe.decode_texts(bpe.encode_texts(rows.select("digest", "text"), ranks, public_tokenizers.PATTERN), ranks)
+    made = bpe.encode_texts(rows.select("digest", "text"), ranks, public_tokenizers.PATTERN, decoded=True)
     digests = made.select(
         "digest",
         F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),

@@ -10,6 +10,7 @@ import brute
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -519,6 +520,26 @@ def test_encoding_edge_rows(spark):
     assert bpe.decode_texts(bad, ranks).first().decoded is None
 
 
+def test_ids_decoded_at_hand_and_texts_that_change_between_readings(spark):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ranks = bpe.read_ranks(path)
+    texts = {1: "one two one", 2: "", 3: "three\u0378 three", 4: "x" * 5000 + " two"}
+    rows = common.cut(bpe.text_rows(spark.createDataFrame(list(texts.items()), TEXTS)))
+    got = rows.join(bpe.encode_texts(rows.select("digest", "text"), ranks, pattern, decoded=True), "digest").collect()
+    assert {r.doc_id: bytes(r.decoded).decode() for r in got} == texts
+
+    words = ["a", "b", "c"]
+    marks, numbers = bpe._marks(words), np.arange(3)
+    total = int(bpe._numbering(marks, numbers).sum(dtype=np.uint64)) - (1 << 63)
+    swapped = int(bpe._numbering(marks, np.array([1, 0, 2])).sum(dtype=np.uint64)) - (1 << 63)
+    ids = [bpe.pack_numbers(numbers), bpe.pack_numbers(np.ones(3, np.int64)), np.arange(3, dtype="<u4").tobytes()]
+    part = pa.RecordBatch.from_pydict({"mark": [swapped], "numbers": [ids[0]], "sizes": [ids[1]], "ids": [ids[2]]})
+    assert bpe._Spelling([part], 3, swapped).ids(bpe.pack_numbers(np.array([2, 0]))).tolist() == [2, 0]
+    for n, mark in ((3, total), (2, swapped)):
+        with pytest.raises(RuntimeError, match="different blocks"):
+            bpe._Spelling([part], n, mark)
+
+
 def test_packed_numbers_come_back():
     values = np.array([0, 1, 127, 128, 129, 16383, 16384, 2**21 - 1, 2**21, 2**28 - 1, 5])
     assert bpe.unpack_numbers(bpe.pack_numbers(values)).tolist() == values.tolist()
