@@ -1,7 +1,7 @@
 """DuckDB SQL of the queries that SQL can express."""
 
 from seqtrail.llm import chat
-from seqtrail.llm.quality_rules import ERROR, MIN_WORDS, RISK, RULES
+from seqtrail.llm.quality_rules import ERROR, MIN_WORDS, RISK, RULES, path_levels
 
 ORACLES: dict[str, str] = {}
 
@@ -36,17 +36,14 @@ FROM h LEFT JOIN m ON m.page_id = h.page_id AND m.place = 1
 
 def _quality_sql() -> str:
     scores = ", ".join(f"coalesce(({score}) * 1e0, 0) AS s_{name}" for name, (score, _) in RULES.items())
-    tests = sum(len(cutoffs) for _, cutoffs in RULES.values())
-    risk = f"({RISK!r} / {len(RULES)}.0e0)"
+    levels = path_levels()
     rejected = " UNION ALL ".join(
-        f"SELECT stratum, '{name}' AS rule, {c!r} * 1e0 AS cutoff, count(*) FILTER (s_{name} > {c!r} * 1e0) AS rejected"
+        f"SELECT stratum, {at} AS level, count(*) FILTER ({' OR '.join(f's_{name} > {c!r} * 1e0' for name, c in level.items())}) AS rejected"
         " FROM holdout GROUP BY stratum"
-        for name, (_, cutoffs) in RULES.items()
-        for c in cutoffs
+        for at, level in enumerate(levels)
     )
     over = " OR ".join(
-        f"coalesce(s_{name} > (SELECT cutoff FROM best b WHERE b.stratum = c.stratum AND b.rule = '{name}'), false)"
-        for name in RULES
+        f"level = {at} AND ({' OR '.join(f's_{name} > {c!r} * 1e0' for name, c in level.items())})" for at, level in enumerate(levels)
     )
     return rf"""
 WITH w AS MATERIALIZED (
@@ -76,19 +73,19 @@ holdout AS MATERIALIZED (
     AND doc_id IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1)),
 sizes AS MATERIALIZED (SELECT stratum, count(*) AS n, count(*) OVER () AS strata FROM holdout GROUP BY stratum),
 terms AS (
-  SELECT stratum, n, strata, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({risk})
-    + (n - k) * ln(1 - {risk})) AS p
-  FROM (SELECT *, unnest(range(0, CAST(floor(n * {risk}) AS BIGINT) + 1)) AS k FROM sizes)),
+  SELECT stratum, n, strata, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({RISK!r})
+    + (n - k) * ln(1 - {RISK!r})) AS p
+  FROM (SELECT *, unnest(range(0, CAST(floor(n * {RISK!r}) AS BIGINT) + 1)) AS k FROM sizes)),
 allowed AS MATERIALIZED (
   SELECT stratum, max(k) AS allowed FROM (
     SELECT *, sum(p) OVER (PARTITION BY stratum ORDER BY k) AS below FROM terms)
-  WHERE below <= {ERROR!r} / {tests}.0e0 / strata GROUP BY stratum),
+  WHERE below <= {ERROR!r} / strata GROUP BY stratum),
 best AS MATERIALIZED (
-  SELECT stratum, rule, min(cutoff) AS cutoff FROM ({rejected}) JOIN allowed USING (stratum)
-  WHERE rejected <= allowed GROUP BY stratum, rule)
+  SELECT stratum, max(level) AS level FROM ({rejected}) JOIN allowed USING (stratum)
+  WHERE rejected <= allowed GROUP BY stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT ({over}) AS kept
-FROM counts c
+  NOT base_failed AND NOT coalesce({over}, false) AS kept
+FROM counts LEFT JOIN best USING (stratum)
 """
 
 

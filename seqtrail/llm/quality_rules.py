@@ -185,6 +185,63 @@ def choose_cutoffs(
     )
 
 
+def path_levels(rules: Mapping[str, tuple[str, Sequence[float]]] = RULES) -> list[dict[str, float]]:
+    """The cutoffs of all rules side by side, from the laxest level to the strictest.
+
+    There are as many levels as the longest list has cutoffs; shorter lists stay at a cutoff for
+    several levels. A level rejects all that the levels before it reject.
+    """
+    lists = {name: sorted(map(float, cutoffs), reverse=True) for name, (_, cutoffs) in rules.items()}
+    levels = max(map(len, lists.values()), default=0)
+    return [{name: c[len(c) * at // levels] for name, c in lists.items() if c} for at in range(levels)]
+
+
+def joint_cutoffs(
+    counts: DataFrame,
+    labels: DataFrame,
+    rules: Mapping[str, tuple[str, Sequence[float]]] = RULES,
+    *,
+    risk: float = RISK,
+    error: float = ERROR,
+    label: str = "quality",
+) -> DataFrame:
+    """stratum, rule, cutoff, level, n_good, rejected, allowed: the strictest proven level of all rules.
+
+    The holdout is that of ``choose_cutoffs``. A level is proven if the good texts that any of
+    its cutoffs rejects are few enough for the whole ``risk``. Levels are tested from the
+    laxest on, up to the first that is not proven; each rejects what the one before it rejects,
+    so this fixed sequence needs no correction over levels or rules. The error probability
+    is shared among the strata (Bonferroni), so with probability 1 - error no stratum loses
+    more than ``risk`` of its good texts. With n good texts no level can be proven if
+    (1 - risk) ** n is above error / strata: by default below 217 texts in each of four strata,
+    149 in a single one. No rule applies in a stratum without a proven level.
+    """
+    levels = path_levels(rules)
+    good = labels.groupBy("doc_id").agg(F.max(label).alias("good")).filter("good = 1").select("doc_id")
+    holdout = scored(counts.filter(~F.col("base_failed")).join(good, "doc_id", "left_semi"), rules)
+
+    def over(cutoffs: Mapping[str, float]) -> Column:
+        return F.greatest(*[(F.col(f"score_{name}") > c).cast("int") for name, c in cutoffs.items()], F.lit(0)) > 0
+
+    # One pass: a column of rejections for each level.
+    found = holdout.groupBy("stratum").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.count_if(over(c)) for c in levels]).alias("rejected")
+    )
+    strata = found.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("strata"))
+    # The error per test depends on the number of strata, a single row.
+    allowed = most_rejections(found.crossJoin(F.broadcast(strata)).select("stratum", "n", "strata"), risk, error / F.col("strata"))
+    # Rejections never fall along the path, so the last proven level ends the sequence.
+    proven = found.join(allowed.select("stratum", "allowed"), "stratum").withColumn(
+        "level", F.size(F.filter("rejected", lambda x: x <= F.col("allowed"))) - 1
+    ).filter("level >= 0")
+    by_level = F.array(
+        *[F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(c).alias("cutoff")) for n, c in level.items()]) for level in levels]
+    )
+    return proven.select(
+        "stratum", "n", F.col("rejected")[F.col("level")].alias("rejected"), "allowed", "level", F.inline(by_level[F.col("level")])
+    ).select("stratum", "rule", "cutoff", "level", F.col("n").alias("n_good"), "rejected", "allowed")
+
+
 def apply_cutoffs(
     counts: DataFrame, cutoffs: DataFrame, rules: Mapping[str, tuple[str, Sequence[float]]] = RULES
 ) -> DataFrame:
@@ -203,18 +260,18 @@ def apply_cutoffs(
 
 
 def filter_quality(
-    docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **options
+    docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", joint: bool = True, **options
 ) -> DataFrame:
     """doc_id, n_words, the base counts, base_failed and kept of every row of ``docs``.
 
-    Strata are the values of ``lang`` (null is one). Null text counts as empty and fails the
+    The cutoffs are those of ``joint_cutoffs``, or without ``joint`` those of ``choose_cutoffs``. Strata are the values of ``lang`` (null is one). Null text counts as empty and fails the
     base checks; repeated rows and null ids stay (a null id is never labelled).
     """
     counts = cut(base(docs, doc_id=doc_id, text=text, stratum=F.col(lang)))
     own = labels.select(F.col(doc_id).alias("doc_id"), *[c for c in labels.columns if c != doc_id and c != "doc_id"])
-    cutoffs = choose_cutoffs(counts, own, **options)
+    cutoffs = (joint_cutoffs if joint else choose_cutoffs)(counts, own, **options)
     kept = apply_cutoffs(counts, cutoffs)
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-__all__ = ["filter_quality", "choose_cutoffs", "apply_cutoffs", "base", "most_rejections"]
+__all__ = ["filter_quality", "joint_cutoffs", "choose_cutoffs", "path_levels", "apply_cutoffs", "base", "most_rejections"]

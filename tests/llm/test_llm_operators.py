@@ -258,21 +258,55 @@ def many_good_texts(spark, n):
     return docs, spark.createDataFrame([(i, 1) for i in range(n)], "doc_id long, quality int")
 
 
-def test_selected_cutoffs_equal_sql(spark):
-    docs, labels = many_good_texts(spark, 2600)
-    rows = quality_rules.filter_quality(docs, labels).collect()
+def equal_to_sql(docs, labels, rows):
     con = duckdb.connect()
     con.register("documents", docs.toArrow())
     con.register("labels", labels.toArrow())
     expected = con.sql(ORACLES["op3_quality_rules"])
-    assert sorted(tuple(r[c] for c in expected.columns) for r in rows) == sorted(expected.fetchall())
+    return sorted(tuple(r[c] for c in expected.columns) for r in rows) == sorted(expected.fetchall())
+
+
+def test_selected_cutoffs_equal_sql(spark):
+    docs, labels = many_good_texts(spark, 2600)
+    rows = quality_rules.filter_quality(docs, labels).collect()
+    assert equal_to_sql(docs, labels, rows)
     assert {r.doc_id for r in rows if not r.kept} == set(range(2600, 2620)) and not any(r.base_failed for r in rows)
+    apart = quality_rules.filter_quality(docs, labels, joint=False).collect()
+    assert {r.doc_id for r in apart if not r.kept} == set(range(2600, 2620))
+
+
+def test_smallest_holdout_of_the_joint_path(spark):
+    for n, rejected in ((148, set()), (149, set(range(149, 169)))):
+        docs, labels = many_good_texts(spark, n)
+        rows = quality_rules.filter_quality(docs, labels).collect()
+        assert equal_to_sql(docs, labels, rows)
+        assert {r.doc_id for r in rows if not r.kept} == rejected
+
+
+def test_joint_path_stops_where_good_texts_fall(spark):
+    """Of 1,000 good texts those with k of 100 words as symbols grow in number from level to level."""
+    rng = random.Random(11)
+    share = [rng.choice([0, 0, 0, 0, 1, 2, 4, 6, 9, 15, 25, 40, 60, 90]) if rng.random() < 0.06 else 0 for _ in range(1000)]
+    rows = [(i, "s", 100, 500, k, 0, 0, 0, False) for i, k in enumerate(share)]
+    names = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_shouts long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+    counts = spark.createDataFrame(rows, names)
+    labels = spark.createDataFrame([(i, 1) for i in range(1000)], "doc_id long, quality int")
+    rules = {"symbols": quality_rules.RULES["symbols"], "shouts": quality_rules.RULES["shouts"]}
+    levels = quality_rules.path_levels(rules)
+    assert all(a[r] >= b[r] for a, b in zip(levels, levels[1:], strict=False) for r in rules)
+    assert (levels[0], levels[-1]) == ({"symbols": 0.8, "shouts": 0.8}, {"symbols": 0.02, "shouts": 0.02})
+    allowed = brute.binomial_allowed(1000, 0.02, 0.05)
+    falls = [sum(k / 100 > level["symbols"] for k in share) for level in levels]
+    due = max(at for at, n in enumerate(falls) if n <= allowed)
+    assert falls[-1] > allowed
+    for r in quality_rules.joint_cutoffs(counts, labels, rules).collect():
+        assert (r.level, r.cutoff, r.rejected, r.allowed, r.n_good) == (due, levels[due][r.rule], falls[due], allowed, 1000)
 
 
 def test_cutoffs_in_sequence_need_a_smaller_holdout(spark):
     docs, labels = many_good_texts(spark, 1600)
-    assert all(r.kept for r in quality_rules.filter_quality(docs, labels).collect())
-    rows = quality_rules.filter_quality(docs, labels, sequence=True).collect()
+    assert all(r.kept for r in quality_rules.filter_quality(docs, labels, joint=False).collect())
+    rows = quality_rules.filter_quality(docs, labels, joint=False, sequence=True).collect()
     assert {r.doc_id for r in rows if not r.kept} == set(range(1600, 1620))
     counts = quality_rules.base(docs, stratum=F.col("lang"))
     best = {r.rule: r for r in quality_rules.choose_cutoffs(counts, labels, sequence=True).collect()}
