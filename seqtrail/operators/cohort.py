@@ -8,9 +8,12 @@ A case window has ``control_idx`` 0, control windows 1..M.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import insort
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqtrail.functions.hashing import hash_text
@@ -22,6 +25,8 @@ from seqtrail.functions.timing import DAY, MINUTE
 DEFAULT_LOOK_BACK = 30 * MINUTE
 DEFAULT_BUFFER = 60 * MINUTE
 DEFAULT_TOLERANCE = 1 * MINUTE
+#: Places of a user that are looked through at a time for anchors that can be drawn.
+SAMPLE_BLOCK = 4096
 
 
 def exclude_orders(orders: DataFrame, excluded: Sequence[int]) -> DataFrame:
@@ -226,18 +231,147 @@ def control_anchors(
     )
 
 
+def anchor_draw(seed: int) -> Column:
+    """The place of an anchor in the drawing order; it depends on the anchor alone."""
+    return hash_text(seed, F.col("anchor_id").cast("string"))
+
+
 def sample_anchors(controls: DataFrame, n: int | None, *, seed: int) -> DataFrame:
-    """R2: at most ``n`` anchors per order, drawn by a hash of the anchor."""
-    if n is None:
-        return controls
-    order = hash_text(seed, F.col("idx").cast("string"), F.col("anchor_id").cast("string"))
+    """R2: at most ``n`` of the given anchors per order, the first ones in the drawing order.
+
+    Each order's sample is uniform; orders that share anchors tend to share drawn ones too.
+    """
+    return controls if n is None else _first_drawn(controls.withColumn("_draw", anchor_draw(seed)), n)
+
+
+def _first_drawn(candidates: DataFrame, n: int) -> DataFrame:
     window = Window.partitionBy("idx").orderBy("_draw", "anchor_id")
-    return (
-        controls.withColumn("_draw", order)
-        .withColumn("_rank", F.row_number().over(window))
+    return candidates.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= n).drop("_draw", "_rank")
+
+
+def _free_and_own(anchors: DataFrame, orders: DataFrame, buffer: int) -> tuple[DataFrame, DataFrame]:
+    """Anchors near no order, which count for all later orders of the user, and those near a
+    single order, with that order if it is late enough. An anchor is in at most one row."""
+    own = (
+        anchors.filter("near_first = near_last")
+        .join(orders.select(F.col("idx").alias("near_first"), "order_us"), "near_first")
+        .filter(F.col("anchor_us") < F.col("order_us") - buffer)
+        .withColumnRenamed("near_first", "idx")
+    )
+    columns = ["user_id", "anchor_id", "anchor_us", "has_rows"]
+    return anchors.filter("near_first is null and user_id is not null").select(*columns), own.select("idx", *columns)
+
+
+def _ever_among_first(numbered: DataFrame, n: int, width: int) -> DataFrame:
+    """Rows that are among the ``n`` first drawn of their block's rows up to them, by ``pos``.
+
+    A block are ``width`` places of a user; what fails this fails it among all rows of the user, too.
+    """
+    names = [*numbered.columns, "_block"]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, first = None, []
+        for batch in batches:
+            stays = np.zeros(batch.num_rows, bool)
+            columns = [batch.column(names.index(c)).to_pylist() for c in ("user_id", "_block", "_draw", "anchor_id")]
+            for i, (user, block, draw, anchor) in enumerate(zip(*columns, strict=True)):
+                if (user, block) != at:
+                    at, first = (user, block), []
+                if len(first) < n or (draw, anchor) < first[-1]:
+                    insort(first, (draw, anchor))
+                    del first[n:]
+                    stays[i] = True
+            yield batch.filter(pa.array(stays))
+
+    blocks = numbered.withColumn("_block", int_div(F.col("pos"), width)).repartition("user_id", "_block")
+    kept = blocks.sortWithinPartitions("user_id", "_block", "pos")
+    return kept.mapInArrow(keep, kept.schema).drop("_block")
+
+
+def drawable(free: DataFrame, n: int, *, block_rows: int = SAMPLE_BLOCK) -> DataFrame:
+    """The anchors that any order can draw: those among the user's ``n`` first drawn when they come.
+
+    Whatever an order's limit, the ``n`` first drawn of the anchors before it were among the
+    ``n`` first drawn at their own time. Of m anchors about n (1 + ln(m / n)) are, however
+    many m is. They are found in blocks of ``block_rows`` places, then in ``block_rows``
+    times larger blocks of what is left, until a block holds a whole user.
+    """
+    longest = free.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
+    left = order_rows(free, ["user_id"], ["anchor_us", "anchor_id"])
+    step = width = max(block_rows, 2 * n)
+    while True:
+        left = _ever_among_first(left, n, width)
+        if width >= longest:
+            return left
+        width *= step
+
+
+def sampled_anchors(
+    orders: DataFrame,
+    log: DataFrame,
+    n: int,
+    *,
+    seed: int,
+    anchor_metric: str | int,
+    look_back: int = DEFAULT_LOOK_BACK,
+    buffer: int = DEFAULT_BUFFER,
+    tolerance: int = DEFAULT_TOLERANCE,
+    block_rows: int = SAMPLE_BLOCK,
+) -> DataFrame:
+    """``sample_anchors`` of ``control_anchors``, without making all pairs of them.
+
+    An order meets only the ``drawable`` anchors of its user, whose number grows with the
+    logarithm of the user's anchors, and the anchors near itself.
+    """
+    anchors = cut(describe_anchors(orders, log, anchor_metric=anchor_metric, look_back=look_back, tolerance=tolerance))
+    free, own = _free_and_own(anchors, orders, buffer)
+    limits = orders.select("idx", "user_id", (F.col("order_us") - buffer).alias("_limit"))
+    few = drawable(free.withColumn("_draw", anchor_draw(seed)), n, block_rows=block_rows)
+    columns = ["idx", "user_id", "anchor_id", "anchor_us", "has_rows", "_draw"]
+    met = limits.join(few, "user_id").filter(F.col("anchor_us") < F.col("_limit")).select(*columns)
+    return _first_drawn(met.unionByName(own.withColumn("_draw", anchor_draw(seed)).select(*columns)), n)
+
+
+def latest_controls(
+    orders: DataFrame,
+    log: DataFrame,
+    n: int,
+    *,
+    anchor_metric: str | int,
+    look_back: int = DEFAULT_LOOK_BACK,
+    buffer: int = DEFAULT_BUFFER,
+    tolerance: int = DEFAULT_TOLERANCE,
+) -> DataFrame:
+    """``recent_controls`` of all numbered controls, without making all of them.
+
+    The user's anchors with a window and the orders' limits are sorted into each other. The
+    anchors passed on the way number the controls, and an order meets only the ``n`` places
+    before its limit, by equality, and the anchors near itself.
+    """
+    anchors = cut(describe_anchors(orders, log, anchor_metric=anchor_metric, look_back=look_back, tolerance=tolerance))
+    free, own = (x.filter("has_rows") for x in _free_and_own(anchors, orders, buffer))
+    found = free.select("user_id", F.col("anchor_us").alias("us"), F.lit(1).alias("is_anchor"), "anchor_id")
+    limits = orders.filter("user_id is not null").select("user_id", (F.col("order_us") - buffer).alias("us"), F.lit(0).alias("is_anchor"), "idx")
+    # At its limit an order comes before the anchors, which must lie before it.
+    passed = running_total(
+        found.unionByName(limits, allowMissingColumns=True), ["user_id"], ["us", "is_anchor", "anchor_id", "idx"], F.col("is_anchor"), "_seen"
+    )
+    places = passed.filter("is_anchor = 1").select("user_id", "anchor_id", F.col("us").alias("anchor_us"), (F.col("_seen") - 1).alias("_place"))
+    before = passed.filter("is_anchor = 0").select("idx", "user_id", F.col("_seen").alias("_free"))
+    last = F.explode(F.sequence(F.greatest(F.col("_free") - n, F.lit(0)), F.col("_free") - 1))
+    met = before.filter("_free > 0").withColumn("_place", last).join(places, ["user_id", "_place"])
+    by_time = Window.partitionBy("idx").orderBy(F.desc("anchor_us"), F.desc("anchor_id"))
+    columns = ["idx", "user_id", "anchor_id", "anchor_us"]
+    latest_own = own.withColumn("_rank", F.row_number().over(by_time)).filter(F.col("_rank") <= n)
+    ranked = (
+        met.select(*columns)
+        .unionByName(latest_own.select(*columns))
+        .withColumn("_rank", F.row_number().over(by_time))
         .filter(F.col("_rank") <= n)
-        .drop("_draw", "_rank")
     )
+    totals = before.select("idx", "_free").join(own.groupBy("idx").agg(F.count(F.lit(1)).alias("_own")), "idx", "left")
+    number = (F.col("_free") + F.coalesce("_own", F.lit(0)) - F.col("_rank") + 1).alias("control_idx")
+    return ranked.join(totals, "idx").select(*columns, number)
 
 
 def number_controls(controls: DataFrame) -> DataFrame:
@@ -295,16 +429,13 @@ def extract_cohort(
     seed: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """All windows (U1: cases and controls in one table) and the numbered controls."""
-    anchors = control_anchors(
-        orders,
-        log,
-        anchor_metric=anchor_metric,
-        look_back=look_back,
-        buffer=buffer,
-        tolerance=tolerance,
-    )
+    matching = {"anchor_metric": anchor_metric, "look_back": look_back, "buffer": buffer, "tolerance": tolerance}
+    if sample_n is None:
+        anchors = control_anchors(orders, log, **matching)
+    else:
+        anchors = sampled_anchors(orders, log, sample_n, seed=seed, **matching)
     # Stored, as they are read for the windows' ends, their owners and the caller.
-    controls = cut(number_controls(sample_anchors(anchors, sample_n, seed=seed)))
+    controls = cut(number_controls(anchors))
     # Both kinds of windows meet the log in one sweep; who owns a window is joined after.
     case, control = F.lit("case"), F.lit("control")
     cases = _case_ends(orders)

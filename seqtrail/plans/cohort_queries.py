@@ -72,21 +72,21 @@ def all_windows(spark, folder):
     " qualify row_number() over (partition by idx order by control_idx desc) <= 2",
 )
 def recent_controls(spark, folder):
-    return cohort.recent_controls(I.numbered_controls(spark, folder), 2).select(
-        "idx", "control_idx", "anchor_id"
-    )
+    orders, log = I.orders_and_log(spark, folder)
+    return cohort.latest_controls(orders, log, 2, **I.MATCHING).select("idx", "control_idx", "anchor_id")
 
 
 @query(
     "sampled_controls",
     f"""with {WINDOWS}, sampled as (
       select * from anchors qualify row_number() over (
-        partition by idx order by md5('{SEED}|' || idx || '|' || anchor_id), anchor_id) <= 3)
+        partition by idx order by md5('{SEED}|' || anchor_id), anchor_id) <= 3)
     select idx, anchor_id, row_number() over (partition by idx order by anchor_us, anchor_id) as control_idx
     from sampled join filled using (idx, user_id, anchor_id, anchor_us)""",
 )
 def sampled_controls(spark, folder):
-    sampled = cohort.sample_anchors(I.anchors(spark, folder), 3, seed=I.SEED)
+    orders, log = I.orders_and_log(spark, folder)
+    sampled = cohort.sampled_anchors(orders, log, 3, seed=I.SEED, **I.MATCHING)
     return cohort.number_controls(sampled).select("idx", "anchor_id", "control_idx")
 
 

@@ -65,11 +65,12 @@ def orders_and_log(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     return index_orders(log), log
 
 
+MATCHING = {"anchor_metric": ANCHOR_METRIC, "look_back": LOOK_BACK, "buffer": BUFFER, "tolerance": TOLERANCE}
+
+
 def anchors(spark: SparkSession, folder: str) -> DataFrame:
     orders, log = orders_and_log(spark, folder)
-    return cohort.control_anchors(
-        orders, log, anchor_metric=ANCHOR_METRIC, look_back=LOOK_BACK, buffer=BUFFER, tolerance=TOLERANCE
-    )
+    return cohort.control_anchors(orders, log, **MATCHING)
 
 
 def numbered_controls(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import pytest
 from helpers import plan, rows
 
 from seqtrail.functions.timing import HOUR, MINUTE, SECOND
@@ -152,3 +153,42 @@ def test_existence_of_rows_needs_no_rows(spark):
     want = [(idx,) for idx, user, end, _ in orders if any(u == user and end - W <= us < end for _, u, us, *_ in log)]
     found = cohort.orders_with_rows(orders_of(spark, orders), log_of(spark, log), look_back=W)
     assert rows(found, "idx") == sorted(want, key=repr) and 0 < len(want) < 80
+
+
+def busy_users(spark):
+    """Two users with many anchors, ties among them, and orders all along."""
+    rng = random.Random(3)
+    events, index, at = [], [], 0
+    for user, n in ((1, 900), (2, 60), (3, 1)):
+        for _ in range(n):
+            us = rng.randrange(0, 400) * MINUTE
+            events.append((at, user, us, "x" if rng.random() < 0.7 else "a", "act"))
+            at += 1
+        index += [(100 * user + k, user, rng.randrange(0, 420) * MINUTE + rng.choice([0, 1]), "APP") for k in range(12)]
+    return orders_of(spark, index), log_of(spark, events)
+
+
+@pytest.mark.parametrize(("buffer", "tolerance"), [(60 * MINUTE, MINUTE), (MINUTE, 3 * MINUTE)])
+def test_drawn_and_latest_controls_equal_those_of_all_pairs(spark, buffer, tolerance):
+    orders, log = busy_users(spark)
+    matching = {"anchor_metric": "a", "look_back": 2 * MINUTE, "buffer": buffer, "tolerance": tolerance}
+    pairs = cohort.control_anchors(orders, log, **matching).cache()
+    columns = ["idx", "user_id", "anchor_id", "anchor_us", "has_rows"]
+    for n, block in ((1, 4), (3, 8), (3, 4096), (500, 16)):
+        drawn = cohort.sampled_anchors(orders, log, n, seed=5, block_rows=block, **matching)
+        assert rows(drawn, *columns) == rows(cohort.sample_anchors(pairs, n, seed=5), *columns)
+    numbered = cohort.number_controls(pairs).cache()
+    columns = ["idx", "user_id", "anchor_id", "anchor_us", "control_idx"]
+    for n in (1, 3, 500):
+        latest = cohort.latest_controls(orders, log, n, **matching)
+        assert rows(latest, *columns) == rows(cohort.recent_controls(numbered, n), *columns)
+
+
+def test_few_anchors_can_be_drawn(spark):
+    anchors = spark.range(20_000).select(
+        F.lit(1).alias("user_id"), F.col("id").alias("anchor_id"), F.col("id").alias("anchor_us"), F.lit(True).alias("has_rows")
+    ).withColumn("_draw", cohort.anchor_draw(1))
+    kept = cohort.drawable(anchors, 3, block_rows=64)
+    # About 3 (1 + ln(20000 / 3)) = 29 are to be expected.
+    assert 10 < kept.count() < 80
+    assert cohort.drawable(anchors.limit(0), 3).count() == 0
