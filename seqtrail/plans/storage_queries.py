@@ -55,7 +55,24 @@ def windows_file(spark, folder):
     path = _place(spark, "windows")
     writers.write_windows(I.all_windows(spark, folder), path)
     return (
-        spark.read.parquet(path)
+        readers.read_windows(spark, path)
+        .groupBy("kind", "idx", "control_idx")
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.min("us").alias("first_us"))
+    )
+
+
+@query(
+    "provider_windows_file",
+    f"""with {WINDOWS} select w.kind, w.idx, w.control_idx, count(*) as n_rows, min(w.us) as first_us
+    from windows w where w.idx in (select idx from ord where prov_type = 'Attending') group by all""",
+)
+def provider_windows_file(spark, folder):
+    """The stored windows of the orders of one kind of provider."""
+    path = _place(spark, "windows")
+    writers.write_windows(I.all_windows(spark, folder), path)
+    orders, _ = I.orders_and_log(spark, folder)
+    return (
+        readers.read_windows(spark, path, orders.filter("prov_type = 'Attending'"))
         .groupBy("kind", "idx", "control_idx")
         .agg(F.count(F.lit(1)).alias("n_rows"), F.min("us").alias("first_us"))
     )

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,6 +66,28 @@ def read_audit_log(
     return log.select(*columns, *partition)
 
 
+def bucket_of(idx: Column, buckets: int) -> Column:
+    """The folder of an order among ``buckets``, by the text of its ``idx``, whatever its type."""
+    return F.pmod(F.xxhash64(idx.cast("string")), F.lit(buckets)).cast("int")
+
+
+def read_windows(spark: SparkSession, path: str, orders: DataFrame | None = None) -> DataFrame:
+    """The windows that ``write_windows`` stored, of all orders or of those in ``orders`` (``idx``).
+
+    The orders' buckets prune the folders when the query runs, if the orders are few enough
+    to be broadcast. The number of buckets is in the name of the folders.
+    """
+    stored = spark.read.parquet(path)
+    name = next(c for c in stored.columns if re.fullmatch(r"idx_of_\d+", c))
+    if orders is None:
+        return stored.drop(name)
+    buckets = int(name.removeprefix("idx_of_"))
+    asked = orders.select("idx").distinct().withColumn(name, bucket_of(F.col("idx"), buckets))
+    # True for all; Spark prunes folders only by a side that a comparison may make smaller.
+    asked = asked.filter(F.col(name) < buckets)
+    return stored.join(asked, ["idx", name], "left_semi").drop(name)
+
+
 def first_rows(df: DataFrame, n: int | None, order: Sequence[str]) -> DataFrame:
     """The first ``n`` rows in a stated order (all rows for None)."""
     return df if n is None else df.orderBy(*order).limit(n)

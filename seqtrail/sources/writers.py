@@ -8,12 +8,19 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqtrail.sources.readers import exists
+from seqtrail.sources.readers import bucket_of, exists
 
 
-def write_windows(windows: DataFrame, path: str) -> None:
-    """All windows as one Parquet table, a folder per kind of window."""
-    windows.write.mode("overwrite").partitionBy("kind").parquet(path)
+def write_windows(windows: DataFrame, path: str, *, buckets: int = 64) -> None:
+    """All windows as one Parquet table, a folder per kind of window and bucket of orders.
+
+    An order's windows are in the bucket of its hashed ``idx``, so reading a few orders opens
+    few folders. Rows are gathered by folder before, so that there are no files by task and
+    folder; Spark splits large folders over several tasks and files at run time.
+    """
+    name = f"idx_of_{buckets}"
+    rows = windows.withColumn(name, bucket_of(F.col("idx"), buckets))
+    rows.hint("rebalance", "kind", name).write.mode("overwrite").partitionBy("kind", name).parquet(path)
 
 
 def write_token_map(token_map: DataFrame, path: str) -> None:

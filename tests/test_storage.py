@@ -1,7 +1,8 @@
 import os
 
 import pytest
-from helpers import rows
+from helpers import plan, rows
+from pyspark.sql import functions as F
 
 from seqtrail.functions.storage import cut, ensure_checkpoint_dir
 from seqtrail.sources import readers, writers
@@ -44,6 +45,32 @@ def test_windows_and_token_map_round_trip(spark, tmp_path):
     assert rows(writers.read_token_map(spark, str(tmp_path / "t")), "action", "token") == [("a", "[ACT_0]")]
 
 
+def test_windows_of_few_orders_come_from_their_folders(spark, tmp_path):
+    kinds = F.when(F.col("id") < 300, "case").otherwise("control")
+    windows = spark.range(600).select((F.col("id") % 200).alias("idx"), kinds.alias("kind"), F.col("id").alias("event_id"))
+    path = str(tmp_path / "w")
+    writers.write_windows(windows, path, buckets=32)
+    assert len(list((tmp_path / "w" / "kind=case").glob("idx_of_32=*"))) > 24
+    assert rows(readers.read_windows(spark, path), "idx", "kind", "event_id") == rows(windows, "idx", "kind", "event_id")
+    # A stored table, whose size Spark knows.
+    asked = cut(spark.createDataFrame([(7,), (8,), (7,), (10_000,)], "idx long"))
+    few = readers.read_windows(spark, path, asked.filter("idx < 1000"))
+    assert rows(few, "idx", "event_id") == rows(windows.filter("idx in (7, 8)"), "idx", "event_id")
+    assert "dynamicpruning" in plan(few).lower()
+    buckets = {r[0] for r in windows.filter("idx in (7, 8)").select(readers.bucket_of(F.col("idx"), 32)).distinct().collect()}
+    few.collect()
+    nodes, read = [few._jdf.queryExecution().executedPlan().executedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        if node.metrics().contains("numPartitions"):
+            read.append(node.metrics().apply("numPartitions").value())
+        inner = node.plan() if "QueryStage" in node.nodeName() else None
+        nodes += [inner] if inner else [node.children().apply(i) for i in range(node.children().size())]
+    # A folder for each of the two kinds.
+    assert max(read) == 2 * len(buckets)
+    assert readers.read_windows(spark, path, asked.filter("idx < 0")).count() == 0
+
+
 def test_reports(spark, tmp_path):
     report = spark.createDataFrame([("accuracy", 0.5)], "metric string, value double")
     writers.write_report(report, str(tmp_path / "r"))
