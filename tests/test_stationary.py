@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+import __spark_entry__ as entry_points
 from seqtrail.operators import markov
 
 ORDER = "seq_id long, pos long, token string"
@@ -60,3 +61,8 @@ def test_a_slow_chain_needs_few_steps(spark):
     want = plain(model)
     got = {r.token: r.p for r in pi.collect()}
     assert max(abs(got[t] - want[t]) for t in want) < 1e-8 and rate.first()["steps"] <= 25
+
+
+def test_the_query_tells_that_the_iteration_settled(spark, folder):
+    got = entry_points.queries()["entropy_rate"](spark, folder)
+    assert got.columns == ["entropy_rate", "perplexity", "converged"] and got.first()["converged"]
