@@ -192,3 +192,14 @@ def test_few_anchors_can_be_drawn(spark):
     # About 3 (1 + ln(20000 / 3)) = 29 are to be expected.
     assert 10 < kept.count() < 80
     assert cohort.drawable(anchors.limit(0), 3).count() == 0
+
+
+def test_orders_that_share_anchors_draw_for_themselves(spark):
+    log = [(i, 7, T0 - (60 - i) * HOUR, "order", "x") for i in range(40)]
+    log += [(100 + i, 7, T0 - (60 - i) * HOUR - 1, "view", "x") for i in range(40)]
+    orders, events = orders_of(spark, [(i, 7, T0 + i, "APP") for i in range(12)]), log_of(spark, log)
+    _, controls = cohort.extract_cohort(orders, events, anchor_metric="order", look_back=W, sample_n=3, seed=1)
+    drawn = controls.groupBy("idx").agg(F.array_sort(F.collect_list("anchor_id")).alias("ids")).collect()
+    assert len(drawn) == 12 and {len(r.ids) for r in drawn} == {3}
+    # Chances of two equal samples of 3 of 40 among 12 are below 0.7%; shared draws would all be equal.
+    assert len({tuple(r.ids) for r in drawn}) == 12
