@@ -56,6 +56,50 @@ def poisson(mean: int, u: np.ndarray) -> np.ndarray:
     return low + np.searchsorted(table, u, side="right")
 
 
+def poisson_cdf(terms: int = 12) -> list[float]:
+    """Cumulative probabilities of a Poisson variable of mean 1."""
+    total, out = 0.0, []
+    for k in range(terms):
+        total += math.exp(-1.0) / math.factorial(k)
+        out.append(total)
+    return out
+
+
+@lru_cache(maxsize=1)
+def _weight_table() -> tuple[np.ndarray, np.ndarray]:
+    """Least numerators whose uniform value reaches each edge, and the weight of each run of 2**15 numerators (255: several)."""
+    edges = np.array([next(v for v in range(max(0, int(e * PRIME) - 2), PRIME + 2) if v / float(PRIME) >= e) for e in poisson_cdf()])
+    first, last = (np.searchsorted(edges, np.arange(1 << 16) * (1 << 15) + d, side="right") for d in (0, (1 << 15) - 1))
+    return edges, np.where(first == last, first, 255).astype(np.uint8)
+
+
+def poisson_weights(coefficients: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
+    """Poisson(1) weight of each key, told by its two points, in every replicate: (keys, replicates).
+
+    By inversion of the uniform value that ``uniforms`` gives for the key.
+    """
+    x, y, prime = p1.astype(np.uint64)[:, None], p2.astype(np.uint64)[:, None], np.uint64(PRIME)
+    square = x * x % prime
+    a0, a1, a2, a3 = coefficients.astype(np.uint64).T
+    # Three products below 2**62 and a summand below 2**31 fit into 64 bits.
+    value = (square * x % prime) * a3
+    value += ((square + y) % prime) * a2
+    value += x * a1
+    value += a0
+    # 2**31 is 1 modulo the prime, so the upper bits are added to the lower ones.
+    for _ in range(2):
+        upper = value >> np.uint64(31)
+        value &= prime
+        value += upper
+    value = value.astype(np.int64)
+    value[value >= PRIME] -= PRIME
+    edges, table = _weight_table()
+    weights = table[value >> 15]
+    open_runs = weights == 255
+    weights[open_runs] = np.searchsorted(edges, value[open_runs], side="right")
+    return weights
+
+
 @lru_cache(maxsize=65536)
 def _binomial_table(trials: int, part: int, whole: int) -> tuple[int, np.ndarray]:
     p = part / whole

@@ -1,12 +1,12 @@
-"""Bootstrap intervals whose work does not grow with replicates times rows.
+"""Bootstrap intervals whose shuffle does not grow with replicates times rows.
 
-Positions that have the same values weigh alike in every statistic, so they are counted
-first: n of them together get a Poisson(n) weight per replicate, which is what n weights of
-Poisson(1) add up to. Where two models are compared, positions are counted by the values of
-both, so a position weighs the same in both. Weights are drawn in the task that holds the
-counts and are added up there; what is shuffled is one row per task, model, replicate and
-confidence bin. The number of positions drawn varies around their count, which ratios of
-sums do not mind.
+Every position gets a Poisson(1) weight per replicate, which follows from seed, key and
+replicate; so a position weighs the same in all models, and differences of two models stay
+paired. Weights are drawn in the task that holds the positions and are added up there; what
+is shuffled is one row per task, model, replicate and confidence bin. The number of positions
+drawn varies around their count, which ratios of sums do not mind. ``value_counts`` is a
+shorter way for those who want it: n positions of the same values together get one Poisson(n)
+weight, which is what n weights of Poisson(1) add up to.
 
 Whole sequences are drawn with replacement, exactly as many as there are. The draws of a
 replicate are split down a tree over the sequences' hashed order, by a binomial draw at each
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqtrail.functions import draws
-from seqtrail.functions.hashing import hash_text, key_text
+from seqtrail.functions.hashing import hash_points, hash_text
 from seqtrail.functions.numbers import int_div, ratio
 from seqtrail.functions.ordered import rank_by_hash
 from seqtrail.operators.metrics import calibration_bin, calibration_error, summarise
@@ -39,6 +39,8 @@ AMOUNTS = ["ce", "entropy", "confidence"]
 SUMS = ["n", "hits", "topk", "nn", "nn_topk", "ce", "entropy", "conf", "n_ce"]
 #: Sequences to a block, the unit of work of the exact resampling.
 BLOCK = 1024
+#: Rows that are weighed at a time, in all replicates.
+ROWS_AT_ONCE = 256
 
 
 def _with_flags(metrics: DataFrame) -> DataFrame:
@@ -49,12 +51,21 @@ def _with_flags(metrics: DataFrame) -> DataFrame:
     return metrics
 
 
-def _part(by: Sequence[str]) -> Column:
-    """The values of a position that its statistics depend on; amounts in units of 1 / SCALE."""
-    amounts = [F.round(F.col(c) * SCALE).cast("long").alias(c) for c in AMOUNTS]
+def _part(by: Sequence[str], *, scaled: bool) -> Column:
+    """The values of a position that its statistics depend on; if ``scaled``, amounts in units of 1 / SCALE."""
+    amounts = [(F.round(F.col(c) * SCALE).cast("long") if scaled else F.col(c).cast("double")).alias(c) for c in AMOUNTS]
     return F.struct(*by, calibration_bin(F.col("confidence")).alias("bin"), *[F.col(c).cast("long").alias(c) for c in FLAGS], *amounts)
 
 
+def single_positions(metrics: DataFrame, by: Sequence[str], key: Sequence[str], seed: int) -> DataFrame:
+    """Every position by itself, as (p1, p2, parts): the two points of its key, and its values as one part."""
+    # Weighing a row costs far more than moving it, so rows are dealt out evenly.
+    tasks = 2 * metrics.sparkSession.sparkContext.defaultParallelism
+    p1, p2 = hash_points(seed, *[F.col(k).cast("string") for k in key])
+    dealt = _with_flags(metrics).repartition(tasks, *key)
+    return dealt.select(p1.alias("p1"), p2.alias("p2"), F.array(_part(by, scaled=False)).alias("parts"))
+
+
 def value_counts(metrics: DataFrame, by: Sequence[str], key: Sequence[str] | None = None) -> DataFrame:
     """Distinct values of positions with their number: (id, n, parts).
 
@@ -64,9 +75,9 @@ def value_counts(metrics: DataFrame, by: Sequence[str], key: Sequence[str] | Non
     by = list(by)
     flagged = _with_flags(metrics)
     if key is None:
-        joint = flagged.select(F.array(_part(by)).alias("parts"))
+        joint = flagged.select(F.array(_part(by, scaled=True)).alias("parts"))
     else:
-        rows = flagged.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], _part(by).alias("_part"))
+        rows = flagged.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], _part(by, scaled=True).alias("_part"))
         joint = rows.groupBy(*[f"_k{i}" for i in range(len(key))]).agg(F.array_sort(F.collect_list("_part")).alias("parts"))
     fields = [*by, "bin", *FLAGS, *AMOUNTS]
     told = F.transform("parts", lambda p: F.concat_ws("|", *[F.coalesce(p[f].cast("string"), F.lit("n")) for f in fields]))
@@ -75,23 +86,29 @@ def value_counts(metrics: DataFrame, by: Sequence[str], key: Sequence[str] | Non
     )
 
 
-def replicate_sums(counts: DataFrame, by: Sequence[str], n_replicates: int, seed: int) -> DataFrame:
-    """Weighted sums of every replicate, partly added up: (by, bin, b, n, hits, ...)."""
-    by = list(by)
+def replicate_sums(rows: DataFrame, by: Sequence[str], n_replicates: int, seed: int) -> DataFrame:
+    """Weighted sums of every replicate, partly added up: (by, bin, b, n, hits, ...).
+
+    ``rows`` are ``single_positions`` or ``value_counts``.
+    """
+    by, counted = list(by), "n" in rows.columns
     coefficients = draws.replicate_coefficients(seed, n_replicates)
-    fields = counts.schema["parts"].dataType.elementType
+    fields = rows.schema["parts"].dataType.elementType
     types = ", ".join(f"{c} {fields[c].dataType.simpleString()}" for c in [*by, "bin"])
     schema = f"{types}, b long, " + ", ".join(f"{c} double" for c in SUMS)
 
+    def weigh(batch: pa.RecordBatch) -> np.ndarray:
+        if not counted:
+            return draws.poisson_weights(coefficients, np.asarray(batch["p1"]), np.asarray(batch["p2"])).astype(float)
+        told = zip(batch["n"].to_pylist(), batch["id"].to_pylist(), strict=True)
+        return np.array([draws.poisson(n, draws.uniforms(coefficients, f"{seed}|{key}")) for n, key in told], float)
+
     def add(totals: dict, batch: pa.RecordBatch) -> None:
-        weights = np.array(
-            [draws.poisson(n, draws.uniforms(coefficients, f"{seed}|{key}")) for n, key in zip(batch["n"].to_pylist(), batch["id"].to_pylist(), strict=True)],
-            float,
-        )
+        weights = weigh(batch)
         lists = batch["parts"]
         parts, owner = lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths())
         column = lambda c: np.asarray(parts.field(c).cast(pa.float64()).fill_null(np.nan), float)
-        values = [np.ones(len(parts)), *[column(c) for c in FLAGS], *[column(c) / SCALE for c in AMOUNTS]]
+        values = [np.ones(len(parts)), *[column(c) for c in FLAGS], *[column(c) / (SCALE if counted else 1) for c in AMOUNTS]]
         values = np.column_stack([*values, ~np.isnan(values[5])])
         groups: dict[tuple, list[int]] = {}
         for i, group in enumerate(zip(*[parts.field(c).to_pylist() for c in [*by, "bin"]], strict=True)):
@@ -104,15 +121,15 @@ def replicate_sums(counts: DataFrame, by: Sequence[str], n_replicates: int, seed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                add(totals, batch.slice(at, 1024))
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                add(totals, batch.slice(at, ROWS_AT_ONCE))
         kinds = [pa.string() if fields[c].dataType.simpleString() == "string" else None for c in [*by, "bin"]]
         for group, (sums, given) in totals.items():
             labels = [pa.array([g] * n_replicates, k or (pa.int32() if name == "bin" else None)) for g, k, name in zip(group, kinds, [*by, "bin"], strict=True)]
             columns = [pa.array(sums[:, i]) if given[i] else pa.nulls(n_replicates, pa.float64()) for i in range(len(SUMS))]
             yield pa.RecordBatch.from_arrays([*labels, pa.array(np.arange(n_replicates)), *columns], names=[*by, "bin", "b", *SUMS])
 
-    return counts.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def replicate_statistics(
@@ -123,13 +140,17 @@ def replicate_statistics(
     n_replicates: int = DEFAULT_REPLICATES,
     seed: int = 0,
     paired: bool = False,
+    counted: bool = False,
 ) -> DataFrame:
     """B1, B2: every metric of every replicate, as (by, b, accuracy, ..., ece).
 
-    With ``paired`` a position (``key``) has the same weight in all groups.
+    A position (``key``) has a weight of its own, the same in all groups. With ``counted``
+    positions of the same values are weighed together, with ``paired`` those that have the
+    same values in all groups; only then groups share weights.
     """
     by = list(by)
-    sums = replicate_sums(value_counts(metrics, by, key if paired else None), by, n_replicates, seed)
+    rows = value_counts(metrics, by, key if paired else None) if counted else single_positions(metrics, by, key, seed)
+    sums = replicate_sums(rows, by, n_replicates, seed)
     per_bin = sums.groupBy(*by, "b", "bin").agg(*[F.sum(c).alias(c) for c in SUMS])
     gap = F.when(F.col("bin").isNotNull(), F.abs(F.col("conf") - F.col("hits"))).otherwise(0.0)
     n = F.sum("n")
@@ -201,7 +222,7 @@ def paired_difference(
 ) -> DataFrame:
     """ECE and perplexity differences of two models over the same draws."""
     both = metrics.filter(F.col("model").isin(first, second))
-    drawn = replicate_statistics(both, key, n_replicates=n_replicates, seed=seed, paired=True)
+    drawn = replicate_statistics(both, key, n_replicates=n_replicates, seed=seed)
     wide = drawn.groupBy("b").agg(
         *[
             F.sum(F.when(F.col("model") == first, F.col(m)).otherwise(-F.col(m))).alias(m)

@@ -109,3 +109,22 @@ def test_no_rows(spark):
     none = spark.createDataFrame([], "seq_id long, hits long, n long")
     got = bootstrap.cluster_bootstrap(none, "seq_id", ["hits"], "n", n_replicates=5).collect()
     assert all(r.bootstrap_mean is None for r in got)
+
+
+def test_single_weights_are_those_of_the_uniform_values():
+    coefficients = draws.replicate_coefficients(3, 300)
+    keys = [f"3|{i // 9}|{i % 9}" for i in range(700)]
+    points = np.array([draws._points(k) for k in keys])
+    got = draws.poisson_weights(coefficients, points[:, 0], points[:, 1])
+    want = [np.searchsorted(draws.poisson_cdf(), draws.uniforms(coefficients, k), side="right") for k in keys]
+    assert (got == np.array(want)).all() and got.mean() == pytest.approx(1.0, abs=0.01)
+
+
+def test_every_position_has_a_weight_of_its_own(spark):
+    df = positions(spark, 120).filter("model = 'one'")
+    got = {r.b: r.accuracy for r in bootstrap.replicate_statistics(df, ["seq_id", "pos"], n_replicates=30, seed=8).collect()}
+    coefficients = draws.replicate_coefficients(8, 30)
+    rows = df.select("seq_id", "pos", "correct").collect()
+    weights = np.array([np.searchsorted(draws.poisson_cdf(), draws.uniforms(coefficients, f"8|{r.seq_id}|{r.pos}"), side="right") for r in rows])
+    want = (weights * np.array([[r.correct] for r in rows])).sum(0) / weights.sum(0)
+    assert [got[b] for b in range(30)] == pytest.approx(list(want), abs=1e-12)
