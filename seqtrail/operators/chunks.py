@@ -69,8 +69,7 @@ def chunk_metrics(
     token = F.col("is_row") == 0
 
     def words(column: str):
-        pairs = F.collect_list(F.when(token, F.struct("pos", F.col(column).alias("w"))))
-        return normalise(F.array_join(F.array_sort(pairs)["w"], " "))
+        return normalise(F.array_join(F.col("_words")[column], " ")).alias(f"{column}_text")
 
     return (
         numbered.groupBy(*keys, "chunk_id")
@@ -82,10 +81,11 @@ def chunk_metrics(
             F.avg(F.when(token, F.col("ce"))).alias("ce"),
             F.avg(F.when(token, F.col("entropy"))).alias("entropy"),
             F.avg(F.when(token, F.col("confidence"))).alias("confidence"),
-            words("label").alias("label_text"),
-            words("pred").alias("pred_text"),
+            F.array_sort(F.collect_list(F.when(token, F.struct("pos", "label", "pred")))).alias("_words"),
         )
         .filter(F.col("n_tokens") > 0)
+        .select("*", words("label"), words("pred"))
+        .drop("_words")
     )
 
 

@@ -329,3 +329,29 @@ def test_bootstrap_copies_stay_within_their_task(spark):
     text = plan(drawn)
     copies = text.index("FlatMapGroupsInArrow")
     assert "partial_sum" in text[:copies].rsplit("Exchange", 1)[1]
+
+
+def test_words_look_back_without_an_order_of_their_own(spark):
+    from seqtrail.plans import inputs
+
+    rows = [(1, "train", 0, "a b"), (1, "train", 1, "a b"), (1, "train", 2, "c"), (2, "train", 0, "c"), (2, "train", 1, "a b")]
+    actions = spark.createDataFrame(rows, "seq_id long, split string, pos long, token string")
+    words = inputs.word_tokens(actions)
+    got = [(r.seq_id, r.pos, r.prev, r.token) for r in words.orderBy("seq_id", "pos").collect()]
+    want = []
+    for seq, texts in ((1, ["a b", "a b", "c"]), (2, ["c", "a b"])):
+        stream = [w for t in texts for w in [*t.split(" "), "<ROW>"]]
+        want += [(seq, i, stream[i - 1] if i else None, w) for i, w in enumerate(stream)]
+    assert got == want
+    pairs = {}
+    for r in inputs.word_pairs(actions).collect():
+        pairs[r.prev, r.token] = pairs.get((r.prev, r.token), 0) + r.n
+    assert pairs == {p: sum(w[2:] == p for w in want) for p in {w[2:] for w in want}}
+
+
+def test_training_words_are_counted_without_a_row_each(spark, folder):
+    from seqtrail.plans import inputs
+
+    models = inputs.line_models(spark, folder)
+    text = plan(inputs.word_pairs(models.part("train")))
+    assert text.index("Generate") < text.index("HashAggregate") and "Window" not in text
