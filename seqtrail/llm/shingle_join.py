@@ -38,6 +38,8 @@ FANOUT = 24
 #: Buckets beyond this many nodes are cut into blocks that are joined two by two.
 BLOCK = 2048
 KEY_BITS = 48
+#: Places of the bitmap of wanted texts, which has an eighth of as many bytes however many are wanted.
+PLACES = 1 << 25
 #: The key that marks loose nodes; other keys are not negative.
 LOOSE = -1
 
@@ -375,14 +377,44 @@ def _buckets(keyed: DataFrame) -> DataFrame:
     return dealt.mapInArrow(stream, "key long, node long, first long")
 
 
+def _single(buckets: DataFrame) -> DataFrame:
+    """Of buckets with the same nodes the one of the smallest key: copies share hundreds of keys.
+
+    Sets of nodes are told apart by their number and by sums and the exclusive or of their hashes.
+    """
+    h = F.xxhash64("node")
+    told = [F.count(F.lit(1)), F.sum(F.shiftrightunsigned(h, 32)), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))), F.bit_xor(h)]
+    sets = buckets.groupBy("key").agg(*[x.alias(f"s{i}") for i, x in enumerate(told)])
+    kept = sets.groupBy("s0", "s1", "s2", "s3").agg(F.min("key").alias("key"))
+    return buckets.join(kept.select("key"), "key", "left_semi")
+
+
+def _bitmap(digests: DataFrame) -> np.ndarray:
+    """The places of ``digests`` among PLACES, a bit each."""
+    place = F.pmod("digest", F.lit(PLACES)) + 1  # Spark's bitmaps begin with place 1.
+    parts = digests.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")
+    )
+    out = np.zeros((PLACES // 32768, 4096), np.uint8)
+    for row in parts.collect():
+        out[row["part"] - 1] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
+
+
 def _texts(docs: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, size, point and text of the given nodes, one row each."""
+    wanted = members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("digest").alias("digest"))
+    wanted = cut(wanted.select("digest").distinct())
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Most texts that are not wanted are left out here; the join below leaves out the others.
         seen: set[int] = set()
         for batch in batches:
-            new = []
-            for i, digest in enumerate(batch.column("digest").to_numpy().tolist()):
+            new, digests = [], batch.column("digest").to_numpy()
+            place = digests % PLACES
+            likely = np.flatnonzero(bitmap.value[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+            for i, digest in zip(likely.tolist(), digests[likely].tolist(), strict=True):
                 if digest not in seen:
                     seen.add(digest)
                     new.append(i)
@@ -397,9 +429,8 @@ def _texts(docs: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
                 pa.array([point(x).tobytes() for x in found], pa.binary()), batch.column("text"),
             )
 
-    wanted = members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("digest").alias("digest"))
     texts = docs.select("digest", "text").mapInArrow(once, "digest long, text string")
-    kept = texts.join(wanted.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
+    kept = texts.join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
     return kept.mapInArrow(describe, "node long, size long, point binary, text string")
 
 
@@ -586,22 +617,26 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     not every pair is looked at.
     """
     members = cut(_members(docs))
-    buckets = cut(_buckets(_keyed(docs)))
+    buckets = cut(_buckets(_keyed(docs)), free_shuffles=True)
     loose = buckets.filter((F.col("key") == LOOSE) & (F.col("node") != 0)).select("node").distinct()
     if not loose.isEmpty():
         # Exact way for loose sets: whatever shares a prefix shingle with one of them.
         keyed = cut(_keyed(docs, prefixes=True))
         wanted = keyed.join(loose, "node", "left_semi").select("key").distinct()
         more = _buckets(keyed.join(wanted, "key", "left_semi"))
-        buckets = cut(buckets.filter(F.col("key") != LOOSE).unionByName(more))
-    texts = cut(_texts(docs, members, buckets.select("node").distinct()))
+        buckets = cut(buckets.filter(F.col("key") != LOOSE).unionByName(more), free_shuffles=True)
+    buckets = cut(_single(buckets), free_shuffles=True)
+    texts = cut(_texts(docs, members, buckets.select("node").distinct()), free_shuffles=True)
     stars = buckets.filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    checked = cut(_verified(_bounded(stars, texts), texts))
+    checked = cut(_verified(_bounded(stars, texts), texts), free_shuffles=True)
     for nearest in (True, False):
         roots = cut(connected(checked.filter("link")))
         tried = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = _searched(buckets, roots, texts, nearest=nearest).join(tried, ["a", "b"], "left_anti")
-        checked = cut(checked.unionByName(_verified(found, texts)))
+        found = cut(_searched(buckets, roots, texts, nearest=nearest), free_shuffles=True)
+        untried = found.join(tried, ["a", "b"], "left_anti")
+        checked = cut(checked.unionByName(_verified(untried, texts)), free_shuffles=True)
+        # A node without a near enough point of another root has none later either, as roots only merge.
+        buckets = buckets.join(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
     return members, checked.filter("link").select("a", "b", "common")
 
 
