@@ -4,8 +4,9 @@ The way of a pair: documents with equal sets are one node. Every node hands out
 that two nodes that link share one (``node_keys``); nodes of one key form a bucket. Each
 node has a point, the counts of its shingles in 64 hash groups. In a bucket the points are
 bulk-loaded into an R-tree, which is joined with itself: the sum of coordinate minima
-bounds the overlap, of two boxes as of two points. Pairs that survive the bound are
-verified on their whole sets.
+bounds the overlap, of two boxes as of two points. Pairs of points within the bound are held
+against a sharper one, from parities of the shingles in as many slots as the set has
+shingles (``sketch``). Pairs that survive both are verified on their whole sets.
 
 Pairs are looked at in three steps, and each time nodes that verified links connect already
 are not compared again, so that a group of many near copies costs no pair of each two:
@@ -31,6 +32,8 @@ WIDTH = 5
 PERCENT = 80
 #: Coordinates of a point.
 GROUPS = 64
+#: Slots of the longest sketch; larger sets share slots, which only makes the bound wider.
+MOST_SLOTS = 1 << 14
 #: Sets below SMALL shingles hand out prefixes, others whole groups of shingles.
 SMALL = 64
 #: Points of a leaf and children of an inner box of the R-tree.
@@ -148,6 +151,58 @@ def point(items: np.ndarray) -> np.ndarray:
     return np.bincount((items & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """The bytes of a point, of as many bytes a coordinate as its largest one needs."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0)))).tobytes()
+
+
+def sketch(items: np.ndarray) -> bytes:
+    """A bit per slot that tells if it holds an odd number of the set's shingles.
+
+    The slots are as many as the shingles, rounded up to a power of two. Where the sketches of two
+    sets differ a shingle is in only one of them, so they have at least as many shingles apart.
+    """
+    slots = min(max(64, 1 << (len(items) - 1).bit_length()), MOST_SLOTS)
+    held = np.bincount(((items >> U(8)) & U(slots - 1)).astype(np.int64), minlength=slots)
+    return np.packbits((held & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+class Sketches:
+    """Sketches of sets of several sizes; of two, the longer one is folded to the shorter one's slots."""
+
+    def __init__(self, column: pa.Array | pa.ChunkedArray):
+        self.parts = column.to_pylist()
+        self.width = np.array([len(part) for part in self.parts], np.int64)
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _of(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sketches of this width and of twice it, folded, and the place of each among them."""
+        if width not in self.folded:
+            place, found = np.zeros(len(self.parts), np.int64), []
+            at = 0
+            for times in (1, 2):
+                rows = np.flatnonzero(self.width == times * width)
+                place[rows] = at + np.arange(len(rows))
+                at += len(rows)
+                bits = np.frombuffer(b"".join([self.parts[i] for i in rows.tolist()]), U)
+                found.append(np.bitwise_xor.reduce(bits.reshape(-1, times, width // 8), axis=1))
+            self.folded[width] = np.concatenate(found), place
+        return self.folded[width]
+
+    def within(
+        self, x: np.ndarray, y: np.ndarray, size_x: np.ndarray, size_y: np.ndarray, inside: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs of places may link, none of them twice the other's size, and the sharper bound of the overlap of each pair."""
+        width = np.minimum(self.width[x], self.width[y])
+        apart = np.zeros(len(x), np.int64)
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            bits, place = self._of(w)
+            apart[at] = np.bitwise_count(bits[place[x[at]]] ^ bits[place[y[at]]]).sum(1)
+        inside = np.minimum(inside, (size_x + size_y - apart) // 2)
+        return overlap_reaches(inside, size_x, size_y), inside
+
+
 def identity(items: np.ndarray) -> int | None:
     """64-bit name of a set; None for the empty one."""
     if not len(items):
@@ -402,7 +457,7 @@ def _bitmap(digests: DataFrame) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, size, point and text of the given nodes, one row each."""
+    """node, size, point, sketch and text of the given nodes, one row each."""
     wanted = members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("digest").alias("digest"))
     wanted = cut(wanted.select("digest").distinct())
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
@@ -424,30 +479,33 @@ def _texts(docs: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in slices(batches, 256):
             found = list(sets_of(batch.column("text")))
             yield _batch(
-                ["node", "size", "point", "text"],
+                ["node", "size", "point", "sketch", "text"],
                 pa.array([identity(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()),
-                pa.array([point(x).tobytes() for x in found], pa.binary()), batch.column("text"),
+                pa.array([packed(point(x)) for x in found], pa.binary()), pa.array([sketch(x) for x in found], pa.binary()),
+                batch.column("text"),
             )
 
     texts = docs.select("digest", "text").mapInArrow(once, "digest long, text string")
     kept = texts.join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
-    return kept.mapInArrow(describe, "node long, size long, point binary, text string")
+    return kept.mapInArrow(describe, "node long, size long, point binary, sketch binary, text string")
 
 
 def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose points allow a link."""
+    """Pairs (a, b) whose points and sketches allow a link."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
-            x, y = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(-1, GROUPS) for c in ("point_a", "point_b")
-            )
+            x, y = _points(batch.column("point_a")), _points(batch.column("point_b"))
             n, m = batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy()
-            good = overlap_reaches(np.minimum(x, y).sum(1), n, m) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
-            yield _batch(["a", "b"], batch.column("a"), batch.column("b")).filter(pa.array(good))
+            inside = np.minimum(x, y).sum(1)
+            good = overlap_reaches(inside, n, m) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+            at = np.flatnonzero(good)
+            sketches = Sketches(pa.chunked_array([batch.column("sketch_a"), batch.column("sketch_b")]))
+            may, _ = sketches.within(at, at + len(good), n[at], m[at], inside[at])
+            yield _batch(["a", "b"], batch.column("a"), batch.column("b")).take(pa.array(at[may]))
 
     def end(name: str) -> DataFrame:
-        return points.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col("point").alias(f"point_{name}"))
+        return points.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("size", "point", "sketch")])
 
     return pairs.join(end("a"), "a").join(end("b"), "b").mapInArrow(keep, "a long, b long")
 
@@ -485,7 +543,13 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _points(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(-1, GROUPS)
+    parts = column.to_pylist()
+    length = np.array([len(part) for part in parts], np.int64)
+    out = np.empty((len(parts), GROUPS), np.int32)
+    for n in np.unique(length).tolist():
+        at = np.flatnonzero(length == n)
+        out[at] = np.frombuffer(b"".join([parts[i] for i in at.tolist()]), f"u{n // GROUPS}").reshape(-1, GROUPS)
+    return out
 
 
 def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
@@ -522,12 +586,14 @@ def _leaves(rows: pa.RecordBatch, nearest: bool) -> Iterator[pa.RecordBatch]:
         fits = (root[x] != root[y]) & (100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y]))
         x, y = x[fits], y[fits]
         if len(x) and vectors is None:
-            vectors = _points(rows.column("point"))
+            vectors, sketches = _points(rows.column("point")), Sketches(rows.column("sketch"))
         for part in range(0, len(x), 1 << 16):
             a, b = x[part : part + (1 << 16)], y[part : part + (1 << 16)]
             inside = np.minimum(vectors[a], vectors[b]).sum(1)
             good = overlap_reaches(inside, size[a], size[b])
             a, b, inside = a[good], b[good], inside[good]
+            good, inside = sketches.within(a, b, size[a], size[b], inside)
+            a, b, inside = a[good], b[good], inside[good]
             if nearest:
                 best.offer(a, node[b], inside)
                 best.offer(b, node[a], inside)
@@ -537,7 +603,7 @@ def _leaves(rows: pa.RecordBatch, nearest: bool) -> Iterator[pa.RecordBatch]:
 
 
 def _searched(buckets: DataFrame, roots: DataFrame, points: DataFrame, *, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of nodes of one bucket, not yet connected, whose points allow a link.
+    """Pairs (a, b) of nodes of one bucket, not yet connected, whose points and sketches allow a link.
 
     With ``nearest`` only the nearest such point of each node in each block of a bucket.
     """
@@ -555,10 +621,10 @@ def _searched(buckets: DataFrame, roots: DataFrame, points: DataFrame, *, neares
     )
     placed = (
         rooted.join(open_keys, "key")
-        .join(points.select("node", "size", "point"), "node")
+        .join(points.select("node", "size", "point", "sketch"), "node")
         .withColumn("mine", mine)
-        .select("key", "node", "root", "size", "point", "mine", F.explode(others).alias("at"))
-        .select("key", "at.p", "at.q", "mine", "node", "root", "size", "point")
+        .select("key", "node", "root", "size", "point", "sketch", "mine", F.explode(others).alias("at"))
+        .select("key", "at.p", "at.q", "mine", "node", "root", "size", "point", "sketch")
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -566,17 +632,19 @@ def _searched(buckets: DataFrame, roots: DataFrame, points: DataFrame, *, neares
 
         def joined(rows: pa.RecordBatch | pa.Table) -> Iterator[pa.RecordBatch]:
             node, root, size, block, p, q = (rows.column(c).to_numpy() for c in ("node", "root", "size", "mine", "p", "q"))
-            vectors = _points(rows.column("point"))
-            trees = [(RTree(vectors[s], size[s], root[s]), node[s]) for s in (block == p, block != p) if s.any()]
+            vectors, sketches = _points(rows.column("point")), Sketches(rows.column("sketch"))
+            trees = [(RTree(vectors[s], size[s], root[s]), node[s], np.flatnonzero(s)) for s in (block == p, block != p) if s.any()]
             if len(trees) == 1 and p[0] != q[0]:
                 return
-            (a, ids_a), (b, ids_b) = trees[0], trees[-1]
+            (a, ids_a, at_a), (b, ids_b, at_b) = trees[0], trees[-1]
             best_a, best_b = Nearest(len(ids_a)), Nearest(len(ids_b))
             for x, y, inside in tree_join(a, b if b is not a else None):
+                good, inside = sketches.within(at_a[x], at_b[y], size[at_a[x]], size[at_b[y]], inside)
+                x, y, inside = x[good], y[good], inside[good]
                 if nearest:
                     best_a.offer(x, ids_b[y], inside)
                     best_b.offer(y, ids_a[x], inside)
-                else:
+                elif len(x):
                     yield _pairs(ids_a[x], ids_b[y])
             yield from best_a.pairs(ids_a)
             yield from best_b.pairs(ids_b)

@@ -1,5 +1,8 @@
 """Buckets of equal nodes, and the texts read for them."""
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 from tests.helpers import rows
 
 from seqtrail.functions.storage import CLEANUP_CONF, cut
@@ -26,3 +29,38 @@ def test_setting_is_as_before_after_a_table_is_stored(spark):
     before = spark.conf.get(CLEANUP_CONF, None)
     stored = cut(spark.range(100).repartition("id"), free_shuffles=True)
     assert stored.count() == 100 and spark.conf.get(CLEANUP_CONF, None) == before
+
+
+def test_sketches_bound_the_overlap_of_sets_of_different_slots():
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (1, 3, 63, 70, 120, 129, 300, 510, 515, 2000, 20000):
+        whole = rng.integers(0, 2**64, n, dtype=np.uint64)
+        sets += [np.unique(whole), np.unique(whole[n // 8 :]), np.unique(np.concatenate((whole[n // 2 :], rng.integers(0, 2**64, n // 2, dtype=np.uint64))))]
+    size = np.array([len(s) for s in sets])
+    sketches = shingle_join.Sketches(pa.array([shingle_join.sketch(s) for s in sets], pa.binary()))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if size[i] and 100 * min(size[i], size[j]) >= 80 * max(size[i], size[j])]
+    x, y = np.array(pairs).T
+    shared = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in pairs])
+    may, inside = sketches.within(x, y, size[x], size[y], np.minimum(size[x], size[y]))
+    assert (inside >= shared).all() and may[180 * shared >= 80 * (size[x] + size[y])].all()
+    # Sets of a hundred and more that share half of each are left out by the sketch alone.
+    assert not may[(size[x] >= 100) & (3 * shared <= 2 * np.minimum(size[x], size[y]))].any()
+
+
+def test_points_of_any_width_are_read_back():
+    points = np.array([[0] * 64, [255] * 64, [256] * 64, [70000] + [1] * 63], np.int32)
+    assert (shingle_join._points(pa.array([shingle_join.packed(p) for p in points], pa.binary())) == points).all()
+
+
+def test_search_leaves_out_texts_that_share_half(spark):
+    """Texts with a common half are in one bucket each, but no pair of them is handed on."""
+    rng = np.random.default_rng(7)
+    common = [f"c{i}" for i in range(130)]
+    texts = [" ".join(common + [f"w{v}" for v in rng.integers(0, 10**9, 130)]) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("digest", F.xxhash64("text"))
+    buckets = cut(shingle_join._single(shingle_join._buckets(shingle_join._keyed(docs))))
+    points = cut(shingle_join._texts(docs, cut(shingle_join._members(docs)), buckets.select("node").distinct()))
+    roots = spark.createDataFrame([], "node long, root long")
+    assert buckets.select("node").distinct().count() == 60
+    assert shingle_join._searched(buckets, roots, points, nearest=False).count() == 0
