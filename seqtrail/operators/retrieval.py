@@ -1,6 +1,9 @@
 """Nearest known action of a free text, by character n-gram TF-IDF cosine.
 
-The search is exact and does not add up whole vectors for most pairs. Grams are put into
+Both are exact: ``nearest`` adds up the similarities of a part of the queries with a block of the
+catalogue in one task, over the block's posting lists, and hands on only the best of the block,
+so no row per pair is ever shuffled. ``search`` gives the pairs as tables and does not add up whole
+vectors for most of them. Grams are put into
 levels by falling rarity. Per query, the rarest grams are added up over their posting lists
 until only ``REST`` of the query's squared length is left: the most frequent grams, whose
 lists are the longest, are not joined at all. The k-th partial sum is a floor that k texts
@@ -14,6 +17,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +30,8 @@ from seqtrail.functions.text import char_ngrams, normalise
 SIMILARITY_DIGITS = 6  # similarities this close count as ties, which the text decides
 #: A text this far below the floor cannot tie with it once similarities are rounded.
 SLACK = 2.0 * 10**-SIMILARITY_DIGITS
+#: Grams of texts to a part of the queries, and to a block of the catalogue.
+TILE_ROWS = 1_000_000
 #: Levels of rarity, of about equal shares of the catalogue's squared weights.
 LEVELS = 32
 #: Share of a query's squared length that is left to the bounds.
@@ -188,6 +196,60 @@ def search(wanted: DataFrame, catalogue: Catalogue, k: int) -> Search:
     return Search(vectors.drop("top"), partial, cut(plans), catalogue)
 
 
+def best_of_tiles(vectors: DataFrame, catalogue: Catalogue, k: int, *, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(query, match, similarity) of all pairs that may be among a query's ``k`` best, as sums over all grams.
+
+    Every part of the queries ``vectors(query, gram, w)`` meets every block of the catalogue. A tile of
+    both holds about ``tile_rows`` grams of each; of each query it hands on the ``k`` best texts of its
+    block and those that may tie with them once similarities are rounded.
+    """
+    tasks = vectors.sparkSession.sparkContext.defaultParallelism
+    parts = max(2 * tasks, -(-vectors.count() // tile_rows))
+    blocks = max(1, -(-catalogue.vectors.count() // tile_rows))
+    known = catalogue.vectors.select(F.col("id").alias("match"), "gram", F.col("w").alias("other"))
+
+    def dealt(key: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = vectors.select("query", "gram", "w", dealt("query", parts).alias("part"), every(blocks).alias("block"))
+    right = known.select("match", "gram", "other", dealt("match", blocks).alias("block"), every(parts).alias("part"))
+
+    def add_up(asked: pa.Table, held: pa.Table) -> pa.Table:
+        # Posting lists of the block: those of gram g lie from starts[g] up to starts[g + 1].
+        grams = pc.unique(held["gram"])
+        of_gram = pc.index_in(held["gram"], value_set=grams).to_numpy()
+        matches, place = np.unique(held["match"].to_numpy(), return_inverse=True)
+        order = np.lexsort((place, of_gram))
+        place, other = place[order], held["other"].to_numpy()[order]
+        starts = np.searchsorted(of_gram[order], np.arange(len(grams) + 1))
+        found = pc.fill_null(pc.index_in(asked["gram"], value_set=grams), -1).to_numpy()
+        query, w = asked["query"].to_numpy(), asked["w"].to_numpy()
+        order = np.lexsort((found, query))
+        order = order[found[order] >= 0]
+        query, found, w = query[order], found[order], w[order]
+        ends = np.flatnonzero(np.concatenate((query[1:] != query[:-1], [True]))) + 1 if len(query) else []
+        rows, first = [], 0
+        for end in ends:
+            at = starts[found[first:end]]
+            length = starts[found[first:end] + 1] - at
+            lists = np.repeat(at - (np.cumsum(length) - length), length) + np.arange(length.sum())
+            sums = np.bincount(place[lists], np.repeat(w[first:end], length) * other[lists], len(matches))
+            floor = np.partition(sums, -k)[-k] - SLACK if len(sums) > k else 0.0
+            best = np.flatnonzero((sums >= floor) & (sums > 0))
+            rows.append((np.full(len(best), query[first]), matches[best], sums[best]))
+            first = end
+        columns = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [[], [], []]
+        kinds = (pa.int64(), pa.int64(), pa.float64())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["query", "match", "similarity"])
+
+    tiles = left.groupBy("part", "block").cogroup(right.groupBy("part", "block"))
+    sums = tiles.applyInArrow(add_up, "query long, match long, similarity double")
+    return sums.withColumn("similarity", F.round("similarity", SIMILARITY_DIGITS)).filter("similarity > 0")
+
+
 def nearest(queries: DataFrame, catalogue: Catalogue, *, k: int = 1, text: str = "query") -> DataFrame:
     """The ``k`` catalogue texts most similar to each distinct query text.
 
@@ -198,7 +260,8 @@ def nearest(queries: DataFrame, catalogue: Catalogue, *, k: int = 1, text: str =
     wanted = with_ids(queries.select(F.col(text).alias("query")).filter(F.col("query").isNotNull()), "query")
     window = Window.partitionBy("id").orderBy(F.desc("similarity"), "match")
     texts = catalogue.texts.select("id", F.col("text").alias("match"))
-    similar = search(wanted, catalogue, k).similarities().withColumnsRenamed({"query": "_query", "match": "id"}).join(texts, "id")
+    vectors = cut(unit_vectors(gram_counts(wanted, "query", "id"), catalogue.idf, "id").withColumnRenamed("id", "query"))
+    similar = best_of_tiles(vectors, catalogue, k).withColumnsRenamed({"query": "_query", "match": "id"}).join(texts, "id")
     similar = similar.drop("id").withColumnRenamed("_query", "id")
     best = similar.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= k)
     listed = best.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_rank", "match", "similarity"))).alias("_taken"))

@@ -92,3 +92,23 @@ def test_empty_catalogue_and_no_queries(spark):
     assert retrieval.nearest(frame(spark, ["a"], "query"), retrieval.fit_catalogue(empty), k=2).count() == 0
     none = spark.createDataFrame([], "query string")
     assert retrieval.nearest(none, retrieval.fit_catalogue(frame(spark, ["abc"], "text")), k=2).count() == 0
+
+
+@pytest.mark.parametrize("tile_rows", [40, 10**6])
+def test_tiles_hand_on_the_best_of_each_block_alone(spark, tile_rows):
+    rng = random.Random(3)
+    texts = sorted({"".join(rng.choices("abc", k=rng.randint(4, 12))) for _ in range(40)})
+    queries = sorted({"".join(rng.choices("abc", k=rng.randint(4, 12))) for _ in range(25)})
+    catalogue = retrieval.fit_catalogue(frame(spark, texts, "text"))
+    wanted = retrieval.with_ids(frame(spark, queries, "query"), "query")
+    vectors = retrieval.unit_vectors(retrieval.gram_counts(wanted, "query", "id"), catalogue.idf, "id").withColumnRenamed("id", "query")
+    named = catalogue.texts.select(F.col("id").alias("match"), "text")
+    tiled = retrieval.best_of_tiles(vectors, catalogue, 2, tile_rows=tile_rows)
+    assert "_rank" not in plan(tiled) and tiled.count() < len(queries) * len(texts) * (1 if tile_rows == 40 else 0.2)
+    names = {r.id: r.query for r in wanted.collect()}
+    got = {}
+    for r in tiled.join(named, "match").collect():
+        got.setdefault(names[r["query"]], []).append((-r.similarity, r.text))
+    for q, want in brute(texts, queries, 2).items():
+        want = [(t, s) for t, s in want if s > 0]
+        assert [(t, pytest.approx(-s, abs=2e-6)) for s, t in sorted(got.get(q, []))[: len(want)]] == want
