@@ -11,7 +11,8 @@ shingles (``sketch``). Pairs that survive both are verified on their whole sets.
 Pairs are looked at in three steps, and each time nodes that verified links connect already
 are not compared again, so that a group of many near copies costs no pair of each two:
 every node with one node of each of its buckets, every node with the nearest point of its
-bucket, and at last every node with all points of its buckets within the bound.
+bucket, and at last every node with all points of its buckets within the bound. Near copies
+share dozens of buckets; a pair is handed on by the one of the smallest key alone.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ FANOUT = 24
 #: Buckets beyond this many nodes are cut into blocks that are joined two by two.
 BLOCK = 2048
 KEY_BITS = 48
+#: Smaller keys that a node brings along into a bucket, to tell pairs that have met before.
+EARLIER = 64
 #: Places of the bitmap of wanted texts, which has an eighth of as many bytes however many are wanted.
 PLACES = 1 << 25
 #: The key that marks loose nodes; other keys are not negative.
@@ -556,6 +559,48 @@ def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
     return _batch(["a", "b"], np.minimum(x, y), np.maximum(x, y))
 
 
+class Met:
+    """Tells pairs of rows that share a key smaller than that of the bucket they are in.
+
+    Rows bring along their smallest such keys, EARLIER at most. A pair that shares only others
+    is told again by each bucket, which repeats it and loses nothing.
+    """
+
+    COLUMNS = 4096
+
+    def __init__(self, column: pa.Array | pa.ChunkedArray):
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        self.rows = len(column)
+        keys, code, count = np.unique(column.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+        # The keys of most rows come first, as they tell most pairs; those of one row tell none.
+        rank = np.empty(len(keys), np.int64)
+        rank[np.argsort(-count, kind="stable")] = np.arange(len(keys))
+        row = np.repeat(np.arange(self.rows), column.value_lengths().to_numpy(zero_copy_only=False))
+        used = count[code] > 1
+        place, row = rank[code[used]], row[used]
+        order = np.argsort(place, kind="stable")
+        self.place, self.row = place[order], row[order]
+        self.bits: list[np.ndarray] = []
+
+    def _part(self, i: int) -> np.ndarray:
+        if i == len(self.bits):
+            low, high = np.searchsorted(self.place, (i * self.COLUMNS, (i + 1) * self.COLUMNS))
+            place, row = self.place[low:high] - i * self.COLUMNS, self.row[low:high]
+            bits = np.zeros((self.rows, self.COLUMNS // 64), U)
+            np.bitwise_or.at(bits, (row, place >> 6), U(1) << (place & 63).astype(U))
+            self.bits.append(bits)
+        return self.bits[i]
+
+    def before(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which pairs of rows have met in a bucket of a smaller key."""
+        out = np.zeros(len(x), bool)
+        for i in range(-(-(int(self.place[-1]) + 1) // self.COLUMNS) if len(self.place) else 0):
+            bits = self._part(i)
+            for at in np.array_split(np.flatnonzero(~out), -(-len(out) // 16384) or 1):
+                out[at] = (bits[x[at]] & bits[y[at]]).any(1)
+        return out
+
+
 class Nearest:
     """The partner with the greatest bound for each of some points."""
 
@@ -568,10 +613,15 @@ class Nearest:
         # Of repeated places the last assignment stays, which is the greatest.
         self.inside[at[order]], self.partner[at[order]] = inside[order], partner[order]
 
-    def pairs(self, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(self, own: np.ndarray, nodes: np.ndarray, met: Met) -> Iterator[pa.RecordBatch]:
+        """The pairs found, each once; ``own`` and the partners are places of ``nodes``."""
         found = self.inside >= 0
-        if found.any():
-            yield _pairs(nodes[found], self.partner[found])
+        x, y = own[found], self.partner[found]
+        once = np.unique(np.minimum(x, y) * len(nodes) + np.maximum(x, y))
+        x, y = once // len(nodes), once % len(nodes)
+        new = ~met.before(x, y)
+        if new.any():
+            yield _pairs(nodes[x[new]], nodes[y[new]])
 
 
 def _leaves(rows: pa.RecordBatch, nearest: bool) -> Iterator[pa.RecordBatch]:
@@ -586,7 +636,7 @@ def _leaves(rows: pa.RecordBatch, nearest: bool) -> Iterator[pa.RecordBatch]:
         fits = (root[x] != root[y]) & (100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y]))
         x, y = x[fits], y[fits]
         if len(x) and vectors is None:
-            vectors, sketches = _points(rows.column("point")), Sketches(rows.column("sketch"))
+            vectors, sketches, met = _points(rows.column("point")), Sketches(rows.column("sketch")), Met(rows.column("earlier"))
         for part in range(0, len(x), 1 << 16):
             a, b = x[part : part + (1 << 16)], y[part : part + (1 << 16)]
             inside = np.minimum(vectors[a], vectors[b]).sum(1)
@@ -595,17 +645,20 @@ def _leaves(rows: pa.RecordBatch, nearest: bool) -> Iterator[pa.RecordBatch]:
             good, inside = sketches.within(a, b, size[a], size[b], inside)
             a, b, inside = a[good], b[good], inside[good]
             if nearest:
-                best.offer(a, node[b], inside)
-                best.offer(b, node[a], inside)
+                best.offer(a, b, inside)
+                best.offer(b, a, inside)
             elif len(a):
-                yield _pairs(node[a], node[b])
-    yield from best.pairs(node)
+                new = ~met.before(a, b)
+                yield _pairs(node[a[new]], node[b[new]])
+    if vectors is not None:
+        yield from best.pairs(np.arange(len(node)), node, met)
 
 
 def _searched(buckets: DataFrame, roots: DataFrame, points: DataFrame, *, nearest: bool) -> DataFrame:
     """Pairs (a, b) of nodes of one bucket, not yet connected, whose points and sketches allow a link.
 
-    With ``nearest`` only the nearest such point of each node in each block of a bucket.
+    With ``nearest`` only the nearest such point of each node in each block of a bucket. A pair
+    that shares several buckets is told by that of the smallest key, as far as ``Met`` knows.
     """
     rooted = buckets.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     open_keys = (
@@ -619,12 +672,16 @@ def _searched(buckets: DataFrame, roots: DataFrame, points: DataFrame, *, neares
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda j: F.struct(F.least(j, F.col("mine")).alias("p"), F.greatest(j, F.col("mine")).alias("q")),
     )
+    listed = rooted.join(open_keys, "key").groupBy("node", "root").agg(F.array_sort(F.collect_list(F.struct("key", "blocks"))).alias("keys"))
+    earlier = F.slice(F.col("keys.key"), F.lit(1), F.least("i", F.lit(EARLIER)))
+    described = ["node", "root", "size", "point", "sketch"]
     placed = (
-        rooted.join(open_keys, "key")
-        .join(points.select("node", "size", "point", "sketch"), "node")
+        listed.join(points.select("node", "size", "point", "sketch"), "node")
+        .select(*described, "keys", F.posexplode("keys").alias("i", "of"))
+        .select("of.key", "of.blocks", *described, earlier.alias("earlier"))
         .withColumn("mine", mine)
-        .select("key", "node", "root", "size", "point", "sketch", "mine", F.explode(others).alias("at"))
-        .select("key", "at.p", "at.q", "mine", "node", "root", "size", "point", "sketch")
+        .select("key", "mine", *described, "earlier", F.explode(others).alias("at"))
+        .select("key", "at.p", "at.q", "mine", *described, "earlier")
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -632,22 +689,25 @@ def _searched(buckets: DataFrame, roots: DataFrame, points: DataFrame, *, neares
 
         def joined(rows: pa.RecordBatch | pa.Table) -> Iterator[pa.RecordBatch]:
             node, root, size, block, p, q = (rows.column(c).to_numpy() for c in ("node", "root", "size", "mine", "p", "q"))
-            vectors, sketches = _points(rows.column("point")), Sketches(rows.column("sketch"))
-            trees = [(RTree(vectors[s], size[s], root[s]), node[s], np.flatnonzero(s)) for s in (block == p, block != p) if s.any()]
+            vectors, sketches, met = _points(rows.column("point")), Sketches(rows.column("sketch")), Met(rows.column("earlier"))
+            trees = [(RTree(vectors[s], size[s], root[s]), np.flatnonzero(s)) for s in (block == p, block != p) if s.any()]
             if len(trees) == 1 and p[0] != q[0]:
                 return
-            (a, ids_a, at_a), (b, ids_b, at_b) = trees[0], trees[-1]
-            best_a, best_b = Nearest(len(ids_a)), Nearest(len(ids_b))
+            (a, at_a), (b, at_b) = trees[0], trees[-1]
+            best_a = Nearest(len(at_a))
+            best_b = Nearest(len(at_b)) if b is not a else best_a
             for x, y, inside in tree_join(a, b if b is not a else None):
                 good, inside = sketches.within(at_a[x], at_b[y], size[at_a[x]], size[at_b[y]], inside)
                 x, y, inside = x[good], y[good], inside[good]
                 if nearest:
-                    best_a.offer(x, ids_b[y], inside)
-                    best_b.offer(y, ids_a[x], inside)
+                    best_a.offer(x, at_b[y], inside)
+                    best_b.offer(y, at_a[x], inside)
                 elif len(x):
-                    yield _pairs(ids_a[x], ids_b[y])
-            yield from best_a.pairs(ids_a)
-            yield from best_b.pairs(ids_b)
+                    new = ~met.before(at_a[x], at_b[y])
+                    yield _pairs(node[at_a[x[new]]], node[at_b[y[new]]])
+            yield from best_a.pairs(at_a, node, met)
+            if b is not a:
+                yield from best_b.pairs(at_b, node, met)
 
         current = None
         for batch in batches:
@@ -675,7 +735,7 @@ def _searched(buckets: DataFrame, roots: DataFrame, points: DataFrame, *, neares
             yield from joined(pa.Table.from_batches(held).combine_chunks())
 
     sorted_rows = placed.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "node")
-    return sorted_rows.mapInArrow(search, "a long, b long").distinct()
+    return sorted_rows.mapInArrow(search, "a long, b long")
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -700,7 +760,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for nearest in (True, False):
         roots = cut(connected(checked.filter("link")))
         tried = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = cut(_searched(buckets, roots, texts, nearest=nearest), free_shuffles=True)
+        found = cut(_searched(buckets, roots, texts, nearest=nearest).distinct(), free_shuffles=True)
         untried = found.join(tried, ["a", "b"], "left_anti")
         checked = cut(checked.unionByName(_verified(untried, texts)), free_shuffles=True)
         # A node without a near enough point of another root has none later either, as roots only merge.

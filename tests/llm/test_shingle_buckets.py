@@ -64,3 +64,37 @@ def test_search_leaves_out_texts_that_share_half(spark):
     roots = spark.createDataFrame([], "node long, root long")
     assert buckets.select("node").distinct().count() == 60
     assert shingle_join._searched(buckets, roots, points, nearest=False).count() == 0
+
+
+def test_near_copies_that_share_many_buckets_are_handed_on_once(spark):
+    """A pair of a large group is told by one of its buckets; the nearest ones are no more rows than nodes."""
+    rng = np.random.default_rng(9)
+    texts = []
+    for _ in range(50):
+        found = [f"c{i}" for i in range(400)]
+        for at in rng.integers(0, 400, 4):
+            found[at] = f"w{rng.integers(0, 10**9)}"
+        texts.append(" ".join(found))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("digest", F.xxhash64("text"))
+    buckets = cut(shingle_join._single(shingle_join._buckets(shingle_join._keyed(docs))))
+    points = cut(shingle_join._texts(docs, cut(shingle_join._members(docs)), buckets.select("node").distinct()))
+    roots = spark.createDataFrame([], "node long, root long")
+    sets = {shingle_join.identity(s): s for s in map(shingle_join.set_of, texts)}
+    nodes = sorted(sets)
+    shared = {(a, b): len(np.intersect1d(sets[a], sets[b])) for i, a in enumerate(nodes) for b in nodes[i + 1 :]}
+    linked = {p for p, n in shared.items() if 100 * n >= 80 * (len(sets[p[0]]) + len(sets[p[1]]) - n)}
+    found = rows(shingle_join._searched(buckets, roots, points, nearest=False), "a", "b")
+    assert buckets.count() > 1000 and len(linked) > 1000
+    assert linked <= set(found) and len(found) == len(set(found))
+    near = rows(shingle_join._searched(buckets, roots, points, nearest=True), "a", "b")
+    assert {n for p in near for n in p} == set(nodes) and len(near) <= 3 * len(nodes)
+
+
+def test_rows_meet_before_by_any_of_many_keys():
+    rng = np.random.default_rng(3)
+    lists = [np.unique(rng.integers(0, 9000, n)).tolist() for n in (0, 0, 1, 1, *[40] * 60, *[3000] * 4)]
+    met = shingle_join.Met(pa.array(lists, pa.list_(pa.int64())))
+    x, y = np.triu_indices(len(lists), 1)
+    assert met.before(x, y).tolist() == [bool(set(lists[i]) & set(lists[j])) for i, j in zip(x, y, strict=True)]
+    assert met.before(x[:0], y[:0]).tolist() == []
+    assert shingle_join.Met(pa.array([[], []], pa.list_(pa.int64()))).before(np.array([0]), np.array([1])).tolist() == [False]
