@@ -16,7 +16,7 @@ from seqtrail.operators.sequences import ROW
 from seqtrail.plans import inputs as I
 from seqtrail.plans.markov_queries import rounded
 from seqtrail.plans.registry import query
-from seqtrail.plans.report_queries import COUNTS, sequence_counts, tail_sql, test_sequences
+from seqtrail.plans.report_queries import COUNTS, chunk_counts, sequence_counts, tail_sql, test_sequences
 from seqtrail.plans.sql import CHUNKS, WINDOWS, category_sql, markov_sql, r6, tokens_sql
 
 #: Of the actions of a case window those with a smaller number are blanked.
@@ -112,7 +112,7 @@ def ragged_chunks(spark, folder):
 def checked_sums(spark, folder):
     """Sums whose number of rows must equal the counted actions."""
     models = I.line_models(spark, folder)
-    _, actions = sequence_counts(models)
+    actions = posthoc.action_counts(test_sequences(models), models.markov)
     return posthoc.checked_sums(models.markov, actions, ["correct", "topk_correct"])
 
 
@@ -151,9 +151,9 @@ def strict_tail(spark, folder):
     """
     models = I.line_models(spark, folder)
     early = cut(markov.score(models.actions, models.part("test"), skip_n=0).select("seq_id", "pos", "label", "correct"))
-    measured = cut(chunks.chunk_metrics(models.wb, ["seq_id"]).select("seq_id", "chunk_id", "correct"))
+    measured = models.chunks.select("seq_id", "chunk_id", "correct")
     tests = test_sequences(models)
-    per_wb = tests.join(posthoc.sequence_sums(measured, []), "seq_id", "left").select("seq_id", F.coalesce("n", F.lit(0)).alias("n"))
+    per_wb = chunk_counts(models)
     counts = cut(posthoc.match_counts(per_wb, posthoc.action_counts(tests, early), policy="strict_wb"))
     posthoc.require_strict(counts)
     scored = {

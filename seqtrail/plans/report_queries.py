@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seqtrail.functions.numbers import erfc_sql
 from seqtrail.functions.ordered import running_total
 from seqtrail.functions.storage import cut
-from seqtrail.operators import bootstrap, chunks, compare, posthoc
+from seqtrail.operators import bootstrap, compare, posthoc
 from seqtrail.plans import inputs as I
 from seqtrail.plans.markov_queries import rounded
 from seqtrail.plans.registry import query
@@ -273,7 +273,8 @@ def baseline_comparison(spark, folder):
 )
 def model_pairs(spark, folder):
     models = I.line_models(spark, folder)
-    listed = I.both_models(models).select("model").unionByName(models.wb.select("model"))
+    # The word model has positions where an action has a scored word.
+    listed = I.both_models(models).select("model").unionByName(models.closed_actions.select(F.lit("wb").alias("model")))
     return compare.model_pairs(listed)
 
 
@@ -289,11 +290,15 @@ def test_sequences(models):
     return models.splits.filter(F.col("split") == "test").select("seq_id")
 
 
+def chunk_counts(models):
+    """H1: scored chunks of every test sequence, zeros kept."""
+    counted = test_sequences(models).join(posthoc.sequence_sums(models.chunks, []), "seq_id", "left")
+    return counted.select("seq_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def sequence_counts(models):
     """H1, H2: scored chunks and scored actions of every test sequence."""
-    numbered = chunks.number_chunks(models.wb, ["seq_id"])
-    tests = test_sequences(models)
-    return posthoc.chunk_counts(tests, numbered), posthoc.action_counts(tests, models.markov)
+    return chunk_counts(models), posthoc.action_counts(test_sequences(models), models.markov)
 
 
 @query("scored_counts", f"with {COUNTS} select seq_id, k_wb, k_fb from matched_counts")
@@ -411,8 +416,7 @@ PERIOD_OF = "case when seq_id % 3 = 0 then 'in_sample' when seq_id % 3 = 1 then
 )
 def length_reconciliation(spark, folder):
     models = I.line_models(spark, folder)
-    closed = chunks.closed_chunks(chunks.number_chunks(models.wb, ["seq_id"]), ["seq_id"])
-    rows = closed.select("seq_id", F.lit("wb").alias("model")).unionByName(
+    rows = models.chunks.select("seq_id", "model").unionByName(
         models.markov.select("seq_id", "model")
     )
     # The periods of the three test sets stand in for folders of results.

@@ -119,11 +119,10 @@ flagged as materialized (
 def flagged_chunks(spark, folder, models=None):
     """Chunks of the word-based model with nearest-neighbour flags."""
     models = models or I.line_models(spark, folder)
-    measured = cut(chunks.chunk_metrics(models.wb, ["model", "seq_id"]))
     catalogue = retrieval.fit_catalogue(
         retrieval.valid_texts(I.table(spark, folder, "part"), "p_name")
     )
-    return retrieval.nearest_flags(measured, catalogue)
+    return retrieval.nearest_flags(models.chunks, catalogue)
 
 
 @query(
@@ -132,7 +131,7 @@ def flagged_chunks(spark, folder, models=None):
       {r6("ce")} as ce, {r6("entropy")} as entropy, {r6("confidence")} as confidence, label_text, pred_text from chunks""",
 )
 def chunk_metrics(spark, folder):
-    measured = chunks.chunk_metrics(I.line_models(spark, folder).wb, ["model", "seq_id"])
+    measured = I.line_models(spark, folder).chunks
     return rounded(measured.drop("model"), "topk_frac", "ce", "entropy", "confidence")
 
 

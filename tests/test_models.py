@@ -355,3 +355,34 @@ def test_training_words_are_counted_without_a_row_each(spark, folder):
     models = inputs.line_models(spark, folder)
     text = plan(inputs.word_pairs(models.part("train")))
     assert text.index("Generate") < text.index("HashAggregate") and "Window" not in text
+
+
+def test_chunks_by_kind_of_action_are_those_of_all_words(spark):
+    """Also with delimiters among the words, missing and one-word actions, and any number of skipped words."""
+    from seqtrail.plans import inputs
+
+    texts = ["a b", "c", "A <ROW> b", None, "", "b  a", "a b c d e f"]
+    parts = [(s, "train" if s % 3 else "test", i, texts[(s * 5 + i * i + s * i // 2) % 7]) for s in range(30) for i in range(s % 9)]
+    actions = spark.createDataFrame(parts, "seq_id long, split string, pos long, token string")
+    model = markov.fit(inputs.word_pairs(actions.filter("split = 'train' and token is not null")), seed=3, count="n")
+    tests = actions.filter("split = 'test'")
+    names = ["seq_id", "chunk_id", "n_tokens", "correct", "topk_correct", "topk_frac", "ce", "entropy", "confidence", "label_text", "pred_text"]
+
+    def told(found):
+        return rows(found.select([F.round(c, 9).alias(c) if c in names[5:9] else c for c in names]), *names)
+
+    for skip in (0, 1, 4, 9):
+        words = markov.score(model, inputs.word_tokens(tests), skip_n=skip)
+        want = told(chunks.chunk_metrics(words, ["seq_id"]))
+        assert want and told(inputs.action_chunks(model, inputs.closed_actions(tests, skip_n=skip))) == want
+
+
+def test_chunks_of_the_given_tables_make_no_row_per_word(spark, folder):
+    from seqtrail.plans import inputs
+
+    models = inputs.line_models(spark, folder)
+    text = plan(inputs.action_chunks(models.words, models.closed_actions))
+    assert "Generate" not in text and "Window" not in text
+    assert rows(models.chunks, "seq_id", "chunk_id", "label_text") == rows(
+        chunks.chunk_metrics(models.wb, ["seq_id"]), "seq_id", "chunk_id", "label_text"
+    )
