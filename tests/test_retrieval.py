@@ -3,13 +3,16 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
+import pyarrow as pa
 import pytest
 from conftest import FOLDER
 from helpers import plan, rows
 from pyspark.sql import functions as F
 
-from seqtrail.functions import text
+from seqtrail.functions import storage, text
 from seqtrail.operators import retrieval
 
 
@@ -112,3 +115,64 @@ def test_tiles_hand_on_the_best_of_each_block_alone(spark, tile_rows):
     for q, want in brute(texts, queries, 2).items():
         want = [(t, s) for t, s in want if s > 0]
         assert [(t, pytest.approx(-s, abs=2e-6)) for s, t in sorted(got.get(q, []))[: len(want)]] == want
+
+
+def test_nearest_stores_and_shuffles_no_row_per_gram(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcd ", k=200)) for _ in range(10)]
+    queries = ["".join(rng.choices("abcd ", k=400)) for _ in range(30)]
+    catalogue = retrieval.fit_catalogue(frame(spark, texts, "text"))
+    stored = []
+
+    def cut(table, **options):
+        stored.append(storage.cut(table, **options))
+        return stored[-1]
+
+    monkeypatch.setattr(retrieval, "cut", cut)
+    found = retrieval.nearest(frame(spark, queries * 2, "query"), catalogue, k=2)
+    assert [(t.columns, t.count()) for t in stored] == [(["query"], len(queries))]
+    assert "hashpartitioning" not in plan(found) and "Group" not in plan(found) and "gram" not in plan(found)
+    assert {(r["query"], r.slot): r.match for r in found.collect()} == {
+        (q, i): t for q, best in brute(texts, queries, 2).items() for i, (t, _) in enumerate(best)
+    }
+
+
+@pytest.mark.parametrize("k", [1, 4])
+def test_blocks_of_the_catalogue_met_one_by_one_equal_brute_force(spark, monkeypatch, k):
+    monkeypatch.setattr(retrieval, "PORTION", 50)
+    rng = random.Random(10 + k)
+    words = ["".join(rng.choices("abcé𝒳", k=rng.randint(2, 6))) for _ in range(30)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 8))) for _ in range(40)] + ["q", "", "aaa"]
+    queries = [" ".join(rng.choices(words, k=rng.randint(1, 8))) for _ in range(25)] + texts[:5] + ["zzzz", "", "aaaa", "日本語"]
+    catalogue = retrieval.fit_catalogue(frame(spark, texts, "text"))
+    folder = Path(urlparse(storage.ensure_checkpoint_dir(spark)).path)
+    before = len([*folder.iterdir()])
+    found = retrieval.nearest(frame(spark, queries, "query"), catalogue, k=k, tile_rows=400)
+    # The queries, the catalogue's rows by block and the last block but one; what earlier blocks found is deleted.
+    assert catalogue.vectors.count() > 3 * 400 and len([*folder.iterdir()]) == before + 3
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: r.slot):
+        got.setdefault(r["query"], []).append((r.match, r.similarity))
+    want = brute(texts, queries, k)
+    assert set(got) == set(want)
+    for q in want:
+        assert [s for _, s in got[q]] == pytest.approx([s for _, s in want[q]], abs=2e-6)
+        assert [t for t, _ in got[q]] == [t for t, _ in want[q]], q
+
+
+@pytest.mark.parametrize("table", [0, 10**6])
+@pytest.mark.parametrize("portion", [3, 10**5])
+def test_grams_of_a_block_are_counted_in_texts(monkeypatch, table, portion):
+    monkeypatch.setattr(retrieval, "TABLE", table)
+    monkeypatch.setattr(retrieval, "PORTION", portion)
+    rng = random.Random(6)
+    known = sorted(set().union(*(grams("".join(rng.choices("abc\U0001d4b3é", k=30))) for _ in range(4))) | {"日本語"})
+    held = pa.table({"id": pa.array([7] * len(known)), "gram": known, "w": [1.0] * len(known), "idf": [1.0] * len(known), "first": [0] * len(known)})
+    texts = ["".join(rng.choices("abc\U0001d4b3éx", k=n)) for n in (0, 2, 3, 4, 5, 80)] + ["日本語日本語", "", "aaaaaaaaaaaa"]
+    block = retrieval.Block(held, pa.table({"id": [7], "text": ["t"]}), 0, None)
+    got = [{} for _ in texts]
+    for row, gram, tf in zip(*block.counts(pa.array(texts)), strict=True):
+        got[row][block.grams[int(gram)].as_py()] = tf
+    assert got == [{g: n for g, n in grams(t).items() if g in known} for t in texts]
+    three = retrieval.Block(held.filter(pa.array([len(g) == 3 for g in known])), pa.table({"id": [7], "text": ["t"]}), 0, None)
+    assert sum(three.counts(pa.array(texts))[2]) == sum(n for t in texts for g, n in grams(t).items() if g in known and len(g) == 3)
